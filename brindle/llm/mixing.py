@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.common import bucket_count, checkpointed, running_total
+from brindle.llm.common import bucket_count, checkpointed, fresh, running_total
 
 #: Weights that sources get in turn, by code point.
 WEIGHTS = (5, 2, 1)
+#: Sources of which a table is small enough to be broadcast.
+MOST_BROADCAST = 10_000
 #: What counts as one word.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -39,6 +41,15 @@ def budgets(sizes: DataFrame, total: float | None = None, weights: tuple[float,
     return ranked.withColumn("target", F.least(F.lit(share) * F.col("weight"), limit))
 
 
+def _key(id_: Column, seed: int) -> Column:
+    """Hash-random and the same in each run."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), id_.cast("string")).cast("binary"))
+
+
+def _size(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def mix_documents(
     docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"
 ) -> DataFrame:
@@ -51,21 +62,14 @@ def mix_documents(
     rounded. No document gives more than most times its size.
 
     Returns id, size, source, source_size, target, epochs (whole ones), part (words of the last,
-    broken epoch) and taken. Null texts have size 0; sources may be null, and null is a source.
+    broken epoch), taken and key. Null texts have size 0; sources may be null, and null is a source.
     Rows that share an id and a size are told apart by nothing and may swap places. An empty table
-    gives no rows. Key buckets split a source that holds most rows.
+    gives no rows. Other columns are left out. Key buckets split a source that holds most rows.
     """
-    items = checkpointed(
-        docs.select(
-            F.col(id_col).alias("id"),
-            F.col(source_col).alias("source"),
-            F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string")).cast("binary")).alias("_key"),
-        )
-    )
-    sizes = items.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_rows"))
-    sources = checkpointed(budgets(sizes.drop("_rows"), weights=weights, most=most))
-    buckets = bucket_count(items.count())
+    items = checkpointed(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), _size(F.col(text_col)).alias("size"), _key(F.col(id_col), seed).alias("_key")))
+    sizes = items.groupBy("source").agg(F.sum("size").alias("source_size"))
+    sources = checkpointed(budgets(sizes, weights=weights, most=most))
+    buckets = bucket_count(items.count(), 8000)
     # the key's first 8 hexadecimal digits, scaled: a range of keys for each bucket
     spread = items.withColumn("_bucket", F.floor(F.conv(F.substring("_key", 1, 8), 16, 10).cast("long") * buckets / F.lit(2.0**32)).cast("int"))
     placed = running_total(spread, ["source"], "_bucket", ["_key", "id", "size"], F.col("size"), "_before")
@@ -76,4 +80,29 @@ def mix_documents(
     rest = goal - F.col("epochs") * F.col("source_size")
     part = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), rest - F.col("_before")))
     out = joined.withColumn("epochs", epochs).withColumn("part", part)
-    return out.select(F.col("id").alias(id_col), "size", F.col("source").alias(source_col), "source_size", "target", "epochs", "part", (F.col("epochs") * F.col("size") + F.col("part")).alias("taken"))
+    taken = F.col("epochs") * F.col("size") + F.col("part")
+    return out.select(F.col("id").alias(id_col), "size", F.col("source").alias(source_col), "source_size", "target", "epochs", "part", taken.alias("taken"), F.col("_key").alias("key"))
+
+
+def take_documents(
+    docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"
+) -> DataFrame:
+    """The mix itself: rows of docs, whole and as often as the mix takes them; the others are left out.
+
+    As mix_documents, but the document in which a source's budget ends is taken whole if half of it or more
+    is, else not. So only the last key of each source has to be known: texts are not moved. Repeated rows
+    in which a budget ends go or stay together. The table of sources is broadcast if it has at most
+    MOST_BROADCAST rows, else joined.
+    """
+    mixed = mix_documents(docs, weights, most, seed, id_col, text_col, source_col)
+    place = F.struct(F.col("key"), F.col(id_col).alias("id"), F.col("size"))
+    enough = (F.col("part") > 0) & (F.col("part") * 2 >= F.col("size"))
+    ends = mixed.groupBy(F.col(source_col).alias("_source")).agg(F.max("epochs").alias("_epochs"), F.max(F.when(enough, place)).alias("_end"))
+    ends = checkpointed(ends)
+    few = F.broadcast(ends) if ends.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else ends
+    own, times = fresh(docs, "_place"), fresh(docs, "_times")
+    here = F.struct(_key(F.col(id_col), seed).alias("key"), F.col(id_col).alias("id"), _size(F.col(text_col)).alias("size"))
+    joined = docs.join(few, docs[source_col].eqNullSafe(few["_source"])).withColumn(own, here)
+    more = F.when(F.col("_end").isNotNull() & (F.col(own) <= F.col("_end")), 1).otherwise(0)
+    repeated = joined.withColumn(times, (F.col("_epochs") + more).cast("int")).filter(F.col(times) > 0)
+    return repeated.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(times))).alias(times)).drop(times)

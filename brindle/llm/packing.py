@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.llm.common import bucket_count, checkpointed, fresh, running_total
+from brindle.llm.words import batches
 
 # Latin letters and numerals up to U+017F, as the vocabulary's own pattern splits them.
 _LETTER = "a-zA-ZªµºÀ-ÖØ-öø-ſ"
@@ -22,7 +23,7 @@ _PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^\s{_LE
 #: Anything that isn't plain Latin text is left to the tokenizer itself.
 _ODD = re.compile("[^\t\n\r\x20-\x7e¡-įı-ſ]|<\\|")
 #: Words kept by each Python worker; beyond it the memory starts anew.
-CACHED_WORDS = 500_000
+CACHED_WORDS = 800_000
 
 
 class WordTokenizer:
@@ -39,25 +40,35 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.words: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def ids(self, text: str) -> bytes:
-        if _ODD.search(text):
-            return self.whole(text)
-        pieces = _PIECE.findall(text.lower())
-        known = self.words
-        try:
-            return b"".join(map(known.__getitem__, pieces))
-        except KeyError:
-            new = list({p for p in pieces if p not in known})
-        if len(known) > CACHED_WORDS:
-            known.clear()
-            new = list(set(pieces))
-        for word, encoded in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            known[word] = np.asarray(encoded.ids, "<u4").tobytes()
-        return b"".join(map(known.__getitem__, pieces))
+    def learn(self, new: list[str]) -> None:
+        """Encode words as one text; each word's last token carries the mark of a word's end."""
+        ids = np.asarray(self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids, "<u4")
+        stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
+        data = ids.tobytes()
+        for word, start, stop in zip(new, [0, *stops[:-1].tolist()], stops.tolist(), strict=True):
+            self.words[word] = data[start:stop]
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Words that are new to these texts are encoded together, so give many texts at once."""
+        if len(self.words) > CACHED_WORDS:
+            self.words.clear()
+        pieces = [None if _ODD.search(text) else _PIECE.findall(text.lower()) for text in texts]
+        found = [None if p is None else list(map(self.words.get, p)) for p in pieces]
+        gaps = [[k for k, x in enumerate(f) if x is None] if f and None in f else () for f in found]
+        new = {p[k] for p, g in zip(pieces, gaps, strict=True) for k in g}
+        if new:
+            self.learn(list(new))
+        for p, f, g in zip(pieces, found, gaps, strict=True):
+            for k in g:
+                f[k] = self.words[p[k]]
+        return [self.whole(text) if f is None else b"".join(f) for text, f in zip(texts, found, strict=True)]
 
 
 @functools.cache
@@ -73,14 +84,13 @@ def tokenize_documents(docs: DataFrame, tokenizer_path: str, window: int = 2048,
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, end, step = _tokenizer(tokenizer_path), np.uint32(end_id).tobytes(), 4 * window
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):  # bounds what is held at once
-                part = batch.slice(at, 512)
+        for batch in incoming:
+            for low, high in batches(texts := [t or "" for t in batch.column(1).to_pylist()]):
                 row, start, length, total, ids = [], [], [], [], []
-                for i, text in enumerate(part.column(1).to_pylist()):
-                    data = (tokenizer.ids(text) if text else b"") + end
+                for i, data in enumerate(tokenizer.ids(texts[low:high])):
+                    data += end
                     for begin in range(0, len(data), step):
                         piece = data[begin : begin + step]
                         row.append(i)
@@ -88,7 +98,7 @@ def tokenize_documents(docs: DataFrame, tokenizer_path: str, window: int = 2048,
                         length.append(len(piece) // 4)
                         total.append(len(data) // 4)
                         ids.append(piece)
-                owner = part.column(0).take(pa.array(row, pa.int64()))
+                owner = batch.column(0).slice(low, high - low).take(pa.array(row, pa.int64()))
                 yield pa.RecordBatch.from_arrays([owner, pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(total, pa.int64()), pa.array(ids, pa.binary())], ["id", "start", "length", "doc_tokens", "ids"])
 
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(cut, f"id {kind}, start long, length long, doc_tokens long, ids binary")
@@ -220,7 +230,7 @@ def pack_pieces(pieces: DataFrame, window: int = 2048, quantum: int = 16, depth:
         base += times
     names = [taken[n] for n in ("_pbin", "_lo", "_hi", "_base", "_each", "_slot")]
     plan = pieces.sparkSession.createDataFrame(rows, ", ".join(f"`{n}` {k}" for n, k in zip(names, ["int", *["long"] * 5], strict=True)))
-    buckets = bucket_count(int(histogram.sum()), 20_000)
+    buckets = bucket_count(int(histogram.sum()), 4000)
     spread = held.withColumn(taken["_bucket"], F.pmod(F.xxhash64(*key_cols), F.lit(buckets)))
     ranked = running_total(spread, [taken["_bin"]], taken["_bucket"], list(key_cols), F.lit(1).cast("long"), taken["_rank"])
     rank = F.col(taken["_rank"])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import chat, fingerprints, html_text, mixing, packing, sharding
+from brindle.llm import chat, fingerprints, html_text, mixing, near_dups, neighbours, packing, quality, repeats, sharding
 from brindle.llm.common import table
 
 WINDOW = 2048
@@ -25,6 +25,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.tokenize_documents(table(spark, sf_dir, "documents"), tokenizer_path(), WINDOW)
     pieces = pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
@@ -32,8 +36,23 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shortened = repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return shortened.select("doc_id", "text", "removed", F.size("removed").alias("n_removed"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_documents(table(spark, sf_dir, "documents"))
+    return mixing.mix_documents(table(spark, sf_dir, "documents")).drop("key")
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train_quality(docs, table(spark, sf_dir, "labels"))
+    return quality.score_documents(docs, model).select("doc_id", quality.is_held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op7_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.similar_documents(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,8 +82,12 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
+        "op2_neighbours": op2_neighbours,
         "op3_packing": op3_packing,
+        "op4_repeats": op4_repeats,
         "op5_mixing": op5_mixing,
+        "op6_quality": op6_quality,
+        "op7_near_dups": op7_near_dups,
         "op8_fingerprints": op8_fingerprints,
         "op9_html": op9_html,
         "op10_chat": op10_chat,

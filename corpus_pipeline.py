@@ -1,10 +1,76 @@
-"""Corpus pipeline: stages to come."""
+"""Corpus pipeline: documents to packed sequences.
 
-from brindle.llm import queries as _queries
+Each stage gets what the one before kept, written as Parquet and read again.
+"""
 
-STAGES = []
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from brindle.llm import mixing, near_dups, packing, quality, repeats
+from brindle.llm.common import shared_folder, table
+from brindle.llm.queries import WINDOW, tokenizer_path
+
+#: Some stages can't be expressed in SQL; tests compare run() with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return _queries.table(spark, sf_dir, "documents")
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier doesn't reject."""
+    model = quality.train_quality(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score_documents(docs, model, score_col="_score", predicted_col="_predicted")
+    return scored.filter("_predicted = 1").select(*docs.columns)
+
+
+def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of similar ones: that of the least id.
+
+    Repeated rows of it count as one; rows without an id can't be told apart and stay.
+    """
+    found = near_dups.similar_documents(docs)
+    gone = found.filter("doc_id is not null and doc_id != class_id").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    twice = found.filter("doc_id = class_id").groupBy("class_id").count().filter("count > 1")
+    kept = docs.join(gone, (docs["doc_id"] == gone["_id"]) & (F.xxhash64(docs["text"]) == gone["_hash"]), "left_anti")
+    if twice.isEmpty():
+        return kept
+    return kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that an earlier one has too."""
+    shortened = repeats.remove_repeats(docs, spans_col="_removed").drop("_removed")
+    return shortened.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixing.take_documents(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents' tokens with their places in sequences."""
+    pieces = packing.tokenize_documents(docs, tokenizer_path(), WINDOW)
+    packed = packing.pack_pieces(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), WINDOW)
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+STAGES = [
+    ("quality classifier", keep_good),
+    ("n-gram Jaccard join", keep_one_of_similar),
+    ("substring dedup", cut_repeats),
+    ("mixing sources to target weights", mix),
+    ("packing", pack),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply all stages to documents; what they return is written to the shared folder."""
+    folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
+    return docs
