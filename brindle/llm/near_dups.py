@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import checkpointed
+from brindle.llm.common import checkpointed, discard, written
 from brindle.llm.words import Words, batches, minhashes, mix, shingles
 
 #: MinHash values: each band of ROWS is a key under which documents meet. At similarity 0.8, a pair meets
@@ -30,23 +30,31 @@ def components(edges: DataFrame) -> DataFrame:
     Each round draws lots: every node goes to the one with the least hash of the round among itself and its neighbours, and
     the edges are drawn anew between these. A fair share of the nodes goes in each round, whatever the
     component's shape, so rounds grow as the logarithm of its nodes.
+
+    Edges and labels of a round are removed after the next.
     """
-    current = checkpointed(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    found, turn = None, 0
+    spark, turn, found, place = edges.sparkSession, 0, None, None
+    current, at = written(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     while True:
         turn += 1
         both = current.select("a", "b").union(current.select("b", "a"))
         lot = lambda c: F.struct(F.xxhash64(c, F.lit(turn)).alias("lot"), F.col(c).alias("node"))  # noqa: B023, E731
         label = both.groupBy("a").agg(F.min(lot("b")).alias("least"))
-        label = checkpointed(label.select(F.col("a").alias("at"), F.least("least", lot("a"))["node"].alias("label")))
+        label, label_at = written(label.select(F.col("a").alias("at"), F.least("least", lot("a"))["node"].alias("label")))
         if found is None:
-            found = label.select(F.col("at").alias("node"), F.col("label").alias("component"))
+            found, place = written(label.select(F.col("at").alias("node"), F.col("label").alias("component")))
         else:
-            found = checkpointed(found.join(label, found["component"] == label["at"], "left").select("node", F.coalesce("label", "component").alias("component")))
+            newer = written(found.join(label, found["component"] == label["at"], "left").select("node", F.coalesce("label", "component").alias("component")))
+            discard(spark, place)
+            found, place = newer
         moved = current.join(label.select(F.col("at").alias("a"), F.col("label").alias("la")), "a")
         moved = moved.join(label.select(F.col("at").alias("b"), F.col("label").alias("lb")), "b").filter("la != lb")
-        current = checkpointed(moved.select(F.greatest("la", "lb").alias("a"), F.least("la", "lb").alias("b")).distinct())
+        following, following_at = written(moved.select(F.greatest("la", "lb").alias("a"), F.least("la", "lb").alias("b")).distinct())
+        discard(spark, at)
+        discard(spark, label_at)
+        current, at = following, following_at
         if current.isEmpty():
+            discard(spark, at)
             return found
 
 
