@@ -14,31 +14,43 @@ from brindle.llm.common import fresh
 MOST_LABELLED = 20_000
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """Numbers that tell a text's form, over the whole text and without its topic or language."""
+def counts(text: Column) -> Column:
+    """What is counted in a whole text, each once: a struct of doubles."""
     whole = F.coalesce(text, F.lit(""))
 
     def count(pattern: str) -> Column:
         return F.regexp_count(whole, F.lit(pattern)).cast("double")
 
-    chars = F.length(whole).cast("double")
-    words = F.greatest(count(r"\S+"), F.lit(1.0))
-    letters = F.greatest(count(r"\p{L}"), F.lit(1.0))
-    lines = count("\n") + 1
+    def single(sign: str) -> Column:
+        return (F.length(whole) - F.length(F.replace(whole, F.lit(sign), F.lit("")))).cast("double")
+
+    found = {
+        "chars": F.length(whole).cast("double"), "words": count(r"\S+"), "letters": count(r"\p{L}+"), "lines": single("\n"), "capitals": count(r"\p{Lu}"), "capital_words": count(r"(?<!\p{L})\p{Lu}{2,}(?!\p{L})"),
+        "digits": count(r"[0-9]+"), "signs": count(r"[#$%&*@\\^_~<>{}=+]"), "sign_runs": count(r"[^\p{L}\p{N}\s]{2,}"), "bars": single("|"), "shouts": single("!"), "sentence_ends": count(r"[.?!](?:\s|$)"),
+        "repeated": count(r"(?<!\S)(\S+)\s+\1(?!\S)"), "long_words": count(r"\S{25,}"),
+    }
+    return F.struct(*(c.alias(n) for n, c in found.items()))
+
+
+def statistics(found: Column) -> dict[str, Column]:
+    """Numbers that tell a text's form, without its topic or language, from its counts."""
+    one = F.lit(1.0)
+    words, letters = F.greatest(found["words"], one), F.greatest(found["letters"], one)
     return {
-        "log_chars": F.log1p(chars),
-        "chars_per_word": chars / words,
-        "words_per_line": words / lines,
-        "capitals_per_letter": count(r"\p{Lu}") / letters,
-        "capital_words": count(r"(?<!\p{L})\p{Lu}{2,}(?!\p{L})") / words,
-        "digits_per_char": count(r"[0-9]") / F.greatest(chars, F.lit(1.0)),
-        "signs_per_word": count(r"[#$%&*@\\^_~<>{}=+]") / words,
-        "sign_runs": count(r"[^\p{L}\p{N}\s]{2,}") / words,
-        "bars_per_word": count(r"\|") / words,
-        "shouts_per_word": count(r"!") / words,
-        "sentence_ends": count(r"[.?!](?:\s|$)") / words,
-        "repeated_words": count(r"(?<!\S)(\S+)\s+\1(?!\S)") / words,
-        "long_words": count(r"\S{25,}") / words,
+        "log_chars": F.log1p(found["chars"]),
+        "chars_per_word": found["chars"] / words,
+        "words_per_line": words / (found["lines"] + 1),
+        "letter_runs_per_word": found["letters"] / words,
+        "capitals_per_letter_run": found["capitals"] / letters,
+        "capital_words": found["capital_words"] / words,
+        "digit_runs_per_word": found["digits"] / words,
+        "signs_per_word": found["signs"] / words,
+        "sign_runs": found["sign_runs"] / words,
+        "bars_per_word": found["bars"] / words,
+        "shouts_per_word": found["shouts"] / words,
+        "sentence_ends": found["sentence_ends"] / words,
+        "repeated_words": found["repeated"] / words,
+        "long_words": found["long_words"] / words,
     }
 
 
@@ -189,8 +201,9 @@ def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("_label")).filter(F.col("_label").isNotNull() & F.col("_id").isNotNull() & ~is_held_out(F.col("_id")))
     sample = known.orderBy(F.xxhash64("_id"), "_id", "_label").limit(most)
-    columns = statistics(F.col(text_col))
-    joined = docs.join(F.broadcast(sample), docs[id_col] == sample["_id"]).select(*(c.alias(n) for n, c in columns.items()), "_label")
+    columns = statistics(F.col("_counts"))
+    joined = docs.join(F.broadcast(sample), docs[id_col] == sample["_id"]).select(F.explode(F.array(counts(F.col(text_col)))).alias("_counts"), "_label")
+    joined = joined.select(*(c.alias(n) for n, c in columns.items()), "_label")
     rows = np.array(joined.collect(), float).reshape(-1, len(columns) + 1)
     rows = rows[np.lexsort(rows.T)]  # the same sums whatever the order of rows
     return fit_rules(rows[:, :-1], rows[:, -1], list(columns))
@@ -206,6 +219,8 @@ def score_documents(docs: DataFrame, model: RuleModel, threshold: float = 0.3, t
     if text_col not in plain.columns:
         raise ValueError("the new columns can't replace the text")
     held = fresh(plain, "_statistics")
-    measured = plain.withColumn(held, F.struct(*(c.alias(n) for n, c in statistics(F.col(text_col)).items())))
-    score = model.score({n: F.col(held)[n] for n in model.names})
+    # a generator of one row: else the text would be counted anew for each rule, below a filter on the score at least
+    measured = plain.select("*", F.explode(F.array(counts(F.col(text_col)))).alias(held))
+    columns = statistics(F.col(held))
+    score = model.score({n: columns[n] for n in model.names})
     return measured.withColumn(score_col, score).withColumn(predicted_col, (F.col(score_col) >= threshold).cast("int")).drop(held)
