@@ -1,19 +1,492 @@
-"""Queries of the library, and their SQL."""
+"""Queries of the library over the driver's tables, and their SQL.
+
+Scores are rounded to six digits on both sides.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from brindle.functions import fusion, text
+from brindle.functions import vectors as V
+from brindle.operators import clusters, labels, routing
+from brindle.sources import files
+
+WIDTH = 64
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _x(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mentions m with label l and vector e of doubles."""
+    return _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("m"), F.col("label").alias("l"), V.doubles(F.col("embedding")).alias("e"))
+
+
+def _z(x: DataFrame) -> DataFrame:
+    return labels.pifa_dense(x, "e", "l")
+
+
+def _r(c, digits: int = 6):
+    return F.round(c, digits)
+
+
+# SQL: mentions, their long form, label embeddings
+_SQL_X = "x AS (SELECT vec_id AS m, label AS l, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)"
+_SQL_Z = f"""{_SQL_X}, xl AS (SELECT m, l, unnest(range(1, 65)) AS i, unnest(e) AS v FROM x),
+ s AS (SELECT l, i, sum(v) AS v FROM xl GROUP BY l, i), sn AS (SELECT l, sqrt(sum(v * v)) AS n FROM s GROUP BY l),
+ z1 AS (SELECT s.l, i, v / (n + 1e-10) AS v FROM s JOIN sn USING (l)), zn AS (SELECT l, sqrt(sum(v * v)) AS n FROM z1 GROUP BY l),
+ zl AS (SELECT z1.l, i, CASE WHEN n = 0 THEN v ELSE v / n END AS v FROM z1 JOIN zn USING (l)), z AS (SELECT l, list(v ORDER BY i) AS z FROM zl GROUP BY l)"""
+
+
+def _tfidf_sql(table: str, key: str, column: str, bigrams: bool, max_features: int | None = None) -> str:
+    pairs = f" UNION ALL SELECT {key}, w[k] || ' ' || w[k + 1] FROM (SELECT {key}, w, unnest(range(1, len(w))) AS k FROM tok)" if bigrams else ""
+    most = f" ORDER BY cf DESC, term LIMIT {max_features}" if max_features else ""
+    return f"""tok AS (SELECT {key}, regexp_extract_all(lower(coalesce({column}, '')), '[\\p{{L}}\\p{{N}}_]{{2,}}') AS w FROM {table}),
+ tf AS (SELECT {key}, term, count(*) AS tf FROM (SELECT {key}, unnest(w) AS term FROM tok{pairs}) GROUP BY ALL), n AS (SELECT count(*) AS n FROM {table}),
+ df AS (SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf, ln((1.0 + any_value(n)) / (1.0 + count(*))) + 1 AS idf FROM tf, n GROUP BY term HAVING count(*) <= 0.98 * any_value(n){most}),
+ raw AS (SELECT {key}, term, tf * idf AS v FROM tf JOIN df USING (term)), rn AS (SELECT {key}, sqrt(sum(v * v)) AS n FROM raw GROUP BY {key}),
+ w AS (SELECT raw.{key}, term, v / rn.n AS v FROM raw JOIN rn USING ({key}))"""
+
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# reading and labels
+
+
+@query("SELECT p_brand AS label, string_agg(p_name, '|' ORDER BY p_partkey) AS corpus, count(*) AS n FROM part GROUP BY p_brand")
+def group_mentions(spark, d):
+    grouped = files.group_texts(_t(spark, d, "part"), "p_brand", "p_name", "p_partkey")
+    return grouped.select(F.col("p_brand").alias("label"), F.array_join("corpus", "|").alias("corpus"), F.size("corpus").cast("long").alias("n"))
+
+
+@query("SELECT conv_id, string_agg(coalesce(text, ''), ' ' ORDER BY turn) AS text FROM conversations GROUP BY conv_id")
+def concat_by_id(spark, d):
+    return files.concat_texts(_t(spark, d, "conversations"), "conv_id", "text", "turn")
+
+
+_POSITION = """g AS (SELECT p_size, string_agg(p_name, '|' ORDER BY p_partkey) AS corpus FROM part GROUP BY p_size),
+ gp AS (SELECT row_number() OVER (ORDER BY p_size) - 1 AS label_pos, corpus FROM g), b AS (SELECT row_number() OVER (ORDER BY p) - 1 AS label_pos, p AS label FROM (SELECT DISTINCT p_name AS p FROM part))"""
+
+
+@query(f"WITH {_POSITION} SELECT label_pos, label, corpus FROM gp JOIN b USING (label_pos) WHERE label_pos < 20")
+def label_position_join(spark, d):
+    part = _t(spark, d, "part")
+    grouped = files.group_texts(part, "p_size", "p_name", "p_partkey")
+    known = files.ranked(part.select(F.col("p_name").alias("label")).distinct(), "label", "label_pos")
+    return files.attach_labels(grouped, known, "p_size", truncate=20).select("label_pos", "label", F.array_join("corpus", "|").alias("corpus"))
+
+
+@query("SELECT row_number() OVER (ORDER BY p_brand, p_partkey) - 1 AS mention_id, p_brand AS label, p_name AS text FROM part")
+def flatten_synonyms(spark, d):
+    part = _t(spark, d, "part")
+    grouped = files.group_texts(part, "p_brand", "p_name", "p_partkey")
+    placed = labels.label_dictionary(grouped, "p_brand").withColumnRenamed("label_id", "label_pos")
+    return files.flatten(grouped.withColumnRenamed("p_brand", "label").join(placed, "label"))
+
+
+@query("SELECT label, dense_rank() OVER (ORDER BY label) - 1 AS label_id FROM (SELECT DISTINCT source AS label FROM documents WHERE source IS NOT NULL)")
+def label_dictionary(spark, d):
+    return labels.label_dictionary(_t(spark, d, "documents"), "source")
+
+
+@query("WITH d AS (SELECT label, dense_rank() OVER (ORDER BY label) - 1 AS label_id FROM (SELECT DISTINCT source AS label FROM documents WHERE source IS NOT NULL)) SELECT DISTINCT doc_id, label_id FROM documents JOIN d ON source = label")
+def label_matrix(spark, d):
+    docs = _t(spark, d, "documents")
+    return labels.label_matrix(docs, "doc_id", "source", labels.label_dictionary(docs, "source"))
+
+
+# text
+
+
+@query(f"WITH {_tfidf_sql('part', 'p_partkey', 'p_name', True)} SELECT p_partkey, term, tf FROM tf")
+def tokenize_ngrams(spark, d):
+    return text.terms(_t(spark, d, "part"), "p_partkey", "p_name")
+
+
+@query(f"WITH {_tfidf_sql('documents', 'doc_id', 'text', False)} SELECT doc_id, count(*) AS terms, CAST(sum(tf) AS BIGINT) AS words FROM tf GROUP BY doc_id")
+def tokenize_documents(spark, d):
+    return text.terms(_t(spark, d, "documents"), "doc_id", "text", 1, 1).groupBy("doc_id").agg(F.count("*").alias("terms"), F.sum("tf").alias("words"))
+
+
+@query(f"WITH {_tfidf_sql('documents', 'doc_id', 'text', False, 2000)} SELECT term, df, cf, round(idf, 6) AS idf FROM df")
+def doc_freq_pruned(spark, d):
+    docs = _t(spark, d, "documents")
+    found = text.document_frequencies(text.terms(docs, "doc_id", "text", 1, 1), docs.count(), max_features=2000)
+    return found.select("term", "df", "cf", _r("idf").alias("idf"))
+
+
+def _part_weights(spark, d):
+    part = _t(spark, d, "part")
+    tf = text.terms(part, "p_partkey", "p_name")
+    return part, text.weights(tf, text.document_frequencies(tf, part.count()), "p_partkey")
+
+
+@query(f"WITH {_tfidf_sql('part', 'p_partkey', 'p_name', True)} SELECT p_partkey, term, round(v, 6) AS value FROM w")
+def tfidf_weights(spark, d):
+    return _part_weights(spark, d)[1].withColumn("value", _r("value"))
+
+
+_SQL_PIFA_PART = f"""{_tfidf_sql("part", "p_partkey", "p_name", True)}, ps AS (SELECT p_brand AS l, term, sum(v) AS v FROM w JOIN part USING (p_partkey) GROUP BY ALL),
+ pn AS (SELECT l, sqrt(sum(v * v)) AS n FROM ps GROUP BY l), pz1 AS (SELECT ps.l, term, v / (n + 1e-10) AS v FROM ps JOIN pn USING (l)), pn2 AS (SELECT l, sqrt(sum(v * v)) AS n FROM pz1 GROUP BY l),
+ pz AS (SELECT pz1.l, term, v / n AS v FROM pz1 JOIN pn2 USING (l))"""
+
+
+def _part_pifa(spark, d):
+    part, w = _part_weights(spark, d)
+    x = w.select(F.col("p_partkey").alias("mention_id"), F.col("term").alias("feature"), "value")
+    y = part.select(F.col("p_partkey").alias("mention_id"), F.col("p_brand").alias("label_id"))
+    return x, labels.pifa(x, y)
+
+
+@query(f"WITH {_SQL_PIFA_PART} SELECT l AS label, term, round(v, 6) AS value FROM pz")
+def pifa_tfidf(spark, d):
+    return _part_pifa(spark, d)[1].select(F.col("label_id").alias("label"), F.col("feature").alias("term"), _r("value").alias("value"))
+
+
+@query(f"""WITH {_SQL_PIFA_PART}, dots AS (SELECT w.p_partkey, pz.l, sum(w.v * pz.v) AS s FROM w JOIN pz USING (term) GROUP BY ALL),
+ every AS (SELECT p_partkey, l, coalesce(s, 0) AS s FROM part CROSS JOIN (SELECT DISTINCT l FROM pz) LEFT JOIN dots USING (p_partkey, l))
+ SELECT p_partkey, l AS label, round(s, 6) AS score, k AS rank FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY round(s, 6) DESC, l) AS k FROM every) WHERE k <= 5""")
+def cosine_topk_tfidf(spark, d):
+    """Candidates that share no term with a query stay, with score 0."""
+    x, z = _part_pifa(spark, d)
+    dots = V.long_dots(x, z, "mention_id", "label_id")
+    known = z.select("label_id").distinct()
+    every = _t(spark, d, "part").select(F.col("p_partkey").alias("mention_id")).crossJoin(F.broadcast(known))  # 25 brands
+    scored = every.join(dots, ["mention_id", "label_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    top = V.top_k(scored, "mention_id", "score", 5, "label_id", 6)
+    return top.select(F.col("mention_id").alias("p_partkey"), F.col("label_id").alias("label"), _r("score").alias("score"), "rank")
+
+
+# vectors
+
+
+@query(f"WITH {_SQL_Z} SELECT l AS label, i - 1 AS feature, round(v, 6) AS value FROM zl")
+def pifa_dense(spark, d):
+    return _z(_x(spark, d)).select(F.col("l").alias("label"), F.posexplode("z").alias("feature", "value")).select("label", F.col("feature").cast("long").alias("feature"), _r("value").alias("value"))
+
+
+@query(f"WITH {_SQL_X} SELECT m AS vec_id, round(sqrt(list_dot_product(e, e)), 6) AS norm FROM x")
+def row_norms(spark, d):
+    return _x(spark, d).select(F.col("m").alias("vec_id"), _r(V.norm(F.col("e"))).alias("norm"))
+
+
+@query(f"WITH {_SQL_X} SELECT m AS vec_id, f - 1 AS feature, round(v / n, 6) AS value FROM (SELECT m, unnest(range(1, 65)) AS f, unnest(e) AS v, sqrt(list_dot_product(e, e)) AS n FROM x)")
+def l2_normalise(spark, d):
+    rows = _x(spark, d).select(F.col("m").alias("vec_id"), F.posexplode(V.unit(F.col("e"))).alias("feature", "value"))
+    return rows.select("vec_id", F.col("feature").cast("long").alias("feature"), _r("value").alias("value"))
+
+
+def _scores(spark, d):
+    x = _x(spark, d)
+    return V.pairs_with_all(x, _z(x).withColumnRenamed("l", "label"), WIDTH).withColumn("score", V.dot(F.col("e"), F.col("z")))
+
+
+_SQL_SCORES = f"{_SQL_Z}, sc AS (SELECT m, x.l AS l, z.l AS label, e, z, list_dot_product(e, z) AS score FROM x CROSS JOIN z)"
+
+
+@query(f"WITH {_SQL_SCORES} SELECT m AS vec_id, label, round(score, 6) AS score FROM sc")
+def inner_product_scores(spark, d):
+    return _scores(spark, d).select(F.col("m").alias("vec_id"), "label", _r("score").alias("score"))
+
+
+@query(f"WITH {_SQL_SCORES} SELECT vec_id, label, score, rank FROM (SELECT m AS vec_id, label, round(list_cosine_similarity(e, z), 6) AS score, row_number() OVER (PARTITION BY m ORDER BY round(list_cosine_similarity(e, z), 6) DESC, label) AS rank FROM sc) WHERE rank <= 3")
+def cosine_topk_dense(spark, d):
+    scored = _scores(spark, d).withColumn("score", V.cosine(F.col("e"), F.col("z")))
+    return V.top_k(scored, "m", "score", 3, "label", 6).select(F.col("m").alias("vec_id"), "label", _r("score").alias("score"), "rank")
+
+
+# clusters
+
+_STEPS = 3
+
+
+def _lloyd_sql() -> str:
+    parts = [f"{_SQL_X}, c0 AS (SELECT m AS k, e AS c FROM x WHERE m < 4)"]
+    for n in range(_STEPS):
+        parts.append(f"a{n} AS (SELECT m, l, e, k AS cluster FROM (SELECT m, l, e, k, row_number() OVER (PARTITION BY m ORDER BY round(list_dot_product(e, c) / sqrt(list_dot_product(c, c)), 9) DESC, k) AS r FROM x CROSS JOIN c{n}) WHERE r = 1)")
+        if n < _STEPS - 1:
+            parts.append(f"c{n + 1} AS (SELECT cluster AS k, list(v ORDER BY i) AS c FROM (SELECT cluster, i, avg(v) AS v FROM (SELECT cluster, unnest(range(1, 65)) AS i, unnest(e) AS v FROM a{n}) GROUP BY cluster, i) GROUP BY cluster)")
+    return ", ".join(parts)
+
+
+_SQL_LLOYD = _lloyd_sql()
+
+
+def _lloyd(spark, d):
+    x = _x(spark, d)
+    start = [r["e"] for r in x.filter("m < 4").orderBy("m").select("e").collect()]
+    return clusters.lloyd(x, start, _STEPS)
+
+
+@query(f"WITH {_SQL_LLOYD} SELECT m AS vec_id, CAST(cluster AS INTEGER) AS cluster FROM a2")
+def lloyd_assign(spark, d):
+    return _lloyd(spark, d).select(F.col("m").alias("vec_id"), "cluster")
+
+
+@query(f"WITH {_SQL_LLOYD} SELECT CAST(cluster AS INTEGER) AS cluster, count(*) AS size FROM a2 GROUP BY 1")
+def cluster_histogram(spark, d):
+    return clusters.histogram(_lloyd(spark, d))
+
+
+@query(f"WITH {_SQL_LLOYD}, h AS (SELECT cluster, count(*) AS size, min(m) AS f FROM a2 GROUP BY 1 HAVING count(*) >= 20) SELECT CAST(cluster AS INTEGER) AS cluster, row_number() OVER (ORDER BY f) - 1 AS new_id, size FROM h WHERE (SELECT count(*) FROM h) > 1")
+def valid_clusters(spark, d):
+    found = clusters.valid_clusters(_lloyd(spark, d), 20, "m")
+    return found.select("cluster", F.col("new_id").cast("long").alias("new_id"), "size")
+
+
+@query(f"WITH {_SQL_LLOYD} SELECT CAST(cluster AS INTEGER) AS cluster, string_agg(CAST(m AS VARCHAR), ',' ORDER BY m) AS labels FROM a2 GROUP BY 1")
+def cluster_label_members(spark, d):
+    return clusters.members(_lloyd(spark, d), "m").select("cluster", F.array_join(F.transform("labels", lambda x: x.cast("string")), ",").alias("labels"))
+
+
+def _label_clusters(spark):
+    return spark.range(10).select(F.col("id").cast("int").alias("label_id"), (F.col("id") % 3).cast("int").alias("cluster"))
+
+
+_SQL_LC = "lc AS (SELECT CAST(range AS INTEGER) AS label, CAST(range % 3 AS INTEGER) AS cluster FROM range(10))"
+
+
+@query(f"WITH {_SQL_LC} SELECT DISTINCT vec_id, cluster FROM embeddings JOIN lc USING (label)")
+def mention_cluster_matrix(spark, d):
+    y = _t(spark, d, "embeddings").select(F.col("vec_id").alias("mention_id"), F.col("label").alias("label_id"))
+    return labels.mention_clusters(y, _label_clusters(spark)).withColumnRenamed("mention_id", "vec_id")
+
+
+# routing: matchers are the embeddings of labels 0 to 3
+
+
+def _matched(spark, d):
+    x = _x(spark, d)
+    z = _z(x).filter("l < 4").withColumnRenamed("l", "cluster")
+    return V.pairs_with_all(x, z, WIDTH).withColumn("score", V.sigmoid(4 * V.dot(F.col("e"), F.col("z"))))
+
+
+_SQL_M = f"{_SQL_Z}, mt AS (SELECT m, x.l AS l, e, z.l AS cluster, 1 / (1 + exp(-4 * list_dot_product(e, z.z))) AS score FROM x CROSS JOIN z WHERE z.l < 4)"
+
+
+@query(f"WITH {_SQL_M} SELECT m AS vec_id, round(sum(CASE WHEN cluster = l % 4 THEN score ELSE 0 END), 6) AS own_score, round(sum(score), 6) AS sum_score, round(max(score), 6) AS max_score FROM mt GROUP BY m")
+def routing_features(spark, d):
+    got = routing.routing_features(_matched(spark, d).withColumn("own", F.col("cluster") == F.col("l") % 4), "m")
+    return got.select(F.col("m").alias("vec_id"), *(_r(c).alias(c) for c in ("own_score", "sum_score", "max_score")))
+
+
+@query(f"WITH {_SQL_SCORES} SELECT label, round(sum(score) / (SELECT count(*) FROM x), 6) AS mean_score, round(sum(score), 6) AS sum_score, round(max(score), 6) AS max_score FROM sc GROUP BY label")
+def label_affinity(spark, d):
+    got = routing.label_affinity(_scores(spark, d), _x(spark, d).count(), "label")
+    return got.select("label", *(_r(c).alias(c) for c in ("mean_score", "sum_score", "max_score")))
+
+
+def _top_clusters(spark, d, k):
+    return V.top_k(_matched(spark, d), "m", "score", k, "cluster", 6)
+
+
+_SQL_TOP = f"{_SQL_M}, tp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY m ORDER BY round(score, 6) DESC, cluster) AS rank FROM mt) WHERE rank <= 2)"
+
+
+@query(f"WITH {_SQL_TOP} SELECT m AS vec_id, cluster, round(score, 6) AS score, rank FROM tp")
+def topk_clusters(spark, d):
+    return _top_clusters(spark, d, 2).select(F.col("m").alias("vec_id"), "cluster", _r("score").alias("score"), "rank")
+
+
+@query(f"WITH {_SQL_TOP} SELECT m AS vec_id, cluster, 1 AS value FROM tp")
+def topb_mask(spark, d):
+    return _top_clusters(spark, d, 2).select(F.col("m").alias("vec_id"), "cluster", F.lit(1).alias("value"))
+
+
+_SQL_L4 = "l4 AS (SELECT CAST(range AS INTEGER) AS label, CAST(range % 4 AS INTEGER) AS cluster FROM range(10))"
+
+
+def _four(spark):
+    return spark.range(10).select(F.col("id").cast("int").alias("label_id"), (F.col("id") % 4).cast("int").alias("cluster"))
+
+
+@query(f"WITH {_SQL_TOP}, {_SQL_L4} SELECT DISTINCT m AS vec_id, label FROM tp JOIN l4 USING (cluster)")
+def candidate_labels(spark, d):
+    got = routing.candidate_labels(_top_clusters(spark, d, 2).withColumnRenamed("m", "query_id"), _four(spark))
+    return got.select(F.col("query_id").alias("vec_id"), F.col("label_id").alias("label"))
+
+
+def _fused(spark, d, how):
+    """Candidates of a mention with matcher and ranker scores; labels 8 and 9 have no ranker."""
+    top = _top_clusters(spark, d, 2).select("m", "e", "cluster", F.col("score").alias("matcher")).join(F.broadcast(_four(spark)), "cluster")
+    models = _z(_x(spark, d)).filter("l < 8").select(F.col("l").alias("label_id"), F.col("z").alias("w"))
+    scored = routing.with_default(top, models, V.sigmoid(3 * V.dot(F.col("e"), F.col("w"))))
+    return scored.withColumn("score", fusion.fuse(how, F.col("matcher"), F.col("ranker")))
+
+
+_SQL_FUSED = f"{_SQL_TOP}, {_SQL_L4}, fu AS (SELECT tp.m, l4.label, tp.cluster, tp.score AS matcher, coalesce(1 / (1 + exp(-3 * list_dot_product(e, z.z))), 1.0) AS ranker FROM tp JOIN l4 USING (cluster) LEFT JOIN z ON z.l = l4.label AND z.l < 8), fc AS (SELECT m, label, cluster, ranker, greatest(least(matcher, 1), 1e-6) AS a, greatest(least(ranker, 1), 1e-6) AS b FROM fu)"
+
+
+def _fusion_rows(df):
+    return df.select(F.col("m").alias("vec_id"), F.col("label_id").alias("label"), _r("score").alias("score"))
+
+
+@query(f"WITH {_SQL_FUSED} SELECT m AS vec_id, label, round(pow(0.5 * pow(a, 3) + 0.5 * pow(b, 3), 1.0 / 3), 6) AS score FROM fc")
+def fusion_lp(spark, d):
+    return _fusion_rows(_fused(spark, d, "lp_fusion"))
+
+
+@query(f"WITH {_SQL_FUSED} SELECT m AS vec_id, label, round(pow(a, 0.5) * pow(b, 0.5), 6) AS score FROM fc")
+def fusion_geometric(spark, d):
+    return _fusion_rows(_fused(spark, d, "geometric"))
+
+
+@query(f"WITH {_SQL_FUSED} SELECT m AS vec_id, label, round(ranker, 6) AS ranker FROM fc")
+def missing_ranker_default(spark, d):
+    return _fused(spark, d, "geometric").select(F.col("m").alias("vec_id"), F.col("label_id").alias("label"), _r("ranker").alias("ranker"))
+
+
+# beam over regions and nations: probabilities from a query's number and the node's
+
+
+@query("""WITH q AS (SELECT c_custkey AS q FROM customer), r AS (SELECT q, r_regionkey AS node, 1 / (1 + exp(-(((q * 7 + r_regionkey * 13) % 11) - 5.0) / 3)) AS p FROM q, region),
+ b1 AS (SELECT q, node, ln(greatest(p, 1e-9)) AS s FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(ln(greatest(p, 1e-9)), 9) DESC, node) AS k FROM r) WHERE k <= 2),
+ n AS (SELECT q, n_nationkey AS node, s + ln(greatest(1 / (1 + exp(-(((q * 5 + n_nationkey * 3) % 13) - 6.0) / 3)), 1e-9)) AS s FROM b1 JOIN nation ON n_regionkey = node)
+ SELECT q AS query_id, node AS nation, round(s, 6) AS logscore, k AS rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(s, 9) DESC, node) AS k FROM n) WHERE k <= 3""")
+def beam_two_layer(spark, d):
+    asked = _t(spark, d, "customer").select(F.col("c_custkey").alias("q"))
+    regions = _t(spark, d, "region").select(F.col("r_regionkey").alias("node"))
+    edges = _t(spark, d, "nation").select(F.col("n_regionkey").alias("node"), F.col("n_nationkey").alias("child"))
+    p1 = V.sigmoid(((F.col("q") * 7 + F.col("node") * 13) % 11 - 5.0) / 3)
+    # five regions, as the tree's first layer
+    first = asked.crossJoin(F.broadcast(regions)).withColumn("s", fusion.path_score(F.lit(0.0), p1))
+    kept = V.top_k(first, "q", "s", 2, "node", 9).drop("rank")
+    p2 = V.sigmoid(((F.col("q") * 5 + F.col("child") * 3) % 13 - 6.0) / 3)
+    second = kept.join(edges, "node").withColumn("s", fusion.path_score(F.col("s"), p2))
+    return V.top_k(second, "q", "s", 3, "child", 9).select(F.col("q").alias("query_id"), F.col("child").alias("nation"), _r("s").alias("logscore"), "rank")
+
+
+_SQL_LEAVES = f"{_SQL_SCORES}, lv AS (SELECT m, label, score * (1 + leaf * 0.1) AS score FROM sc, (SELECT unnest([0, 1]) AS leaf) WHERE (m + label + leaf) % 3 <> 0), mm AS (SELECT m, label, max(score) AS score FROM lv GROUP BY ALL HAVING max(score) > 0)"
+
+
+def _merged(spark, d):
+    leaves = _scores(spark, d).select(F.col("m").alias("query_id"), F.col("label").alias("label_id"), "score", F.explode(F.array(F.lit(0), F.lit(1))).alias("leaf"))
+    leaves = leaves.filter((F.col("query_id") + F.col("label_id") + F.col("leaf")) % 3 != 0).withColumn("score", F.col("score") * (1 + F.col("leaf") * 0.1))
+    return routing.max_merge(leaves)
+
+
+@query(f"WITH {_SQL_LEAVES} SELECT m AS query_id, label AS label_id, round(score, 6) AS score FROM mm")
+def max_merge_leaves(spark, d):
+    return _merged(spark, d).withColumn("score", _r("score"))
+
+
+@query(f"WITH {_SQL_LEAVES} SELECT m AS query_id, label AS label_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY m ORDER BY round(score, 6) DESC, label) AS rank FROM mm) WHERE rank <= 4")
+def global_topk(spark, d):
+    return V.top_k(_merged(spark, d), "query_id", "score", 4, "label_id", 6).withColumn("score", _r("score"))
+
+
+# negatives
+
+
+def _pool(spark, d):
+    """Negatives of each label among all mentions, with cosine, inner product and a portable random key."""
+    scored = _scores(spark, d).withColumn("cos", _r(F.col("score") / (V.norm(F.col("e")) + 1e-12), 9)).withColumn("ip", _r("score", 9))
+    counts = _x(spark, d).groupBy(F.col("l").alias("label")).agg(F.count("*").alias("n_pos"))
+    total = counts.agg(F.sum("n_pos")).first()[0]
+    counts = routing.trainable(counts.withColumn("available", F.lit(total) - F.col("n_pos")), "n_pos", "available", 2)
+    mixed = (F.col("m") * 7919 + F.col("label") * 104729 + 12345) % 1000003
+    return scored.filter("l <> label").join(F.broadcast(counts), "label").select("label", "m", "n_neg", "cos", "ip", mixed.alias("draw"))
+
+
+_SQL_POOL = f"""{_SQL_SCORES}, cn AS (SELECT l AS label, count(*) AS n_pos, least(count(*) * 2, (SELECT count(*) FROM x) - count(*)) AS n_neg FROM x GROUP BY l), ok AS (SELECT * FROM cn WHERE n_pos >= 2 AND n_neg >= 2),
+ pl AS (SELECT label, m, n_neg, round(score / (sqrt(list_dot_product(e, e)) + 1e-12), 9) AS c, round(score, 9) AS ip, (m * 7919 + label * 104729 + 12345) % 1000003 AS draw FROM sc JOIN ok USING (label) WHERE l <> label)"""
+
+
+@query(f"""WITH {_SQL_POOL}, k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY draw, m) AS r1, row_number() OVER (PARTITION BY label ORDER BY c DESC, m) AS r2, round_even(0.7 * n_neg, 0) AS q1 FROM pl),
+ p AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY m) AS n FROM k WHERE r1 <= q1 OR r2 <= n_neg - q1) SELECT label, m AS vec_id FROM p WHERE n <= n_neg""")
+def negatives_warm(spark, d):
+    """Warm epochs: seven tenths at random, the rest of greatest cosine."""
+    pool = _pool(spark, d).withColumn("first", F.bround(0.7 * F.col("n_neg")))
+    by = Window.partitionBy("label")
+    picked = pool.withColumn("r1", F.row_number().over(by.orderBy("draw", "m"))).withColumn("r2", F.row_number().over(by.orderBy(F.desc("cos"), "m")))
+    picked = picked.filter((F.col("r1") <= F.col("first")) | (F.col("r2") <= F.col("n_neg") - F.col("first")))
+    return picked.withColumn("at", F.row_number().over(by.orderBy("m"))).filter("at <= n_neg").select("label", F.col("m").alias("vec_id"))
+
+
+@query(f"""WITH {_SQL_POOL}, k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY ip DESC, m) AS r1, row_number() OVER (PARTITION BY label ORDER BY c DESC, m) AS r2, round_even(0.6 * n_neg, 0) AS q1, round_even(0.3 * n_neg, 0) AS q2 FROM pl),
+ t AS (SELECT *, r1 <= q1 OR r2 <= q2 AS taken FROM k), u AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY taken, draw, m) AS r3 FROM t),
+ p AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY m) AS n FROM u WHERE taken OR r3 <= n_neg - q1 - q2) SELECT label, m AS vec_id FROM p WHERE n <= n_neg""")
+def negatives_hard(spark, d):
+    """Hard epochs: by inner product, by cosine, and the rest at random among those not taken."""
+    phases = [(0.6, [("ip", True), ("m", False)]), (0.3, [("cos", True), ("m", False)]), (None, [("draw", False), ("m", False)])]
+    return routing.pick_negatives(_pool(spark, d), phases, "label", "m").withColumnRenamed("m", "vec_id")
+
+
+@query("WITH c AS (SELECT label, count(*) AS positives FROM embeddings GROUP BY label) SELECT label, positives, (SELECT count(*) FROM embeddings) - positives AS available, least(positives * 15, (SELECT count(*) FROM embeddings) - positives) AS n_neg FROM c WHERE positives >= 2 AND least(positives * 15, (SELECT count(*) FROM embeddings) - positives) >= 2")
+def trainable_labels(spark, d):
+    x = _t(spark, d, "embeddings")
+    counts = x.groupBy("label").agg(F.count("*").alias("positives")).withColumn("available", F.lit(x.count()) - F.col("positives"))
+    return routing.trainable(counts, "positives", "available")
+
+
+@query(f"WITH {_SQL_TOP}, {_SQL_L4} SELECT m AS vec_id, cluster FROM tp UNION SELECT vec_id, cluster FROM embeddings JOIN l4 USING (label)")
+def mask_union(spark, d):
+    y = _t(spark, d, "embeddings").select(F.col("vec_id").alias("m"), F.col("label").alias("label_id"))
+    got = routing.mask_union(_top_clusters(spark, d, 2).select("m", "cluster"), labels.mention_clusters(y, _four(spark), "m"))
+    return got.withColumnRenamed("m", "vec_id")
+
+
+# evaluation: the gold codes of a vector are its own label and the next one
+
+
+def _gold(spark, d):
+    return _t(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.array(F.col("label").cast("string"), ((F.col("label") + 1) % 10).cast("string")).alias("codes"))
+
+
+@query("SELECT vec_id AS query_id, CAST(label AS VARCHAR) || '|' || CAST((label + 1) % 10 AS VARCHAR) AS codes FROM embeddings WHERE label < 6")
+def gold_filter(spark, d):
+    known = spark.range(6).select(F.col("id").cast("string").alias("label"))
+    return routing.known_gold(_gold(spark, d), known).select("query_id", F.array_join("codes", "|").alias("codes"))
+
+
+def _hits(spark, d):
+    top = V.top_k(_scores(spark, d), "m", "score", 3, "label", 6).select(F.col("m").alias("query_id"), F.col("label").cast("string").alias("label"))
+    return routing.hit_counts(top, _gold(spark, d))
+
+
+_SQL_HITS = f"{_SQL_SCORES}, t3 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY m ORDER BY round(score, 6) DESC, label) AS k FROM sc) WHERE k <= 3), hits AS (SELECT m AS query_id, CAST(count(*) FILTER (WHERE label = l OR label = (l + 1) % 10) AS INTEGER) AS hits FROM t3 GROUP BY m)"
+
+
+@query(f"WITH {_SQL_HITS} SELECT query_id, hits FROM hits")
+def hit_counts(spark, d):
+    return _hits(spark, d)
+
+
+@query(f"WITH {_SQL_HITS} SELECT hits, count(*) AS queries FROM hits GROUP BY hits")
+def hit_histogram(spark, d):
+    return routing.hit_histogram(_hits(spark, d))
+
+
+@query(f"WITH {_SQL_HITS} SELECT count(*) AS queries, round(avg(hits), 6) AS mean_hits FROM hits")
+def hit_mean(spark, d):
+    return _hits(spark, d).agg(F.count("*").alias("queries"), _r(F.avg("hits")).alias("mean_hits"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """TF-IDF, label embeddings and cosine top five of part names."""
+    return cosine_topk_tfidf(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
