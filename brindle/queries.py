@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from brindle.functions import fusion, text
 from brindle.functions import vectors as V
-from brindle.operators import clusters, labels, routing
+from brindle.operators import clusters, encoders, labels, routing
+from brindle.plans import model
 from brindle.sources import files
 
 WIDTH = 64
@@ -479,6 +480,69 @@ def hit_mean(spark, d):
     return _hits(spark, d).agg(F.count("*").alias("queries"), _r(F.avg("hits")).alias("mean_hits"))
 
 
+# fitted models: checked by tests, as SQL can't express them
+
+
+@query()
+def svd_reduce(spark, d):
+    """Singular values of the embeddings."""
+    rows = _x(spark, d).select(F.sequence(F.lit(0), F.lit(WIDTH - 1)).alias("features"), F.col("e").alias("values"))
+    _, values = encoders.singular_vectors(rows, WIDTH, 16)
+    return spark.createDataFrame([(k, float(round(v, 6))) for k, v in enumerate(values)], "component int, value double")
+
+
+@query()
+def kmeans_ml(spark, d):
+    """Cosine k-means of the library that comes with Spark."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    rows = _x(spark, d).select("m", array_to_vector("e").alias("features"))
+    fitted = KMeans(k=8, seed=1, distanceMeasure="cosine").fit(rows)
+    return fitted.transform(rows).select(F.col("m").alias("vec_id"), F.col("prediction").alias("cluster"))
+
+
+@query()
+def balanced_kmeans(spark, d):
+    nodes = _x(spark, d).select((F.col("l") % 2).cast("long").alias("node"), F.col("m").alias("label_id"), F.col("e").alias("z"))
+    return clusters.cluster_nodes(nodes, {"type": "balancedkmeans", "kwargs": {"n_clusters": 4}}, 10)
+
+
+def _matcher(spark, d):
+    x = _x(spark, d).select(F.lit(0).cast("long").alias("node"), F.col("m").alias("mention_id"), F.col("e").alias("vec"))
+    y = _x(spark, d).select("m", F.col("l").alias("label_id")).join(_four(spark), "label_id")
+    targets = y.groupBy(F.lit(0).cast("long").alias("node"), F.col("m").alias("mention_id")).agg(F.collect_set("cluster").alias("clusters"))
+    return x, model.fit_matchers(x, targets, {"type": "sklearnlogisticregression"})
+
+
+@query()
+def matcher_fit_predict(spark, d):
+    x, fitted = _matcher(spark, d)
+    scored = x.join(fitted, "node").withColumn("score", _r(model.model_score("model", "vec")))
+    return scored.select(F.col("mention_id").alias("vec_id"), "cluster", "score")
+
+
+@query()
+def ranker_fit_predict(spark, d):
+    x = _x(spark, d).select(F.lit(0).cast("long").alias("node"), F.col("m").alias("mention_id"), F.col("e").alias("vec"))
+    y = _x(spark, d).select(F.col("m").alias("mention_id"), F.col("l").cast("long").alias("label_id"))
+    z = _z(_x(spark, d)).select(F.lit(0).cast("long").alias("node"), F.col("l").cast("long").alias("label_id"), "z")
+    of = _four(spark).select(F.lit(0).cast("long").alias("node"), F.col("label_id").cast("long").alias("label_id"), "cluster")
+    pool = model.ranker_pool(x, y, z, of, None, {"E_warm": 2, "neg_mult": 3}, 4)
+    fitted = model.fit_rankers(pool, x, z, {"type": "sklearnsgdclassifier", "kwargs": {"loss": "log_loss", "random_state": 1}}, 4)
+    scored = pool.select("node", "label_id", "mention_id", "target").distinct().join(x, ["node", "mention_id"]).join(z, ["node", "label_id"]).join(fitted, ["node", "label_id"])
+    return scored.select(F.col("mention_id").alias("vec_id"), "label_id", "target", _r(model.model_score("model", F.concat("vec", "z"))).alias("score"))
+
+
+@query()
+def xmodel_train_predict(spark, d):
+    """A tree of two layers over part names, and the five best brands of each name."""
+    part = _t(spark, d, "part").select(F.col("p_partkey").cast("long").alias("mention_id"), F.col("p_name").alias("text"), F.col("p_brand").alias("label"))
+    fitted = model.XModel(dimension_config={"kwargs": {"n_components": 24}}, clustering_config={"type": "balancedkmeans", "kwargs": {"n_clusters": 2}}, ranker_config={"type": "sklearnsgdclassifier", "kwargs": {"loss": "log_loss"}, "cur_config": {"neg_mult": 2}}, min_leaf_size=4, depth=2).train(part)
+    asked = part.groupBy("text").agg(F.min("mention_id").alias("query_id"))
+    return fitted.predict(asked).withColumn("score", _r("score"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TF-IDF, label embeddings and cosine top five of part names."""
     return cosine_topk_tfidf(spark, sf_dir)
