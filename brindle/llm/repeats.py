@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brindle.llm.common import checkpointed, fresh
+from brindle.llm.common import fresh
 from brindle.llm.words import Words, _powers, batches, mix
 
 _U = np.uint64
@@ -22,6 +22,7 @@ DIVIDE = 4
 #: Fewest words of a run of repeated units that is removed.
 LEAST_WORDS = 20
 
+
 @functools.cache
 def _uneven() -> re.Pattern[str]:
     """Characters whose lower case has another length in UTF-8, so that positions would move."""
@@ -57,6 +58,9 @@ class Units:
         leads = np.ones(n, bool)
         leads[1:] = line[1:] != line[:-1]
         cut = leads.copy()
+        stops = np.flatnonzero((raw[:-1] == 46) & ((raw[1:] == 32) | (raw[1:] == 10)))
+        sentence = np.searchsorted(stops, words.starts + at[owner]) if n else line
+        cut[1:] |= sentence[1:] != sentence[:-1]
         if n > 1:
             pair = mix(h[:-1] * _U(0x9E3779B97F4A7C15) + h[1:])
             cut[1:] |= pair % _U(DIVIDE) == 0
@@ -138,8 +142,8 @@ def _units(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text", spans_col: str = "removed") -> DataFrame:
     """Remove passages of documents that come in an earlier one too, or earlier in the same.
 
-    Lines are the units, divided further where a hash of two neighbouring words says so (one pair in DIVIDE), so that
-    a passage set into the middle of a line has the same units wherever it stands. Units are compared by 64 bits of
+    Lines are the units, divided further after full stops and where a hash of two neighbouring words says so (one pair in
+    DIVIDE), so that a passage set into the middle of a line has the same units wherever it stands. Units are compared by 64 bits of
     their words (case, punctuation and white space don't count). All occurrences of a unit but the earliest, by id and place, are
     repeated. Runs of repeated units with at least least_words words are removed; shorter ones stay, as they repeat by
     chance. So a passage of least_words words and some more goes, but for up to a unit at each edge.
