@@ -42,7 +42,7 @@ def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_documents(table(spark, sf_dir, "documents")).drop("key")
+    return mixing.mix_documents(table(spark, sf_dir, "documents")).drop("key").withColumn("target", F.round("target", 6))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,5 +94,30 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+_OP5 = r"""WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size, md5(concat_ws(':', '17', doc_id)) AS key FROM documents),
+ s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM d GROUP BY source),
+ -- sources by how soon they reach their limit; the level is that of the first one that stays below it
+ o AS (SELECT *, 3.0 * source_size / weight AS ratio, row_number() OVER (ORDER BY 3.0 * source_size / weight, source) AS k FROM s),
+ l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(3.0 * source_size) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM o),
+ t AS (SELECT source, source_size, least(weight * (SELECT level FROM l WHERE level <= ratio ORDER BY k LIMIT 1), 3.0 * source_size) AS target FROM l),
+ e AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(round(target) / source_size) AS BIGINT) ELSE 0 END AS epochs FROM t),
+ p AS (SELECT doc_id, size, source, key, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d),
+ q AS (SELECT doc_id, CAST(size AS BIGINT) AS size, p.source, source_size, target, epochs, CAST(greatest(0, least(size, round(target) - epochs * source_size - before)) AS BIGINT) AS part FROM p JOIN e ON p.source IS NOT DISTINCT FROM e.source)
+ SELECT doc_id, size, source, source_size, round(CAST(target AS DOUBLE), 6) AS target, epochs, part, epochs * size + part AS taken FROM q"""
+
+_OP10 = r"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+ p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS pos,
+  12 + length(replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '\n')) + 1 + length(replace(replace(text, '\', '\\'), '<|', '<\|')) + 11 AS n FROM c),
+ t AS (SELECT *, CAST(ceil(n / 4.0) AS BIGINT) AS tok FROM p),
+ b AS (SELECT *, sum(tok) OVER w - tok AS before, sum(CAST(tok > 512 AS INT)) OVER w - CAST(tok > 512 AS INT) AS bigs FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY pos)),
+ k AS (SELECT *, dense_rank() OVER (PARTITION BY conv_id ORDER BY bigs * 2 + CAST(tok > 512 AS INT), CASE WHEN tok > 512 THEN 0 ELSE before // 512 END) - 1 AS win FROM b),
+ h AS (SELECT *, max(win) OVER (PARTITION BY conv_id) AS last, row_number() OVER (PARTITION BY conv_id, win ORDER BY pos DESC) AS back, sum(tok) OVER (PARTITION BY conv_id, win ORDER BY pos DESC) AS back_tok FROM k)
+ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY pos) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(n) + sum(CASE WHEN pos = 0 AND role = 'system' THEN n * last WHEN win < last AND back <= 2 AND back_tok <= 256 THEN n ELSE 0 END) AS BIGINT) AS formatted_chars FROM h GROUP BY conv_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others are compared with brute force, round trips or held-out labels in tests."""
+    return {"op5_mixing": _OP5, "op10_chat": _OP10}

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brindle.llm import chat, fingerprints, html_text, mixing, packing, queries, sharding
+from tests import oracle
 from tests.conftest import SF
 
 ODD = [
@@ -300,3 +301,9 @@ def test_chat_query(spark):
     want = want_chat([*given, (-1, 0, "user", said), (-1, 1, "assistant", said)])
     got = {r["conv_id"]: (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) for r in queries.op10_chat(spark, SF).collect()}
     assert got == want
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_matches_sql(spark, name):
+    sf = SF.replace("0.001", "0.01")
+    assert oracle.spark_rows(queries.queries()[name](spark, sf)) == oracle.duck_rows(oracle.connect(sf), queries.oracle_sql()[name])
