@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,6 +54,13 @@ def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([digest(x) for x in own], pa.binary()), pa.array([x.encode("utf-8", "surrogatepass") for x in own], pa.binary())], ["id", "digest", "form"])
 
 
+def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as small as they can be moved; repeated ones have equal bytes."""
+    squeeze = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([squeeze(t.encode("utf-8", "surrogatepass")) for t in batch.column(1).to_pylist()], pa.binary())], ["id", "packed"])
+
+
 _COMPARED = "id long, n_chars long, digest binary, edited_sha256 binary, edited_digest binary, near_edited boolean, near_next boolean, form binary"
 
 
@@ -64,15 +72,17 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """
     kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.bool_(), pa.bool_(), pa.binary()]
     at, several, forms, last = None, set(), set(), None
+    unpack = zstandard.ZstdDecompressor().decompress
     for batch in batches:
         out: list[tuple] = []
         columns = (batch.column(k).to_pylist() for k in range(5))
-        for where, kind, id_, text, key in zip(*columns, strict=True):
+        for where, kind, id_, packed, key in zip(*columns, strict=True):
             if where != at:
                 at, several, forms, last = where, set(), set(), None
             if kind < 0:
                 several.add(key)
                 continue
+            text = unpack(packed).decode("utf-8", "surrogatepass")
             form = canonical(text)
             own = digest(form)
             if last is not None:
@@ -134,13 +144,13 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
 def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of documents, and how they answer to an edit and to the next document.
 
-    The next document is that of the next id, ascending, nulls first and rows of one id by text;
-    after the last comes the first. The edited text is the document's with its second half (rounded down)
+    The next document is that of the next id, ascending, nulls first; rows of one id have an order
+    that is always the same. After the last comes the first. The edited text is the document's with its second half (rounded down)
     replaced by the front of the next. An exact digest's likeness is 1 if both forms are equal,
     else 0. Returns id, n_chars (code points), edited_sha256, fingerprint, edited_fingerprint,
     near_edited and near_next.
 
-    Whole texts are moved once: to ranges of neighbouring ids, each with a copy of the next range's
+    Whole texts are moved once, compressed: to ranges of neighbouring ids, each with a copy of the next range's
     first row. Digests that come more than once are known by then, and only their forms are compared.
     Null texts are empty. A table of one row is followed by itself, an empty one gives no rows.
     """
@@ -159,7 +169,7 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         # binary search: how many bounds aren't above the id
         return df.withColumn("range", F.aggregate(steps, F.lit(0), lambda n, step: F.when((n + step <= len(edges)) & (F.get(bounds, n + step - 1) <= F.col("id")), n + step).otherwise(n)))
 
-    held = ranged(texts)
+    held = ranged(texts.mapInArrow(_squeezed, "id long, packed binary"))
     leads = F.col("id") == F.get(F.expr(f"array({', '.join(f'{e}L' for e in edges)})"), F.col("range") - 1) if edges else F.lit(False)
     starts = F.col("id").isNull() if nulls else F.col("id") == F.lit(low)
     places = F.array(
@@ -167,11 +177,11 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         F.when(leads, F.struct((F.col("range") - 1).alias("range"), F.lit(1).alias("kind"))),
         F.when(starts, F.struct(F.lit(len(edges)).alias("range"), F.lit(2).alias("kind"))),
     )
-    dealt = held.select("id", "text", F.inline(F.filter(places, lambda p: p.isNotNull()))).select("range", "kind", "id", "text", F.lit(None).cast("binary").alias("digest"))
+    dealt = held.select("id", "packed", F.inline(F.filter(places, lambda p: p.isNotNull()))).select("range", "kind", "id", "packed", F.lit(None).cast("binary").alias("digest"))
     several = rows.groupBy("digest").count().filter("count > 1").select("digest")
-    flags = ranged(rows.join(several, "digest")).select("range", F.lit(-1).alias("kind"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("string").alias("text"), "digest").distinct()
+    flags = ranged(rows.join(several, "digest")).select("range", F.lit(-1).alias("kind"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("binary").alias("packed"), "digest").distinct()
     spread = min(len(edges) + 1, 4 * partitions(docs))
-    sorted_ = dealt.union(flags).repartition(spread, "range").sortWithinPartitions("range", "kind", "id", "text")
+    sorted_ = dealt.union(flags).repartition(spread, "range").sortWithinPartitions("range", "kind", "id", "packed")
     compared = checkpointed(sorted_.mapInArrow(_compare, _COMPARED))
     named = _told_apart(compared.drop("form"), texts, _clashing(compared.select("digest", "form")), "fingerprint")
     return named.select(
