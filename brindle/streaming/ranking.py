@@ -1,0 +1,18 @@
+"""Ranking of queries as they arrive."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming import DataStreamWriter
+
+from brindle.plans.model import XModel
+
+
+def rank_stream(model: XModel, queries: DataFrame, write: Callable[[DataFrame, int], None], **kwargs) -> DataStreamWriter:
+    """A writer that ranks each micro-batch of a stream (query_id, text) and gives the result to write(rows, batch).
+
+    Queries don't depend on each other, so no state is kept; the caller sets trigger and checkpoint and starts it.
+    """
+    return queries.writeStream.foreachBatch(lambda batch, number: write(model.predict(batch, **kwargs), number))

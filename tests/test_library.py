@@ -184,3 +184,16 @@ def test_final_paths(tree):
     for r in model.final_paths(vec, topk=3).collect():
         assert r["final_path"]["scores"] == sorted(r["final_path"]["scores"], reverse=True) and r["paths"]
         assert all(s["layer"] == k for p in r["paths"] for k, s in enumerate(p["trail"]))
+
+
+def test_stream_is_ranked_like_a_table(spark, tree, tmp_path):
+    from brindle.streaming.ranking import rank_stream
+
+    model, mentions = tree
+    asked = mentions.filter("mention_id < 6").select(F.col("mention_id").alias("query_id"), "text")
+    asked.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(asked.schema).parquet(str(tmp_path / "in"))
+    writer = rank_stream(model, stream, lambda rows, _: rows.write.mode("append").parquet(str(tmp_path / "out")), topk=2)
+    writer.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    key = lambda df: sorted((r["query_id"], r["rank"], r["label_id"]) for r in df.collect())
+    assert key(spark.read.parquet(str(tmp_path / "out"))) == key(model.predict(asked, topk=2))
