@@ -28,11 +28,16 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(31))
 
 
-@functools.lru_cache(4)
+_TABLE: list[np.ndarray] = []
+
+
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    forth, back = np.full(size, _RADIX, _U), np.full(size, _INVERSE, _U)
-    forth[0] = back[0] = 1
-    return np.cumprod(forth), np.cumprod(back)
+    """Powers of the radix and of its inverse, at least so many. One table, as long as needed so far, is kept."""
+    if not _TABLE or len(_TABLE[0]) < size:
+        forth, back = np.full(size, _RADIX, _U), np.full(size, _INVERSE, _U)
+        forth[0] = back[0] = 1
+        _TABLE[:] = np.cumprod(forth, out=forth), np.cumprod(back, out=back)
+    return _TABLE[0], _TABLE[1]
 
 
 def batches(texts: list[str], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
@@ -63,7 +68,11 @@ class Words:
         size = 1 << max(16, int(raw.size + 1).bit_length())
         forth, back = _powers(size)
         sums = np.zeros(raw.size + 1, _U)
-        np.cumsum((raw.astype(_U) + _U(1)) * forth[: raw.size], out=sums[1:])
+        part = sums[1:]
+        part[:] = raw
+        part += _U(1)
+        part *= forth[: raw.size]
+        np.cumsum(part, out=part)
         self.hashes = mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(_U))
         self.first = np.searchsorted(starts, at)
         owner = np.repeat(np.arange(len(data)), np.diff(self.first))
