@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from brindle.llm.common import bucket_count, checkpointed, partitions
 
 #: Rows of one range, and most ranges (their bounds are literals in the plan).
-PER_RANGE, MOST_RANGES = 4000, 20_000
+PER_RANGE, MOST_RANGES = 500, 20_000
 
 
 def canonical(text: str | None) -> str:
