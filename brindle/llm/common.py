@@ -54,9 +54,10 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def same(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
-    """Null-safe equality of columns that both sides have."""
-    return reduce(lambda a, b: a & b, (left[c].eqNullSafe(right[c]) for c in names))
+def spread(df: DataFrame) -> DataFrame:
+    """A table as read, dealt to all cores if it comes in fewer splits than there are; larger ones stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def fresh(df: DataFrame, name: str) -> str:

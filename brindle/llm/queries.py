@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm import chat, fingerprints, html_text, mixing, near_dups, neighbours, packing, quality, repeats, sharding
-from brindle.llm.common import table
+from brindle.llm.common import spread, table
 
 WINDOW = 2048
 SHARDS = 8
@@ -30,14 +30,14 @@ def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.tokenize_documents(table(spark, sf_dir, "documents"), tokenizer_path(), WINDOW)
+    pieces = packing.tokenize_documents(spread(table(spark, sf_dir, "documents")), tokenizer_path(), WINDOW)
     pieces = pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
     packed = packing.pack_pieces(pieces, WINDOW)
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shortened = repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    shortened = repeats.remove_repeats(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return shortened.select("doc_id", "text", "removed", F.size("removed").alias("n_removed"))
 
 
@@ -46,17 +46,17 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     model = quality.train_quality(docs, table(spark, sf_dir, "labels"))
     return quality.score_documents(docs, model).select("doc_id", quality.is_held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
 def op7_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dups.similar_documents(table(spark, sf_dir, "documents")).drop("text_hash")
+    return near_dups.similar_documents(spread(table(spark, sf_dir, "documents"))).drop("text_hash")
 
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
+    return fingerprints.fingerprint_edits(spread(table(spark, sf_dir, "documents")))
 
 
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm import mixing, near_dups, packing, quality, repeats
-from brindle.llm.common import shared_folder, table
+from brindle.llm.common import shared_folder, spread, table
 from brindle.llm.queries import WINDOW, tokenizer_path
 
 #: Some stages can't be expressed in SQL; tests compare run() with brute force.
@@ -71,6 +71,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        stage(spark, spread(docs), sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
     return docs
