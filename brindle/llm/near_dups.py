@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import checkpointed, discard, written
+from brindle.llm.common import checkpointed, discard, give_back, written
 from brindle.llm.words import Words, batches, minhashes, mix, shingles
 
 #: MinHash values: each band of ROWS is a key under which documents meet. At similarity 0.8, a pair meets
@@ -195,6 +195,7 @@ def _sign(width: int, seed: int):
                         bands[k] = own_key
                 part = batch.slice(low, high - low)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(nodes, pa.int64()), pa.array(proofs, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["id", "text_hash", "node", "proof", "bands"])
+        give_back()
 
     return sign
 
@@ -216,6 +217,7 @@ def _texts_of_nodes(seed: int):
                         nodes.append(node - 2**64 if node >> 63 else node)
                         own.append(texts[low + k])
                 yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(own, pa.string())], ["node", "text"])
+        give_back()
 
     return texts_of
 
@@ -276,6 +278,7 @@ def _verify(width: int, threshold: float):
                 begin = end
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in out], ["node", "root", "documents", "texts"])
+        give_back()
 
     return verify
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.common import bucket_count, checkpointed, fresh, running_total
+from brindle.llm.common import bucket_count, checkpointed, fresh, give_back, running_total
 from brindle.llm.words import batches
 
 # Latin letters and numerals up to U+017F, as the vocabulary's own pattern splits them.
@@ -23,7 +23,7 @@ _PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^\s{_LE
 #: Anything that isn't plain Latin text is left to the tokenizer itself.
 _ODD = re.compile("[^\t\n\r\x20-\x7e¡-įı-ſ]|<\\|")
 #: Words kept by each Python worker; beyond it the memory starts anew.
-CACHED_WORDS = 800_000
+CACHED_WORDS = 250_000
 
 
 class WordTokenizer:
@@ -100,6 +100,7 @@ def tokenize_documents(docs: DataFrame, tokenizer_path: str, window: int = 2048,
                         ids.append(piece)
                 owner = batch.column(0).slice(low, high - low).take(pa.array(row, pa.int64()))
                 yield pa.RecordBatch.from_arrays([owner, pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(total, pa.int64()), pa.array(ids, pa.binary())], ["id", "start", "length", "doc_tokens", "ids"])
+        give_back()
 
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(cut, f"id {kind}, start long, length long, doc_tokens long, ids binary")
     return out.withColumnRenamed("id", id_col)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brindle.llm.common import fresh
+from brindle.llm.common import fresh, give_back
 from brindle.llm.words import Words, _powers, batches, mix
 
 _U = np.uint64
@@ -137,6 +137,7 @@ def _units(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             where = pa.array(units.text[order] + low)
             shown = pa.array(digest, pa.int64(), mask=~is_first)
             yield pa.RecordBatch.from_arrays([shown, ids.take(where), batch.column(1).take(where), unit], ["digest", "id", "tie", "unit"])
+    give_back()
 
 
 def remove_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text", spans_col: str = "removed") -> DataFrame:
@@ -197,5 +198,6 @@ def remove_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, id_col: str
             columns = [batch.column(k) for k in range(len(names))]
             columns[text_at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays([*columns, pa.array(removed, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], [*names, spans_col])
+        give_back()
 
     return joined.select(*names, other).mapInArrow(cut, schema)
