@@ -37,7 +37,7 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shortened = repeats.remove_repeats(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    shortened = repeats.remove_repeats(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), lines=True)
     return shortened.select("doc_id", "text", "removed", F.size("removed").alias("n_removed"))
 
 

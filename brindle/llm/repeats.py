@@ -21,6 +21,9 @@ _U = np.uint64
 DIVIDE = 4
 #: Fewest words of a run of repeated units that is removed.
 LEAST_WORDS = 20
+#: Added to the number of the unit that leads a line, where the line as a whole is meant.
+LINE = 1 << 30
+_LINE_SALT = _U(0xD6E8FEB86659FD93)
 
 
 @functools.cache
@@ -38,7 +41,8 @@ def _even(text: str) -> str:
 class Units:
     """Units of texts in a row. digest: 64 bits of a unit's words; text: the text it is in; words: how many;
     start, inner, outer: byte positions in the text: where it begins, ends within its line, and where the next begins;
-    leads: whether it begins its line."""
+    leads: whether it begins its line.
+    line_digest, line_words: 64 bits and number of a whole line's words, for each unit that leads one, in order."""
 
     def __init__(self, texts: list[str]):
         even = [_even(t) for t in texts]
@@ -74,6 +78,10 @@ class Units:
         self.text = owner[begin]
         self.words = end - begin
         self.leads = leads[begin]
+        head = begin[self.leads]
+        foot = np.append(head[1:], n) if len(head) else head
+        self.line_digest = mix((sums[foot] - sums[head]) * back[head] + (foot - head).astype(_U) + _LINE_SALT).astype(np.int64)
+        self.line_words = foot - head
         self.start = words.starts[begin]
         length = np.array([len(d) for d in data], np.int64)
         same = np.zeros(len(begin), bool)
@@ -90,57 +98,79 @@ class Units:
 
 
 def spans(units: Units, k: int, repeated: np.ndarray, least: int) -> list[tuple[int, int]]:
-    """Byte ranges of text k that go: runs of repeated units of at least so many words.
+    """Byte ranges of text k that go: runs of repeated units of at least so many words, and whole lines given by LINE.
 
     A run that begins a line goes with its last line's end; else the line end stays.
     """
     low, high = units.first[k], units.first[k + 1]
     flags = np.zeros(high - low, bool)
-    flags[repeated] = True
-    edges = np.flatnonzero(np.diff(np.concatenate(([False], flags, [False])).view(np.int8)))
+    flags[repeated[repeated < LINE]] = True
+    for begin, end in _runs(flags):
+        if units.words[low + begin : low + end].sum() < least:
+            flags[begin:end] = False
+    heads = np.append(np.flatnonzero(units.leads[low:high]), high - low)
+    for begin in repeated[repeated >= LINE] - LINE:
+        flags[begin : heads[np.searchsorted(heads, begin, "right")]] = True
     out = []
-    for begin, end in zip(edges[::2] + low, edges[1::2] + low, strict=True):
-        if units.words[begin:end].sum() >= least:
-            stop = units.outer[end - 1] if units.leads[begin] else units.inner[end - 1]
-            start = 0 if begin == low else units.start[begin]
-            out.append((int(start), int(stop)))
+    for begin, end in _runs(flags):
+        begin, end = begin + low, end + low
+        stop = units.outer[end - 1] if units.leads[begin] else units.inner[end - 1]
+        start = 0 if begin == low else units.start[begin]
+        out.append((int(start), int(stop)))
     return out
 
 
-def _units(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, tie, text) to (digest, id, tie, unit): each digest's first occurrence among some texts, and, with digest null, the others."""
-    for batch in incoming:
-        ids, ties = batch.column(0), batch.column(1).to_numpy()
-        texts = [t or "" for t in batch.column(2).to_pylist()]
-        # places of the rows by (id, nulls last, tie); equal ones share a place
-        places = np.zeros(len(texts), np.int64)
-        if len(texts):
-            missing = ids.is_null().to_numpy(zero_copy_only=False)
-            keys = (ties, ids.fill_null(0).to_numpy(zero_copy_only=False), missing)
-            order = np.lexsort(keys)
-            new = np.zeros(len(texts), bool)
-            for key in keys:
-                new[1:] |= key[order][1:] != key[order][:-1]
-            places[order] = np.cumsum(new)
-        for low, high in batches(texts):
-            units = Units(texts[low:high])
-            place = places[low:high][units.text]
-            order = np.lexsort((units.index, place, units.digest))
-            digest, rank = units.digest[order], np.stack((place[order], units.index[order]))
-            new = np.ones(len(order), bool)
-            new[1:] = digest[1:] != digest[:-1]
-            group = np.cumsum(new) - 1
-            heads = np.flatnonzero(new)
-            # rows of equal rank as the first are first themselves: they are the same place of repeated rows
-            is_first = (rank == rank[:, heads[group]]).all(0) if len(order) else new
-            unit = pa.array(units.index[order].astype(np.int32))
-            where = pa.array(units.text[order] + low)
-            shown = pa.array(digest, pa.int64(), mask=~is_first)
-            yield pa.RecordBatch.from_arrays([shown, ids.take(where), batch.column(1).take(where), unit], ["digest", "id", "tie", "unit"])
-    give_back()
-
-
-def remove_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text", spans_col: str = "removed") -> DataFrame:
+def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
+    """Begins and ends of runs of true flags."""
+    edges = np.flatnonzero(np.diff(np.concatenate(([False], flags, [False])).view(np.int8)))
+    return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
+
+
+def _units(lines_under: int):
+    def units_of(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(id, tie, text) to (digest, id, tie, unit): each digest's first occurrence among some texts, and, with digest null, the others.
+
+        Digests are those of units and of whole lines of less than lines_under words.
+        """
+        for batch in incoming:
+            ids, ties = batch.column(0), batch.column(1).to_numpy()
+            texts = [t or "" for t in batch.column(2).to_pylist()]
+            # places of the rows by (id, nulls last, tie); equal ones share a place
+            places = np.zeros(len(texts), np.int64)
+            if len(texts):
+                missing = ids.is_null().to_numpy(zero_copy_only=False)
+                keys = (ties, ids.fill_null(0).to_numpy(zero_copy_only=False), missing)
+                order = np.lexsort(keys)
+                new = np.zeros(len(texts), bool)
+                for key in keys:
+                    new[1:] |= key[order][1:] != key[order][:-1]
+                places[order] = np.cumsum(new)
+            for low, high in batches(texts):
+                units = Units(texts[low:high])
+                short = units.line_words < lines_under
+                lead = np.flatnonzero(units.leads)[short]
+                digests = np.concatenate((units.digest, units.line_digest[short]))
+                index = np.concatenate((units.index, units.index[lead] + LINE))
+                text = np.concatenate((units.text, units.text[lead]))
+                place = places[low:high][text]
+                order = np.lexsort((index, place, digests))
+                digest, rank = digests[order], np.stack((place[order], index[order]))
+                new = np.ones(len(order), bool)
+                new[1:] = digest[1:] != digest[:-1]
+                group = np.cumsum(new) - 1
+                heads = np.flatnonzero(new)
+                # rows of equal rank as the first are first themselves: they are the same place of repeated rows
+                is_first = (rank == rank[:, heads[group]]).all(0) if len(order) else new
+                unit = pa.array(index[order].astype(np.int32))
+                where = pa.array(text[order] + low)
+                shown = pa.array(digest, pa.int64(), mask=~is_first)
+                yield pa.RecordBatch.from_arrays([shown, ids.take(where), batch.column(1).take(where), unit], ["digest", "id", "tie", "unit"])
+        give_back()
+
+    return units_of
+
+
+def remove_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text", spans_col: str = "removed", lines: bool = False) -> DataFrame:
     """Remove passages of documents that come in an earlier one too, or earlier in the same.
 
     Lines are the units, divided further after full stops and where a hash of two neighbouring words says so (one pair in
@@ -149,6 +179,8 @@ def remove_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, id_col: str
     repeated. Runs of repeated units with at least least_words words are removed; shorter ones stay, as they repeat by
     chance. So a passage of least_words words and some more goes, but for up to a unit at each edge.
 
+    With lines, a line whose words are those of an earlier whole line also goes by itself, however short it is.
+
     Returns the rows with the text shortened and spans_col: an array of the ranges removed, structs of start and end in characters
     of the given text.
 
@@ -166,7 +198,7 @@ def remove_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, id_col: str
     twice = docs.groupBy(id_col).count().filter(F.col("count") > 1)
     tie: Column = F.lit(0).cast("long") if twice.isEmpty() else F.xxhash64(text_col)
     key, other = fresh(docs, "_tie"), fresh(docs, "_units")
-    units = docs.select(F.col(id_col).alias("id"), tie.alias("tie"), F.col(text_col).alias("text")).mapInArrow(_units, f"digest long, id {kind}, tie long, unit int")
+    units = docs.select(F.col(id_col).alias("id"), tie.alias("tie"), F.col(text_col).alias("text")).mapInArrow(_units(least_words if lines else 0), f"digest long, id {kind}, tie long, unit int")
     ranked = units.withColumn("place", F.when(F.col("digest").isNotNull(), F.rank().over(Window.partitionBy("digest", F.when(F.col("digest").isNull(), F.xxhash64("id", "unit"))).orderBy(F.col("id").asc_nulls_last(), "tie", "unit"))))
     repeated = ranked.filter("digest is null or place > 1")
     of = repeated.groupBy(F.col("id").alias("_id"), F.col("tie").alias("_key")).agg(F.collect_set("unit").alias(other))

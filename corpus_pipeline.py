@@ -41,7 +41,7 @@ def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that an earlier one has too."""
-    shortened = repeats.remove_repeats(docs, spans_col="_removed").drop("_removed")
+    shortened = repeats.remove_repeats(docs, spans_col="_removed", lines=True).drop("_removed")
     return shortened.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 

@@ -172,6 +172,21 @@ def test_repeats_of_planted_passages(spark):
     assert repeats.remove_repeats(table.limit(0)).collect() == []
 
 
+def test_short_repeated_lines_go(spark):
+    rng = random.Random(12)
+    own = lambda n: sentence(rng, n, 10**6)
+    line = "Licensed under the terms. See the file for them."
+    a, b, c, d = own(30), own(30), own(30), own(9)
+    rows = [(1, f"{a}\n{line}\n{b}"), (2, f"{c}\n- {line.upper()}\n{d}"), (3, f"{d} {line}\n{own(6)} {line} {own(6)}"), (4, f"x\n{line}\nx\ny"), (5, line)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in repeats.remove_repeats(table, lines=True).collect()}
+    # the earliest stays, and words inside a longer line of its own are no repeated line
+    assert got == {1: rows[0][1], 2: f"{c}\n- {d}", 3: rows[2][1], 4: "x\ny", 5: ""}
+    assert [r["text"] for r in repeats.remove_repeats(table).orderBy("doc_id").collect()] == [t for _, t in rows]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc_id"]: r["text"] for r in corpus_pipeline.cut_repeats(spark, docs, "").collect()} == got
+
+
 def brute_units(text):
     """(words, digest key) of units by the same rule, in plain Python."""
     units = repeats.Units([text])
