@@ -29,6 +29,8 @@ _BOUNDS = frozenset("ul ol dl table html body td th select".split())
 #: Block elements end an open paragraph.
 _ENDS_P = _BLOCK - frozenset("body html caption dd dt li summary tbody td tfoot th thead tr figcaption".split()) | {"p"}
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Around all of a page.
+_TOP = frozenset(("body", "html", "#root"))
 
 #: Names that sites give to what isn't the article: whole words of class and id values, and roles.
 _NOT_ARTICLE = re.compile(
@@ -166,11 +168,14 @@ def measure(root: Node) -> list[Node]:
     return nodes
 
 
-def main_node(root: Node) -> tuple[Node, float]:
-    """The subtree with the greatest density sum, and the least density on the path from it to the body.
+def main_nodes(root: Node) -> tuple[list[Node], float]:
+    """The subtrees that hold the article, in page order, and the least density on the path from the densest one to the body.
 
+    The subtree with the greatest density sum is the densest. An article or main element that holds it, or most of
+    its text, is taken instead. Otherwise its outermost ancestor below the body is, as all ancestors reach the least density of the
+    path, and with it the body's other children that reach it and those that are headings or paragraphs, unless mostly links.
     Paragraphs' own densities are leaves' sums, so a text block counts with its element's density where it has
-    no element inside. An article or main element that holds the winner, or most of the winner's text, is taken instead.
+    no element inside.
     """
     nodes = measure(root)
     best = max(nodes, key=lambda n: n.sum)  # the first of equals, which is the outer one
@@ -182,16 +187,25 @@ def main_node(root: Node) -> tuple[Node, float]:
         walk = walk.parent
     if threshold is math.inf:
         threshold = 0.0
-    # the outermost node not worse than the threshold on the way up holds the whole text; body and above don't narrow anything
     up = best
     while up.parent is not None and up.name not in ("article", "main"):
         up = up.parent
     if up.parent is not None:
-        return up, threshold
+        return [up], threshold
     inside = [n for n in nodes if n.name in ("article", "main") and n.chars * 2 > best.chars]
     if inside:
-        return max(inside, key=lambda n: n.chars), threshold
-    return best, threshold
+        return [max(inside, key=lambda n: n.chars)], threshold
+    if best.name in _TOP:
+        return [best], threshold
+    up = best
+    while up.parent.name not in _TOP:
+        up = up.parent
+
+    def joins(node: Node) -> bool:
+        reaches = node.density >= threshold * (1 - 1e-9) or node.name in _HEADINGS or node.name == "p"
+        return node is up or reaches and node.link_chars * 2 <= node.chars
+
+    return [c for c in up.parent.children if not isinstance(c, str) and not c.skip and c.chars and joins(c)], threshold
 
 
 def blocks_of(node: Node, threshold: float) -> list[str]:
@@ -240,8 +254,8 @@ def main_text(source: str | None) -> str:
     if not source:
         return ""
     root = parse(source)
-    node, threshold = main_node(root)
-    return "\n".join(blocks_of(node, threshold))
+    found, threshold = main_nodes(root)
+    return "\n".join(block for node in found for block in blocks_of(node, threshold))
 
 
 def extract_pages(pages: DataFrame, html_col: str = "html", name: str = "text") -> DataFrame:

@@ -247,6 +247,16 @@ def test_page_text(source, want):
     assert html_text.main_text(source) == want
 
 
+def test_article_in_sibling_containers():
+    paragraph = lambda k: f"{k} " + "some words of text " * 13
+    section = lambda k, n: "<section>" + "".join(f"<p>{paragraph(k * 100 + i)}" for i in range(n)) + "</section>"
+    menu = "<ul>" + "".join(f"<li><a href=/{k}>A page that is elsewhere {k}</a>" for k in range(8)) + "</ul>"
+    want = "\n".join(["Title", *(paragraph(k * 100 + i).strip() for k, n in ((1, 10), (2, 10), (3, 4)) for i in range(n))])
+    parts = f"<h1>Title</h1>{section(1, 10)}{section(2, 10)}{section(3, 4)}"
+    assert html_text.main_text(f"<body>{menu}<div>{parts}{menu}</div>{menu}</body>") == want
+    assert html_text.main_text(f"<body>{menu}{parts}{menu}</body>") == want
+
+
 def test_pages(spark):
     rows = queries.op9_html(spark, SF).collect()
     assert len(rows) == spark.read.parquet(f"{SF}/pages.parquet").count()
