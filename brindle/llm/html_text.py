@@ -38,6 +38,10 @@ _NOT_ARTICLE = re.compile(
     r"|header|masthead|footer|copyright|comments?|commentlist|disqus|respond|replies|reply|discussion|related|recommend\w*|share|sharing|social|popup|modal|overlay|toolbar|skip|login|search)(?:$|[\s_-])",
     re.I,
 )
+#: Names of the state of a page's layout; they don't say what the element itself is.
+_MODIFIER = re.compile(r"(?:^|\s)(?:has|with|without|no|is|show|hide)[_-]\S*", re.I)
+#: Words of _NOT_ARTICLE that also head parts of articles.
+_EITHER = re.compile(r"(?:^|[\s_-])(?:notice|alert|side|rail|header|discussion|related|search|share|sharing|social|respond|replies|reply|overlay|skip|copyright|recommend\w*)(?=$|[\s_-])", re.I)
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(.*?)(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
@@ -45,33 +49,84 @@ _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|(
 _SPACE = re.compile(r"\s+")
 
 
+#: How sure it is that an element isn't of the article.
+PERHAPS, NAMED, SURE = 1, 2, 3
+
+
 class Node:
-    __slots__ = ("name", "parent", "children", "chars", "tags", "link_chars", "link_tags", "density", "sum", "skip")
+    __slots__ = ("name", "parent", "children", "chars", "tags", "link_chars", "link_tags", "density", "sum", "skip", "doubt")
 
-    def __init__(self, name: str, parent: Node | None, skip: bool):
-        self.name, self.parent, self.skip = name, parent, skip
+    def __init__(self, name: str, parent: Node | None, skip: int):
+        # a doubt is settled by what the element holds, when the page has been read
+        self.name, self.parent, self.skip, self.doubt = name, parent, skip > 0, skip if skip < SURE else 0
         self.children: list[Node | str] = []
 
 
-def _skipped(name: str, attributes: str) -> bool:
-    if name in _HIDDEN:
-        return True
+def _skipped(name: str, attributes: str) -> int:
+    """Whether an element is left out: SURE, NAMED if its class or id says so, PERHAPS if these may name a part of an article too, or 0."""
+    if name in _HIDDEN and name != "form":
+        return SURE
+    found = NAMED if name == "form" else 0
     if not attributes or attributes.isspace() or name in ("html", "body", "article", "main"):
-        return False
+        return found
     for key, *values in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), "".join(values)
-        if key in ("class", "id") and _NOT_ARTICLE.search(value):
-            return True
-        if key == "role" and value.strip().lower() in _ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-            return True
+        if key in ("class", "id"):
+            value = _MODIFIER.sub(" ", value)
+            if _NOT_ARTICLE.search(value):
+                found = max(found, NAMED if _NOT_ARTICLE.search(_EITHER.sub(" ", value)) else PERHAPS)
+        if key == "role" and value.strip().lower() in _ROLES:
+            found = NAMED if value.strip().lower() == "form" else SURE
+            if found == SURE:
+                return SURE
+        if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
+            return SURE
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+            return SURE
+    return found
+
+
+def settle(root: Node) -> None:
+    """Keep elements left out by their names alone that can't be beside the article.
+
+    These hold all article and main elements of the page or, where it has none, an h1 element or most of the text outside
+    links; and, inside an article or main element, those of a name in doubt that hold a paragraph and more than links.
+    """
+    nodes, stack = [], [(root, False)]
+    while stack:
+        node, within = stack.pop()
+        nodes.append((node, within))
+        stack.extend((c, within or node.name in ("article", "main")) for c in node.children if not isinstance(c, str) and (not c.skip or c.doubt))
+    if not any(node.doubt for node, _ in nodes):
+        return
+    own: dict[Node, tuple[int, int, int, bool, bool]] = {}
+    for node, _ in reversed(nodes):
+        text, links, articles, heads, paragraphs = 0, 0, 0, node.name == "h1", node.name == "p"
+        for child in node.children:
+            if isinstance(child, str):
+                text += len(child) - sum(map(child.count, " \n\t\r"))
+            elif child in own:
+                t, n, a, h, p = own[child]
+                text, links, articles, heads, paragraphs = text + t, links + n, articles + a, heads or h, paragraphs or p
+        if node.name == "a":
+            text, links = 0, text + links
+        own[node] = text, links, articles + (node.name in ("article", "main") and text > 0), heads, paragraphs
+    whole, _, all_articles, *_ = own[root]
+    for node, within in nodes:
+        text, links, articles, heads, paragraphs = own[node]
+        if not node.doubt:
+            continue
+        if within:
+            node.skip = not (node.doubt == PERHAPS and paragraphs and text > links)
+        elif all_articles:
+            node.skip = articles < all_articles
+        else:
+            node.skip = not (heads or text * 2 > whole)
 
 
 def parse(source: str) -> Node:
     """A lenient tree of a page: end tags may be missing, and unknown or wrong ones are passed over."""
-    root = Node("#root", None, False)
+    root = Node("#root", None, 0)
     node, at, end, lower = root, 0, len(source), None
     while at < end:
         found = _TAG.search(source, at)
@@ -97,7 +152,7 @@ def parse(source: str) -> Node:
             if target.parent is not None:
                 node = target.parent
             elif name == "br":
-                node.children.append(Node("br", node, False))
+                node.children.append(Node("br", node, 0))
             continue
         if name in _ENDS_P or name in _ENDS:
             ends = _ENDS.get(name, ())
@@ -254,6 +309,7 @@ def main_text(source: str | None) -> str:
     if not source:
         return ""
     root = parse(source)
+    settle(root)
     found, threshold = main_nodes(root)
     return "\n".join(block for node in found for block in blocks_of(node, threshold))
 

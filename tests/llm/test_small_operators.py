@@ -257,6 +257,21 @@ def test_article_in_sibling_containers():
     assert html_text.main_text(f"<body>{menu}{parts}{menu}</body>") == want
 
 
+@pytest.mark.parametrize("around", ["<div class='content has-sidebar'>%s</div>", "<div class='layout with-header'>%s</div>", "<form id=aspnetForm>%s</form>", "<div id=page class='site search'>%s</div>"])
+def test_names_that_hold_the_page(around):
+    page = "<h2>Part</h2><p>Words of the page, many enough to be all of it.<p>And more of them.<div class=sidebar>not this</div>"
+    want = "Part\nWords of the page, many enough to be all of it.\nAnd more of them."
+    assert html_text.main_text(f"<body>{around % page}</body>") == want
+    assert html_text.main_text(f"<body>{around % f'<article>{page}</article>'}<p>no</p></body>") == want
+
+
+def test_parts_of_an_article_by_name():
+    parts = "<p>Opening words, which are many.</p><section id=discussion><h2>Discussion</h2><p>It holds.</section><section id=related-work><p>Others did too.</section>"
+    beside = "<div class=related><ul><li><a href=1>Another page</a></ul></div><section class=comments><p>First!</p></section><form><p>mail</form>"
+    assert html_text.main_text("<div class=ad>Much more text than the article has.</div><article><p>Short.</article>") == "Short."
+    assert html_text.main_text(f"<article>{parts}{beside}</article>") == "Opening words, which are many.\nDiscussion\nIt holds.\nOthers did too."
+
+
 def test_pages(spark):
     rows = queries.op9_html(spark, SF).collect()
     assert len(rows) == spark.read.parquet(f"{SF}/pages.parquet").count()
