@@ -141,6 +141,20 @@ def least_capacity(sizes: list[int], bins: int) -> int:
     return high
 
 
+def spread_evenly(sizes: list[int], bins: int) -> list[int]:
+    """For sizes that decrease: the bin of each, of so many bins of near equal sums.
+
+    Sizes above the fair share of what is left are alone in a bin each; the others share the bins that remain.
+    """
+    alone, rest = 0, sum(sizes)
+    while alone < min(bins - 1, len(sizes)) and sizes[alone] * (bins - alone) > rest:
+        rest -= sizes[alone]
+        alone += 1
+    others = sizes[alone:]
+    placed, _ = best_fit_decreasing(others, least_capacity(others, bins - alone))
+    return [*range(alone), *(alone + b for b in placed)]
+
+
 def _cartons(capacity: int):
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cell, fit = None, None
@@ -158,8 +172,8 @@ def _cartons(capacity: int):
 def assign_shards(groups: DataFrame, n_shards: int | None = None, capacity: int | None = None) -> tuple[DataFrame, int]:
     """Put indivisible groups (group binary, weight long) into shards; (group, shard) and the number of shards.
 
-    With n_shards, the capacity is the least with which that many shards do. With capacity, the
-    number of shards follows; a group beyond the capacity gets a shard alone.
+    With n_shards, cartons above the fair share of what is left get a shard each, and the capacity of the other
+    shards is the least with which they do. With capacity, the number of shards follows; a group beyond the capacity gets a shard alone.
 
     Best fit runs in two levels, since one task can't see all groups: groups are hashed to at
     most MOST_CELLS cells, and each cell's groups, streamed by decreasing weight, go to cartons
@@ -181,10 +195,9 @@ def assign_shards(groups: DataFrame, n_shards: int | None = None, capacity: int
     rows = packed.groupBy("cell", "carton").agg(F.sum("weight").alias("weight")).collect()
     rows.sort(key=lambda r: (-r["weight"], r["cell"], r["carton"]))
     sizes = [r["weight"] for r in rows]
-    used = capacity or least_capacity(sizes, n_shards)
-    bins, n_bins = best_fit_decreasing(sizes, used)
+    bins, n_bins = best_fit_decreasing(sizes, capacity) if capacity else (spread_evenly(sizes, n_shards), n_shards)
     to = groups.sparkSession.createDataFrame([(r["cell"], r["carton"], b) for r, b in zip(rows, bins, strict=True)], "cell int, carton long, shard int")
-    return packed.join(F.broadcast(to), ["cell", "carton"]).select("group", "shard"), n_shards or n_bins
+    return packed.join(F.broadcast(to), ["cell", "carton"]).select("group", "shard"), n_bins
 
 
 def shard_documents(docs: DataFrame, n_shards: int | None = None, capacity: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -195,8 +208,8 @@ def shard_documents(docs: DataFrame, n_shards: int | None = None, capacity: int
 
     A null text has size 1 and forms a group apart from the empty text. Repeated rows are rows
     of their own with slots of their own. Null ids are kept. An empty table gives no rows. Other
-    columns are left out. A group larger than a shard's fair share makes its shard larger: groups
-    are never cut.
+    columns are left out. A group larger than a shard's fair share makes its shard larger, as groups
+    are never cut; the others are spread evenly over the other shards.
     """
     text = F.col(text_col)
     items = checkpointed(

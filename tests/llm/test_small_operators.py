@@ -85,6 +85,19 @@ def test_shards_of_odd_rows(spark, odd):
     assert all(n <= 100 for s, n in per.items() if s != alone) and per[alone] == 45001
 
 
+def test_shards_beside_a_hot_group(spark):
+    rng = np.random.default_rng(13)
+    texts = ["hot " * 25] * 500 + ["warm " * 20] * 250 + ["".join(map(chr, rng.integers(97, 123, 100))) for _ in range(750)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sizes = sorted(check_shards(sharding.shard_documents(table, n_shards=8).collect(), 8).values())
+    assert len(sizes) == 8 and sizes[6:] == [250 * 101, 500 * 101] and sizes[5] < 1.02 * sizes[0]
+
+
+def test_even_spread():
+    assert sharding.spread_evenly([], 3) == [] and sharding.spread_evenly([5, 4], 1) == [0, 0]
+    assert sharding.spread_evenly([90, 40, 3, 3, 2, 2], 4) == [0, 1, 2, 3, 2, 3]
+
+
 def test_plan_uses_up_the_histogram():
     rng = np.random.default_rng(2)
     for bins, depth in ((16, 3), (128, 4), (7, 2)):
