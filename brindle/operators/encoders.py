@@ -61,12 +61,15 @@ class TextEncoder:
         self.basis: np.ndarray | None = None
 
     def fit(self, rows: DataFrame, key: str, column: str) -> TextEncoder:
-        """Learn the vocabulary and the SVD. Both are bounded by max_features, 20,000 if not given."""
+        """Learn the vocabulary and the SVD. Both are bounded by max_features only if it is given.
+
+        The SVD of a wide vocabulary is iterative and distributed, but its basis (terms by components) is held by the driver and each task.
+        """
         if self.flag in (1, 2):
             kwargs = self.vectorizer.get("kwargs") or {k: v for k, v in self.vectorizer.items() if k != "type"}
             low, high = kwargs.get("ngram_range", (1, 2))
             tf = T.terms(rows, key, column, low, high)
-            found = T.document_frequencies(tf, rows.count(), kwargs.get("max_df", 0.98), kwargs.get("max_features", 20_000)).select("term", "idf").collect()
+            found = T.document_frequencies(tf, rows.count(), kwargs.get("max_df", 0.98), kwargs.get("max_features")).select("term", "idf").collect()
             self.terms = sorted((r["term"], r["idf"]) for r in found)
             k = (self.dimension.get("kwargs") or {}).get("n_components", 1000)
             self.basis, _ = singular_vectors(self._sparse(rows, key, column), len(self.terms), k)

@@ -135,6 +135,14 @@ def test_registered_encoders(spark):
         encoders.TextEncoder(transformer={"type": "biobert"}, flag=3).transform(rows, "query_id", "text")
 
 
+def test_vocabulary_has_no_limit_of_its_own(spark):
+    rows = encoders.texts_of(spark, [" ".join(f"{c}{k}" for c in "abcdefgh") for k in range(1400)])
+    dimension = {"kwargs": {"n_components": 2}}
+    assert len(encoders.TextEncoder(dimension=dimension, flag=1).fit(rows, "query_id", "text").terms) == 1400 * 15
+    some = encoders.TextEncoder(vectorizer={"kwargs": {"max_features": 50}}, dimension=dimension, flag=1)
+    assert len(some.fit(rows, "query_id", "text").terms) == 50
+
+
 def test_negatives_are_cut_where_they_overlap(spark):
     pool = spark.createDataFrame([(0, m, 4, float(m), float(-m)) for m in range(10)], "label_id long, mention_id long, n_neg long, a double, b double")
     same = routing.pick_negatives(pool, [(0.5, [("a", True)]), (0.5, [("a", True)])])
