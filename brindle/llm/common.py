@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
 import uuid
 from functools import reduce
 
@@ -19,13 +18,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the session names for checkpoints, which all executors share.
 
-    A folder of our own is set only where the session names none, as in tests.
+    On one machine, where the session names none, it is a folder of the warehouse. On a cluster that is an error: what
+    one executor keeps to itself is lost with it.
     """
     context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if named is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="brindle-"))
-    return named or context.getCheckpointDir()
+        context.setCheckpointDir(named)
+    return named
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -89,14 +93,16 @@ def running_total(df: DataFrame, keys: list[str], bucket: str, order: list[str],
     The prefix sum is made in two levels, so that one key may hold most rows: totals of the
     (keys, bucket) cells are added up in a small table, and only rows of one cell are sorted
     in one place. df is read twice; give a checkpointed or cheap one. A rank is the running
-    total of 1.
+    total of 1. Other columns stay, whatever they are called; one called name is replaced.
     """
     cell = [*keys, bucket]
-    held = df.withColumn("_value", value)
-    totals = held.groupBy(*cell).agg(F.sum("_value").alias("_cell"))
+    own, start = fresh(df, "_value"), fresh(df, "_start")
+    at = {c: fresh(df, f"_at_{k}") for k, c in enumerate(cell)}
+    held = df.withColumn(own, value)
+    totals = held.groupBy(*cell).agg(F.sum(own).alias(own))
     before = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(*(F.col(c).alias(f"_s_{c}") for c in cell), F.coalesce(F.sum("_cell").over(before), F.lit(0)).alias("_start"))
-    joined = held.join(starts, reduce(lambda a, b: a & b, (held[c].eqNullSafe(starts[f"_s_{c}"]) for c in cell)))
+    starts = totals.select(*(F.col(c).alias(at[c]) for c in cell), F.coalesce(F.sum(own).over(before), F.lit(0)).alias(start))
+    joined = held.join(starts, reduce(lambda a, b: a & b, (held[c].eqNullSafe(starts[at[c]]) for c in cell)))
     inside = Window.partitionBy(*cell).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    out = joined.withColumn(name, F.col("_start") + F.coalesce(F.sum("_value").over(inside), F.lit(0)))
-    return out.drop("_value", "_start", *(f"_s_{c}" for c in cell))
+    out = joined.withColumn(name, F.col(start) + F.coalesce(F.sum(own).over(inside), F.lit(0)))
+    return out.drop(own, start, *at.values())

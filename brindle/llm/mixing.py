@@ -22,15 +22,20 @@ def budgets(sizes: DataFrame, total: float | None = None, weights: tuple[float,
     sizes, if not given) by weight; one that would be above most times its source's size stops
     there, and the excess is shared anew until none is above.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
     weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("rank") % len(weights) + 1).cast("int"))
-    # One row a source, as they are summed up before.
-    ranked = checkpointed(sizes.withColumn("rank", F.row_number().over(order) - 1).withColumn("weight", weight))
+    # One row a source, as they are summed up before; ranks are of two levels, as there may be many.
+    named = checkpointed(sizes.withColumn("_first", F.when(F.col("source").isNull(), F.lit(None)).otherwise(F.substring("source", 1, 2))))
+    firsts = named.groupBy("_first").agg(F.count("*").alias("_n"))
+    earlier = Window.orderBy(F.col("_first").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    firsts = firsts.select(F.col("_first").alias("_of"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_first").orderBy(F.col("source").asc_nulls_last())) - 1
+    placed = named.join(firsts, named["_first"].eqNullSafe(firsts["_of"])).withColumn("rank", F.col("_before") + within)
+    ranked = checkpointed(placed.withColumn("weight", weight).drop("_first", "_of", "_before"))
     if total is None:
         total = ranked.agg(F.sum("source_size")).first()[0] or 0
     limit, share, held = F.lit(most) * F.col("source_size"), 0.0, None
     while True:
-        # share only grows, so a source at its limit stays there; ends after as many rounds as sources at most
+        # share only grows, so a source at its limit stays there; a few rounds do, unless limits are staggered
         full = F.lit(share) * F.col("weight") >= limit
         taken, open_weight, n = ranked.agg(
             F.coalesce(F.sum(F.when(full, limit)), F.lit(0.0)), F.coalesce(F.sum(F.when(~full, F.col("weight"))), F.lit(0.0)), F.count(F.when(full, 1))
@@ -97,12 +102,12 @@ def take_documents(
     mixed = mix_documents(docs, weights, most, seed, id_col, text_col, source_col)
     place = F.struct(F.col("key"), F.col(id_col).alias("id"), F.col("size"))
     enough = (F.col("part") > 0) & (F.col("part") * 2 >= F.col("size"))
-    ends = mixed.groupBy(F.col(source_col).alias("_source")).agg(F.max("epochs").alias("_epochs"), F.max(F.when(enough, place)).alias("_end"))
+    source, epochs, end, own, times = (fresh(docs, n) for n in ("_source", "_epochs", "_end", "_place", "_times"))
+    ends = mixed.groupBy(F.col(source_col).alias(source)).agg(F.max("epochs").alias(epochs), F.max(F.when(enough, place)).alias(end))
     ends = checkpointed(ends)
     few = F.broadcast(ends) if ends.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else ends
-    own, times = fresh(docs, "_place"), fresh(docs, "_times")
     here = F.struct(_key(F.col(id_col), seed).alias("key"), F.col(id_col).alias("id"), _size(F.col(text_col)).alias("size"))
-    joined = docs.join(few, docs[source_col].eqNullSafe(few["_source"])).withColumn(own, here)
-    more = F.when(F.col("_end").isNotNull() & (F.col(own) <= F.col("_end")), 1).otherwise(0)
-    repeated = joined.withColumn(times, (F.col("_epochs") + more).cast("int")).filter(F.col(times) > 0)
+    joined = docs.join(few, docs[source_col].eqNullSafe(few[source])).withColumn(own, here)
+    more = F.when(F.col(end).isNotNull() & (F.col(own) <= F.col(end)), 1).otherwise(0)
+    repeated = joined.withColumn(times, (F.col(epochs) + more).cast("int")).filter(F.col(times) > 0)
     return repeated.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(times))).alias(times)).drop(times)

@@ -196,15 +196,19 @@ def is_held_out(id_: Column) -> Column:
 def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = MOST_LABELLED) -> RuleModel:
     """Learn from at most `most` labelled rows that aren't held out. Rows without a label or an id are passed over.
 
-    The sample's ids and labels are bounded by `most`, so they are broadcast, and the statistics of its texts come to
-    the driver.
+    The sample's ids and labels are bounded by `most`, so they are broadcast. The statistics of its texts come to
+    the driver, of at most `most` rows too, those with the least hash, where documents repeat.
     """
-    known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("_label")).filter(F.col("_label").isNotNull() & F.col("_id").isNotNull() & ~is_held_out(F.col("_id")))
-    sample = known.orderBy(F.xxhash64("_id"), "_id", "_label").limit(most)
-    columns = statistics(F.col("_counts"))
-    joined = docs.join(F.broadcast(sample), docs[id_col] == sample["_id"]).select(F.explode(F.array(counts(F.col(text_col)))).alias("_counts"), "_label")
-    joined = joined.select(*(c.alias(n) for n, c in columns.items()), "_label")
-    rows = np.array(joined.collect(), float).reshape(-1, len(columns) + 1)
+    id_, label, found, draw = (fresh(docs, n) for n in ("_id", "_label", "_counts", "_draw"))
+    known = labels.select(F.col(id_col).alias(id_), F.col(label_col).cast("double").alias(label)).filter(F.col(label).isNotNull() & F.col(id_).isNotNull() & ~is_held_out(F.col(id_)))
+    sample = known.orderBy(F.xxhash64(id_), id_, label).limit(most)
+    columns = statistics(F.col(found))
+    joined = docs.join(F.broadcast(sample), docs[id_col] == sample[id_])
+    # rows of a repeated document or label are as many as there are, so the joined ones are bounded too
+    drawn = joined.select(F.col(text_col), label, F.xxhash64(id_col, text_col, label).alias(draw))
+    drawn = drawn.select(F.explode(F.array(counts(F.col(text_col)))).alias(found), label, draw).select(*(c.alias(n) for n, c in columns.items()), label, draw)
+    picked = drawn.orderBy(draw, label, *columns).limit(most).drop(draw)
+    rows = np.array(picked.collect(), float).reshape(-1, len(columns) + 1)
     rows = rows[np.lexsort(rows.T)]  # the same sums whatever the order of rows
     return fit_rules(rows[:, :-1], rows[:, -1], list(columns))
 
