@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import json
 import unicodedata
 from collections.abc import Iterator
 
@@ -16,6 +18,8 @@ from brindle.llm.common import bucket_count, checkpointed, partitions
 
 #: Rows of one range, and most ranges (their bounds are literals in the plan).
 PER_RANGE, MOST_RANGES = 500, 20_000
+#: Sampled places for each range, from which bounds are taken.
+PER_BOUND = 20
 
 
 def canonical(text: str | None) -> str:
@@ -45,7 +49,8 @@ def edited(text: str, following: str) -> str:
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([digest(canonical(t)) for t in batch.column(1).to_pylist()], pa.binary())], ["id", "digest"])
+        own = [digest(canonical(t)) for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary()), *batch.columns[2:]], ["id", "digest", *batch.schema.names[2:]])
 
 
 def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,10 +63,11 @@ def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts as small as they can be moved; repeated ones have equal bytes."""
     squeeze = zstandard.ZstdCompressor(level=3).compress
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([squeeze(t.encode("utf-8", "surrogatepass")) for t in batch.column(1).to_pylist()], pa.binary())], ["id", "packed"])
+        packed = [squeeze(t.encode("utf-8", "surrogatepass")) for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary()), batch.column(2)], ["id", "packed", "hash"])
 
 
-_COMPARED = "id long, n_chars long, digest binary, edited_sha256 binary, edited_digest binary, near_edited boolean, near_next boolean, form binary"
+_COMPARED = "n_chars long, digest binary, edited_sha256 binary, edited_digest binary, near_edited boolean, near_next boolean, form binary"
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,7 +76,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     A document's row is made when its successor comes. Of digests that come more than once, each
     different form of a range is handed on once.
     """
-    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.bool_(), pa.bool_(), pa.binary()]
+    kinds = [None, pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.bool_(), pa.bool_(), pa.binary()]
     at, several, forms, last = None, set(), set(), None
     unpack = zstandard.ZstdDecompressor().decompress
     for batch in batches:
@@ -98,6 +104,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out.append((before, len(before_text), before_digest, sha, changed_digest, (changed_digest, changed_form) == (before_digest, before_form), (own, form) == (before_digest, before_form), shown))
             last = (id_, text, form, own) if kind == 0 else None
         if out:
+            kinds[0] = batch.column(2).type
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["id", "n_chars", "digest", "edited_sha256", "edited_digest", "near_edited", "near_next", "form"])
 
 
@@ -114,7 +121,7 @@ def _told_apart(rows: DataFrame, docs: DataFrame, clashes: DataFrame, name: str)
     plain = F.lower(F.hex("digest"))
     if clashes.isEmpty():
         return rows.withColumn(name, plain)
-    held = docs.mapInArrow(_forms, "id long, digest binary, form binary").join(clashes, "digest")
+    held = docs.mapInArrow(_forms, f"id {docs.dtypes[0][1]}, digest binary, form binary").join(clashes, "digest")
     ranked = held.select("digest", "form").distinct().withColumn("rank", F.row_number().over(Window.partitionBy("digest").orderBy("form")) - 1)
     of = held.join(ranked, ["digest", "form"]).groupBy(F.col("id").alias("_id"), F.col("digest").alias("_digest")).agg(F.min("rank").alias("_rank"))
     joined = rows.join(of, rows["id"].eqNullSafe(of["_id"]) & (rows["digest"] == of["_digest"]), "left")
@@ -132,58 +139,92 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Null and white-space-only texts have the empty form. Null ids and repeated rows stay rows of
     their own. An empty table gives no rows. Other columns are left out.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = checkpointed(texts.mapInArrow(_digests, "id long, digest binary"))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kind = texts.dtypes[0][1]
+    rows = checkpointed(texts.mapInArrow(_digests, f"id {kind}, digest binary"))
     several = rows.groupBy("digest").count().filter("count > 1").select("digest")
-    compared = texts.mapInArrow(_forms, "id long, digest binary, form binary").join(several, "digest", "left_semi")
+    compared = texts.mapInArrow(_forms, f"id {kind}, digest binary, form binary").join(several, "digest", "left_semi")
     named = checkpointed(_told_apart(rows, texts, _clashing(compared), "fingerprint"))
     sizes = named.groupBy("fingerprint").agg(F.count("*").alias("group_size"))
     return named.join(sizes, "fingerprint").select(F.col("id").alias(id_col), "fingerprint", "group_size")
 
 
+def _bounds(rows: DataFrame, count: int, ranges: int) -> list[tuple]:
+    """Places (id, hash) that divide rows into about so many even ranges.
+
+    Every different place is drawn by its hash with the same chance, so the sample is bounded by PER_BOUND for each range,
+    and is the same again; a place counts as often as it comes.
+    """
+    if ranges < 2:
+        return []
+    rate = max(1, count // (ranges * PER_BOUND))
+    drawn = rows.filter(F.pmod(F.xxhash64("id", "hash", F.lit(3)), F.lit(rate)) == 0).groupBy("id", "hash").agg(F.count("*").alias("n"))
+    places = sorted(map(tuple, drawn.collect()), key=lambda r: (r[0] is not None, r[0] if r[0] is not None else 0, r[1]))
+    sums, total = [], 0
+    for _, _, n in places:
+        total += n
+        sums.append(total)
+    at = sorted({bisect.bisect_left(sums, k * total / ranges) for k in range(1, ranges)}) if places else []
+    return [places[k][:2] for k in at if k < len(places)]
+
+
 def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of documents, and how they answer to an edit and to the next document.
 
-    The next document is that of the next id, ascending, nulls first; rows of one id have an order
-    that is always the same. After the last comes the first. The edited text is the document's with its second half (rounded down)
-    replaced by the front of the next. An exact digest's likeness is 1 if both forms are equal,
+    The next document is that of the next id, ascending, nulls first; rows of one id are ordered by a hash of
+    their text. Ids are integers or strings of any value. After the last comes the first. The edited text is the document's with its second half
+    (rounded down) replaced by the front of the next. An exact digest's likeness is 1 if both forms are equal,
     else 0. Returns id, n_chars (code points), edited_sha256, fingerprint, edited_fingerprint,
-    near_edited and near_next.
+    near_edited and near_next, a row for each row.
 
-    Whole texts are moved once, compressed: to ranges of neighbouring ids, each with a copy of the next range's
-    first row. Digests that come more than once are known by then, and only their forms are compared.
-    Null texts are empty. A table of one row is followed by itself, an empty one gives no rows.
+    Whole texts are moved once, compressed: to ranges of neighbouring places (id and hash of the text, so that many rows of one id are
+    divided too), each with a copy of the next range's first row. Bounds come from a sample of places; where each range really
+    begins is then read from the rows themselves. Digests that come more than once are known by then, and only their
+    forms are compared. Null texts are empty. A table of one row is followed by itself, an empty one gives no rows.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = checkpointed(texts.mapInArrow(_digests, "id long, digest binary"))
-    count, low, nulls = rows.agg(F.count("*"), F.min("id"), F.count(F.when(F.col("id").isNull(), 1))).first()
-    ranges = min(MOST_RANGES, bucket_count(count, PER_RANGE))
-    found = rows.approxQuantile("id", [k / ranges for k in range(1, ranges)], 0.1 / ranges) if ranges > 1 and low is not None else []
-    edges = sorted({e for e in map(int, found) if nulls or e > low})  # each is an id, so it starts its range
+    whole = F.coalesce(F.col(text_col), F.lit(""))
+    texts = docs.select(F.col(id_col).alias("id"), whole.alias("text"), F.xxhash64(whole).alias("hash"))
+    kind = texts.dtypes[0][1]
+    rows = checkpointed(texts.mapInArrow(_digests, f"id {kind}, digest binary, hash long"))
+    count = rows.count()
+    edges = _bounds(rows, count, min(MOST_RANGES, bucket_count(count, PER_RANGE)))
+    listed = json.dumps([{"i": i, "h": h} for i, h in edges])
+    bounds = F.from_json(F.lit(listed), f"array<struct<i:{kind},h:bigint>>")
 
     def ranged(df: DataFrame) -> DataFrame:
+        """Add range: how many bounds aren't above the row's place, by binary search."""
         if not edges:
             return df.withColumn("range", F.lit(0))
-        bounds = F.expr(f"array({', '.join(f'{e}L' for e in edges)})")
+        id_, hash_ = F.col("id"), F.col("hash")
+
+        def reached(bound):
+            same = F.when(bound["i"].isNull(), id_.isNotNull() | (bound["h"] <= hash_))
+            return same.otherwise(F.coalesce((bound["i"] < id_) | (bound["i"] == id_) & (bound["h"] <= hash_), F.lit(False)))
+
         steps = F.array(*(F.lit(2**k) for k in reversed(range(len(edges).bit_length()))))
-        # binary search: how many bounds aren't above the id
-        return df.withColumn("range", F.aggregate(steps, F.lit(0), lambda n, step: F.when((n + step <= len(edges)) & (F.get(bounds, n + step - 1) <= F.col("id")), n + step).otherwise(n)))
-
-    held = ranged(texts.mapInArrow(_squeezed, "id long, packed binary"))
-    leads = F.col("id") == F.get(F.expr(f"array({', '.join(f'{e}L' for e in edges)})"), F.col("range") - 1) if edges else F.lit(False)
-    starts = F.col("id").isNull() if nulls else F.col("id") == F.lit(low)
-    places = F.array(
-        F.struct(F.col("range"), F.lit(0).alias("kind")),
-        F.when(leads, F.struct((F.col("range") - 1).alias("range"), F.lit(1).alias("kind"))),
-        F.when(starts, F.struct(F.lit(len(edges)).alias("range"), F.lit(2).alias("kind"))),
-    )
-    dealt = held.select("id", "packed", F.inline(F.filter(places, lambda p: p.isNotNull()))).select("range", "kind", "id", "packed", F.lit(None).cast("binary").alias("digest"))
+        found = F.aggregate(steps, F.lit(0), lambda n, step: F.when((n + step <= len(edges)) & reached(F.get(bounds, n + step - 1)), n + step).otherwise(n))
+        return df.withColumn("range", found)
+
+    # the first place of each range that has rows, and the range before it; the first row of all follows the last
+    least = ranged(rows).groupBy("range").agg(F.min(F.struct("id", "hash")).alias("first"))
+    firsts = sorted((r["range"], tuple(r["first"])) for r in least.collect())
+    follows = {r: firsts[k - 1][0] for k, (r, _) in enumerate(firsts)}  # the first's is the last
+    begins = [None] * (len(edges) + 1)
+    for r, (i, h) in firsts:
+        begins[r] = {"i": i, "h": h, "to": follows[r]}
+    known = F.from_json(F.lit(json.dumps(begins)), f"array<struct<i:{kind},h:bigint,to:int>>")
+
+    held = ranged(texts.mapInArrow(_squeezed, f"id {kind}, packed binary, hash long")).withColumn("first", F.get(known, F.col("range")))
+    leads = F.col("id").eqNullSafe(F.col("first")["i"]) & (F.col("hash") == F.col("first")["h"])
+    places = F.array(F.struct(F.col("range"), F.lit(0).alias("kind")), F.when(leads, F.struct(F.col("first")["to"].alias("range"), F.lit(1).alias("kind"))))
+    dealt = held.select("id", "hash", "packed", F.inline(F.filter(places, lambda p: p.isNotNull()))).select("range", "kind", "id", "packed", F.lit(None).cast("binary").alias("digest"), "hash")
     several = rows.groupBy("digest").count().filter("count > 1").select("digest")
-    flags = ranged(rows.join(several, "digest")).select("range", F.lit(-1).alias("kind"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("binary").alias("packed"), "digest").distinct()
-    spread = min(len(edges) + 1, 4 * partitions(docs))
-    sorted_ = dealt.union(flags).repartition(spread, "range").sortWithinPartitions("range", "kind", "id", "packed")
-    compared = checkpointed(sorted_.mapInArrow(_compare, _COMPARED))
-    named = _told_apart(compared.drop("form"), texts, _clashing(compared.select("digest", "form")), "fingerprint")
+    nothing = (F.lit(None).cast(t).alias(n) for n, t in (("id", kind), ("packed", "binary")))
+    flags = ranged(rows.join(several, "digest")).select("range", F.lit(-1).alias("kind"), *nothing, "digest", F.lit(0).cast("long").alias("hash")).distinct()
+    spread = min(max(1, len(firsts)), 4 * partitions(docs))
+    sorted_ = dealt.union(flags).repartition(spread, "range").sortWithinPartitions("range", "kind", "id", "hash", "packed")
+    compared = checkpointed(sorted_.mapInArrow(_compare, f"id {kind}, {_COMPARED}"))
+    named = _told_apart(compared.drop("form"), texts.select("id", "text"), _clashing(compared.select("digest", "form")), "fingerprint")
     return named.select(
         F.col("id").alias(id_col), "n_chars", F.lower(F.hex("edited_sha256")).alias("edited_sha256"), "fingerprint", F.lower(F.hex("edited_digest")).alias("edited_fingerprint"),
         F.col("near_edited").cast("double").alias("near_edited"), F.col("near_next").cast("double").alias("near_next"),
