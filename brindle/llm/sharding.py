@@ -5,15 +5,17 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.llm.common import bucket_count, checkpointed, partitions, running_total
 
-#: At most so many cells, whatever the input, so that the cartons the driver gathers are bounded.
-MOST_CELLS = 4096
-#: Cartons are at most this part of a shard, unless one group is larger.
+#: At most so many cells and cartons, whatever the input, so that what the driver packs is bounded.
+MOST_CELLS, MOST_CARTONS = 4096, 65_536
+#: Cartons are at most this part of a shard, unless one group is larger; with more shards, a larger part.
 CARTONS_PER_SHARD = 512
+#: Up to so many shards, cartons are packed on the driver; beyond, each cell packs so many shards of its own.
+DRIVER_SHARDS, CELL_SHARDS = 512, 256
 
 
 class _Node:
@@ -169,6 +171,71 @@ def _cartons(capacity: int):
     return pack
 
 
+def _own_shards(capacity: int | None):
+    """Rows sorted by (cell, weight downwards): each cell's groups go to bins of its own, of one capacity or as many as the cell has.
+
+    Of a cell only the weights are held, and only where its bins are to be even.
+    """
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        if capacity is not None:
+            yield from _cartons(capacity)(batches)
+            return
+        held: list[pd.DataFrame] = []
+
+        def packed() -> pd.DataFrame:
+            rows = pd.concat(held, ignore_index=True)
+            return rows.assign(carton=spread_evenly(rows["weight"].tolist(), int(rows["bins"].iloc[0]))).drop(columns="bins")
+
+        for batch in batches:
+            for _, part in batch.groupby("cell", sort=False):
+                if held and held[0]["cell"].iloc[0] != part["cell"].iloc[0]:
+                    yield packed()
+                    held = []
+                held.append(part)
+        if held:
+            yield packed()
+
+    return pack
+
+
+def _many_shards(groups: DataFrame, total: int, wanted: int, n_shards: int | None, capacity: int | None) -> tuple[DataFrame, int]:
+    """As assign_shards, where there are too many shards for one place: each cell of hashed groups has its own."""
+    cells = max(1, wanted // CELL_SHARDS)
+    cell = F.pmod(F.xxhash64("group"), F.lit(cells)).cast("int").alias("cell")
+    kind = "group binary, weight long, cell int, carton long"
+    if capacity:
+        celled, alone = groups.select("group", "weight", cell), None
+    else:
+        # groups above the fair share are alone; the cells divide the other shards by their weight, at least one each
+        alone = checkpointed(groups.filter(F.col("weight") * n_shards > total))
+        n_alone, taken = alone.agg(F.count("*"), F.coalesce(F.sum("weight"), F.lit(0))).first()
+        cells = max(1, (n_shards - n_alone) // CELL_SHARDS)
+        cell = F.pmod(F.xxhash64("group"), F.lit(cells)).cast("int").alias("cell")
+        celled = groups.filter(F.col("weight") * n_shards <= total).select("group", "weight", cell)
+        left = n_shards - n_alone
+        sums = checkpointed(celled.groupBy("cell").agg(F.sum("weight").alias("sum")))
+        # cut points of the running share are rounded, so the bins of all cells are as many as are left
+        before = F.coalesce(F.sum("sum").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        spare, rest = left - cells, max(1, total - taken)
+        cut = lambda upto: F.floor(upto * spare / F.lit(float(rest)) + 1e-9)
+        bins = sums.select("cell", (1 + cut(before + F.col("sum")) - cut(before)).cast("int").alias("bins"))
+        celled = celled.join(bins, "cell")
+    names = ["group", "weight", "cell", *(["bins"] if not capacity else [])]
+    sorted_ = celled.select(*names).repartition(min(cells, 4 * partitions(groups)), "cell").sortWithinPartitions("cell", F.desc("weight"), "group")
+    packed = checkpointed(sorted_.mapInPandas(_own_shards(capacity), kind))
+    used = packed.groupBy("cell").agg((F.max("carton") + 1).alias("used"))
+    first = F.coalesce(F.sum("used").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = checkpointed(used.select("cell", first.alias("first"), "used"))  # a row for each CELL_SHARDS shards
+    n_bins = starts.agg(F.coalesce(F.sum("used"), F.lit(0))).first()[0]
+    placed = packed.join(starts, "cell").select("group", (F.col("first") + F.col("carton")).cast("int").alias("shard"))
+    if alone is None:
+        return placed, n_bins
+    buckets = alone.withColumn("cell", F.pmod(F.xxhash64("group"), F.lit(64)))
+    ranked = running_total(buckets.withColumn("all", F.lit(0)), ["all"], "cell", ["group"], F.lit(1).cast("long"), "rank")
+    return placed.unionByName(ranked.select("group", (F.col("rank") + n_bins).cast("int").alias("shard"))), n_shards
+
+
 def assign_shards(groups: DataFrame, n_shards: int | None = None, capacity: int | None = None) -> tuple[DataFrame, int]:
     """Put indivisible groups (group binary, weight long) into shards; (group, shard) and the number of shards.
 
@@ -178,16 +245,19 @@ def assign_shards(groups: DataFrame, n_shards: int | None = None, capacity: int
     Best fit runs in two levels, since one task can't see all groups: groups are hashed to at
     most MOST_CELLS cells, and each cell's groups, streamed by decreasing weight, go to cartons
     of a small part of a shard. As best fit leaves at most one carton of a cell half empty, there
-    are no more than 2 * CARTONS_PER_SHARD cartons for each shard and one for each cell. These
+    are no more than 2 * MOST_CARTONS cartons and one for each cell. These
     are then packed whole on the driver. No shard is cut, and no group is.
+
+    With more than DRIVER_SHARDS shards, the groups of a cell go straight to shards of its own, about CELL_SHARDS
+    of them, in parallel: so at most one shard of each cell is left half empty, and nothing goes to the driver.
     """
     if (n_shards is None) == (capacity is None):
         raise ValueError("give either n_shards or capacity")
     count, total = groups.agg(F.count("*"), F.coalesce(F.sum("weight"), F.lit(0))).first()
     wanted = n_shards or max(1, -(-total // capacity))
-    if wanted > 100_000:
-        raise ValueError("more than 100,000 shards; choose a larger capacity")
-    carton = max(1, total // (wanted * CARTONS_PER_SHARD))
+    if wanted > DRIVER_SHARDS and count:
+        return _many_shards(groups, total, wanted, n_shards, capacity)
+    carton = max(1, total // (wanted * max(1, min(CARTONS_PER_SHARD, MOST_CARTONS // wanted))))
     cells = min(MOST_CELLS, bucket_count(count))
     celled = groups.withColumn("cell", F.pmod(F.xxhash64("group"), F.lit(cells)).cast("int"))
     sorted_ = celled.repartition(min(cells, 4 * partitions(groups)), "cell").sortWithinPartitions("cell", F.desc("weight"), "group")
