@@ -37,10 +37,20 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shortened = repeats.remove_repeats(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), lines=True)
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    shortened = repeats.remove_repeats(docs, passage_words=repeats.PASSAGE_WORDS)
     return shortened.select("doc_id", "text", "removed", F.size("removed").alias("n_removed"))
 
 
+def repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op4 by whole lines alone, in numbers that SQL can give too."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    shortened = repeats.remove_repeats(docs)
+    chars = F.aggregate("removed", F.lit(0), lambda n, r: n + r["end"] - r["start"]).cast("long")
+    first = F.coalesce(F.get("removed", 0)["start"], F.lit(-1))
+    return shortened.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"), F.size("removed").alias("n_removed"), chars.alias("chars_removed"), first.alias("first_start"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents")).drop("key").withColumn("target", F.round("target", 6))
 
@@ -52,7 +62,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dups.similar_documents(spread(table(spark, sf_dir, "documents"))).drop("text_hash")
+    return near_dups.similar_documents(spread(table(spark, sf_dir, "documents"))).drop("text_hash", "class_node")
 
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,14 +79,17 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
     read = chat.read_windows(chat.format_conversations(turns))
-    # a digest over a conversation needs its texts in one place; windows come in order
-    whole = read.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("window", "turns", "targets"))).alias("windows"), F.sum(F.length("formatted")).cast("long").alias("formatted_chars"))
-    lines = F.transform(F.flatten("windows.turns"), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
-    lost = F.flatten("windows.targets")
-    return whole.select(
-        "conv_id", F.size(lines).cast("long").alias("n_turns"), F.sha2(F.array_join(lines, ""), 256).alias("turns_sha256"),
-        F.length(F.array_join(lost, "")).cast("long").alias("loss_chars"), F.sha2(F.array_join(lost, ""), 256).alias("loss_sha256"), "formatted_chars",
-    )
+    # a digest over a conversation needs its texts in one place, where they are already, unless it is a long one
+    lines = F.flatten(F.transform("windows", lambda w: F.transform(w["turns"], lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))))
+    lost = F.array_join(F.flatten("windows.targets"), "")
+    each = read.groupBy("place", "conv_id", "part").agg(F.sort_array(F.collect_list(F.struct("window", "turns", "targets"))).alias("windows"), F.sum(F.length("formatted")).cast("long").alias("formatted_chars"))
+    each = each.select("conv_id", "part", F.size(lines).cast("long").alias("n_turns"), F.array_join(lines, "").alias("lines"), lost.alias("lost"), "formatted_chars")
+    if not chat.long_conversations(turns).isEmpty():
+        joined = lambda c: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", c))), lambda x: x[c]), "").alias(c)
+        each = each.groupBy("conv_id").agg(F.sum("n_turns").alias("n_turns"), joined("lines"), joined("lost"), F.sum("formatted_chars").alias("formatted_chars"))
+    return each.select(
+        "conv_id", "n_turns", F.sha2("lines", 256).alias("turns_sha256"), F.length("lost").cast("long").alias("loss_chars"), F.sha2("lost", 256).alias("loss_sha256"), "formatted_chars"
+    )
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -91,6 +104,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_fingerprints": op8_fingerprints,
         "op9_html": op9_html,
         "op10_chat": op10_chat,
+        "repeated_lines": repeated_lines,
     }
 
 
@@ -109,15 +123,23 @@ _OP10 = r"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesc
   UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
  p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS pos,
   12 + length(replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '\n')) + 1 + length(replace(replace(text, '\', '\\'), '<|', '<\|')) + 11 AS n FROM c),
- t AS (SELECT *, CAST(ceil(n / 4.0) AS BIGINT) AS tok FROM p),
+ t AS (SELECT *, 4 + len(regexp_extract_all(role, '@')) + len(regexp_extract_all(text, '@')) AS tok FROM p),
  b AS (SELECT *, sum(tok) OVER w - tok AS before, sum(CAST(tok > 512 AS INT)) OVER w - CAST(tok > 512 AS INT) AS bigs FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY pos)),
  k AS (SELECT *, dense_rank() OVER (PARTITION BY conv_id ORDER BY bigs * 2 + CAST(tok > 512 AS INT), CASE WHEN tok > 512 THEN 0 ELSE before // 512 END) - 1 AS win FROM b),
  h AS (SELECT *, max(win) OVER (PARTITION BY conv_id) AS last, row_number() OVER (PARTITION BY conv_id, win ORDER BY pos DESC) AS back, sum(tok) OVER (PARTITION BY conv_id, win ORDER BY pos DESC) AS back_tok FROM k)
  SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY pos) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
-  CAST(sum(n) + sum(CASE WHEN pos = 0 AND role = 'system' THEN n * last WHEN win < last AND back <= 2 AND back_tok <= 256 THEN n ELSE 0 END) AS BIGINT) AS formatted_chars FROM h GROUP BY conv_id"""
+  CAST(sum(n) + sum(CASE WHEN pos = 0 AND role = 'system' THEN n * last WHEN win < last AND back <= 2 AND back_tok <= 256 THEN n ELSE 0 END) AS BIGINT) AS formatted_chars FROM h GROUP BY conv_id""".replace("@", chat.TOKEN)
+
+
+_LINES = r"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS k FROM documents),
+ n AS (SELECT *, array_to_string(regexp_extract_all(lower(line), '[a-z0-9_\x{80}-\x{10FFFF}]+'), ' ') AS norm, k = max(k) OVER (PARTITION BY doc_id) AS ends FROM l),
+ r AS (SELECT *, length(line) + CASE WHEN ends THEN 0 ELSE 1 END AS size, norm <> '' AND row_number() OVER (PARTITION BY norm ORDER BY doc_id, k) > 1 AS gone FROM n),
+ p AS (SELECT *, sum(size) OVER (PARTITION BY doc_id ORDER BY k) - size AS start, coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY k), false) AS gone_before FROM r)
+ SELECT doc_id, md5(coalesce(string_agg(line || CASE WHEN ends THEN '' ELSE chr(10) END, '' ORDER BY k) FILTER (NOT gone), '')) AS text_md5, CAST(count(*) FILTER (gone AND NOT gone_before) AS INTEGER) AS n_removed,
+  CAST(coalesce(sum(size) FILTER (gone), 0) AS BIGINT) AS chars_removed, CAST(coalesce(min(start) FILTER (gone), -1) AS INTEGER) AS first_start FROM p GROUP BY doc_id"""
 
 
 def oracle_sql() -> dict[str, str]:
     """The others are compared with brute force, round trips or held-out labels in tests."""
-    return {"op5_mixing": _OP5, "op10_chat": _OP10}
+    return {"op5_mixing": _OP5, "op10_chat": _OP10, "repeated_lines": _LINES}

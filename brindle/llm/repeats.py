@@ -1,4 +1,4 @@
-"""Removal of passages that repeat across documents, by hashes of lines and of parts of lines."""
+"""Removal of lines and passages that repeat, by hashes of lines and of the sentences in them."""
 
 from __future__ import annotations
 
@@ -9,19 +9,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brindle.llm.common import fresh, give_back
+from brindle.llm.common import fresh, give_back, written
 from brindle.llm.words import Words, _powers, batches, mix
 
 _U = np.uint64
-#: A line is divided before one word pair in so many, as the pair's hash says.
-DIVIDE = 4
-#: Fewest words of a run of repeated units that is removed.
-LEAST_WORDS = 20
-#: Added to the number of the unit that leads a line, where the line as a whole is meant.
+#: Words of a run of repeated sentences that is a passage; sentences of fewer words than SHORT don't count.
+PASSAGE_WORDS, SHORT = 40, 4
+#: Added to the number of the sentence that leads a line, where the line as a whole is meant.
 LINE = 1 << 30
 _LINE_SALT = _U(0xD6E8FEB86659FD93)
 
@@ -39,119 +38,120 @@ def _even(text: str) -> str:
 
 
 class Units:
-    """Units of texts in a row. digest: 64 bits of a unit's words; text: the text it is in; words: how many;
-    start, inner, outer: byte positions in the text: where it begins, ends within its line, and where the next begins;
-    leads: whether it begins its line.
-    line_digest, line_words: 64 bits and number of a whole line's words, for each unit that leads one, in order."""
+    """Lines and sentences of texts in a row.
+
+    A line goes up to its line feed; a sentence up to white space after a full stop, question or exclamation mark, or to its line's
+    end. Those without words belong to nothing, or to the sentence before. For each sentence, in order: text, the text it is in;
+    digest, 64 bits of its words; words, how many; start and end, byte positions in all texts together; line, which one.
+    For each line that has words: head and foot, its range of sentences; line_digest; line_start and line_stop (after the line feed).
+    first: where each text's sentences begin, and the end; at: where each text begins; chars: code points before each byte."""
 
     def __init__(self, texts: list[str]):
         even = [_even(t) for t in texts]
         words = Words(even)
-        h, first = words.hashes, words.first
-        n = len(h)
-        counts = np.diff(first)
-        owner = np.repeat(np.arange(len(texts)), counts)
+        h, n = words.hashes, len(words.hashes)
         data = [t.encode("utf-8", "surrogatepass") for t in even]
-        self.data = data
-        # the number of line ends before each word
-        sizes = np.array([len(d) + 1 for d in data], np.int64)
-        at = np.concatenate(([0], np.cumsum(sizes)))
+        self.at = np.concatenate(([0], np.cumsum([len(d) + 1 for d in data]))).astype(np.int64)
         raw = np.frombuffer(b"\n".join([*data, b""]), np.uint8)
-        ends = np.flatnonzero((raw == 10) | (raw == 13))
-        line = np.searchsorted(ends, words.starts + at[owner]) if n else np.empty(0, np.int64)
-        leads = np.ones(n, bool)
-        leads[1:] = line[1:] != line[:-1]
-        cut = leads.copy()
-        stops = np.flatnonzero((raw[:-1] == 46) & ((raw[1:] == 32) | (raw[1:] == 10)))
-        sentence = np.searchsorted(stops, words.starts + at[owner]) if n else line
-        cut[1:] |= sentence[1:] != sentence[:-1]
-        if n > 1:
-            pair = mix(h[:-1] * _U(0x9E3779B97F4A7C15) + h[1:])
-            cut[1:] |= pair % _U(DIVIDE) == 0
+        self.chars = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))
+        owner = np.repeat(np.arange(len(texts)), np.diff(words.first))
+        begins, ends = words.starts + self.at[owner], words.ends + self.at[owner]
+        feeds = np.flatnonzero(raw == 10)  # each text is followed by one too
+        space = (raw == 32) | (raw == 9) | (raw == 13)
+        stops = np.flatnonzero(((raw[:-1] == 46) | (raw[:-1] == 33) | (raw[:-1] == 63)) & space[1:]) if len(raw) else np.empty(0, np.int64)
+        word_line, word_stop = np.searchsorted(feeds, begins), np.searchsorted(stops, begins)
+        leads, cut = np.ones(n, bool), np.ones(n, bool)
+        leads[1:] = word_line[1:] != word_line[:-1]
+        cut[1:] = leads[1:] | (word_stop[1:] != word_stop[:-1])
         begin = np.flatnonzero(cut)
-        end = np.append(begin[1:], n) if len(begin) else begin
-        size = 1 << max(16, int(n + 1).bit_length())
-        forth, back = _powers(size)
+        after = np.append(begin[1:], n) if len(begin) else begin
+        forth, back = _powers(1 << max(16, int(n + 1).bit_length()))
         sums = np.zeros(n + 1, _U)
         np.cumsum(h * forth[:n], out=sums[1:])
-        self.digest = mix((sums[end] - sums[begin]) * back[begin] + (end - begin).astype(_U)).astype(np.int64)
+        self.digest = mix((sums[after] - sums[begin]) * back[begin] + (after - begin).astype(_U)).astype(np.int64)
+        self.words = after - begin
         self.text = owner[begin]
-        self.words = end - begin
-        self.leads = leads[begin]
-        head = begin[self.leads]
-        foot = np.append(head[1:], n) if len(head) else head
-        self.line_digest = mix((sums[foot] - sums[head]) * back[head] + (foot - head).astype(_U) + _LINE_SALT).astype(np.int64)
-        self.line_words = foot - head
-        self.start = words.starts[begin]
-        length = np.array([len(d) for d in data], np.int64)
-        same = np.zeros(len(begin), bool)
-        if len(begin):
-            same[:-1] = self.text[1:] == self.text[:-1]
-        following = np.append(self.start[1:], 0)[: len(begin)]
-        self.outer = np.where(same, following, length[self.text])
-        # a unit's inner end is its line's end, if the next unit begins a line
-        line_end = ends[np.minimum(np.searchsorted(ends, words.ends[end - 1] + at[self.text]), len(ends) - 1)] - at[self.text] if len(begin) else self.start
-        last = np.append(self.leads[1:], True)[: len(begin)] | ~same
-        self.inner = np.where(last, np.minimum(line_end, length[self.text]), self.outer)
         self.first = np.searchsorted(self.text, np.arange(len(texts) + 1))
-        self.index = np.arange(len(begin)) - np.repeat(self.first[:-1], np.diff(self.first))
+        lead = leads[begin]
+        self.head = np.flatnonzero(lead)
+        self.foot = np.append(self.head[1:], len(begin)) if len(self.head) else self.head
+        self.line = np.cumsum(lead) - 1
+        top, tail = begin[self.head], after[self.foot - 1] if len(self.foot) else self.foot
+        self.line_digest = mix((sums[tail] - sums[top]) * back[top] + (tail - top).astype(_U) + _LINE_SALT).astype(np.int64)
+        place = word_line[top]
+        self.line_start = np.where(place > 0, feeds[place - 1] + 1, 0) if n else np.empty(0, np.int64)
+        self.line_end = feeds[place] if n else np.empty(0, np.int64)
+        # the line feed after a text isn't in it
+        self.line_stop = np.minimum(self.line_end + 1, self.at[1:][self.text[self.head]] - 1)
+        # a sentence begins after the white space behind the last stop before it
+        self.start = self.line_start[self.line].copy()
+        later = np.flatnonzero(~lead)
+        if len(later):
+            solid = np.flatnonzero(~space)
+            self.start[later] = solid[np.searchsorted(solid, stops[word_stop[begin[later]] - 1] + 1)]
+        following = np.append(self.start[1:], 0)[: len(begin)]
+        self.end = np.where(np.append(lead[1:], True)[: len(begin)], self.line_end[self.line], following)
+
+
+def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
+    """Begins and ends of runs of true flags."""
+    edges = np.flatnonzero(np.diff(np.concatenate(([False], flags, [False])).view(np.int8)))
+    return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
 
 
-def spans(units: Units, k: int, repeated: np.ndarray, least: int) -> list[tuple[int, int]]:
-    """Byte ranges of text k that go: runs of repeated units of at least so many words, and whole lines given by LINE.
+def spans(units: Units, k: int, repeated: np.ndarray, least: int | None) -> list[tuple[int, int]]:
+    """Ranges of code points of text k that go: whole lines given by LINE, and runs of repeated sentences that count so many words.
 
-    A run that begins a line goes with its last line's end; else the line end stays.
+    A line of which every sentence goes is taken with its line feed.
     """
-    low, high = units.first[k], units.first[k + 1]
+    low, high = int(units.first[k]), int(units.first[k + 1])
     flags = np.zeros(high - low, bool)
     flags[repeated[repeated < LINE]] = True
+    counted = np.where(units.words[low:high] >= SHORT, units.words[low:high], 0)
     for begin, end in _runs(flags):
-        if units.words[low + begin : low + end].sum() < least:
+        if least is None or counted[begin:end].sum() < least:
             flags[begin:end] = False
-    heads = np.append(np.flatnonzero(units.leads[low:high]), high - low)
-    for begin in repeated[repeated >= LINE] - LINE:
-        flags[begin : heads[np.searchsorted(heads, begin, "right")]] = True
-    out = []
+    for unit in repeated[repeated >= LINE] - LINE:
+        line = units.line[low + unit]
+        flags[unit : units.foot[line] - low] = True
+    out: list[list[int]] = []
     for begin, end in _runs(flags):
-        begin, end = begin + low, end + low
-        stop = units.outer[end - 1] if units.leads[begin] else units.inner[end - 1]
-        start = 0 if begin == low else units.start[begin]
-        out.append((int(start), int(stop)))
-    return out
-
-
-def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
-    """Begins and ends of runs of true flags."""
-    edges = np.flatnonzero(np.diff(np.concatenate(([False], flags, [False])).view(np.int8)))
-    return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
-
-
-def _units(lines_under: int):
+        at, stop = begin + low, end + low
+        while at < stop:
+            line = units.line[at]
+            foot = min(int(units.foot[line]), stop)
+            whole = at == units.head[line] and foot == units.foot[line]
+            piece = (units.line_start[line], units.line_stop[line]) if whole else (units.start[at], units.end[foot - 1])
+            if out and out[-1][1] == piece[0]:
+                out[-1][1] = int(piece[1])
+            else:
+                out.append([int(piece[0]), int(piece[1])])
+            at = foot
+    base = units.chars[units.at[k]]
+    return [(int(units.chars[a] - base), int(units.chars[b] - base)) for a, b in out]
+
+
+def _units(sentences: bool):
     def units_of(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(id, tie, text) to (digest, id, tie, unit): each digest's first occurrence among some texts, and, with digest null, the others.
-
-        Digests are those of units and of whole lines of less than lines_under words.
-        """
+        """(id, tie, text) to (digest, id, tie, unit): each digest's first occurrence among some texts, and, with digest null, the others."""
         for batch in incoming:
             ids, ties = batch.column(0), batch.column(1).to_numpy()
             texts = [t or "" for t in batch.column(2).to_pylist()]
             # places of the rows by (id, nulls last, tie); equal ones share a place
             places = np.zeros(len(texts), np.int64)
             if len(texts):
-                missing = ids.is_null().to_numpy(zero_copy_only=False)
-                keys = (ties, ids.fill_null(0).to_numpy(zero_copy_only=False), missing)
-                order = np.lexsort(keys)
+                rank = pc.rank(ids, sort_keys="ascending", null_placement="at_end", tiebreaker="dense").to_numpy()
+                order = np.lexsort((ties, rank))
                 new = np.zeros(len(texts), bool)
-                for key in keys:
+                for key in (rank, ties):
                     new[1:] |= key[order][1:] != key[order][:-1]
                 places[order] = np.cumsum(new)
             for low, high in batches(texts):
                 units = Units(texts[low:high])
-                short = units.line_words < lines_under
-                lead = np.flatnonzero(units.leads)[short]
-                digests = np.concatenate((units.digest, units.line_digest[short]))
-                index = np.concatenate((units.index, units.index[lead] + LINE))
-                text = np.concatenate((units.text, units.text[lead]))
+                own = np.arange(len(units.digest)) - units.first[units.text]
+                digests, text, index = units.line_digest, units.text[units.head], own[units.head] + LINE
+                if sentences:
+                    digests, text, index = np.concatenate((units.digest, digests)), np.concatenate((units.text, text)), np.concatenate((own, index))
                 place = places[low:high][text]
                 order = np.lexsort((index, place, digests))
                 digest, rank = digests[order], np.stack((place[order], index[order]))
@@ -170,26 +170,26 @@ def _units(lines_under: int):
     return units_of
 
 
-def remove_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text", spans_col: str = "removed", lines: bool = False) -> DataFrame:
-    """Remove passages of documents that come in an earlier one too, or earlier in the same.
+def remove_repeats(docs: DataFrame, passage_words: int | None = None, id_col: str = "doc_id", text_col: str = "text", spans_col: str = "removed") -> DataFrame:
+    """Remove lines that come in an earlier document too, or earlier in the same: all but the earliest occurrence, by id and place.
 
-    Lines are the units, divided further after full stops and where a hash of two neighbouring words says so (one pair in
-    DIVIDE), so that a passage set into the middle of a line has the same units wherever it stands. Units are compared by 64 bits of
-    their words (case, punctuation and white space don't count). All occurrences of a unit but the earliest, by id and place, are
-    repeated. Runs of repeated units with at least least_words words are removed; shorter ones stay, as they repeat by
-    chance. So a passage of least_words words and some more goes, but for up to a unit at each edge.
+    Lines are compared as a whole, by 64 bits of their words (case, punctuation and white space don't count), however short
+    they are; lines without words stay. A line goes with its line feed. A one-line paragraph is a line.
 
-    With lines, a line whose words are those of an earlier whole line also goes by itself, however short it is.
+    With passage_words, passages set into lines go too. Sentences (Units) are compared like lines, and a run of repeated ones
+    goes if those of SHORT words or more have so many words together; it may begin and end anywhere in a line, and go on over lines.
+    Without it, sentences aren't looked at.
 
     Returns the rows with the text shortened and spans_col: an array of the ranges removed, structs of start and end in characters
     of the given text.
 
-    Null texts stay null, without spans. Documents are ranked by id, nulls last, and rows of one id by a
-    hash of the text; repeated rows are one document, and none of them repeats the other. Empty texts stay. An
-    empty table gives no rows. Other columns stay; one called spans_col is replaced.
+    Null texts stay null, without spans. Documents are ranked by id (a number or a string), nulls last, and rows of one id by a
+    hash of the text; repeated rows are one document, and none of them repeats the other. Empty texts stay. Texts may be of any length
+    below 2 GB; one is held whole by its task, with about ten times its size for numbers. An
+    empty table gives no rows. Other columns stay, whatever they are called; one called spans_col is replaced.
 
-    Among texts that a task reads together, repeated occurrences are found at once, so a very common unit is not moved
-    once for each occurrence.
+    Among texts that a task reads together, repeated occurrences are found at once, so a very common line is not moved
+    once for each occurrence; the earliest of all is a minimum with partial sums, and a join finds the others.
     """
     if spans_col.lower() in (id_col.lower(), text_col.lower()):
         raise ValueError("the spans can't replace the id or the text")
@@ -197,13 +197,17 @@ def remove_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, id_col: str
     kind = docs.schema[id_col].dataType.simpleString()
     twice = docs.groupBy(id_col).count().filter(F.col("count") > 1)
     tie: Column = F.lit(0).cast("long") if twice.isEmpty() else F.xxhash64(text_col)
-    key, other = fresh(docs, "_tie"), fresh(docs, "_units")
-    units = docs.select(F.col(id_col).alias("id"), tie.alias("tie"), F.col(text_col).alias("text")).mapInArrow(_units(least_words if lines else 0), f"digest long, id {kind}, tie long, unit int")
-    ranked = units.withColumn("place", F.when(F.col("digest").isNotNull(), F.rank().over(Window.partitionBy("digest", F.when(F.col("digest").isNull(), F.xxhash64("id", "unit"))).orderBy(F.col("id").asc_nulls_last(), "tie", "unit"))))
-    repeated = ranked.filter("digest is null or place > 1")
-    of = repeated.groupBy(F.col("id").alias("_id"), F.col("tie").alias("_key")).agg(F.collect_set("unit").alias(other))
+    of_id, of_tie, key, other = (fresh(docs, n) for n in ("_id", "_of_tie", "_tie", "_units"))
+    found = docs.select(F.col(id_col).alias("id"), tie.alias("tie"), F.col(text_col).alias("text")).mapInArrow(_units(passage_words is not None), f"digest long, id {kind}, tie long, unit int")
+    units, _ = written(found)
+    place = F.struct(F.col("id").isNull().alias("missing"), "id", "tie", "unit")
+    known = units.filter("digest is not null")
+    several = known.groupBy("digest").agg(F.min(place).alias("earliest"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    later = known.join(several, "digest").filter(place > F.col("earliest"))
+    repeated = later.select("id", "tie", "unit").union(units.filter("digest is null").select("id", "tie", "unit"))
+    of = repeated.groupBy(F.col("id").alias(of_id), F.col("tie").alias(of_tie)).agg(F.collect_set("unit").alias(other))
     left = docs.withColumn(key, tie)
-    joined = left.join(of, left[id_col].eqNullSafe(of["_id"]) & (left[key] == of["_key"]), "left").drop("_id", "_key", key)
+    joined = left.join(of, left[id_col].eqNullSafe(of[of_id]) & (left[key] == of[of_tie]), "left").drop(of_id, of_tie, key)
     range_ = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
     schema = T.StructType([*docs.schema.fields, T.StructField(spans_col, T.ArrayType(range_))])
     names = docs.columns
@@ -216,17 +220,14 @@ def remove_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, id_col: str
             touched = [k for k, x in enumerate(lists) if x and texts[k]]
             for low, high in batches([texts[k] for k in touched]):
                 some = touched[low:high]
-                cutter = Units([texts[k] for k in some])
+                units = Units([texts[k] for k in some])
                 for k, row in enumerate(some):
-                    given, found = cutter.data[k], []
-                    for start, end in spans(cutter, k, np.asarray(lists[row]), least_words):
-                        found.append((len(given[:start].decode("utf-8", "surrogatepass")), len(given[:end].decode("utf-8", "surrogatepass"))))
                     text, at, parts = texts[row], 0, []
-                    for start, end in found:
+                    for start, end in spans(units, k, np.sort(np.asarray(lists[row])), passage_words):
+                        removed[row].append({"start": start, "end": end})
                         parts.append(text[at:start])
                         at = end
                     texts[row] = "".join([*parts, text[at:]])
-                    removed[row] = [{"start": s, "end": e} for s, e in found]
             columns = [batch.column(k) for k in range(len(names))]
             columns[text_at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays([*columns, pa.array(removed, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], [*names, spans_col])
