@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.common import checkpointed
-
 START, END = "<|im_start|>", "<|im_end|>"
-#: Turns whose prefix sums are made in one place.
-PER_BLOCK = 256
+#: Conversations of more turns are long: their turns are dealt by blocks of turn numbers.
+LONG, PER_BLOCK = 50_000, 10_000
+#: Long conversations of which a table is small enough to be broadcast.
+MOST_BROADCAST = 100_000
+#: What counts as one token: up to six letters, up to three digits, or one other sign.
+TOKEN = r"[\p{L}\p{M}]{1,6}|\p{N}{1,3}|[^\p{L}\p{M}\p{N}\x00-\x20]"
+#: Tokens of a turn's own marks and line ends.
+MARKS = 4
+
+
+def count_tokens(text: Column) -> Column:
+    """Tokens of a text, by TOKEN."""
+    return F.regexp_count(text, F.lit(TOKEN)).cast("long")
 
 
 def escape(text: Column) -> Column:
@@ -31,13 +42,19 @@ def unescape_role(role: Column) -> Column:
     return unescape(lines)
 
 
+def long_conversations(turns: DataFrame, id_col: str = "conv_id") -> DataFrame:
+    """Ids of the conversations that have more than LONG turns."""
+    return turns.groupBy(F.col(id_col).alias("id")).count().filter(F.col("count") > LONG).select("id")
+
+
 def format_conversations(
-    turns: DataFrame, budget: int = 1024, history_turns: int = 2, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", target_role: str = "assistant"
-) -> DataFrame:
+    turns: DataFrame, budget: int = 1024, history_turns: int = 2, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", target_role: str = "assistant",
+    tokens: Callable[[Column], Column] = count_tokens,
+) -> DataFrame:
     """Format conversations as windows of whole turns, with the spans whose loss counts.
 
     Turns are written <|im_start|>role, a line end, text, <|im_end|>, a line end, with control strings
-    inside roles and texts escaped. A turn's tokens are taken as a quarter of its characters, rounded up.
+    inside roles and texts escaped. A turn has the tokens of its role and text, which the expression tokens counts, and MARKS.
     Prefix sums of tokens choose the windows: a turn whose sum before it falls in the k-th half budget
     belongs to window k. A turn of over half the budget makes a window of its own, so a window's own turns
     never pass the budget, unless one turn alone does: turns are never cut or dropped. Each window starts
@@ -46,76 +63,88 @@ def format_conversations(
     come on top of the budget. Only a window's own target turns are under the loss; targets that are repeated
     as history are masked.
 
-    Returns id, window (from 0), formatted, n_repeated (turns at its start that repeat others) and
-    loss (array of structs of start and length, in characters of formatted). It also returns positions: each own turn's
-    rank in its conversation.
+    Returns id, part and window (both from 0; windows of a conversation in order), formatted, n_repeated (turns at its start that repeat
+    others), loss (array of structs of start and length, in characters of formatted) and place: rows of one place
+    are in one partition.
+
+    Null roles and texts are empty. Rows are ordered by turn, nulls first, then role, then a hash of the text; repeated
+    rows are turns of their own. Null ids are a conversation. An empty table gives no rows. A turn's text may be of any length that
+    a row can hold; a window holds the budget and its longest turn.
 
-    Null roles and texts are empty. Rows are ordered by turn, nulls first, then role, then text; repeated
-    rows are turns of their own. Null ids are a conversation. An empty table gives no rows. Conversations
-    are split into blocks of turns for the prefix sums, so one may hold most rows.
+    Texts are moved once, each conversation to one place. Only those of more than LONG turns are divided, by blocks of PER_BLOCK turn
+    numbers; each block is a part, windows end where it ends, and the system turn and the history are handed on to the next.
     """
-    role, text = F.coalesce(F.col(role_col), F.lit("")), F.coalesce(F.col(text_col), F.lit(""))
-    plain = turns.select(F.col(id_col).alias("id"), F.col(turn_col).cast("long").alias("turn"), role.alias("role"), text.alias("text"))
+    rows = turns.select(
+        F.col(id_col).alias("id"), F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
+    )
+    big = long_conversations(turns, id_col)
+    n_big = big.limit(MOST_BROADCAST + 1).count()
+    if n_big:
+        marked = big.select(F.col("id").alias("of"), F.lit(True).alias("is_long"))
+        rows = rows.join(F.broadcast(marked) if n_big <= MOST_BROADCAST else marked, rows["id"].eqNullSafe(marked["of"]), "left").drop("of")
+        rows = rows.withColumn("block", F.when(F.col("is_long"), F.coalesce(F.floor(F.col("turn") / PER_BLOCK), F.lit(-(2**62)))).otherwise(F.lit(0).cast("long"))).drop("is_long")
+    else:
+        rows = rows.withColumn("block", F.lit(0).cast("long"))
     piece = F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n"), escape(F.col("text")), F.lit(END + "\n"))
-    rows = checkpointed(plain.withColumn("piece", piece).withColumn("tokens", F.ceil(F.length("piece") / 4).cast("long")).withColumn("block", F.floor(F.col("turn") / PER_BLOCK)))
+    size = MARKS + tokens(F.col("role")) + tokens(F.col("text"))
+    dealt = rows.select("id", "block", F.xxhash64("id", "block").alias("place"), "turn", "role", F.xxhash64("text").alias("hash"), piece.alias("piece"), size.alias("tokens")).repartition("place")
     half = max(1, budget // 2)
-    # totals of blocks, then sums inside a block; big: turns that stand alone
-    blocks = rows.groupBy("id", "block").agg(F.count("*").alias("n"), F.sum("tokens").alias("sum"), F.sum((F.col("tokens") > half).cast("long")).alias("big"))
-    before = Window.partitionBy("id").orderBy(F.col("block").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    starts = blocks.select(
-        F.col("id").alias("_id"), F.col("block").alias("_block"), *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_{c}") for c in ("n", "sum", "big"))
-    )
-    inside = Window.partitionBy("id", "block").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
+    whole = ["place", "id", "block"]
+    inside = Window.partitionBy(*whole).orderBy(F.col("turn").asc_nulls_first(), "role", "hash")
     earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.join(starts, rows["id"].eqNullSafe(starts["_id"]) & rows["block"].eqNullSafe(starts["_block"])).drop("_id", "_block")
-    is_big = F.col("tokens") > half
-    placed = placed.select(
-        "id", "role", "piece", "tokens",
-        (F.col("_n") + F.row_number().over(inside) - 1).alias("position"),
-        (F.col("_sum") + F.coalesce(F.sum("tokens").over(earlier), F.lit(0))).alias("sum_before"),
-        (F.col("_big") + F.coalesce(F.sum(is_big.cast("long")).over(earlier), F.lit(0))).alias("big_before"),
-    )
-    # a big turn has an odd second part of its key, so it is alone; keys of a conversation ascend with its turns
-    placed = placed.withColumn("key", F.struct((F.col("big_before") * 2 + is_big.cast("long")).alias("alone"), F.when(is_big, F.lit(0)).otherwise(F.floor(F.col("sum_before") / half)).alias("part")))
-    own = checkpointed(placed)
-    windows = own.groupBy("id", "key").agg(F.min("position").alias("first"), F.max("position").alias("last"))
-    in_order = Window.partitionBy("id").orderBy("key")
-    windows = windows.select(F.col("id").alias("_id"), F.col("key").alias("_key"), (F.row_number().over(in_order) - 1).alias("window"), F.lead("key").over(in_order).isNotNull().alias("followed"))
-    numbered = own.join(windows, own["id"].eqNullSafe(windows["_id"]) & (own["key"] == windows["_key"])).drop("_id", "_key")
-    back = Window.partitionBy("id", "window").orderBy(F.desc("position"))
-    numbered = numbered.withColumn("to_end", F.row_number().over(back)).withColumn("tokens_to_end", F.sum("tokens").over(back.rowsBetween(Window.unboundedPreceding, 0)))
-    is_system = (F.col("position") == 0) & (F.col("role") == "system")
-    repeats = F.col("followed") & ~is_system & (F.col("to_end") <= history_turns) & (F.col("tokens_to_end") <= budget // 4)
-    places = F.array(F.struct(F.col("window"), F.lit(2).alias("kind")), F.when(repeats, F.struct((F.col("window") + 1).alias("window"), F.lit(1).alias("kind"))))
-    body = numbered.select("id", "position", "role", "piece", F.inline(F.filter(places, lambda p: p.isNotNull())))
-    # the system turn goes to each later window
-    system = numbered.filter(is_system).select(F.col("id").alias("_id"), "position", "role", "piece")
-    later = windows.filter("window > 0").select("_id", "window").withColumnRenamed("_id", "id")
-    headed = later.join(system, later["id"].eqNullSafe(system["_id"])).select("id", "position", "role", "piece", "window", F.lit(0).alias("kind"))
-    parts = body.unionByName(headed)
-    listed = parts.groupBy("id", "window").agg(F.sort_array(F.collect_list(F.struct("kind", "position", "role", "piece"))).alias("turns"))
-    listed = listed.withColumn("formatted", F.array_join(F.col("turns.piece"), ""))
+    alone = F.col("tokens") > half
+    placed = dealt.withColumn("position", F.row_number().over(inside))
+    placed = placed.withColumn("before", F.coalesce(F.sum("tokens").over(earlier), F.lit(0))).withColumn("big", F.coalesce(F.sum(alone.cast("long")).over(earlier), F.lit(0)))
+    # a big turn has an odd number, so it is alone; a window is a run of turns of one key
+    placed = placed.withColumn("key", F.struct((F.col("big") * 2 + alone.cast("long")).alias("alone"), F.when(alone, F.lit(0)).otherwise(F.floor(F.col("before") / half)).alias("part")))
+    begins = (F.col("key") != F.lag("key").over(inside)).cast("int")
+    placed = placed.withColumn("begins", F.coalesce(begins, F.lit(0)))
+    placed = placed.withColumn("window", F.sum("begins").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    own = placed.groupBy(*whole, "window").agg(F.sort_array(F.collect_list(F.struct("position", "role", "tokens", "piece"))).alias("own"))
+    first = F.get("own", 0)
+    is_system = lambda t: (t["position"] == 1) & (t["role"] == "system")
+    last = F.slice("own", F.greatest(F.size("own") - history_turns + 1, F.lit(1)), history_turns) if history_turns > 0 else F.slice("own", 1, 0)
+    # the tokens from a turn on to the window's end
+    rest = lambda i: F.aggregate(F.slice("last", i + 1, max(1, history_turns)), F.lit(0).cast("long"), lambda n, t: n + t["tokens"])
+    # only a conversation's first turn can be its system turn
+    own = own.withColumn("last", last).withColumn("tail", F.filter("last", lambda t, i: (rest(i) <= budget // 4) & ~is_system(t)))
+    in_order = Window.partitionBy(*whole).orderBy("window")
+    own = own.withColumn("system", F.first(F.when(is_system(first), first)).over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+    own = own.withColumn("history", F.lag("tail").over(in_order))
+    if n_big:
+        # from each block of a long conversation to the next
+        ends = own.groupBy(*whole).agg(F.max_by("tail", "window").alias("tail"), F.first("system").alias("system"))
+        ends = ends.join(big.select(F.col("id").alias("of")), ends["id"].eqNullSafe(F.col("of")), "left_semi")
+        blocks = Window.partitionBy("id").orderBy("block")
+        handed = ends.select(F.col("place").alias("at"), F.first("system").over(blocks).alias("whose"), F.lag("tail").over(blocks).alias("given"), (F.row_number().over(blocks) - 1).alias("nth"))
+        own = own.join(handed, own["place"] == handed["at"], "left").withColumn("part", F.coalesce("nth", F.lit(0)))
+        # a system turn is one only in the first block
+        own = own.withColumn("system", F.when(F.col("part") > 0, F.col("whose")).otherwise(F.col("system"))).withColumn("history", F.coalesce("history", "given"))
+    else:
+        own = own.withColumn("part", F.lit(0))
+    no_turns = F.slice("own", 1, 0)
+    headed = F.when((F.col("window") > 0) | (F.col("part") > 0), F.when(F.col("system").isNotNull(), F.array("system"))).alias("head")
+    parts = own.select(*whole, "part", "window", "own", headed, "history", no_turns.alias("none"))
+    parts = parts.withColumn("repeated", F.concat(F.coalesce("head", "none"), F.coalesce("history", "none"))).withColumn("turns", F.concat("repeated", "own"))
+    parts = parts.withColumn("n_repeated", F.size("repeated"))
     # character offsets: where each turn starts, from the lengths of those before
     lengths = F.transform("turns", lambda t: F.length(t["piece"]))
-    begins = F.aggregate(lengths, F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
-    spans = F.transform(F.col("turns"), lambda t, k: F.struct(
-        (F.get(F.col("begins"), k) + F.length(F.lit(START)) + F.length(escape_role(t["role"])) + 1).alias("start"),
-        (F.length(t["piece"]) - len(START) - F.length(escape_role(t["role"])) - 1 - len(END) - 1).alias("length"),
-        ((t["kind"] == 2) & (t["role"] == target_role)).alias("target"),
+    starts = F.aggregate(lengths, F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
+    opening = lambda t: len(START) + F.length(escape_role(t["role"])) + 1
+    spans = F.transform("turns", lambda t, k: F.struct(
+        (F.get(F.col("starts"), k) + opening(t)).alias("start"), (F.length(t["piece"]) - opening(t) - len(END) - 1).alias("length"),
+        ((k >= F.col("n_repeated")) & (t["role"] == target_role)).alias("target"),
     ))
     loss = F.transform(F.filter(spans, lambda s: s["target"]), lambda s: F.struct(s["start"], s["length"]))
-    return (
-        listed.withColumn("begins", begins)
-        .withColumn("n_repeated", F.size(F.filter("turns", lambda t: t["kind"] < 2)))
-        .select(F.col("id").alias(id_col), "window", "formatted", "n_repeated", loss.alias("loss"), F.transform(F.filter("turns", lambda t: t["kind"] == 2), lambda t: t["position"]).alias("positions"))
-    )
+    formatted = F.array_join(F.transform("turns", lambda t: t["piece"]), "")
+    return parts.withColumn("starts", starts).select(F.col("id").alias(id_col), "part", F.col("window").cast("int").alias("window"), formatted.alias("formatted"), "n_repeated", loss.alias("loss"), "place")
 
 
 def read_windows(windows: DataFrame, id_col: str = "conv_id") -> DataFrame:
     """Read formatted windows back: a row for each window with its own turns and the texts under its loss.
 
-    Returns id, window, turns (array of structs of role and text, repeated ones left out), targets (array of
-    unescaped texts) and formatted.
+    Returns id, part, window, turns (array of structs of role and text, repeated ones left out), targets (array of
+    unescaped texts), formatted and place.
     """
     marked = F.filter(F.split("formatted", r"<\|im_start\|>"), lambda p: p != "")
     own = F.slice(F.col("_marked"), F.col("n_repeated") + 1, F.greatest(F.size("_marked") - F.col("n_repeated"), F.lit(0)))
@@ -124,4 +153,4 @@ def read_windows(windows: DataFrame, id_col: str = "conv_id") -> DataFrame:
         unescape(F.regexp_extract(p, r"(?s)^[^\n]*\n(.*)<\|im_end\|>\n$", 1)).alias("text"),
     ))
     targets = F.transform("loss", lambda s: unescape(F.substring(F.col("formatted"), s["start"] + 1, s["length"])))
-    return windows.withColumn("_marked", marked).select(id_col, "window", parsed.alias("turns"), targets.alias("targets"), "formatted")
+    return windows.withColumn("_marked", marked).select(id_col, "part", "window", parsed.alias("turns"), targets.alias("targets"), "formatted", "place")
