@@ -20,8 +20,10 @@ from brindle.llm.words import Words, batches, minhashes, mix, shingles
 BANDS, ROWS = 30, 5
 #: Values compared between two looks at the posterior, and the probability below which a pair is dropped.
 STEP, TOLERANCE = 15, 1e-6
-#: Texts of a tile; a group of more is compared tile by tile.
-TILE = 512
+#: Texts of a tile, and words of all of them; a group of more is compared tile by tile.
+TILE, TILE_WORDS = 512, 4_000_000
+#: Signatures of a tile; a bucket of more is pruned tile by tile.
+BUCKET_TILE = 4096
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -163,7 +165,10 @@ def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 def _sign(width: int, seed: int):
-    """(id, text_hash, text) to (id, text_hash, node, proof, bands); bands only once for each node and task."""
+    """(id, text_hash, text) to (id, text_hash, node, proof, size, bands, signature); the last two only once for each node and task.
+
+    A signature holds 16 bits of each MinHash value.
+    """
 
     def sign(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -183,18 +188,21 @@ def _sign(width: int, seed: int):
                 hashes, begins = shingles(words, width)
                 some = np.flatnonzero(np.array(fresh) & (np.diff(begins) > 0))
                 bands: list = [None] * (high - low)
+                signatures: list = [None] * (high - low)
                 if len(some):
                     lengths = np.diff(begins)[some]
                     starts = np.concatenate(([0], np.cumsum(lengths)))
                     picked = np.repeat(begins[some] - starts[:-1], lengths) + np.arange(starts[-1])
-                    values = minhashes(hashes[picked], starts, BANDS * ROWS).reshape(len(some), BANDS, ROWS).astype(np.uint64)
+                    flat = minhashes(hashes[picked], starts, BANDS * ROWS)
+                    short, values = flat.astype(np.uint16), flat.reshape(len(some), BANDS, ROWS).astype(np.uint64)
                     key = np.broadcast_to(salts, (len(some), BANDS)).copy()
                     for r in range(ROWS):
                         key = mix(key * np.uint64(0xC2B2AE3D27D4EB4F) + values[:, :, r])
-                    for k, own_key in zip(some.tolist(), key.astype(np.int64), strict=True):
-                        bands[k] = own_key
+                    for k, own_key, own_values in zip(some.tolist(), key.astype(np.int64), short, strict=True):
+                        bands[k], signatures[k] = own_key, own_values.tobytes()
                 part = batch.slice(low, high - low)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(nodes, pa.int64()), pa.array(proofs, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["id", "text_hash", "node", "proof", "bands"])
+                columns = [pa.array(nodes, pa.int64()), pa.array(proofs, pa.int64()), pa.array(np.diff(begins)), pa.array(bands, pa.list_(pa.int64())), pa.array(signatures, pa.binary())]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], ["id", "text_hash", "node", "proof", "size", "bands", "signature"])
         give_back()
 
     return sign
@@ -222,6 +230,76 @@ def _texts_of_nodes(seed: int):
     return texts_of
 
 
+def _likely_pairs(values: np.ndarray, begins: np.ndarray, sides: np.ndarray | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows within groups that pruning leaves. sides: pairs are of a false and a true one only, in groups that have both.
+
+    Groups of two, which most are, are taken all at once.
+    """
+    sizes = np.diff(begins)
+    two = begins[:-1][sizes == 2]
+    i, j = two, two + 1
+    if sides is not None and len(two):
+        mixed = begins[:-1][sizes == 2]
+        ok = np.array([not sides[mixed[k] : mixed[k] + 2].any() or sides[mixed[k]] != sides[mixed[k] + 1] for k in range(len(mixed))], bool)
+        i, j = i[ok], j[ok]
+    matches = np.zeros(len(i), np.int32)
+    for at in range(0, values.shape[1], STEP):
+        if not len(i):
+            break
+        matches = matches + (values[i, at : at + STEP] == values[j, at : at + STEP]).sum(1)
+        keep = matches >= least_matches(threshold, min(at + STEP, values.shape[1]))
+        matches, i, j = matches[keep], i[keep], j[keep]
+    found_i, found_j = [i], [j]
+    for begin, end in zip(begins[:-1][sizes > 2].tolist(), begins[1:][sizes > 2].tolist(), strict=True):
+        rows = np.arange(begin, end)
+        side = sides[begin:end] if sides is not None else np.zeros(0, bool)
+        left, right = (rows[~side], rows[side]) if side.any() else (rows, None)
+        a, b = pruned_pairs(values, left, right, threshold)
+        found_i.append(a)
+        found_j.append(b)
+    return np.concatenate(found_i), np.concatenate(found_j)
+
+
+def _prune(threshold: float):
+    """Rows sorted by (key, a, b): tile, node, signature. Gives each node that may be linked in its bucket another that it can reach there."""
+
+    def prune(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def answer(rows: pa.Table) -> pa.RecordBatch:
+            key, a, b, tile, node = (rows[c].to_numpy() for c in range(5))
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+            once = new.copy()  # a node's signature may come from several tasks
+            once[1:] |= node[1:] != node[:-1]
+            kept = np.flatnonzero(once)
+            begins = np.append(np.flatnonzero(new[kept]), len(kept))
+            values = np.frombuffer(b"".join(rows["signature"].take(pa.array(kept)).to_pylist()), np.uint16).reshape(len(kept), -1)
+            sides = (tile != a)[kept]
+            i, j = _likely_pairs(values, begins, sides if sides.any() else None, threshold)
+            roots = _roots(len(kept), i, j)
+            some = np.flatnonzero(roots != np.arange(len(kept)))
+            own = node[kept]
+            return pa.RecordBatch.from_arrays([pa.array(own[some]), pa.array(own[roots[some]])], ["a", "b"])
+
+        held: list[pa.RecordBatch] = []
+        for batch in incoming:
+            held.append(batch)
+            key, a, b = (batch.column(c).to_numpy() for c in range(3))
+            edges = np.flatnonzero((key[1:] != key[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])) + 1
+            first = [held[0].column(c)[0].as_py() for c in range(3)]
+            if not len(edges) and [key[0], a[0], b[0]] == first:
+                continue  # one bucket so far
+            cut = int(edges[-1]) if len(edges) else 0
+            done = pa.Table.from_batches([*held[:-1], batch.slice(0, cut)])
+            if done.num_rows:
+                yield answer(done)
+            held = [batch.slice(cut)]
+        if held and sum(x.num_rows for x in held):
+            yield answer(pa.Table.from_batches(held))
+        give_back()
+
+    return prune
+
+
 _LINKS = "node long, root long, documents long, texts long"
 
 
@@ -232,12 +310,14 @@ def _verify(width: int, threshold: float):
     def groups(incoming: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         """Rows of whole (component, a, b), several small ones together."""
         held: list[tuple] = []
+        chars = 0
         for batch in incoming:
             for row in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
-                if len(held) >= 256 and row[:3] != held[-1][:3]:
+                if (len(held) >= 256 or chars >= 1 << 21) and row[:3] != held[-1][:3]:
                     yield held
-                    held = []
+                    held, chars = [], 0
                 held.append(row)
+                chars += len(row[6])
         if held:
             yield held
 
@@ -286,37 +366,49 @@ def _verify(width: int, threshold: float):
 def similar_documents(docs: DataFrame, threshold: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Classes of documents that links of Jaccard similarity >= threshold over shingles of width words connect.
 
-    Returns id, text_hash (xxhash64 of the text), class_id (the least id of its class), n_links (other documents
+    Returns id, text_hash (xxhash64 of the text), class_node (a number of its class), class_id (the least id of its class), n_links (other documents
     linked to it, copies among them), n_texts (different texts linked to it) and copies (documents with the
     same words in the same order, itself among them).
 
     1. Documents with the same words are one node; the rest works on nodes, so copies are never paired.
-    2. Nodes meet under the keys of BANDS bands of MinHash values. A key's nodes are tied to its least, not to each
-       other, so there are fewer ties than keys; components of ties hold all pairs that share a key.
-    3. Texts of a component are compared in one place or, beyond TILE, tile by tile: MinHash values STEP by STEP, a
-       pair being dropped when the posterior probability of reaching the threshold is under TOLERANCE. What is left
-       is counted exactly over the shingles' 64-bit hashes. Only counts and a root for each node leave the task.
+    2. Nodes meet in the buckets of BANDS bands of MinHash values; of buckets with the same nodes one is looked at. There signatures, not
+       texts, are compared STEP values at a time, a pair being dropped when the posterior probability of reaching the threshold is
+       under TOLERANCE. Each node that may be linked is tied to one other, so there are fewer ties than nodes, and texts that
+       only resemble each other, as pages of a template do, aren't tied at all.
+    3. Components of these ties hold all pairs that may be linked. Their texts are compared in one place or, beyond TILE texts or
+       TILE_WORDS words, tile by tile: pruned as before, then counted exactly over the shingles' 64-bit hashes. Only counts and a root for each node leave the task.
     4. Components of these roots are the classes.
 
     A pair is lost only if it meets under no band or is pruned; at the threshold the first has probability
     (1 - threshold ** ROWS) ** BANDS, and both fall fast above it. Texts of fewer than width words have one shingle of all. Texts
     without words, null ones among them, are copies of each other. Null ids: the class has the least id that isn't null.
-    Repeated rows are copies. An empty table gives no rows. Other columns are left out.
+    Repeated rows are copies. Ids are numbers or strings. A text may be of any length below 2 GB; one is held whole by its task, with
+    about ten times its size for numbers. An empty table gives no rows. Other columns are left out.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     plain = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     seed = 0
     while True:
-        signed = checkpointed(plain.mapInArrow(_sign(width, seed), f"id {kind}, text_hash long, node long, proof long, bands array<long>"))
-        nodes = checkpointed(signed.groupBy("node").agg(F.count("*").alias("copies"), F.min("id").alias("id"), F.min("proof").alias("p"), F.max("proof").alias("q")))
+        signed = checkpointed(plain.mapInArrow(_sign(width, seed), f"id {kind}, text_hash long, node long, proof long, size long, bands array<long>, signature binary"))
+        held = (F.count("*").alias("copies"), F.min("id").alias("id"), F.min("proof").alias("p"), F.max("proof").alias("q"), F.max("size").alias("size"))
+        nodes = checkpointed(signed.groupBy("node").agg(*held))
         if nodes.filter("p != q").isEmpty():
             break
         seed += 1  # two word sequences share 64 bits of their 128-bit digest: draw anew
     keyed = signed.filter("bands is not null").select("node", F.explode("bands").alias("key"))
-    hubs = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub != last").select("key", "hub")
-    ties = keyed.join(hubs, "key").filter("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    member = components(ties)
-    sizes = member.groupBy("component").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    # a bucket's nodes are told by their least, greatest, number and sums of halves; a node of several tasks comes as often in each of its buckets
+    halves = (F.col("node").bitwiseAND(0x7FFFFFFF), F.shiftrightunsigned("node", 31).bitwiseAND(0x7FFFFFFF))
+    buckets = keyed.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count("*").alias("n"), *(F.sum(h).alias(f"sum{k}") for k, h in enumerate(halves))).filter("least != most")
+    buckets = checkpointed(buckets.groupBy("least", "most", "n", "sum0", "sum1").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / BUCKET_TILE).cast("int").alias("tiles")))
+    met = checkpointed(keyed.join(buckets, "key"))
+    signatures = signed.filter("signature is not null").select("node", "signature")
+    signatures = signatures.join(met.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("signature").alias("signature"))
+    dealt = met.distinct().join(signatures, "node").withColumn("tile", F.pmod(F.xxhash64("node"), "tiles").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    dealt = dealt.select("key", F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), "tile", "node", "signature")
+    in_buckets = dealt.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "node")
+    member = components(in_buckets.mapInArrow(_prune(threshold), "a long, b long"))
+    sizes = member.join(nodes.select("node", "size"), "node").groupBy("component").agg(F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("size") / TILE_WORDS)).cast("int").alias("tiles"))
     tiled = member.join(sizes, "component").join(nodes.select("node", "copies"), "node")
     tiled = tiled.withColumn("tile", F.pmod(F.xxhash64("node"), "tiles").cast("int"))
     texts = docs.select(text_col).mapInArrow(_texts_of_nodes(seed), "node long, text string")
@@ -331,6 +423,6 @@ def similar_documents(docs: DataFrame, threshold: float = 0.8, width: int = 5, i
     known = checkpointed(known.withColumn("class", F.coalesce("component", "node")))
     least = known.groupBy("class").agg(F.min("id").alias("class_id"))
     answers = known.join(least, "class").select(
-        "node", "class_id", (F.coalesce("documents", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("texts", F.lit(0)).cast("long").alias("n_texts"), "copies"
+        "node", F.col("class").alias("class_node"), "class_id", (F.coalesce("documents", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("texts", F.lit(0)).cast("long").alias("n_texts"), "copies"
     )
-    return signed.select("id", "text_hash", "node").join(answers, "node").select(F.col("id").alias(id_col), "text_hash", "class_id", "n_links", "n_texts", "copies")
+    return signed.select("id", "text_hash", "node").join(answers, "node").select(F.col("id").alias(id_col), "text_hash", "class_node", "class_id", "n_links", "n_texts", "copies")
