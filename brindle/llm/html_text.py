@@ -42,6 +42,12 @@ _NOT_ARTICLE = re.compile(
 _MODIFIER = re.compile(r"(?:^|\s)(?:has|with|without|no|is|show|hide)[_-]\S*", re.I)
 #: Words of _NOT_ARTICLE that also head parts of articles.
 _EITHER = re.compile(r"(?:^|[\s_-])(?:notice|alert|side|rail|header|discussion|related|search|share|sharing|social|respond|replies|reply|overlay|skip|copyright|recommend\w*)(?=$|[\s_-])", re.I)
+#: Names of what readers write below an article.
+_READERS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|disqus|respond|replies)(?:$|[\s_-])", re.I)
+#: Names that say the opposite, whatever else is said beside them.
+_ARTICLE = re.compile(r"(?:^|\s)(?:article|post|entry|story|content|main)(?:[_-](?:body|content|text|main))?(?:$|\s)", re.I)
+#: Text outside links, in characters, that may be an article by itself.
+_ENOUGH = 200
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(.*?)(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
@@ -49,8 +55,8 @@ _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|(
 _SPACE = re.compile(r"\s+")
 
 
-#: How sure it is that an element isn't of the article.
-PERHAPS, NAMED, SURE = 1, 2, 3
+#: How sure it is that an element isn't of the article; HEADER: a header element, which is one of an article if it holds its title.
+PERHAPS, NAMED, HEADER, SURE = 1, 2, 3, 4
 
 
 class Node:
@@ -63,7 +69,9 @@ class Node:
 
 
 def _skipped(name: str, attributes: str) -> int:
-    """Whether an element is left out: SURE, NAMED if its class or id says so, PERHAPS if these may name a part of an article too, or 0."""
+    """Whether an element is left out: SURE, HEADER, NAMED if its class or id says so, PERHAPS if these may name a part of an article too, or 0."""
+    if name == "header":
+        return HEADER
     if name in _HIDDEN and name != "form":
         return SURE
     found = NAMED if name == "form" else 0
@@ -74,7 +82,8 @@ def _skipped(name: str, attributes: str) -> int:
         if key in ("class", "id"):
             value = _MODIFIER.sub(" ", value)
             if _NOT_ARTICLE.search(value):
-                found = max(found, NAMED if _NOT_ARTICLE.search(_EITHER.sub(" ", value)) else PERHAPS)
+                sure = _NOT_ARTICLE.search(_EITHER.sub(" ", value)) and not _ARTICLE.search(value)
+                found = max(found, NAMED if sure or key == "id" and _READERS.search(value) else PERHAPS)
         if key == "role" and value.strip().lower() in _ROLES:
             found = NAMED if value.strip().lower() == "form" else SURE
             if found == SURE:
@@ -89,39 +98,57 @@ def _skipped(name: str, attributes: str) -> int:
 def settle(root: Node) -> None:
     """Keep elements left out by their names alone that can't be beside the article.
 
-    These hold all article and main elements of the page or, where it has none, an h1 element or most of the text outside
-    links; and, inside an article or main element, those of a name in doubt that hold a paragraph and more than links.
+    These hold all article and main elements of the page. Where it has none: if there is an article's text outside all of them,
+    only those that hold an h1 element (and none is outside); else those with most of the text outside links, readers' comments
+    last. Inside an article or main element, those of a name in doubt stay that hold a paragraph and more than links, and
+    a header that holds a heading.
     """
-    nodes, stack = [], [(root, False)]
+    nodes, stack = [], [(root, False, False)]
     while stack:
-        node, within = stack.pop()
-        nodes.append((node, within))
-        stack.extend((c, within or node.name in ("article", "main")) for c in node.children if not isinstance(c, str) and (not c.skip or c.doubt))
-    if not any(node.doubt for node, _ in nodes):
+        node, within, doubted = stack.pop()
+        nodes.append((node, within, doubted))
+        under = within or node.name in ("article", "main")
+        stack.extend((c, under, doubted or c.doubt > 0) for c in node.children if not isinstance(c, str) and (not c.skip or c.doubt))
+    if not any(node.doubt for node, _, _ in nodes):
         return
-    own: dict[Node, tuple[int, int, int, bool, bool]] = {}
-    for node, _ in reversed(nodes):
-        text, links, articles, heads, paragraphs = 0, 0, 0, node.name == "h1", node.name == "p"
+    own: dict[Node, tuple[int, int, int, int, int, bool]] = {}
+    outside = heads_outside = 0
+    for node, _, doubted in reversed(nodes):
+        text, links, articles, titles, heads, paragraphs = 0, 0, 0, int(node.name == "h1"), int(node.name in _HEADINGS), node.name == "p"
+        direct = sum(len(c) - sum(map(c.count, " \n\t\r")) for c in node.children if isinstance(c, str))
+        text += direct
         for child in node.children:
-            if isinstance(child, str):
-                text += len(child) - sum(map(child.count, " \n\t\r"))
-            elif child in own:
-                t, n, a, h, p = own[child]
-                text, links, articles, heads, paragraphs = text + t, links + n, articles + a, heads or h, paragraphs or p
+            if not isinstance(child, str) and child in own:
+                t, n, a, h1, h, p = own[child]
+                text, links, articles, titles, heads, paragraphs = text + t, links + n, articles + a, titles + h1, heads + h, paragraphs or p
         if node.name == "a":
             text, links = 0, text + links
-        own[node] = text, links, articles + (node.name in ("article", "main") and text > 0), heads, paragraphs
+        if not doubted:
+            heads_outside += node.name == "h1"
+            outside += direct if node.name != "a" and not any(x.name == "a" for x in _above(node)) else 0
+        own[node] = text, links, articles + (node.name in ("article", "main") and text > 0), titles, heads, paragraphs
     whole, _, all_articles, *_ = own[root]
-    for node, within in nodes:
-        text, links, articles, heads, paragraphs = own[node]
+    for node, within, _ in nodes:
+        text, links, articles, titles, heads, paragraphs = own[node]
         if not node.doubt:
             continue
         if within:
-            node.skip = not (node.doubt == PERHAPS and paragraphs and text > links)
+            node.skip = not (heads > 0 if node.doubt == HEADER else node.doubt == PERHAPS and paragraphs and text > links)
         elif all_articles:
             node.skip = articles < all_articles
+        elif outside >= _ENOUGH:
+            node.skip = not (titles and not heads_outside and text > links)
         else:
-            node.skip = not (heads or text * 2 > whole)
+            node.skip = node.doubt == HEADER or not (titles or text * 2 > whole)
+
+
+def _above(node: Node) -> Iterator[Node]:
+    """The closest elements around a node; links don't lie deeper than these."""
+    for _ in range(4):
+        node = node.parent
+        if node is None:
+            return
+        yield node
 
 
 def parse(source: str) -> Node:
@@ -257,7 +284,7 @@ def main_nodes(root: Node) -> tuple[list[Node], float]:
         up = up.parent
 
     def joins(node: Node) -> bool:
-        reaches = node.density >= threshold * (1 - 1e-9) or node.name in _HEADINGS or node.name == "p"
+        reaches = node.density >= threshold * (1 - 1e-9) and node.chars * 20 >= up.chars or node.name in _HEADINGS or node.name == "p"
         return node is up or reaches and node.link_chars * 2 <= node.chars
 
     return [c for c in up.parent.children if not isinstance(c, str) and not c.skip and c.chars and joins(c)], threshold
