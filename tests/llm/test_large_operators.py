@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from brindle.llm import mixing, near_dups, neighbours, quality, queries, repeats
+from brindle.llm import chat, fingerprints, html_text, mixing, near_dups, neighbours, packing, quality, queries, repeats, sharding
 from brindle.llm.words import Words, minhashes, shingles
 from tests.conftest import SF
 
@@ -77,10 +77,11 @@ def similar(spark):
     return spark.createDataFrame([(i, t, "x", 1, 2) for i, t in near_rows()], "doc_id long, text string, node string, copies int, bands int")
 
 
-@pytest.mark.parametrize("tile", [512, 2])
-def test_similar_documents(spark, similar, tile, monkeypatch):
+@pytest.mark.parametrize("tile, bucket", [(512, 4096), (2, 2)])
+def test_similar_documents(spark, similar, tile, bucket, monkeypatch):
     monkeypatch.setattr(near_dups, "TILE", tile)
-    got = near_dups.similar_documents(similar).drop("text_hash")
+    monkeypatch.setattr(near_dups, "BUCKET_TILE", bucket)
+    got = near_dups.similar_documents(similar).drop("text_hash", "class_node")
     assert Counter(map(tuple, got.collect())) == brute_classes(near_rows())
 
 
@@ -93,6 +94,58 @@ def test_similar_documents_at_small_scale(spark):
     assert Counter(map(tuple, queries.op7_near_dups(spark, SF).collect())) == brute_classes(rows)
 
 
+def test_texts_that_only_resemble_each_other_are_not_compared(spark, monkeypatch):
+    # a chain in which neighbours share three fifths of their shingles: under the bands, not near the threshold
+    rng = random.Random(6)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(12_000)]
+    rows = [(k, " ".join(words[25 * k : 25 * k + 100])) for k in range(400)]
+    seen = []
+    real = near_dups.components
+    monkeypatch.setattr(near_dups, "components", lambda edges: seen.append(edges.count()) or real(edges))
+    got = near_dups.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r["class_id"] == r["doc_id"] and r["n_links"] == 0 for r in got) and seen[0] < 100
+
+
+def brute_buckets(rows, width=5):
+    """Pairs of different word sequences whose similarity is 0.8 or more, found from shared shingles."""
+    sets = {}
+    for _, t in rows:
+        w = tuple(WORDS.findall((t or "").lower()))
+        if w:
+            sets.setdefault(w, {hash(x) for x in shingle_set(t)})
+    where = defaultdict(list)
+    listed = list(sets)
+    for k, w in enumerate(listed):
+        for x in sets[w]:
+            where[x].append(k)
+    common = Counter()
+    for own in where.values():
+        for i, a in enumerate(own):
+            for b in own[:i]:
+                common[a, b] += 1
+    return {frozenset((listed[a], listed[b])) for (a, b), n in common.items() if n / (len(sets[listed[a]]) + len(sets[listed[b]]) - n) >= 0.8}
+
+
+def test_similar_documents_at_middle_scale(spark):
+    sf = SF.replace("0.001", "0.01")
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    links = brute_buckets(rows)
+    words = {i: tuple(WORDS.findall((t or "").lower())) for i, t in rows}
+    others = Counter(w for pair in links for w in pair)
+    copies = Counter(words.values())
+    docs = Counter()
+    for pair in links:
+        a, b = pair
+        docs[a] += copies[b]
+        docs[b] += copies[a]
+    got = {r["doc_id"]: r for r in queries.op7_near_dups(spark, sf).collect()}
+    assert len(got) == len(rows) and links
+    for i, w in words.items():
+        assert (got[i]["n_texts"], got[i]["copies"], got[i]["n_links"]) == (others[w], copies[w], docs[w] + copies[w] - 1)
+    for a, b in map(tuple, links):
+        assert len({got[i]["class_id"] for i, w in words.items() if w in (a, b)}) == 1
+
+
 def test_exact_counts_both_ways():
     rng = np.random.default_rng(4)
     sets = [np.unique(rng.integers(0, 3000, rng.integers(1, 900)).astype(np.uint64)) for _ in range(60)]
@@ -141,92 +194,121 @@ def test_components(spark):
     assert len({(root(k), got[k]) for k in nodes}) == len({root(k) for k in nodes}) == len(set(got.values()))
 
 
+def norm(s):
+    return tuple(WORDS.findall(s.lower()))
+
+
+def sentences(line):
+    """Ranges of a line's sentences; those without words go with the one before."""
+    cuts = sorted({0, len(line), *(m.end() for m in re.finditer(r"[.!?][ \t\r]+", line))})
+    out = []
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if out and not (norm(line[a:b]) and norm(line[out[-1][0] : out[-1][1]])):
+            out[-1][1] = b
+        else:
+            out.append([a, b])
+    return out
+
+
+def brute_repeats(texts, least):
+    """The text left and the ranges that go, for each of texts in order, in plain Python."""
+    seen, out = set(), []
+    for text in texts:
+        text, at, units = text or "", 0, []  # line, its range, its words, the sentence's range and words
+        for k, line in enumerate(text.split("\n")):
+            stop = min(at + len(line) + 1, len(text))
+            if norm(line):
+                units += [(k, (at, stop), norm(line), (at + a, at + b), norm(line[a:b])) for a, b in sentences(line)]
+            at += len(line) + 1
+        gone, flags = set(), []
+        for k, line in {u[0]: u[2] for u in units}.items():
+            if ("line", line) in seen:
+                gone.add(k)
+            seen.add(("line", line))
+        for u in units:
+            flags.append(u[4] in seen)
+            seen.add(u[4])
+        begin = 0
+        while begin < len(units):
+            end = begin
+            while end < len(units) and flags[end]:
+                end += 1
+            if least is None or sum(len(u[4]) for u in units[begin:end] if len(u[4]) >= 4) < least:
+                flags[begin:end] = [False] * (end - begin)
+            begin = max(end, begin + 1)
+        flags = [f or u[0] in gone for f, u in zip(flags, units, strict=True)]
+        whole = {k for k in {u[0] for u in units} if all(f for f, u in zip(flags, units, strict=True) if u[0] == k)}
+        cut = []
+        for f, u in zip(flags, units, strict=True):
+            a, b = u[1] if u[0] in whole else u[3]
+            if f and cut and (cut[-1][1] == a or cut[-1] == [a, b] or cut[-1][1] == b):
+                cut[-1][1] = b
+            elif f:
+                cut.append([a, b])
+        left, at = "", 0
+        for a, b in cut:
+            left, at = left + text[at:a], b
+        out.append((left + text[at:], [tuple(x) for x in cut]))
+    return out
+
+
+def removed(rows):
+    return [(r["text"], [tuple(x) for x in r["removed"]]) for r in rows]
+
+
+@pytest.mark.parametrize("least", [None, 1, repeats.PASSAGE_WORDS])
+def test_repeats_at_small_scale(spark, least):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    texts = [r["text"] for r in docs.orderBy("doc_id").collect()]
+    want = brute_repeats(texts, least)
+    assert removed(repeats.remove_repeats(docs, least).orderBy("doc_id").collect()) == want
+    assert sum(len(x) for _, x in want) > 50
+
+
 def test_repeats_of_planted_passages(spark):
     rng = random.Random(7)
-    passage = [sentence(rng, 55, 10**6), sentence(rng, 70, 10**6).replace(" ", ". ", 3)]
-    own = lambda n: sentence(rng, n, 10**6)
+    passage = [sentence(rng, 55, 10**6) + ".", sentence(rng, 70, 10**6).replace(" ", ". ", 3) + "!"]
+    own = lambda n: sentence(rng, n, 10**6) + "."
     line = "All rights reserved by us."
     rows = [
-        (1, f"{own(30)} {passage[0]} {own(20)}\n{line}\n{own(9)}"), (2, f"{own(10)} {passage[0].upper()} {own(12)}\n{line}"), (3, f"{own(12)}\n{passage[0]}\n{own(8)}\n{line}"),
-        (4, own(40) + " İİ ẞ K " + own(3)), (5, f"İstanbul Ⱥ {own(5)} {passage[1]}"), (6, f"{passage[1]}\n{own(5)} é🙂 {passage[1]} ß {own(7)}"), (7, ""), (8, None), (9, passage[0]), (None, f"{own(4)} {passage[0]}"), (9, passage[0]), (9, "other text of nine"),
+        (1, f"{own(30)} {passage[0]} {own(20)}\n{line}\n{own(9)}"), (2, f"{own(10)} {passage[0].upper()} {own(12)}\n- {line}"), (3, f"{own(12)}\n{passage[0]}\n\n{own(8)}\n{line}\n{line}"),
+        (4, own(40) + " İİ ẞ K " + own(3)), (5, f"İstanbul Ⱥ {own(5)} {passage[1]}"), (6, f"{passage[1]}\n{own(5)} é🙂 x. {passage[1]} ß {own(7)}"), (7, ""), (8, None), (9, passage[0]),
+        (10, "\n . \n?!\n"), (11, "one. two. three. one. two. three."), (12, "one. two.\n\n\nthree."), (13, "x. \n y.  z. ... \n"), (14, (own(300) + " ") * 40),
     ]
-    table = spark.createDataFrame([(i, t, 0, 0, "r") for i, t in rows], "doc_id long, text string, unit int, digest int, Removed string")
-    got = repeats.remove_repeats(table).collect()
-    assert len(got) == len(rows)
-    text = {(i, t): None for i, t in rows}
-    for r in got:
-        given = [t for i, t in rows if i == r["doc_id"] and (i != 9 or (t == passage[0]) == (r["text"] != "other text of nine"))][0]
-        cut, at = [], 0
-        for s in r["removed"]:
-            cut.append((given or "")[at : s["start"]])
-            at = s["end"]
-        assert (given is None and r["text"] is None) or "".join([*cut, given[at:]]) == r["text"]
-        text[r["doc_id"], given] = r["text"]
-    by = {i: text[i, t] for i, t in rows if i != 9}
-    assert by[1] == rows[0][1] and by[4] == rows[3][1] and by[5] == rows[4][1] and by[7] == "" and by[8] is None
-    left = lambda x, p: len(set(x.lower().split()) & set(p.lower().split()))
-    for k in (2, 3, None):
-        assert left(by[k], passage[0]) < 25 and line.split()[0] in by[k] if k else True
-    assert left(by[6], passage[1]) < 30 and "é🙂" in by[6]
-    assert text[9, passage[0]] == "" and text[9, "other text of nine"] == "other text of nine"
+    table = spark.createDataFrame([(i, t, 0, 0, "r") for i, t in rows], "doc_id long, text string, unit int, digest int, Removed string").repartition(4)
+    for least in (None, 1, 40):
+        got = repeats.remove_repeats(table, least).orderBy("doc_id").collect()
+        want = brute_repeats([t for _, t in rows], least)
+        assert [(r["text"] or "", [tuple(x) for x in r["removed"]]) for r in got] == want
+        for (_, given), r in zip(rows, got, strict=True):
+            kept, at = [], 0
+            for x in r["removed"]:
+                kept.append(given[at : x["start"]])
+                at = x["end"]
+            assert r["text"] == (None if given is None else "".join([*kept, given[at:]]))
+    by = {r["doc_id"]: r["text"] for r in got}
+    assert by[1] == rows[0][1] and by[8] is None and by[9] == "" and passage[0] not in by[3] and passage[0].upper() not in by[2] and passage[1] not in by[6] and "é🙂" in by[6]
     assert repeats.remove_repeats(table.limit(0)).collect() == []
 
 
-def test_short_repeated_lines_go(spark):
-    rng = random.Random(12)
-    own = lambda n: sentence(rng, n, 10**6)
-    line = "Licensed under the terms. See the file for them."
-    a, b, c, d = own(30), own(30), own(30), own(9)
-    rows = [(1, f"{a}\n{line}\n{b}"), (2, f"{c}\n- {line.upper()}\n{d}"), (3, f"{d} {line}\n{own(6)} {line} {own(6)}"), (4, f"x\n{line}\nx\ny"), (5, line)]
-    table = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: r["text"] for r in repeats.remove_repeats(table, lines=True).collect()}
-    # the earliest stays, and words inside a longer line of its own are no repeated line
-    assert got == {1: rows[0][1], 2: f"{c}\n- {d}", 3: rows[2][1], 4: "x\ny", 5: ""}
-    assert [r["text"] for r in repeats.remove_repeats(table).orderBy("doc_id").collect()] == [t for _, t in rows]
-    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
-    assert {r["doc_id"]: r["text"] for r in corpus_pipeline.cut_repeats(spark, docs, "").collect()} == got
-
-
-def brute_units(text):
-    """(words, digest key) of units by the same rule, in plain Python."""
-    units = repeats.Units([text])
-    return [int(d) for d in units.digest], units.words.tolist()
-
-
-def test_repeats_at_small_scale(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
-    seen, want = set(), {}
-    for i, t in rows:
-        digests, words = brute_units(t)
-        flags = []
-        for d in digests:
-            flags.append(d in seen)
-            seen.add(d)
-        n, run = 0, 0
-        for f, w in zip([*flags, False], [*words, 0], strict=True):
-            if f:
-                run += w
-            else:
-                n += run >= repeats.LEAST_WORDS
-                run = 0
-        want[i] = n
-    got = {r["doc_id"]: r for r in queries.op4_repeats(spark, SF).collect()}
-    assert {i: r["n_removed"] for i, r in got.items()} == want and sum(want.values()) > 3
-    text = dict(rows)
-    for i, r in got.items():
-        assert (r["text"] == text[i]) == (r["n_removed"] == 0)
+def test_repeats_of_repeated_ids(spark):
+    rows = [(9, "a line"), (9, "a line"), (9, "other text"), (None, "a line\nx"), (None, "other text"), ("s", "z")]
+    for kind, cast in (("long", lambda i: None if i == "s" else i), ("string", lambda i: None if i is None else str(i))):
+        table = spark.createDataFrame([(cast(i), t) for i, t in rows], f"doc_id {kind}, text string")
+        got = Counter((r["doc_id"], r["text"]) for r in repeats.remove_repeats(table).collect())
+        nine = cast(9)
+        assert got == Counter({(nine, "a line"): 2, (nine, "other text"): 1, (None, "x"): 1, (None, ""): 1, (cast("s"), "z"): 1})
 
 
 def test_units_don_t_depend_on_their_batch():
     rng = random.Random(3)
-    texts = [sentence(rng, n) for n in (0, 1, 2, 50, 500)] + ["\n\n a b \n c", "x"]
+    texts = [sentence(rng, n).replace(" ", ". ", n // 7) for n in (0, 1, 2, 50, 500)] + ["\n\n a b. \n c", "x"]
     together = repeats.Units(texts)
     for k, t in enumerate(texts):
         alone = repeats.Units([t])
         low, high = together.first[k], together.first[k + 1]
-        for name in ("digest", "words", "start", "inner", "outer", "leads", "index"):
-            assert getattr(alone, name).tolist() == getattr(together, name)[low:high].tolist(), name
+        for name, base in (("digest", 0), ("words", 0), ("start", together.at[k]), ("end", together.at[k])):
+            assert getattr(alone, name).tolist() == (getattr(together, name)[low:high] - base).tolist(), name
 
 
 def test_quality(spark):
@@ -293,6 +375,48 @@ def test_neighbours_of_odd_rows(spark):
     assert neighbours.nearest_neighbours(table.limit(0), F.col("vec_id") % 50 == 0).collect() == []
 
 
+@pytest.mark.parametrize("hot", [False, True])
+def test_neighbours_in_cells(spark, hot):
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((200, 32))
+    x = centres[rng.integers(200, size=30_000)] + 0.25 * rng.standard_normal((30_000, 32))
+    if hot:
+        x[:10_000] = x[0] + 0.001 * rng.standard_normal((10_000, 32))
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(set)
+    for r in neighbours.nearest_neighbours(table, F.col("vec_id") % 100 == 0).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    units = x / np.linalg.norm(x, axis=1)[:, None]
+    hits = 0
+    for q in range(0, 30_000, 100):
+        near = units @ units[q]
+        near[q] = -9
+        hits += len(got[q] & set(np.argsort(-near, kind="stable")[:5].tolist()))
+    assert hits >= 0.93 * 5 * 300
+    # few cells are asked, and few rows of a cell are candidates
+    sample = x[rng.permutation(30_000)[:8192]]
+    routes, reach = neighbours.fit_routes(sample, 5, 4, 0.98)
+    asked = np.mean([routes.weight[c].sum() for c in routes.asked(sample[:200], reach)])
+    part = x[routes.cell(x) == int(np.argsort(routes.weight)[len(routes.weight) // 2])][:8192]
+    assert asked * neighbours.fit_share(part, 5, 0.98) < 0.1
+
+
+def test_cells_are_prefixes():
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((4000, 12)) * np.arange(12, 0, -1)
+    routes = neighbours.Routes(x, 40)
+    cell = routes.cell(x)
+    bits = routes.project(x) > 0
+    assert len(set(cell.tolist())) == len(routes.starts) > 30
+    for c in range(len(routes.starts)):
+        n = routes.size[c]
+        same = (bits[:, :n] == (routes.signs[c, :n] > 0)).all(1)
+        assert (same == (cell == c)).all()
+    for q, asked in zip(range(20), routes.asked(x[:20], 0.5), strict=True):
+        assert asked[0] == cell[q] and sorted(set(asked.tolist())) == sorted(asked.tolist())
+        assert len(routes.asked(x[q : q + 1], 1.0)[0]) == len(routes.starts)
+
+
 def test_recall_of_neighbours(spark):
     sf = SF.replace("0.001", "0.1")
     rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
@@ -332,7 +456,7 @@ def pipeline_dir(spark, tmp_path_factory):
         if k % 20 == 3:
             text = docs[-1][1] if k % 40 == 3 else docs[-1][1] + " more words"
         if k % 50 in (7, 8):
-            text = f"{text} {passage} {sentence(rng, 5, 10**6)}"
+            text = f"{text} {passage}. {sentence(rng, 5, 10**6)}"
         docs.append((k, text, "en", f"s{k % 4 if k % 3 else 0}", len(text)))
         if k % 2:
             labels.append((k, int("%%%" not in text), 0))
@@ -341,6 +465,15 @@ def pipeline_dir(spark, tmp_path_factory):
     return str(folder), docs, passage
 
 
+def removed_texts(rows):
+    return [(r["doc_id"], r["text"]) for r in rows]
+
+
+def brute_stage(rows):
+    rows = sorted(rows, key=lambda r: r["doc_id"])
+    return [(r["doc_id"], t) for r, (t, _) in zip(rows, brute_repeats([r["text"] for r in rows], repeats.PASSAGE_WORDS), strict=True)]
+
+
 def test_pipeline_stages(spark, pipeline_dir):
     folder, docs, passage = pipeline_dir
     text = {r[0]: r[1] for r in docs}
@@ -356,7 +489,8 @@ def test_pipeline_stages(spark, pipeline_dir):
     rows = cut.collect()
     assert cut.columns == names and len(rows) == one.count() and all(r["n_chars"] == len(r["text"]) for r in rows)
     first = min(r["doc_id"] for r in rows if passage in text[r["doc_id"]])
-    assert all((r["text"] != text[r["doc_id"]]) == (passage in text[r["doc_id"]] and r["doc_id"] != first) for r in rows)
+    assert all((passage in r["text"]) == (r["doc_id"] == first) for r in rows if passage in text[r["doc_id"]])
+    assert Counter(map(str, removed_texts(rows))) == Counter(map(str, brute_stage(one.collect())))
     mixed = stages[3](spark, cut, folder)
     plan = {r["doc_id"]: r for r in mixing.mix_documents(cut).collect()}
     times = Counter(r["doc_id"] for r in mixed.collect())
@@ -377,3 +511,56 @@ def test_pipeline_keeps_one_of_repeated_rows(spark, pipeline_dir):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, table.limit(0), folder).collect() == []
         stage(spark, table, folder).collect()
+
+
+NAMES = "_id _label _start _value _score _predicted _source _end _epochs _place _times _tie _of_tie _units _key _hash _kept _n _counts _statistics _draw _bin _bucket _rank _at_0 _removed node bands size class_id"
+
+
+@pytest.fixture(scope="module")
+def clashing(spark, pipeline_dir):
+    """Documents with columns that are called as operators might call theirs, each with its own name as value."""
+    docs = spark.read.parquet(f"{pipeline_dir[0]}/documents.parquet")
+    return docs.select("*", *(F.lit(n).alias(n) for n in NAMES.split()))
+
+
+def kept_whole(rows, names):
+    rows = rows.collect()
+    assert rows and all(r[n] == n for r in rows for n in names)
+    return rows
+
+
+def test_names_that_clash(spark, clashing, pipeline_dir):
+    folder, names = pipeline_dir[0], NAMES.split()
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    model = quality.train_quality(clashing, labels)
+    kept_whole(quality.score_documents(clashing, model), names)
+    kept_whole(repeats.remove_repeats(clashing, 40), names)
+    kept_whole(mixing.take_documents(clashing), names)
+    pieces = packing.tokenize_documents(clashing, queries.tokenizer_path()).select("*", *(F.lit(n).alias(n) for n in names))
+    kept_whole(packing.pack_pieces(pieces), names)
+    n = clashing.count()
+    assert sharding.shard_documents(clashing, n_shards=3).count() == fingerprints.fingerprint_edits(clashing).count() == near_dups.similar_documents(clashing).count() == n
+    docs = clashing
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, folder)
+        assert docs.columns == clashing.columns, name
+    kept_whole(docs, names)
+    assert corpus_pipeline.STAGES[-1][1](spark, clashing, folder).count() >= n
+
+
+def test_string_ids_and_long_texts(spark):
+    rng = random.Random(14)
+    long = sentence(rng, 200_000, 10**6)
+    rows = [(f"d{k}", t, "en", "s", 0) for k, t in enumerate([long, long + " more", "short text", None, "", long[:1_000_000] + ". end"])]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, lang string, source string, n_chars long")
+    assert fingerprints.fingerprint_edits(docs).count() == sharding.shard_documents(docs, n_shards=2).count() == 6
+    assert {r["class_id"] for r in near_dups.similar_documents(docs).collect() if r["doc_id"] in ("d0", "d1")} == {"d0"}
+    assert removed(repeats.remove_repeats(docs, 40).orderBy("doc_id").collect())[2:3] == [("short text", [])]
+    model = quality.train_quality(docs, spark.createDataFrame([], "doc_id string, quality int"))
+    assert quality.score_documents(docs, model).count() == 6
+    assert mixing.mix_documents(docs).agg(F.sum("size")).first()[0] > 400_000
+    assert packing.pack_pieces(packing.tokenize_documents(docs, queries.tokenizer_path())).count() > 200
+    page = spark.createDataFrame([("p", f"<article><p>{long}</article>")], "page_id string, html string")
+    assert html_text.extract_pages(page).first()["text"] == long
+    talk = spark.createDataFrame([("c", 0, "user", long), ("c", 1, "assistant", long)], "conv_id string, turn long, role string, text string")
+    assert [r["targets"] for r in chat.read_windows(chat.format_conversations(talk)).orderBy("window").collect()] == [[], [long]]

@@ -93,6 +93,26 @@ def test_shards_beside_a_hot_group(spark):
     assert len(sizes) == 8 and sizes[6:] == [250 * 101, 500 * 101] and sizes[5] < 1.02 * sizes[0]
 
 
+@pytest.mark.parametrize("asked", [{"n_shards": 60}, {"n_shards": 21}, {"capacity": 9000}])
+def test_many_shards(spark, asked, monkeypatch):
+    monkeypatch.setattr(sharding, "DRIVER_SHARDS", 20)
+    monkeypatch.setattr(sharding, "CELL_SHARDS", 8)
+    rng = np.random.default_rng(1)
+    weight = {bytes([k % 256, k // 256]): int(rng.integers(50, 150)) for k in range(6000)} | {b"hot": 100_000, b"warm": 30_000}
+    groups = spark.createDataFrame(list(weight.items()), "`group` binary, weight long")
+    found, n = sharding.assign_shards(groups, **asked)
+    rows = found.collect()
+    sums = Counter()
+    for r in rows:
+        sums[r["shard"]] += weight[bytes(r["group"])]
+    assert len(rows) == len(weight) and sorted(sums) == list(range(n)) and n == asked.get("n_shards", n)
+    least, *_, warm, hot = sorted(sums.values())
+    if "capacity" in asked:
+        assert sum(w <= 9000 for w in sums.values()) == n - 2 and (warm, hot) == (30_000, 100_000) and n < 1.15 * (sum(weight.values()) - 130_000) / 9000 + 2
+    else:
+        assert hot == 100_000 and sorted(sums.values())[-3] < 1.3 * least
+
+
 def test_even_spread():
     assert sharding.spread_evenly([], 3) == [] and sharding.spread_evenly([5, 4], 1) == [0, 0]
     assert sharding.spread_evenly([90, 40, 3, 3, 2, 2], 4) == [0, 1, 2, 3, 2, 3]
@@ -219,6 +239,20 @@ def test_fingerprints(spark, docs, odd, which, monkeypatch):
     assert Counter((r["doc_id"], r["group_size"]) for r in grouped) == Counter((i, forms[fingerprints.canonical(t)]) for i, t in given)
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_fingerprints_of_wide_ids(spark, kind, monkeypatch):
+    monkeypatch.setattr(fingerprints, "PER_RANGE", 20)
+    rng = np.random.default_rng(3)
+    ids = [*rng.integers(-(2**63), 2**63 - 1, 2000).tolist(), *range(2**62, 2**62 + 200), *[None] * 300, *[5] * 200]
+    rows = [(i if i is None or kind == "long" else f"d{i}", f"text {k} " * (k % 5)) for k, i in enumerate(ids)]
+    table = spark.createDataFrame(rows, f"doc_id {kind}, text string").repartition(5)
+    hashes = {(r[0], r[1]): r[2] for r in table.select("doc_id", "text", F.xxhash64("text")).collect()}
+    least = 0 if kind == "long" else ""
+    rows.sort(key=lambda r: (r[0] is not None, least if r[0] is None else r[0], hashes[r]))
+    want = Counter((i, hashlib.sha256(fingerprints.edited(t, rows[(k + 1) % len(rows)][1]).encode()).hexdigest()) for k, (i, t) in enumerate(rows))
+    assert Counter((r["doc_id"], r["edited_sha256"]) for r in fingerprints.fingerprint_edits(table).collect()) == want
+
+
 def test_canonical_form():
     assert fingerprints.canonical("  ﬁNE  Straße \n") == "fine strasse"
     composed = unicodedata.normalize("NFC", "é")
@@ -285,6 +319,68 @@ def test_parts_of_an_article_by_name():
     assert html_text.main_text(f"<article>{parts}{beside}</article>") == "Opening words, which are many.\nDiscussion\nIt holds.\nOthers did too."
 
 
+def test_readers_are_left_out_without_article_elements():
+    menu = "<ul>" + "".join(f"<li><a href=/{k}>A page that is elsewhere {k}</a>" for k in range(8)) + "</ul>"
+    story, words = [f"Part {k} of it: " + "words " * 20 for k in range(3)], "".join(f"<p>Comment {k}: " + "other words " * 20 for k in range(9))
+    want = "\n".join(x.strip() for x in story)
+    body = "".join(f"<p>{x}" for x in story)
+    for name in ("class=comments", "id=respond", "class='post replies'"):
+        assert html_text.main_text(f"<body>{menu}<div class=story>{body}</div><section {name}>{words}</section></body>") == want, name
+    for name in ("article side-by-side", "post reply", "content has-sidebar"):
+        assert html_text.main_text(f"<body>{menu}<div class='{name}'>{body}</div></body>") == want, name
+    assert html_text.main_text(f"<article><header><h1>Title</h1></header>{body}</article>") == "Title\n" + want
+    assert html_text.main_text(f"<header><p>{story[0]}</p></header><div>{body}</div>") == want
+
+
+def plain_densities(node):
+    """(density, sum) of each node under one, from the formulas, by recursion."""
+    import math
+
+    def numbers(n):
+        chars, tags, link_chars, link_tags = 0, 0, 0, 0
+        for c in n.children:
+            if isinstance(c, str):
+                chars += sum(x != " " for x in c)
+            elif not c.skip:
+                a, b, d, e = numbers(c)
+                chars, tags, link_chars, link_tags = chars + a, tags + b + 1, link_chars + d, link_tags + e
+        return (chars, tags, chars, link_tags + 1) if n.name == "a" else (chars, tags, link_chars, link_tags)
+
+    whole = numbers(node)
+    out = {}
+
+    def density(n):
+        chars, tags, link_chars, link_tags = numbers(n)
+        tags, link_tags = max(1, tags), max(1, link_tags)
+        if not chars:
+            return 0.0
+        inside = chars / max(1, link_chars) * tags / link_tags
+        base = math.log(chars / max(1, chars - link_chars) * link_chars + whole[2] / max(1, whole[0]) * chars + math.e)
+        return chars / tags * math.log(inside) / base if inside > 1 else 0.0
+
+    def walk(n):
+        own = [c for c in n.children if not isinstance(c, str) and not c.skip]
+        out[n] = density(n), sum(map(density, own))
+        for c in own:
+            walk(c)
+
+    walk(node)
+    return out
+
+
+def test_densities_and_the_densest_subtree(spark):
+    pages = [r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
+    for page in pages:
+        plain = page.replace("<article", "<div").replace("</article", "</div")
+        root = html_text.parse(plain)
+        html_text.settle(root)
+        nodes = html_text.measure(root)
+        want = plain_densities(root)
+        assert all(n.density == pytest.approx(want[n][0]) and n.sum == pytest.approx(want[n][1]) for n in nodes) and len(want) == len(nodes)
+    same = [html_text.main_text(p) == html_text.main_text(p.replace("<article", "<div").replace("</article", "</div")) for p in pages]
+    assert np.mean(same) > 0.95  # the density finds what the element says
+
+
 def test_pages(spark):
     rows = queries.op9_html(spark, SF).collect()
     assert len(rows) == spark.read.parquet(f"{SF}/pages.parquet").count()
@@ -313,12 +409,14 @@ def want_chat(rows):
     return out
 
 
-@pytest.mark.parametrize("budget", [40, 200, 100_000])
-def test_chat_reads_back(spark, budget, monkeypatch):
+@pytest.mark.parametrize("long", [100, 3])
+@pytest.mark.parametrize("budget", [30, 200, 100_000])
+def test_chat_reads_back(spark, budget, long, monkeypatch):
+    monkeypatch.setattr(chat, "LONG", long)
     monkeypatch.setattr(chat, "PER_BLOCK", 2)
     turns = spark.createDataFrame(TURNS, "conv_id long, turn long, role string, text string, window int")
     windows = chat.format_conversations(turns, budget=budget)
-    read = chat.read_windows(windows).orderBy("conv_id", "window").collect()
+    read = chat.read_windows(windows).orderBy("conv_id", "part", "window").collect()
     lines, lost = defaultdict(list), defaultdict(list)
     for r in read:
         lines[r["conv_id"]] += [(t["role"], t["text"]) for t in r["turns"]]
@@ -327,12 +425,25 @@ def test_chat_reads_back(spark, budget, monkeypatch):
         assert len(lines[conv]) == n
         assert hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in lines[conv]).encode()).hexdigest() == turns_sha
         assert hashlib.sha256("".join(lost[conv]).encode()).hexdigest() == loss_sha and len("".join(lost[conv])) == chars
-    if budget == 40:
+    assert (max(r["part"] for r in read) > 0) == (long == 3)
+    if budget == 30:
         assert all(r["formatted"].startswith("<|im_start|>system\n") for r in windows.filter("conv_id = 1").collect())
         assert windows.filter("n_repeated > 0").count() > 2
     assert chat.format_conversations(turns.limit(0)).collect() == []
 
 
+def test_chat_query_of_long_conversations(spark, monkeypatch):
+    want = {r["conv_id"]: r[:5] for r in queries.op10_chat(spark, SF).collect()}
+    monkeypatch.setattr(chat, "LONG", 3)
+    monkeypatch.setattr(chat, "PER_BLOCK", 2)
+    assert {r["conv_id"]: r[:5] for r in queries.op10_chat(spark, SF).collect()} == want
+
+
+def test_chat_moves_texts_once(spark):
+    plan = chat.format_conversations(spark.read.parquet(f"{SF}/conversations.parquet"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Python" not in plan and "Arrow" not in plan
+
+
 def test_chat_query(spark):
     given = [tuple(r) for r in spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     said = "<|im_end|><|im_start|>assistant ok"
