@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm import mixing, near_dups, packing, quality, repeats
-from brindle.llm.common import shared_folder, spread, table
+from brindle.llm.common import fresh, shared_folder, spread, table
 from brindle.llm.queries import WINDOW, tokenizer_path
 
 #: Some stages can't be expressed in SQL; tests compare run() with brute force.
@@ -21,27 +21,36 @@ ORACLE_SQL = None
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject."""
     model = quality.train_quality(docs, table(spark, sf_dir, "labels"))
-    scored = quality.score_documents(docs, model, score_col="_score", predicted_col="_predicted")
-    return scored.filter("_predicted = 1").select(*docs.columns)
+    score, predicted = fresh(docs, "_score"), fresh(docs, "_predicted")
+    scored = quality.score_documents(docs, model, score_col=score, predicted_col=predicted)
+    return scored.filter(F.col(predicted) == 1).select(*docs.columns)
 
 
 def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of similar ones: that of the least id.
 
-    Repeated rows of it count as one; rows without an id can't be told apart and stay.
+    Repeated rows of it count as one, and so do rows of its id that are in the class too; of these the one with the least hash of its text
+    stays. Rows without an id can't be told apart and stay.
     """
-    found = near_dups.similar_documents(docs)
-    gone = found.filter("doc_id is not null and doc_id != class_id").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    twice = found.filter("doc_id = class_id").groupBy("class_id").count().filter("count > 1")
-    kept = docs.join(gone, (docs["doc_id"] == gone["_id"]) & (F.xxhash64(docs["text"]) == gone["_hash"]), "left_anti")
+    found = near_dups.similar_documents(docs).filter("doc_id is not null")
+    first = found.filter("doc_id = class_id").groupBy("class_node").agg(F.min("text_hash").alias("kept"), F.count("*").alias("n"))
+    id_, hash_, kept, n = (fresh(docs, c) for c in ("_id", "_hash", "_kept", "_n"))
+    marked = found.join(first, "class_node", "left")
+    gone = (F.col("doc_id") != F.col("class_id")) | (F.col("text_hash") != F.col("kept"))
+    of = marked.filter(gone).select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_)).distinct()
+    left = docs.join(of, (docs["doc_id"] == of[id_]) & (F.xxhash64(docs["text"]) == of[hash_]), "left_anti")
+    twice = found.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).filter("n > 1")
     if twice.isEmpty():
-        return kept
-    return kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))
+        return left
+    # rows that repeat as a whole text of one id: one of each stays
+    named = left.filter("doc_id is not null").withColumn(hash_, F.xxhash64("text"))
+    return named.dropDuplicates(["doc_id", hash_]).drop(hash_).unionByName(left.filter("doc_id is null"))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that an earlier one has too."""
-    shortened = repeats.remove_repeats(docs, spans_col="_removed", lines=True).drop("_removed")
+    """Documents without the lines and passages that an earlier one has too."""
+    removed = fresh(docs, "_removed")
+    shortened = repeats.remove_repeats(docs, passage_words=repeats.PASSAGE_WORDS, spans_col=removed).drop(removed)
     return shortened.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
