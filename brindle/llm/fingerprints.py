@@ -220,7 +220,9 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     dealt = held.select("id", "hash", "packed", F.inline(F.filter(places, lambda p: p.isNotNull()))).select("range", "kind", "id", "packed", F.lit(None).cast("binary").alias("digest"), "hash")
     several = rows.groupBy("digest").count().filter("count > 1").select("digest")
     nothing = (F.lit(None).cast(t).alias(n) for n, t in (("id", kind), ("packed", "binary")))
-    flags = ranged(rows.join(several, "digest")).select("range", F.lit(-1).alias("kind"), *nothing, "digest", F.lit(0).cast("long").alias("hash")).distinct()
+    # a digest meets the join once for each range at most, however common it is
+    flags = ranged(rows).select("range", "digest").distinct().join(several, "digest")
+    flags = flags.select("range", F.lit(-1).alias("kind"), *nothing, "digest", F.lit(0).cast("long").alias("hash"))
     spread = min(max(1, len(firsts)), 4 * partitions(docs))
     sorted_ = dealt.union(flags).repartition(spread, "range").sortWithinPartitions("range", "kind", "id", "hash", "packed")
     compared = checkpointed(sorted_.mapInArrow(_compare, f"id {kind}, {_COMPARED}"))
