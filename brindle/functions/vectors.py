@@ -19,9 +19,9 @@ def norm(a: Column) -> Column:
 
 
 def unit(a: Column, size: Column | None = None) -> Column:
-    """a at length 1; a zero vector stays."""
-    n = norm(a) if size is None else size
-    return F.when(n == 0, a).otherwise(F.transform(a, lambda x: x / n))
+    """a at length 1; a zero vector stays. The vector and its length are bound once, as a lambda would make them anew for each component."""
+    bound = F.array(F.struct(a.alias("a"), (norm(a) if size is None else size).alias("n")))
+    return F.get(F.transform(bound, lambda s: F.when(s["n"] == 0, s["a"]).otherwise(F.transform(s["a"], lambda x: x / s["n"]))), 0)
 
 
 def cosine(a: Column, b: Column, pad: float = 1e-12) -> Column:

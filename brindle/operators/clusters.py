@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -70,85 +72,221 @@ def balanced_assignment(similarity: np.ndarray) -> np.ndarray:
     return out
 
 
-def kmeans(z: np.ndarray, k: int, rounds: int = 50, balanced: bool = False, seed: int = 0, cosine: bool = True) -> np.ndarray:
-    """Clusters of rows, started far apart from each other (k-means++); zero rows go to the nearest like others."""
-    rng = np.random.default_rng(seed)
-    n = len(z)
-    k = min(k, n)
-    size = np.linalg.norm(z, axis=1)
-    u = z / np.where(size == 0, 1, size)[:, None] if cosine else z
+def _starts(u: np.ndarray, k: int, init, rng: np.random.Generator) -> np.ndarray:
+    """First centres: given, drawn, or far apart from each other (k-means++)."""
+    if not isinstance(init, str):
+        return np.array(init, float)
+    if init == "random":
+        return u[rng.choice(len(u), k, replace=False)]
+    if init not in ("k-means++", "scalable-k-means++", "k-means||"):
+        raise ValueError(f"unknown init {init!r}")
     centres = [u[0]]
     for _ in range(1, k):
         far = np.min([((u - c) ** 2).sum(1) for c in centres], axis=0)
-        centres.append(u[rng.choice(n, p=far / far.sum())] if far.sum() > 0 else u[rng.integers(n)])
-    c, label = np.array(centres), None
+        centres.append(u[rng.choice(len(u), p=far / far.sum())] if far.sum() > 0 else u[rng.integers(len(u))])
+    return np.array(centres)
+
+
+def _directions(z: np.ndarray, cosine: bool) -> np.ndarray:
+    size = np.linalg.norm(z, axis=1)
+    return z / np.where(size == 0, 1, size)[:, None] if cosine else z.astype(float)
+
+
+def _near(u: np.ndarray, c: np.ndarray, cosine: bool) -> np.ndarray:
+    return u @ c.T if cosine else 2 * u @ c.T - (c * c).sum(1)
+
+
+def kmeans(z: np.ndarray, k: int, rounds: int = 300, balanced: bool = False, seed: int = 0, cosine: bool = True, tol: float = 0.0, init="k-means++") -> np.ndarray:
+    """Clusters of rows; zero rows go to the nearest like others. Ends when nothing changes, or when the centres' moves, squared, are
+    together at most tol times the rows' mean variance."""
+    rng, u = np.random.default_rng(seed), _directions(z, cosine)
+    k = min(k, len(z))
+    c, label, least = _starts(u, k, init, rng), None, tol * u.var(0).mean()
     for _ in range(rounds):
-        near = u @ c.T if cosine else -((u[:, None] - c[None]) ** 2).sum(2)
+        near = _near(u, c, cosine)
         new = balanced_assignment(near) if balanced else np.round(near, 9).argmax(1)
         if label is not None and (new == label).all():
             break
-        label = new
+        label, moved = new, 0.0
         for j in range(k):
             if (label == j).any():
                 m = u[label == j].mean(0)
-                c[j] = m / (np.linalg.norm(m) or 1) if cosine else m
+                m = m / (np.linalg.norm(m) or 1) if cosine else m
+                moved += ((m - c[j]) ** 2).sum()
+                c[j] = m
+        if tol and moved <= least:
+            break
     return label
 
 
-def ward(z: np.ndarray, k: int) -> np.ndarray:
-    """Agglomerative clusters: the pair whose union raises the squared distances least is joined until k are left."""
-    groups = {i: [i] for i in range(len(z))}
-    means = {i: z[i].astype(float) for i in groups}
-    while len(groups) > k:
-        keys = list(groups)
-        m = np.array([means[i] for i in keys])
-        w = np.array([len(groups[i]) for i in keys], float)
-        cost = ((m[:, None] - m[None]) ** 2).sum(2) * (w[:, None] * w[None]) / (w[:, None] + w[None])
-        cost[np.tril_indices(len(keys))] = np.inf
-        a, b = np.unravel_index(int(cost.argmin()), cost.shape)
-        i, j = keys[a], keys[b]
-        means[i] = (means[i] * w[a] + means[j] * w[b]) / (w[a] + w[b])
-        groups[i] += groups.pop(j)
-        means.pop(j)
-    out = np.zeros(len(z), int)
-    for new, rows in enumerate(sorted(groups.values(), key=min)):
-        out[rows] = new
-    return out
+def mini_batches(z: np.ndarray, k: int, rounds: int, seed: int, batch: int, tol: float, idle: int | None, init, init_size: int | None, ratio: float) -> np.ndarray:
+    """k-means of which each step moves the centres by the mean of a batch, less and less. Centres with a small share of the rows seen
+    (ratio of the greatest) start anew at rows of the batch."""
+    rng, n = np.random.default_rng(seed), len(z)
+    k, batch = min(k, n), min(n, batch)
+    first = z[rng.choice(n, min(n, init_size or 3 * batch if (init_size or 3 * batch) >= k else k), replace=False)]
+    c, seen, mean, best, still = _starts(first, k, init, rng), np.zeros(k), None, np.inf, 0
+    for step in range(max(1, rounds * n // batch)):
+        rows = z[rng.choice(n, batch, replace=False)]
+        distance = (rows * rows).sum(1)[:, None] - _near(rows, c, False)
+        label, old = distance.argmin(1), c.copy()
+        for j in range(k):
+            own = rows[label == j]
+            if len(own):
+                seen[j] += len(own)
+                c[j] += (own.sum(0) - len(own) * c[j]) / seen[j]
+        if ratio and step % 10 == 9 and (seen < ratio * seen.max()).any():
+            low = np.flatnonzero(seen < ratio * seen.max())[: batch // 2]
+            c[low] = rows[rng.choice(batch, len(low), replace=False)]
+            seen[low] = max(1.0, seen[seen >= ratio * seen.max()].min())
+        inertia = max(0.0, float(distance.min(1).mean()))
+        share = min(1.0, 2 * batch / (n + 1))
+        mean = inertia if mean is None else mean * (1 - share) + inertia * share
+        still = 0 if mean < best else still + 1
+        best = min(best, mean)
+        if idle is not None and still >= idle or tol and ((c - old) ** 2).sum() <= tol * z.var(0).mean():
+            break
+    return np.round(_near(z, c, False), 9).argmax(1)
+
+
+def agglomerate(z: np.ndarray, k: int | None, linkage: str = "ward", metric: str = "euclidean", threshold: float | None = None) -> np.ndarray:
+    """Agglomerative clusters: the closest two are joined until k are left, or none is closer than threshold.
+
+    By chains of nearest neighbours: each step follows them until two are each other's nearest, which joins them in any order. That takes
+    time and memory of the square of the rows.
+    """
+    n = len(z)
+    if metric in ("euclidean", "l2") or linkage == "ward":
+        d = (z * z).sum(1)[:, None] + (z * z).sum(1)[None] - 2 * z @ z.T
+        d = np.sqrt(np.maximum(d, 0))
+    elif metric == "cosine":
+        u = _directions(z, True)
+        d = 1 - u @ u.T
+    elif metric in ("manhattan", "l1", "cityblock"):
+        d = np.array([np.abs(z - row).sum(1) for row in z])
+    else:
+        raise ValueError(f"unknown metric {metric!r}")
+    if linkage not in ("ward", "complete", "average", "single"):
+        raise ValueError(f"unknown linkage {linkage!r}")
+    np.fill_diagonal(d, np.inf)
+    size, open_, joins, chain = np.ones(n), np.ones(n, bool), [], []
+    while len(joins) < n - 1:
+        if not chain:
+            chain.append(int(open_.argmax()))
+        while True:
+            near = d[chain[-1]]
+            to = int(near.argmin())
+            if len(chain) > 1 and near[chain[-2]] <= near[to]:
+                to = chain[-2]
+                break
+            chain.append(to)
+        a, b = chain.pop(), chain.pop()
+        a, b = min(a, b), max(a, b)
+        apart = d[a, b]
+        joins.append((apart, a, b))
+        with np.errstate(invalid="ignore"):
+            if linkage == "ward":
+                w = size + size[a] + size[b]
+                new = np.sqrt(np.maximum(((size + size[a]) * d[a] ** 2 + (size + size[b]) * d[b] ** 2 - size * apart**2) / w, 0))
+            elif linkage == "average":
+                new = (size[a] * d[a] + size[b] * d[b]) / (size[a] + size[b])
+            else:
+                new = (np.maximum if linkage == "complete" else np.minimum)(d[a], d[b])
+        new[~open_] = np.inf
+        new[[a, b]] = np.inf
+        d[a], d[:, a] = new, new
+        d[b], d[:, b] = np.inf, np.inf
+        size[a] += size[b]
+        open_[b] = False
+    root = np.arange(n)
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    # the lowest joins, in order; a chain finds them out of order
+    joins.sort(key=lambda j: j[0])
+    kept = joins[: n - k] if threshold is None else [j for j in joins if j[0] < threshold]
+    for _, a, b in kept:
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    _, label = np.unique([find(i) for i in range(n)], return_inverse=True)
+    return label
+
+
+#: Options that say how fast, how loudly or where to work, or that only touch what else the method could return.
+_INERT = frozenset("verbose n_jobs tqdm_flag device gpu handle output_type copy_x convert_dtype compute_labels memory compute_full_tree compute_distances max_samples_per_batch oversampling_factor algorithm".split())
 
 
-def _make(method):
+def _make(method, known: dict, only: dict | None = None):
+    """A clusterer of rows and options; each option is honoured, can't change the result, or is refused."""
+
     def run(z: np.ndarray, kwargs: dict) -> np.ndarray:
-        known = {"n_clusters", "max_iter", "iter_limit", "random_state", "seed", "init", "n_init", "tol", "verbose", "nredo", "gpu", "spherical", "batch_size", "linkage", "metric", "tqdm_flag", "distance", "device", "algorithm", "copy_x"}
-        if wrong := set(kwargs) - known:
+        if wrong := set(kwargs) - set(known) - set(only or {}) - _INERT:
             raise ValueError(f"unknown clustering parameters: {sorted(wrong)}")
-        seed = kwargs.get("random_state", kwargs.get("seed", 0)) or 0
-        return method(z, kwargs.get("n_clusters"), kwargs.get("max_iter", kwargs.get("iter_limit", 50)), seed, kwargs)
+        for name, allowed in (only or {}).items():
+            if name in kwargs and kwargs[name] not in allowed:
+                raise ValueError(f"{name} is known only as {list(allowed)}, not {kwargs[name]!r}")
+        return method(z, **(known | kwargs_of(kwargs, known)))
 
     return run
 
 
-def _best_of(z, k, rounds, seed, kwargs):
-    """Of several starts, the one of least distance within clusters."""
-    best = None
-    for r in range(max(1, kwargs.get("nredo", 3))):
-        label = kmeans(z, k or 8, rounds, seed=seed + r, cosine=bool(kwargs.get("spherical")))
-        inertia = sum(((z[label == j] - z[label == j].mean(0)) ** 2).sum() for j in set(label))
-        if best is None or inertia < best[0] - 1e-12:
-            best = inertia, label
-    return best[1]
+def kwargs_of(kwargs: dict, known: dict) -> dict:
+    return {k: v for k, v in kwargs.items() if k in known}
+
+
+def _inertia(z: np.ndarray, label: np.ndarray) -> float:
+    return sum(float(((z[label == j] - z[label == j].mean(0)) ** 2).sum()) for j in set(label.tolist()))
+
+
+def _plain(z, n_clusters, init, n_init, max_iter, tol, random_state):
+    """The best of n_init starts."""
+    starts = (1 if init != "random" else 10) if n_init == "auto" else n_init
+    found = [kmeans(z, n_clusters, max_iter, seed=(random_state or 0) + r, cosine=False, tol=tol, init=init) for r in range(starts)]
+    return min(found, key=lambda label: _inertia(z, label)) if starts > 1 else found[0]
+
+
+def _in_batches(z, n_clusters, init, max_iter, batch_size, random_state, tol, max_no_improvement, init_size, n_init, reassignment_ratio):
+    batch = batch_size if batch_size > 0 else max(1, len(z) // (os.cpu_count() or 1))
+    starts = (1 if init != "random" else 3) if n_init == "auto" else n_init
+    found = [mini_batches(z, n_clusters, max_iter, (random_state or 0) + r, batch, tol, max_no_improvement, init, init_size, reassignment_ratio) for r in range(starts)]
+    return min(found, key=lambda label: _inertia(z, label)) if starts > 1 else found[0]
+
+
+def _redone(z, n_clusters, max_iter, tol, random_state, nredo, spherical):
+    found = [kmeans(z, n_clusters, max_iter, seed=(random_state or 0) + r, cosine=spherical, tol=tol) for r in range(max(1, nredo))]
+    return min(found, key=lambda label: _inertia(z, label))
+
+
+def _balanced(z, n_clusters, distance, tol, iter_limit, random_state):
+    if distance not in ("cosine", "euclidean"):
+        raise ValueError(f"unknown distance {distance!r}")
+    return kmeans(z, n_clusters, iter_limit, balanced=True, seed=random_state or 0, cosine=distance == "cosine", tol=tol)
+
 
+def _joined(z, n_clusters, metric, linkage, distance_threshold):
+    return agglomerate(z, n_clusters, linkage, metric, distance_threshold)
 
+
+_KMEANS = {"n_clusters": 8, "init": "k-means++", "n_init": "auto", "max_iter": 300, "tol": 1e-4, "random_state": None}
 #: Clusterers by type name. Types for other hardware are the same method here.
 CLUSTERERS = {
-    "sklearnagglomerativeclustering": _make(lambda z, k, rounds, seed, kw: ward(z, k or 2)),
-    "sklearnkmeans": _make(lambda z, k, rounds, seed, kw: kmeans(z, k or 8, rounds, seed=seed, cosine=False)),
-    "sklearnminibatchkmeans": _make(lambda z, k, rounds, seed, kw: kmeans(z, k or 8, rounds, seed=seed, cosine=False)),
-    "cumlkmeans": _make(lambda z, k, rounds, seed, kw: kmeans(z, k or 8, rounds, seed=seed, cosine=False)),
-    "faisskmeans": _make(_best_of),
-    "balancedkmeans": _make(lambda z, k, rounds, seed, kw: kmeans(z, k or 2, rounds, balanced=True, seed=seed)),
+    "sklearnagglomerativeclustering": _make(_joined, {"n_clusters": 2, "metric": "euclidean", "linkage": "ward", "distance_threshold": None}, {"connectivity": (None,)}),
+    "sklearnkmeans": _make(_plain, _KMEANS),
+    "sklearnminibatchkmeans": _make(_in_batches, _KMEANS | {"tol": 0.0, "batch_size": 0, "max_no_improvement": 10, "init_size": None, "reassignment_ratio": 0.01}),
+    "cumlkmeans": _make(_plain, _KMEANS | {"init": "scalable-k-means++", "n_init": 1, "random_state": 1}),
+    "faisskmeans": _make(_redone, {"n_clusters": 8, "max_iter": 300, "tol": 1e-4, "random_state": 42, "nredo": 3, "spherical": False}),
+    "balancedkmeans": _make(_balanced, {"n_clusters": 8, "distance": "cosine", "tol": 1e-4, "iter_limit": 400, "random_state": None}, {"iter_k": (None,), "gamma_for_soft_dtw": (0.001,)}),
 }
 
 
+def register_clusterer(name: str, method) -> None:
+    """Make a type known by name: a function of the rows and a dictionary of options that gives a cluster for each row."""
+    CLUSTERERS[name.lower()] = method
+
+
 def resolved(config: dict | None, kinds: dict, default: str) -> tuple[str, dict]:
     """Type and parameters of a component's configuration, which is left as it is."""
     config = dict(config or {"type": default})
@@ -158,11 +296,48 @@ def resolved(config: dict | None, kinds: dict, default: str) -> tuple[str, dict]
     return kind, dict(config.get("kwargs") or {})
 
 
+#: Labels of a node that one task clusters; of a larger node a sample of so many finds where the rounds over all of them start.
+NODE_LABELS, SAMPLE_LABELS, ROUNDS = 200_000, 20_000, 10
+
+
+def _large_node(rows: DataFrame, node: int, kind: str, kwargs: dict, least: int) -> DataFrame:
+    """Clusters of one node of many labels: centres of the configured clusterer on a sample, then Lloyd rounds over all labels.
+
+    Two balanced clusters are cut where half of the labels lie on each side; more are not balanced exactly.
+    """
+    sample = rows.orderBy(F.xxhash64("label_id"), "label_id").limit(SAMPLE_LABELS).select("z").collect()
+    z = np.array([r["z"] for r in sample], float)
+    label = CLUSTERERS[kind](z, kwargs)
+    centres = [z[label == c].mean(0).tolist() for c in sorted(set(label.tolist()))]
+    if kind == "balancedkmeans" and len(centres) == 2:
+        a, b = (np.array(c) / (np.linalg.norm(c) or 1) for c in centres)
+        side = dot(F.col("z"), F.array(*map(F.lit, (a - b).tolist())))
+        sided = rows.withColumn("side", F.round(side, 9))
+        half = sided.agg(F.percentile_approx("side", 0.5, 100_000)).first()[0]
+        found = sided.withColumn("cluster", (F.col("side") < half).cast("int"))
+    else:
+        found = lloyd(rows, centres, ROUNDS, "z")
+    sizes = {r["cluster"]: r["n"] for r in found.groupBy("cluster").agg(F.count("*").alias("n")).collect()}
+    valid = sorted(c for c, n in sizes.items() if n >= least)
+    if len(valid) < 2:
+        return found.limit(0).select("node", "label_id", F.col("cluster").cast("int").alias("cluster"))
+    if len(valid) < len(sizes):
+        means = found.filter(F.col("cluster").isin(valid)).select("cluster", F.posexplode("z").alias("k", "v")).groupBy("cluster", "k").agg(F.avg("v").alias("v")).collect()
+        of = {c: [0.0] * z.shape[1] for c in valid}
+        for r in means:
+            of[r["cluster"]][r["k"]] = r["v"]
+        lost = assign(found.filter(~F.col("cluster").isin(valid)).drop("cluster"), [of[c] for c in valid], "z")
+        found = found.filter(F.col("cluster").isin(valid)).select("node", "label_id", "z", "cluster").unionByName(lost.select("node", "label_id", "z", F.element_at(F.array(*map(F.lit, valid)), F.col("cluster").cast("int") + 1).alias("cluster")))
+    number = F.array_position(F.array(*map(F.lit, valid)), F.col("cluster").cast("int")) - 1
+    return found.select("node", "label_id", number.cast("int").alias("cluster"))
+
+
 def cluster_nodes(z: DataFrame, config: dict | None, least: int) -> DataFrame:
     """Clusters of each node's labels: (node, label_id, z) gives (node, label_id, cluster).
 
     A node of at most `least` labels, or with fewer than two clusters of that size, is not split and
-    gives no rows. Labels of clusters that are too small go to the valid one nearest to them. One task holds the labels of a node.
+    gives no rows. Labels of clusters that are too small go to the valid one nearest to them. One task holds the labels of a node, but
+    those of a node with more than NODE_LABELS are worked on by all.
     """
     kind, kwargs = resolved(config, CLUSTERERS, "balancedkmeans")
     kwargs.setdefault("n_clusters", 2)
@@ -185,5 +360,9 @@ def cluster_nodes(z: DataFrame, config: dict | None, least: int) -> DataFrame:
         own[lost] = (vectors[lost] @ centres.T).argmax(1)
         return pd.DataFrame({"node": key[0], "label_id": rows["label_id"].to_numpy(), "cluster": own.astype("int32")})
 
-    return z.groupBy("node").applyInPandas(split, "node long, label_id long, cluster int")
-
+    large = [r["node"] for r in z.groupBy("node").count().filter(F.col("count") > NODE_LABELS).collect()]
+    small = z.filter(~F.col("node").isin(large)) if large else z
+    out = small.groupBy("node").applyInPandas(split, "node long, label_id long, cluster int")
+    for node in large:
+        out = out.unionByName(_large_node(z.filter(F.col("node") == node), node, kind, kwargs, least))
+    return out

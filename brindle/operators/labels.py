@@ -6,12 +6,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions.vectors import long_unit
+from brindle.sources.files import ranked
 
 
 def label_dictionary(rows: DataFrame, label: str) -> DataFrame:
-    """(label, label_id): rank of each different label, from 0. It is kept, so ids can always be read back."""
+    """(label, label_id): rank of each different label, from 0. It is kept, so ids can always be read back.
+
+    Labels are sorted over all tasks, as there may be very many.
+    """
     distinct = rows.select(F.col(label).alias("label")).filter("label is not null").distinct()
-    return distinct.withColumn("label_id", (F.dense_rank().over(Window.orderBy("label")) - 1).cast("long"))
+    return ranked(distinct, "label", "label_id")
 
 
 def label_matrix(rows: DataFrame, mention: str, label: str, dictionary: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ import json
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,27 +21,41 @@ from brindle.operators import routing
 from brindle.operators.classifiers import CLASSIFIERS, Classifier
 from brindle.operators.clusters import cluster_nodes, resolved
 from brindle.operators.encoders import TextEncoder
+from brindle.sources.files import checkpointed as _kept
 
 #: Clusters of a node that are scored at a leaf, and matched clusters whose mentions a last layer's ranker sees.
 LEAF_BEAM, TOP_MATCHED = 100, 5
+#: Mentions of a node that one task learns from; those of a larger node are dealt to blocks.
+NODE_ROWS = 200_000
+#: How a classifier is kept: linear ones as columns, others as text.
+_MODEL = "coef array<double>, intercept double, model string"
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """Cut the lineage: layers and epochs would make the plan longer and longer."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        import tempfile
+def _columns(learner: Classifier, width: int) -> tuple:
+    """(coef, intercept, model) of a fitted classifier; a constant one has no slope."""
+    if learner.is_linear_model:
+        return learner.coef or [0.0] * width, float(learner.intercept), None
+    return None, None, learner.dumps()
 
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="brindle-"))
-    return df.checkpoint(eager=True)
+
+def is_linear(config: dict | None, default: str) -> bool:
+    return CLASSIFIERS[resolved(config, CLASSIFIERS, default)[0]].is_linear_model
+
+
+def probability(vec: Column, linear: bool) -> Column:
+    """What a matcher or ranker (coef, intercept, model) says of a vector."""
+    return V.sigmoid(V.dot(vec, F.col("coef")) + F.col("intercept")) if linear else model_score("model", vec)
 
 
 def fit_matchers(x: DataFrame, targets: DataFrame, config: dict | None) -> DataFrame:
-    """One classifier against the rest for each cluster of a node: (node, cluster, model).
+    """One classifier against the rest for each cluster of a node: (node, cluster, coef, intercept, model).
 
-    targets: (node, mention_id, clusters), the clusters of a mention's labels. One task holds a node's mentions.
+    targets: (node, mention_id, clusters), the clusters of a mention's labels. One task holds a node's mentions; those of a node
+    with more than NODE_ROWS are dealt to blocks, each is fitted alone, and the node's coefficients are the blocks' mean, by rows. Only linear types
+    can be put together like that.
     """
     kind, kwargs = resolved(config, CLASSIFIERS, "sklearnlogisticregression")
+    linear = CLASSIFIERS[kind].is_linear_model
 
     def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("mention_id")
@@ -49,15 +63,33 @@ def fit_matchers(x: DataFrame, targets: DataFrame, config: dict | None) -> DataF
         out = []
         for c in sorted({c for own in rows["clusters"] for c in own}):
             y = np.array([c in own for own in rows["clusters"]], float)
-            out.append((key[0], c, CLASSIFIERS[kind](**kwargs).fit(vectors, y).dumps()))
-        return pd.DataFrame(out, columns=["node", "cluster", "model"])
-
-    return x.join(targets, ["node", "mention_id"]).groupBy("node").applyInPandas(fit, "node long, cluster int, model string")
+            out.append((key[0], key[1], c, len(rows), *_columns(CLASSIFIERS[kind](**kwargs).fit(vectors, y), vectors.shape[1])))
+        return pd.DataFrame(out, columns=["node", "block", "cluster", "n", "coef", "intercept", "model"])
+
+    large = {r["node"]: -(-r["count"] // NODE_ROWS) for r in x.groupBy("node").count().filter(F.col("count") > NODE_ROWS).collect()}
+    if large and not linear:
+        raise ValueError(f"a node has more than {NODE_ROWS} mentions; {kind} can't be fitted in blocks")
+    blocks = F.lit(1)
+    for node, n in large.items():
+        blocks = F.when(F.col("node") == node, F.lit(n)).otherwise(blocks)
+    dealt = x.join(targets, ["node", "mention_id"]).withColumn("block", F.pmod(F.xxhash64("mention_id"), blocks).cast("int"))
+    fitted = dealt.groupBy("node", "block").applyInPandas(fit, f"node long, block int, cluster int, n long, {_MODEL}")
+    whole = ["node", "cluster", "coef", "intercept", "model"]
+    if not large:
+        return fitted.select(*whole)
+    fitted = _kept(fitted)
+    of = F.col("node").isin(list(large))
+    share = F.col("n") / F.sum("n").over(Window.partitionBy("node", "cluster"))
+    each = fitted.filter(of).withColumn("share", share)
+    sums = each.select("node", "cluster", "share", F.posexplode("coef").alias("k", "v")).groupBy("node", "cluster", "k").agg(F.sum(F.col("share") * F.col("v")).alias("v"))
+    coef = sums.groupBy("node", "cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda s: s["v"]).alias("coef"))
+    means = coef.join(each.groupBy("node", "cluster").agg(F.sum(F.col("share") * F.col("intercept")).alias("intercept")), ["node", "cluster"]).withColumn("model", F.lit(None).cast("string"))
+    return fitted.filter(~of).select(*whole).unionByName(means.select(*whole))
 
 
 @F.pandas_udf(T.DoubleType())
 def model_score(model: pd.Series, vec: pd.Series) -> pd.Series:
-    """Decisions of models as probabilities; rows of the same model are scored together."""
+    """Decisions of models kept as text, as probabilities; rows of the same model are scored together."""
     out = np.empty(len(model))
     for text, at in model.groupby(model).groups.items():
         k = model.index.get_indexer(at)
@@ -66,24 +98,35 @@ def model_score(model: pd.Series, vec: pd.Series) -> pd.Series:
 
 
 def fit_rankers(pool: DataFrame, x: DataFrame, z: DataFrame, config: dict | None, epochs: int) -> DataFrame:
-    """A classifier of each label over pairs [x, z]: (node, label_id, model).
+    """A classifier of each label over pairs [x, z]: (node, label_id, coef, intercept, model).
 
     pool: (node, label_id, mention_id, target, epoch); each epoch is one pass over its rows, by the same learner. One task
-    holds the sample of a label.
+    holds the sample of a label, and its vector once.
     """
     kind, kwargs = resolved(config, CLASSIFIERS, "sklearnsgdclassifier")
     if not CLASSIFIERS[kind].supports_partial_fit:
         raise ValueError(f"a ranker needs a classifier that learns in passes; {kind} doesn't")
-    rows = pool.join(x, ["node", "mention_id"]).join(z, ["node", "label_id"])
+    rows = pool.join(x, ["node", "mention_id"]).select("node", "label_id", "mention_id", "target", "epoch", "vec")
 
-    def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    def fit(key: tuple, rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        columns = ["node", "label_id", "coef", "intercept", "model"]
+        if not len(rows) or not len(own):
+            return pd.DataFrame([], columns=columns)
+        z = np.asarray(own["z"].iloc[0], float)
         learner = CLASSIFIERS[kind](**kwargs)
-        for _, own in rows.sort_values(["epoch", "mention_id"]).groupby("epoch"):
-            pairs = np.hstack((np.stack(own["vec"].to_numpy()), np.stack(own["z"].to_numpy())))
-            learner.partial_fit(pairs, own["target"].to_numpy())
-        return pd.DataFrame([(key[0], key[1], learner.dumps())], columns=["node", "label_id", "model"])
+        for _, part in rows.sort_values(["epoch", "mention_id"]).groupby("epoch"):
+            vectors = np.stack(part["vec"].to_numpy())
+            learner.partial_fit(np.hstack((vectors, np.broadcast_to(z, (len(vectors), len(z))))), part["target"].to_numpy())
+        return pd.DataFrame([(key[0], key[1], *_columns(learner, len(z) * 2))], columns=columns)
 
-    return rows.groupBy("node", "label_id").applyInPandas(fit, "node long, label_id long, model string")
+    return rows.groupBy("node", "label_id").cogroup(z.select("node", "label_id", "z").groupBy("node", "label_id")).applyInPandas(fit, f"node long, label_id long, {_MODEL}")
+
+
+def ranked_labels(rankers: DataFrame, node_labels: DataFrame) -> DataFrame:
+    """(node, label_id, w, bias) of linear rankers: what a label adds to the decision on a pair [x, z] is known beforehand."""
+    both = rankers.join(node_labels, ["node", "label_id"])
+    at = F.size("coef") - F.size("z")
+    return both.select("node", "label_id", F.slice("coef", F.lit(1), at).alias("w"), (V.dot(F.slice("coef", at + 1, F.size("z")), F.col("z")) + F.col("intercept")).alias("bias"))
 
 
 def ranker_pool(x: DataFrame, y: DataFrame, z: DataFrame, clusters: DataFrame, matched: DataFrame | None, curriculum: dict, epochs: int, seed: int = 0) -> DataFrame:
@@ -138,6 +181,22 @@ class XModel:
         }
         self.encoder: TextEncoder | None = None
 
+    @property
+    def linear_matchers(self) -> bool:
+        return is_linear(self.config["matcher"], "sklearnlogisticregression")
+
+    @property
+    def linear_rankers(self) -> bool:
+        return is_linear(self.config["ranker"], "sklearnsgdclassifier")
+
+    @classmethod
+    def from_tables(cls, depth: int, **tables: DataFrame) -> XModel:
+        """A model of tables that are there already: all of cls.tables, with linear matchers and rankers."""
+        out = cls(depth=depth)
+        for name in cls.tables:
+            setattr(out, name, tables[name])
+        return out
+
     def train(self, mentions: DataFrame) -> XModel:
         c = self.config
         self.encoder = TextEncoder(c["vectorizer"], c["transformer"], c["dimension"], c["emb_flag"]).fit(mentions, "mention_id", "text")
@@ -149,7 +208,7 @@ class XModel:
         self.dictionary = _kept(L.label_dictionary(mentions, "label"))
         y = _kept(L.label_matrix(mentions, "mention_id", "label", self.dictionary))
         x = _kept(vectors.select(F.lit(0).cast("long").alias("node"), "mention_id", "vec"))
-        z = _kept(L.pifa_dense(y.join(vectors, "mention_id"), "vec", "label_id").select(F.lit(0).cast("long").alias("node"), "label_id", "z"))
+        z = _kept(L.pifa_dense(y.join(x.select("mention_id", "vec"), "mention_id"), "vec", "label_id").select(F.lit(0).cast("long").alias("node"), "label_id", "z"))
         self.embeddings = z.select("label_id", "z")
         self.node_labels = z
         parts: dict[str, list[DataFrame]] = {t: [] for t in ("clusters", "matchers", "rankers", "edges")}
@@ -163,7 +222,7 @@ class XModel:
             of = y.join(here, "label_id").select("node", "mention_id", "cluster").distinct()
             targets = of.groupBy("node", "mention_id").agg(F.collect_set("cluster").alias("clusters"))
             matchers = _kept(fit_matchers(x, targets, c["matcher"]))
-            scores = _kept(x.join(matchers, "node").withColumn("score", model_score("model", "vec")).select("node", "mention_id", "vec", "cluster", "score"))
+            scores = _kept(x.join(matchers, "node").withColumn("score", probability(F.col("vec"), self.linear_matchers)).select("node", "mention_id", "vec", "cluster", "score"))
             sizes = here.groupBy("node", "cluster").count()
             grows = sizes.filter(F.col("count") > c["min_leaf_size"]) if not last else sizes.limit(0)
             edges = _kept(grows.select("node", "cluster", F.abs(F.xxhash64("node", "cluster")).alias("child")))
@@ -187,7 +246,7 @@ class XModel:
                 kwargs["n_clusters"] = max(2, kwargs.get("n_clusters", 2) // 2)
                 clustering = {**(clustering or {"type": "balancedkmeans"}), "kwargs": kwargs}
         spark = mentions.sparkSession
-        empty = {"clusters": "node long, label_id long, cluster int", "matchers": "node long, cluster int, model string", "rankers": "node long, label_id long, model string", "edges": "node long, cluster int, child long"}
+        empty = {"clusters": "node long, label_id long, cluster int", "matchers": f"node long, cluster int, {_MODEL}", "rankers": f"node long, label_id long, {_MODEL}", "edges": "node long, cluster int, child long"}
         for name, tables in parts.items():
             out = spark.createDataFrame([], empty[name])
             for t in tables:
@@ -222,7 +281,7 @@ class XModel:
         now = vectors.select("query_id", F.lit(0).cast("long").alias("node"), "vec", F.lit(0.0).alias("logscore"), F.array().cast(step).alias("trail"))
         ended: DataFrame | None = None
         for layer in range(self.config["depth"]):
-            scored = now.join(self.matchers, "node").withColumn("m", model_score("model", "vec")).drop("model")
+            scored = now.join(self.matchers, "node").withColumn("m", probability(F.col("vec"), self.linear_matchers)).drop("coef", "intercept", "model")
             by = Window.partitionBy("query_id", "node")
             scored = scored.withColumn("sum", F.sum("m").over(by)).withColumn("max", F.max("m").over(by)).filter("max > 0")
             scored = _kept(V.top_k(scored, ["query_id", "node"], "m", LEAF_BEAM, "cluster", 9)).join(self.edges, ["node", "cluster"], "left")
@@ -235,14 +294,16 @@ class XModel:
             now = _kept(on.select("query_id", F.col("child").alias("node"), V.unit(F.concat("vec", F.array("m", "sum", "max"))).alias("vec"), "logscore", trail.cast(step).alias("trail")))
             if now.isEmpty():
                 break
-        reached = ended.join(self.clusters, ["node", "cluster"]).join(self.rankers, ["node", "label_id"], "left")
+        reached = ended.join(self.clusters, ["node", "cluster"])
         # a ranker was fitted on its own node's label vectors, which have three numbers more for each layer
-        reached = reached.join(self.node_labels, ["node", "label_id"])
-        pair = F.concat("vec", "z")
-        # without a model the probability isn't asked for
-        with_model = reached.filter("model is not null").withColumn("r", model_score("model", pair))
-        without = reached.filter("model is null").withColumn("r", F.lit(1.0))
-        scored = with_model.unionByName(without)
+        if self.linear_rankers:
+            reached = reached.join(ranked_labels(self.rankers, self.node_labels), ["node", "label_id"], "left")
+            scored = reached.withColumn("r", F.coalesce(V.sigmoid(V.dot(F.col("vec"), F.col("w")) + F.col("bias")), F.lit(1.0)))
+        else:
+            reached = reached.join(self.rankers, ["node", "label_id"], "left").join(self.node_labels, ["node", "label_id"])
+            # without a model the probability isn't asked for
+            with_model = reached.filter("model is not null").withColumn("r", model_score("model", F.concat("vec", "z")))
+            scored = with_model.unionByName(reached.filter("model is null").withColumn("r", F.lit(1.0)))
         return scored.select("query_id", "label_id", F.col("node").alias("leaf"), fusion.fuse(fusion_mode, F.col("m"), F.col("r"), alpha, p, eps).alias("score"), "trail")
 
     def predict_vectors(
@@ -265,6 +326,29 @@ class XModel:
         top = V.top_k(best, "query_id", "score", topk, "label_id", 9)
         return top.join(self.dictionary, "label_id").select("query_id", "rank", "label_id", "label", "score")
 
+    def predict_node(self, node: int, vectors: DataFrame, beam_size: int | None = None, topk: int | None = None, as_matrix: bool = False, fusion_mode: str = "lp_fusion", alpha: float = 0.5, p: float = 3.0, eps: float = 1e-6) -> DataFrame:
+        """What one node says of vectors (query_id, vec) of its width: its best clusters, their labels, and fused scores.
+
+        (query_id, rank, label_id, score); as_matrix: a row for each query with its labels, ascending, and their scores:
+        (query_id, labels, scores). topk keeps the best of a query in either form.
+        """
+        scored = vectors.join(self.matchers.filter(F.col("node") == node), F.lit(True)).withColumn("m", probability(F.col("vec"), self.linear_matchers))
+        top = V.top_k(scored, "query_id", "m", beam_size or LEAF_BEAM, "cluster", 9).select("query_id", "vec", "node", "cluster", "m")
+        reached = top.join(self.clusters, ["node", "cluster"])
+        if self.linear_rankers:
+            reached = reached.join(ranked_labels(self.rankers, self.node_labels), ["node", "label_id"], "left")
+            r = F.coalesce(V.sigmoid(V.dot(F.col("vec"), F.col("w")) + F.col("bias")), F.lit(1.0))
+        else:
+            reached = reached.join(self.rankers, ["node", "label_id"], "left").join(self.node_labels, ["node", "label_id"])
+            learned = reached.filter("model is not null").withColumn("r", model_score("model", F.concat("vec", "z")))
+            reached, r = learned.unionByName(reached.filter("model is null").withColumn("r", F.lit(1.0))), F.col("r")
+        fused = reached.select("query_id", "label_id", fusion.fuse(fusion_mode, F.col("m"), r, alpha, p, eps).alias("score"))
+        best = V.top_k(fused, "query_id", "score", topk or 2**31 - 1, "label_id", 9)
+        if not as_matrix:
+            return best.select("query_id", "rank", "label_id", "score")
+        rows = best.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("label_id", "score"))).alias("i"))
+        return rows.select("query_id", F.col("i.label_id").alias("labels"), F.col("i.score").alias("scores"))
+
     def final_paths(self, vectors: DataFrame, topk: int = 5, **kwargs) -> DataFrame:
         """Records: (query_id, paths, final_path), a path being a leaf's trail, labels and scores by falling score."""
         reached = _kept(self.search(vectors, **kwargs))
@@ -280,7 +364,9 @@ class XModel:
         spark = self.dictionary.sparkSession
         for name in self.tables:
             getattr(self, name).write.parquet(f"{folder}/{name}")
-        held = json.dumps({"config": self.config, "encoder": self.encoder and self.encoder.dumps()})
+        if self.encoder is not None:
+            self.encoder.save(f"{folder}/encoder", spark)
+        held = json.dumps({"config": self.config, "encoder": self.encoder is not None})
         spark.createDataFrame([(held,)], "value string").coalesce(1).write.text(f"{folder}/config")
 
     @classmethod
@@ -288,7 +374,7 @@ class XModel:
         held = json.loads(spark.read.text(f"{folder}/config", wholetext=True).first()[0])
         out = cls()
         out.config = held["config"]
-        out.encoder = held["encoder"] and TextEncoder.loads(held["encoder"])
+        out.encoder = TextEncoder.load(spark, f"{folder}/encoder") if held["encoder"] else None
         for name in cls.tables:
             setattr(out, name, spark.read.parquet(f"{folder}/{name}"))
         return out

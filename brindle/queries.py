@@ -5,6 +5,7 @@ Scores are rounded to six digits on both sides.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from brindle.functions import fusion, text
 from brindle.functions import vectors as V
 from brindle.operators import clusters, encoders, labels, routing
-from brindle.plans import model
+from brindle.plans import model, parts
 from brindle.sources import files
 
 WIDTH = 64
@@ -86,12 +87,12 @@ _POSITION = """g AS (SELECT p_size, string_agg(p_name, '|' ORDER BY p_partkey) A
  gp AS (SELECT row_number() OVER (ORDER BY p_size) - 1 AS label_pos, corpus FROM g), b AS (SELECT row_number() OVER (ORDER BY p) - 1 AS label_pos, p AS label FROM (SELECT DISTINCT p_name AS p FROM part))"""
 
 
-@query(f"WITH {_POSITION} SELECT label_pos, label, corpus FROM gp JOIN b USING (label_pos) WHERE label_pos < 20")
+@query(f"WITH {_POSITION} SELECT label_pos, label, corpus FROM gp JOIN b USING (label_pos)")
 def label_position_join(spark, d):
     part = _t(spark, d, "part")
     grouped = files.group_texts(part, "p_size", "p_name", "p_partkey")
     known = files.ranked(part.select(F.col("p_name").alias("label")).distinct(), "label", "label_pos")
-    return files.attach_labels(grouped, known, "p_size", truncate=20).select("label_pos", "label", F.array_join("corpus", "|").alias("corpus"))
+    return files.attach_labels(grouped, known, "p_size").select("label_pos", "label", F.array_join("corpus", "|").alias("corpus"))
 
 
 @query("SELECT row_number() OVER (ORDER BY p_brand, p_partkey) - 1 AS mention_id, p_brand AS label, p_name AS text FROM part")
@@ -257,34 +258,35 @@ def cluster_label_members(spark, d):
     return clusters.members(_lloyd(spark, d), "m").select("cluster", F.array_join(F.transform("labels", lambda x: x.cast("string")), ",").alias("labels"))
 
 
-def _label_clusters(spark):
-    return spark.range(10).select(F.col("id").cast("int").alias("label_id"), (F.col("id") % 3).cast("int").alias("cluster"))
+def _label_clusters(spark, d):
+    own = _t(spark, d, "embeddings").select(F.col("label").alias("label_id")).distinct()
+    return own.withColumn("cluster", (F.col("label_id") % 3).cast("int"))
 
 
-_SQL_LC = "lc AS (SELECT CAST(range AS INTEGER) AS label, CAST(range % 3 AS INTEGER) AS cluster FROM range(10))"
+_SQL_LC = "lc AS (SELECT DISTINCT label, CAST(label % 3 AS INTEGER) AS cluster FROM embeddings)"
 
 
 @query(f"WITH {_SQL_LC} SELECT DISTINCT vec_id, cluster FROM embeddings JOIN lc USING (label)")
 def mention_cluster_matrix(spark, d):
     y = _t(spark, d, "embeddings").select(F.col("vec_id").alias("mention_id"), F.col("label").alias("label_id"))
-    return labels.mention_clusters(y, _label_clusters(spark)).withColumnRenamed("mention_id", "vec_id")
+    return labels.mention_clusters(y, _label_clusters(spark, d)).withColumnRenamed("mention_id", "vec_id")
 
 
-# routing: matchers are the embeddings of labels 0 to 3
+# routing: matchers are the embeddings of all labels; a label belongs to the cluster of its number, four apart
 
 
 def _matched(spark, d):
     x = _x(spark, d)
-    z = _z(x).filter("l < 4").withColumnRenamed("l", "cluster")
+    z = _z(x).withColumnRenamed("l", "cluster")
     return V.pairs_with_all(x, z, WIDTH).withColumn("score", V.sigmoid(4 * V.dot(F.col("e"), F.col("z"))))
 
 
-_SQL_M = f"{_SQL_Z}, mt AS (SELECT m, x.l AS l, e, z.l AS cluster, 1 / (1 + exp(-4 * list_dot_product(e, z.z))) AS score FROM x CROSS JOIN z WHERE z.l < 4)"
+_SQL_M = f"{_SQL_Z}, mt AS (SELECT m, x.l AS l, e, z.l AS cluster, 1 / (1 + exp(-4 * list_dot_product(e, z.z))) AS score FROM x CROSS JOIN z)"
 
 
-@query(f"WITH {_SQL_M} SELECT m AS vec_id, round(sum(CASE WHEN cluster = l % 4 THEN score ELSE 0 END), 6) AS own_score, round(sum(score), 6) AS sum_score, round(max(score), 6) AS max_score FROM mt GROUP BY m")
+@query(f"WITH {_SQL_M} SELECT m AS vec_id, round(sum(CASE WHEN cluster = l THEN score ELSE 0 END), 6) AS own_score, round(sum(score), 6) AS sum_score, round(max(score), 6) AS max_score FROM mt GROUP BY m")
 def routing_features(spark, d):
-    got = routing.routing_features(_matched(spark, d).withColumn("own", F.col("cluster") == F.col("l") % 4), "m")
+    got = routing.routing_features(_matched(spark, d).withColumn("own", F.col("cluster") == F.col("l")), "m")
     return got.select(F.col("m").alias("vec_id"), *(_r(c).alias(c) for c in ("own_score", "sum_score", "max_score")))
 
 
@@ -311,22 +313,24 @@ def topb_mask(spark, d):
     return _top_clusters(spark, d, 2).select(F.col("m").alias("vec_id"), "cluster", F.lit(1).alias("value"))
 
 
-_SQL_L4 = "l4 AS (SELECT CAST(range AS INTEGER) AS label, CAST(range % 4 AS INTEGER) AS cluster FROM range(10))"
+_SQL_L4 = "l4 AS (SELECT DISTINCT label, CAST(label % 4 AS INTEGER) AS cluster FROM embeddings)"
 
 
-def _four(spark):
-    return spark.range(10).select(F.col("id").cast("int").alias("label_id"), (F.col("id") % 4).cast("int").alias("cluster"))
+def _four(spark, d):
+    """Labels of the table in four clusters."""
+    own = _t(spark, d, "embeddings").select(F.col("label").alias("label_id")).distinct()
+    return own.withColumn("cluster", (F.col("label_id") % 4).cast("int"))
 
 
 @query(f"WITH {_SQL_TOP}, {_SQL_L4} SELECT DISTINCT m AS vec_id, label FROM tp JOIN l4 USING (cluster)")
 def candidate_labels(spark, d):
-    got = routing.candidate_labels(_top_clusters(spark, d, 2).withColumnRenamed("m", "query_id"), _four(spark))
+    got = routing.candidate_labels(_top_clusters(spark, d, 2).withColumnRenamed("m", "query_id"), _four(spark, d))
     return got.select(F.col("query_id").alias("vec_id"), F.col("label_id").alias("label"))
 
 
 def _fused(spark, d, how):
     """Candidates of a mention with matcher and ranker scores; labels 8 and 9 have no ranker."""
-    top = _top_clusters(spark, d, 2).select("m", "e", "cluster", F.col("score").alias("matcher")).join(F.broadcast(_four(spark)), "cluster")
+    top = _top_clusters(spark, d, 2).select("m", "e", "cluster", F.col("score").alias("matcher")).join(F.broadcast(_four(spark, d)), "cluster")
     models = _z(_x(spark, d)).filter("l < 8").select(F.col("l").alias("label_id"), F.col("z").alias("w"))
     scored = routing.with_default(top, models, V.sigmoid(3 * V.dot(F.col("e"), F.col("w"))))
     return scored.withColumn("score", fusion.fuse(how, F.col("matcher"), F.col("ranker")))
@@ -374,12 +378,12 @@ def beam_two_layer(spark, d):
     return V.top_k(second, "q", "s", 3, "child", 9).select(F.col("q").alias("query_id"), F.col("child").alias("nation"), _r("s").alias("logscore"), "rank")
 
 
-_SQL_LEAVES = f"{_SQL_SCORES}, lv AS (SELECT m, label, score * (1 + leaf * 0.1) AS score FROM sc, (SELECT unnest([0, 1]) AS leaf) WHERE (m + label + leaf) % 3 <> 0), mm AS (SELECT m, label, max(score) AS score FROM lv GROUP BY ALL HAVING max(score) > 0)"
+_SQL_LEAVES = f"{_SQL_SCORES}, lv AS (SELECT m, label, score * (1 + leaf * 0.1 * (1 - 2 * ((m + label) % 2))) AS score FROM sc, (SELECT unnest([0, 1]) AS leaf)), mm AS (SELECT m, label, max(score) AS score FROM lv GROUP BY ALL HAVING max(score) > 0)"
 
 
 def _merged(spark, d):
     leaves = _scores(spark, d).select(F.col("m").alias("query_id"), F.col("label").alias("label_id"), "score", F.explode(F.array(F.lit(0), F.lit(1))).alias("leaf"))
-    leaves = leaves.filter((F.col("query_id") + F.col("label_id") + F.col("leaf")) % 3 != 0).withColumn("score", F.col("score") * (1 + F.col("leaf") * 0.1))
+    leaves = leaves.withColumn("score", F.col("score") * (1 + F.col("leaf") * 0.1 * (1 - 2 * ((F.col("query_id") + F.col("label_id")) % 2))))
     return routing.max_merge(leaves)
 
 
@@ -440,7 +444,7 @@ def trainable_labels(spark, d):
 @query(f"WITH {_SQL_TOP}, {_SQL_L4} SELECT m AS vec_id, cluster FROM tp UNION SELECT vec_id, cluster FROM embeddings JOIN l4 USING (label)")
 def mask_union(spark, d):
     y = _t(spark, d, "embeddings").select(F.col("vec_id").alias("m"), F.col("label").alias("label_id"))
-    got = routing.mask_union(_top_clusters(spark, d, 2).select("m", "cluster"), labels.mention_clusters(y, _four(spark), "m"))
+    got = routing.mask_union(_top_clusters(spark, d, 2).select("m", "cluster"), labels.mention_clusters(y, _four(spark, d), "m"))
     return got.withColumnRenamed("m", "vec_id")
 
 
@@ -451,9 +455,10 @@ def _gold(spark, d):
     return _t(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.array(F.col("label").cast("string"), ((F.col("label") + 1) % 10).cast("string")).alias("codes"))
 
 
-@query("SELECT vec_id AS query_id, CAST(label AS VARCHAR) || '|' || CAST((label + 1) % 10 AS VARCHAR) AS codes FROM embeddings WHERE label < 6")
+@query("SELECT vec_id AS query_id, CAST(label AS VARCHAR) || '|' || CAST((label + 1) % 10 AS VARCHAR) AS codes FROM embeddings WHERE label < (SELECT max(label) FROM embeddings) - 3")
 def gold_filter(spark, d):
-    known = spark.range(6).select(F.col("id").cast("string").alias("label"))
+    own = _t(spark, d, "embeddings").select("label").distinct()
+    known = own.filter(F.col("label") < own.agg(F.max("label")).first()[0] - 3).select(F.col("label").cast("string").alias("label"))
     return routing.known_gold(_gold(spark, d), known).select("query_id", F.array_join("codes", "|").alias("codes"))
 
 
@@ -480,6 +485,260 @@ def hit_mean(spark, d):
     return _hits(spark, d).agg(F.count("*").alias("queries"), _r(F.avg("hits")).alias("mean_hits"))
 
 
+# a tree of two layers with given coefficients: searched by the same code as a trained one
+
+
+_DEPTH, _BEAM, _TOP = 2, 1, 4
+
+
+def _tree(spark, d):
+    """Root clusters are labels modulo 2; those of its children labels // 2 modulo 2. Matchers and rankers come from label embeddings; the
+    two greatest labels have no ranker."""
+    z = _z(_x(spark, d)).select(F.col("l").cast("long").alias("label_id"), "z")
+    z = files.checkpointed(z)
+    more = lambda *c: F.array(*(F.lit(float(v)) if isinstance(v, (int, float)) else v for v in c))
+    wide = z.select((F.col("label_id") % 2 + 1).alias("node"), "label_id", F.concat("z", more(F.col("label_id") * 0.1, 0.2, 0.3)).alias("z"))
+    root = z.select(F.lit(0).cast("long").alias("node"), "label_id", (F.col("label_id") % 2).cast("int").alias("cluster"))
+    below = wide.select("node", "label_id", (F.floor(F.col("label_id") / 2) % 2).cast("int").alias("cluster"))
+    of = root.unionByName(below)
+    parts_ = of.join(z, "label_id").select("node", "cluster", F.posexplode("z").alias("k", "v")).groupBy("node", "cluster", "k").agg(F.avg("v").alias("v"))
+    means = parts_.groupBy("node", "cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda s: s["v"]).alias("z"))
+    coef = F.when(F.col("node") == 0, F.transform("z", lambda v: v * 4)).otherwise(F.concat(F.transform("z", lambda v: v * 3), more(0.5, -0.25, 0.125)))
+    none = F.lit(None).cast("string").alias("model")
+    matchers = means.select("node", "cluster", coef.alias("coef"), F.when(F.col("node") == 0, F.col("cluster") * 0.1).otherwise(F.lit(0.0)).alias("intercept"), none)
+    most = z.agg(F.max("label_id")).first()[0]
+    rankers = wide.filter(F.col("label_id") < most - 1).select("node", "label_id", F.concat(F.transform("z", lambda v: v * 2), F.transform("z", lambda v: v * 0.5)).alias("coef"), F.lit(-0.2).alias("intercept"), none)
+    edges = spark.createDataFrame([(0, 0, 1), (0, 1, 2)], "node long, cluster int, child long")
+    names = z.select("label_id", F.concat(F.lit("L"), F.col("label_id").cast("string")).alias("label"))
+    node_labels = z.select(F.lit(0).cast("long").alias("node"), "label_id", "z").unionByName(wide)
+    return model.XModel.from_tables(_DEPTH, dictionary=names, embeddings=z, clusters=of, matchers=matchers, rankers=rankers, edges=edges, node_labels=node_labels)
+
+
+def _asked(spark, d):
+    return _x(spark, d).select(F.col("m").alias("query_id"), F.col("e").alias("vec"))
+
+
+def _means(of: str) -> str:
+    return f"SELECT {of} AS cluster, i, avg(v) AS v FROM (SELECT l, unnest(range(1, 65)) AS i, unnest(z) AS v FROM z)"
+
+
+_SQL_ROOT = f"""{_SQL_Z}, m0 AS (SELECT cluster, list(v ORDER BY i) AS c FROM ({_means("l % 2")} GROUP BY 1, 2) GROUP BY 1),
+ p0 AS (SELECT m, cluster, e, 1 / (1 + exp(-(4 * list_dot_product(e, c) + 0.1 * cluster))) AS p FROM x CROSS JOIN m0)"""
+_SQL_TREE = f"""{_SQL_ROOT}, s0 AS (SELECT *, sum(p) OVER (PARTITION BY m) AS total, max(p) OVER (PARTITION BY m) AS most, row_number() OVER (PARTITION BY m ORDER BY round(p, 9) DESC, cluster) AS k FROM p0),
+ b0 AS (SELECT m, cluster + 1 AS node, list_concat(e, [p, total, most]) AS raw FROM s0 WHERE k <= {_BEAM}),
+ v1 AS (SELECT m, node, list_transform(raw, lambda t: t / sqrt(list_dot_product(raw, raw))) AS vec FROM b0),
+ m1 AS (SELECT node, cluster, list_concat(list_transform(list(v ORDER BY i), lambda t: t * 3), [0.5, -0.25, 0.125]) AS c FROM (SELECT l % 2 + 1 AS node, CAST(floor(l / 2) AS INTEGER) % 2 AS cluster, i, avg(v) AS v FROM (SELECT l, unnest(range(1, 65)) AS i, unnest(z) AS v FROM z) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+ p1 AS (SELECT m, v1.node, cluster, vec, 1 / (1 + exp(-list_dot_product(vec, c))) AS p FROM v1 JOIN m1 USING (node)),
+ zw AS (SELECT l, l % 2 + 1 AS node, CAST(floor(l / 2) AS INTEGER) % 2 AS cluster, list_concat(z, [CAST(l * 0.1 AS DOUBLE), 0.2, 0.3]) AS z FROM z),
+ re AS (SELECT m, p1.node, l, p, CASE WHEN l < (SELECT max(l) FROM z) - 1 THEN 1 / (1 + exp(-(2 * list_dot_product(vec, zw.z) + 0.5 * list_dot_product(zw.z, zw.z) - 0.2))) ELSE 1.0 END AS r FROM p1 JOIN zw USING (node, cluster)),
+ fu AS (SELECT m, l, node, pow(greatest(least(p, 1), 1e-6), 0.5) * pow(greatest(least(r, 1), 1e-6), 0.5) AS score FROM re)"""
+
+
+@query(f"WITH {_SQL_ROOT} SELECT m AS query_id, cluster, round(p, 6) AS score FROM p0")
+def matcher_scores(spark, d):
+    tree = _tree(spark, d)
+    x = _asked(spark, d).withColumn("node", F.lit(0).cast("long"))
+    return parts.Matcher(tree.matchers).predict_proba(x).select("query_id", "cluster", _r("score").alias("score"))
+
+
+@query(f"WITH {_SQL_TREE} SELECT m AS query_id, l AS label_id, CAST(node AS BIGINT) AS leaf, round(score, 6) AS score FROM fu")
+def tree_search(spark, d):
+    found = _tree(spark, d).search(_asked(spark, d), beam_size=_BEAM)
+    return found.select("query_id", "label_id", "leaf", _r("score").alias("score"))
+
+
+_SQL_PER_LEAF = f"""{_SQL_TREE}, lf AS (SELECT *, row_number() OVER (PARTITION BY m, node ORDER BY round(score, 9) DESC, l) AS k FROM fu), mx AS (SELECT m, l, max(score) AS score FROM lf WHERE k <= {_TOP} GROUP BY m, l HAVING max(score) > 0)
+ SELECT m AS query_id, rank, l AS label_id, 'L' || l AS label, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY m ORDER BY round(score, 9) DESC, l) AS rank FROM mx) WHERE rank <= {_TOP}"""
+
+
+def _best(rows):
+    return rows.select("query_id", "rank", F.col("label_id").cast("int").alias("label_id"), "label", _r("score").alias("score"))
+
+
+@query(f"WITH {_SQL_PER_LEAF}")
+def tree_predict(spark, d):
+    return _best(_tree(spark, d).predict_vectors(_asked(spark, d), topk=_TOP, beam_size=_BEAM))
+
+
+@query(f"WITH {_SQL_PER_LEAF}")
+def tree_saved(spark, d):
+    """The same of a model that was saved and loaded."""
+    folder = f"{files.shared_folder(spark)}/tree-{uuid.uuid4().hex}"
+    _tree(spark, d).save(folder)
+    return _best(model.XModel.load(spark, folder).predict_vectors(_asked(spark, d), topk=_TOP, beam_size=_BEAM))
+
+
+@query(f"""WITH {_SQL_TREE}, un AS (SELECT DISTINCT m, l FROM fu), co AS (SELECT m, l, list_dot_product(e, z.z) / ((sqrt(list_dot_product(e, e)) + 1e-12) * (sqrt(list_dot_product(z.z, z.z)) + 1e-12)) AS score FROM un JOIN (SELECT m, e FROM x) USING (m) JOIN z USING (l))
+ SELECT m AS query_id, rank, l AS label_id, 'L' || l AS label, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY m ORDER BY round(score, 9) DESC, l) AS rank FROM co) WHERE rank <= {_TOP}""")
+def tree_global(spark, d):
+    """Labels that the beam reaches, ranked by cosine."""
+    return _best(_tree(spark, d).predict_vectors(_asked(spark, d), topk=_TOP, beam_size=_BEAM, topk_mode="global"))
+
+
+_SQL_NODE = f"""{_SQL_ROOT}, t0 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY m ORDER BY round(p, 9) DESC, cluster) AS k FROM p0) WHERE k <= 1), n0 AS (SELECT m, z.l, round(pow((0.5 * pow(greatest(least(p, 1), 1e-6), 3) + 0.5), 1.0 / 3), 6) AS score FROM t0 JOIN z ON z.l % 2 = cluster),
+ r0 AS (SELECT *, row_number() OVER (PARTITION BY m ORDER BY score DESC, l) AS rank FROM n0)"""
+
+
+@query(f"WITH {_SQL_NODE} SELECT m AS query_id, rank, CAST(l AS BIGINT) AS label_id, score FROM r0 WHERE rank <= 3")
+def node_predict(spark, d):
+    """The root alone, whose labels have no rankers."""
+    return _tree(spark, d).predict_node(0, _asked(spark, d), beam_size=1, topk=3).withColumn("score", _r("score"))
+
+
+@query(f"WITH {_SQL_NODE} SELECT m AS query_id, string_agg(CAST(l AS VARCHAR), '|' ORDER BY l) AS labels, round(sum(score), 4) AS total FROM r0 WHERE rank <= 3 GROUP BY m")
+def node_predict_matrix(spark, d):
+    rows = _tree(spark, d).predict_node(0, _asked(spark, d), beam_size=1, topk=3, as_matrix=True)
+    total = F.aggregate("scores", F.lit(0.0), lambda a, x: a + F.round(x, 6))
+    return rows.select("query_id", F.array_join(F.transform("labels", lambda x: x.cast("string")), "|").alias("labels"), F.round(total, 4).alias("total"))
+
+
+def _kept_part(spark, kind, part):
+    folder = f"{files.shared_folder(spark)}/part-{uuid.uuid4().hex}"
+    part.save(folder)
+    return kind.load(spark, folder)
+
+
+@query(f"WITH {_SQL_ROOT} SELECT m AS query_id, cluster, round(p, 6) AS score FROM p0")
+def matcher_saved(spark, d):
+    matcher = _kept_part(spark, parts.Matcher, parts.Matcher(_tree(spark, d).matchers))
+    return matcher.predict_proba(_asked(spark, d).withColumn("node", F.lit(0).cast("long"))).select("query_id", "cluster", _r("score").alias("score"))
+
+
+@query(f"WITH {_SQL_TREE} SELECT m AS query_id, l AS label_id, round(r, 6) AS score FROM re")
+def ranker_saved(spark, d):
+    """Rankers of the labels that the beam reaches, on the vectors of their node."""
+    tree = _tree(spark, d)
+    ranker = _kept_part(spark, parts.Ranker, parts.Ranker(tree.rankers))
+    first = parts.Matcher(tree.matchers).predict_proba(_asked(spark, d).withColumn("node", F.lit(0).cast("long")))
+    by = Window.partitionBy("query_id")
+    scored = first.withColumn("sum", F.sum("score").over(by)).withColumn("max", F.max("score").over(by))
+    on = V.top_k(scored, "query_id", "score", _BEAM, "cluster", 9).join(tree.edges, ["node", "cluster"])
+    vec = V.unit(F.concat("vec", F.array("score", "sum", "max")))
+    pairs = on.select("query_id", F.col("child").alias("node"), vec.alias("vec")).join(tree.clusters.filter("node > 0").select("node", "label_id"), "node")
+    return ranker.predict_proba(pairs, tree.node_labels).select("query_id", "label_id", _r("score").alias("score"))
+
+
+@query(f"WITH {_SQL_Z}, q AS (SELECT l % 2 AS cluster, i, avg(v) AS v FROM (SELECT l, unnest(range(1, 65)) AS i, unnest(z) AS v FROM z) GROUP BY ALL) SELECT cluster, i - 1 AS feature, round(v, 6) AS value FROM q")
+def clustering_saved(spark, d):
+    tree = _tree(spark, d)
+    held = _kept_part(spark, parts.Clustering, parts.Clustering(tree.clusters.filter("node = 0")))
+    found = held.centroids(tree.node_labels)
+    return found.select("cluster", F.posexplode("centroid").alias("feature", "value")).select("cluster", F.col("feature").cast("long").alias("feature"), _r("value").alias("value"))
+
+
+# readers: the tables are written as the files that they read
+
+
+def _written(spark, rows, column="value"):
+    folder = f"{files.shared_folder(spark)}/file-{uuid.uuid4().hex}"
+    rows.select(F.col(column).alias("value")).coalesce(1).write.text(folder)
+    return folder
+
+
+def _part_lines(spark, d):
+    part = _t(spark, d, "part").orderBy("p_partkey")
+    return _written(spark, part.select(F.concat_ws("\t", F.col("p_size").cast("string"), "p_name").alias("value")))
+
+
+@query("SELECT p_size AS group_id, string_agg(p_name, ' ' ORDER BY p_partkey) AS text FROM part GROUP BY p_size")
+def read_grouped(spark, d):
+    return files.read_grouped(spark, _part_lines(spark, d))
+
+
+@query("WITH b AS (SELECT row_number() OVER (ORDER BY b) - 1 AS label_pos, b AS label FROM (SELECT DISTINCT p_type AS b FROM part)) SELECT label_pos, label FROM b")
+def read_labels(spark, d):
+    names = _t(spark, d, "part").select(F.col("p_type").alias("value")).distinct().orderBy("value")
+    return files.read_labels(spark, _written(spark, names.select(F.concat(F.lit("  "), F.col("value"), F.lit(" ")).alias("value"))))
+
+
+@query(f"WITH {_POSITION} SELECT label_pos, label, corpus FROM gp JOIN b USING (label_pos)")
+def read_labelled(spark, d):
+    names = _written(spark, _t(spark, d, "part").select(F.col("p_name").alias("value")).distinct().orderBy("value"))
+    rows = files.read_labelled(spark, _part_lines(spark, d), names)
+    return rows.select("label_pos", "label", F.array_join("corpus", "|").alias("corpus"))
+
+
+@query("SELECT row_number() OVER (ORDER BY vec_id) - 1 AS query_id, CAST(label AS VARCHAR) || ';' || CAST(label + 1 AS VARCHAR) AS codes FROM embeddings")
+def read_gold(spark, d):
+    x = _t(spark, d, "embeddings").orderBy("vec_id")
+    lines = x.select(F.concat_ws("|", F.col("label").cast("string"), (F.col("label") + 1).cast("string")).alias("value"))
+    return files.read_gold(spark, _written(spark, lines)).select("query_id", F.array_join("codes", ";").alias("codes"))
+
+
+@query("SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS query_id, p_name AS text FROM part")
+def read_queries(spark, d):
+    return files.read_queries(spark, _written(spark, _t(spark, d, "part").orderBy("p_partkey"), "p_name"))
+
+
+@query("SELECT p_brand AS code FROM part WHERE p_size % 5 > 0")
+def extract_codes(spark, d):
+    folder = f"{files.shared_folder(spark)}/codes-{uuid.uuid4().hex}"
+    code = F.when(F.col("p_size") % 5 > 0, F.col("p_brand"))
+    _t(spark, d, "part").select("p_partkey", code.alias("code")).write.csv(f"{folder}/in", sep="\t", header=True)
+    files.extract_codes(spark, f"{folder}/in", f"{folder}/out")
+    return spark.read.text(f"{folder}/out").withColumnRenamed("value", "code")
+
+
+@query("SELECT s_suppkey, s_name, round(s_acctbal, 2) AS s_acctbal FROM supplier")
+def debug_tables(spark, d):
+    folder = f"{files.shared_folder(spark)}/debug-{uuid.uuid4().hex}"
+    files.write_debug_tables({"supplier": _t(spark, d, "supplier").select("s_suppkey", "s_name", "s_acctbal")}, folder)
+    return spark.read.csv(f"{folder}/supplier", header=True, schema="s_suppkey bigint, s_name string, s_acctbal double").withColumn("s_acctbal", F.round("s_acctbal", 2))
+
+
+# pieces of the node's work
+
+
+@query(f"WITH {_SQL_Z} SELECT DISTINCT vec_id, l AS label FROM embeddings JOIN z ON z.l = label WHERE l % 2 = 1")
+def node_slice(spark, d):
+    """Rows of a node: its labels' columns, the mentions that have one of them, and their vectors."""
+    y = _t(spark, d, "embeddings").select(F.col("vec_id").alias("mention_id"), F.col("label").alias("label_id"))
+    x = _x(spark, d).select(F.col("m").alias("mention_id"), F.col("e").alias("vec"))
+    own = _four(spark, d).filter("label_id % 2 = 1")
+    held = y.join(own, "label_id").select("mention_id", "label_id").distinct()
+    return held.join(x, "mention_id").select(F.col("mention_id").alias("vec_id"), F.col("label_id").alias("label"))
+
+
+@query(f"WITH {_SQL_X}, w AS (SELECT m, list_concat(list_transform(e, lambda t: t * 0.5), [1.0, CAST(l AS DOUBLE)]) AS w FROM x) SELECT m AS vec_id, i - 1 AS feature, round(v, 6) AS value FROM (SELECT m, unnest(range(1, 67)) AS i, unnest(w) AS v FROM w) WHERE v <> 0")
+def stacked_features(spark, d):
+    """Features of two tables side by side."""
+    x = _x(spark, d)
+    left = V.to_long(x.withColumn("e", F.transform("e", lambda v: v * 0.5)), "e", "m")
+    right = V.to_long(x.withColumn("e", F.array(F.lit(1.0), F.col("l").cast("double"))), "e", "m")
+    return V.stack(left, right, widths=[WIDTH, 2]).select(F.col("m").alias("vec_id"), F.col("feature").cast("long").alias("feature"), _r("value").alias("value"))
+
+
+@query(f"WITH {_SQL_X} SELECT m AS vec_id, string_agg(CAST(round(v, 4) AS VARCHAR), ' ' ORDER BY i) AS cells FROM (SELECT m, i, CASE WHEN i <= 64 THEN round(e[i], 1) + 0.0 ELSE 0.0 END AS v FROM x, (SELECT unnest(range(1, 71)) AS i)) GROUP BY m")
+def matched_width(spark, d):
+    """Vectors of another width: what is missing is zero."""
+    long = V.to_long(_x(spark, d), "e", "m")
+    wide = V.to_dense(long, 70, "m")
+    return wide.select(F.col("m").alias("vec_id"), F.array_join(F.transform("vector", lambda v: F.when(F.round(v, 1) == 0, F.lit(0.0)).otherwise(F.round(v, 1)).cast("string")), " ").alias("cells"))
+
+
+_SQL_OPT = """tok AS (SELECT p_partkey, list_filter(regexp_extract_all(lower(p_name), '[\\p{L}\\p{N}_]{2,}'), lambda t: t <> 'red') AS w FROM part),
+ tf AS (SELECT p_partkey, term, count(*) AS tf FROM (SELECT p_partkey, unnest(w) AS term FROM tok) GROUP BY ALL), n AS (SELECT count(*) AS n FROM part),
+ df AS (SELECT term, ln(any_value(n) / count(*)) + 1 AS idf FROM tf, n GROUP BY term HAVING count(*) >= 0.001 * any_value(n) AND count(*) <= 0.9 * any_value(n)),
+ raw AS (SELECT p_partkey, term, (1 + ln(tf)) * idf AS v FROM tf JOIN df USING (term))"""
+
+
+@query(f"WITH {_SQL_OPT} SELECT p_partkey, term, round(v / sum(v) OVER (PARTITION BY p_partkey), 6) AS value FROM raw")
+def tfidf_options(spark, d):
+    """Stop words, bounds below and above, plain idf, sublinear counts, sums of 1."""
+    part = _t(spark, d, "part")
+    tf = text.terms(part, "p_partkey", "p_name", 1, 1, stop=["red"])
+    known = text.document_frequencies(tf, part.count(), 0.9, min_df=0.001, smooth=False)
+    return text.weights(tf, known, "p_partkey", sublinear=True, norm="l1").select("p_partkey", "term", _r("value").alias("value"))
+
+
+@query(f"WITH {_SQL_X}, xl AS (SELECT m, unnest(range(1, 65)) AS i, unnest(e) AS v FROM x), g AS (SELECT a.i AS i, b.i AS j, sum(a.v * b.v) AS v FROM xl a JOIN xl b USING (m) GROUP BY a.i, b.i) SELECT round(sum(CASE WHEN i = j THEN v ELSE 0 END), 4) AS squares, round(sum(v * v), 2) AS fourths FROM g")
+def svd_moments(spark, d):
+    """Sums of the second and fourth powers of all singular values, which the products of the columns give too."""
+    rows = _x(spark, d).select(F.sequence(F.lit(0), F.lit(WIDTH - 1)).alias("features"), F.col("e").alias("values"))
+    _, s = encoders.singular_vectors(rows, WIDTH, WIDTH)
+    return spark.createDataFrame([(round(float((s**2).sum()), 4), round(float((s**4).sum()), 2))], "squares double, fourths double")
+
+
 # fitted models: checked by tests, as SQL can't express them
 
 
@@ -510,7 +769,7 @@ def balanced_kmeans(spark, d):
 
 def _matcher(spark, d):
     x = _x(spark, d).select(F.lit(0).cast("long").alias("node"), F.col("m").alias("mention_id"), F.col("e").alias("vec"))
-    y = _x(spark, d).select("m", F.col("l").alias("label_id")).join(_four(spark), "label_id")
+    y = _x(spark, d).select("m", F.col("l").alias("label_id")).join(_four(spark, d), "label_id")
     targets = y.groupBy(F.lit(0).cast("long").alias("node"), F.col("m").alias("mention_id")).agg(F.collect_set("cluster").alias("clusters"))
     return x, model.fit_matchers(x, targets, {"type": "sklearnlogisticregression"})
 
@@ -518,7 +777,7 @@ def _matcher(spark, d):
 @query()
 def matcher_fit_predict(spark, d):
     x, fitted = _matcher(spark, d)
-    scored = x.join(fitted, "node").withColumn("score", _r(model.model_score("model", "vec")))
+    scored = x.join(fitted, "node").withColumn("score", _r(model.probability(F.col("vec"), True)))
     return scored.select(F.col("mention_id").alias("vec_id"), "cluster", "score")
 
 
@@ -527,11 +786,13 @@ def ranker_fit_predict(spark, d):
     x = _x(spark, d).select(F.lit(0).cast("long").alias("node"), F.col("m").alias("mention_id"), F.col("e").alias("vec"))
     y = _x(spark, d).select(F.col("m").alias("mention_id"), F.col("l").cast("long").alias("label_id"))
     z = _z(_x(spark, d)).select(F.lit(0).cast("long").alias("node"), F.col("l").cast("long").alias("label_id"), "z")
-    of = _four(spark).select(F.lit(0).cast("long").alias("node"), F.col("label_id").cast("long").alias("label_id"), "cluster")
-    pool = model.ranker_pool(x, y, z, of, None, {"E_warm": 2, "neg_mult": 3}, 4)
-    fitted = model.fit_rankers(pool, x, z, {"type": "sklearnsgdclassifier", "kwargs": {"loss": "log_loss", "random_state": 1}}, 4)
-    scored = pool.select("node", "label_id", "mention_id", "target").distinct().join(x, ["node", "mention_id"]).join(z, ["node", "label_id"]).join(fitted, ["node", "label_id"])
-    return scored.select(F.col("mention_id").alias("vec_id"), "label_id", "target", _r(model.model_score("model", F.concat("vec", "z"))).alias("score"))
+    of = _four(spark, d).select(F.lit(0).cast("long").alias("node"), F.col("label_id").cast("long").alias("label_id"), "cluster")
+    pool = model.ranker_pool(x, y, z, of, None, {"E_warm": 2}, 4)
+    config = {"type": "sklearnsgdclassifier", "kwargs": {"loss": "log_loss", "random_state": 1}}
+    # all pairs of a mention and a label of its clusters
+    pairs = labels.mention_clusters(y, of).join(of, "cluster").select("node", "mention_id", "label_id").distinct().join(x, ["node", "mention_id"])
+    scored = parts.Ranker.train(pool, x, z, config, 4).predict_proba(pairs, z)
+    return scored.select(F.col("mention_id").alias("vec_id"), "label_id", _r("score").alias("score"))
 
 
 @query()

@@ -8,22 +8,50 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Partitions whose first positions make a table small enough to be broadcast.
+MOST_BROADCAST = 100_000
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names for checkpoints, which all executors share.
+
+    On one machine, where the session names none, it is a folder of the warehouse; on a cluster that is an error.
+    """
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if named is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(named)
+    return named
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Write df to the shared folder and cut its lineage."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def with_position(df: DataFrame, name: str = "pos") -> DataFrame:
     """Number rows from 0 in the order in which they are read.
 
-    Only the number of rows of each partition goes to the driver.
+    Rows are written with their place in their partition, so that counts of partitions and places come from the same partitions,
+    even where those of a second run would be others. Only the number of rows of each partition goes to the driver.
     """
-    local = df.withColumn("_n", F.monotonically_increasing_id())
-    part = F.shiftright("_n", 33)
-    counts = dict(local.groupBy(part.alias("p")).count().collect())
-    starts, total = [], 0
-    for p in sorted(counts):
+    taken = {c.lower() for c in df.columns}
+    mark = next(m for m in (f"_at{'_' * k}" for k in range(len(taken) + 1)) if m not in taken)
+    held = checkpointed(df.withColumn(mark, F.monotonically_increasing_id()))
+    part = F.shiftright(mark, 33)
+    total, starts = 0, []
+    for p, n in sorted(map(tuple, held.groupBy(part.alias("p")).count().collect())):
         starts.append((p, total))
-        total += counts[p]
-    if not starts:
-        return df.withColumn(name, F.lit(0).cast("long"))
-    begin = F.create_map(*(F.lit(x) for pair in starts for x in pair))
-    return local.withColumn(name, begin[part].cast("long") + F.col("_n").bitwiseAND((1 << 33) - 1)).drop("_n")
+        total += n
+    begins = df.sparkSession.createDataFrame(starts, f"`{mark}p` long, `{mark}first` long")
+    few = F.broadcast(begins) if len(starts) <= MOST_BROADCAST else begins
+    joined = held.join(few, part == F.col(f"{mark}p"))
+    return joined.withColumn(name, F.col(f"{mark}first") + F.col(mark).bitwiseAND((1 << 33) - 1)).drop(mark, f"{mark}p", f"{mark}first")
 
 
 def in_order(value: str, order: str) -> Column:
@@ -60,7 +88,7 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
 
 
 def ranked(rows: DataFrame, order: str, name: str) -> DataFrame:
-    """Place of each row by order, from 0. Rows are sorted by ranges and numbered as read."""
+    """Place of each row by order, from 0. Rows are sorted by ranges over all tasks and numbered as they are then."""
     return with_position(rows.sort(order), name)
 
 

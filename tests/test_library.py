@@ -111,6 +111,7 @@ def test_classifiers_learn_and_keep(kind):
     x = rng.standard_normal((300, 4))
     y = (x[:, 0] + 0.3 * x[:, 1] > 0).astype(int)
     model = classifiers.CLASSIFIERS[kind](**({"n_estimators": 20} if kind in ("sklearnrandomforestclassifier", "lightgbmclassifier") else {})).fit(x, y)
+    assert model.classes == [0, 1]
     assert (model.predict(x) == y).mean() > 0.9
     again = classifiers.Classifier.loads(model.dumps())
     assert np.allclose(again.predict_proba(x), model.predict_proba(x)) and np.allclose(model.predict_proba(x).sum(1), 1)
@@ -132,15 +133,18 @@ def test_registered_encoders(spark):
     got = encoders.TextEncoder(transformer={"type": "hashedngrams"}, flag=3).transform(rows, "query_id", "text").orderBy("query_id").collect()
     assert np.linalg.norm(got[0]["vec"]) == pytest.approx(1)
     with pytest.raises(ValueError):
-        encoders.TextEncoder(transformer={"type": "biobert"}, flag=3).transform(rows, "query_id", "text")
+        encoders.TextEncoder(transformer={"type": "nobodys"}, flag=3).transform(rows, "query_id", "text")
+    with pytest.raises(Exception, match="torch and transformers"):
+        encoders.TextEncoder(transformer={"type": "biobert"}, flag=3).transform(rows, "query_id", "text").collect()
 
 
 def test_vocabulary_has_no_limit_of_its_own(spark):
-    rows = encoders.texts_of(spark, [" ".join(f"{c}{k}" for c in "abcdefgh") for k in range(1400)])
-    dimension = {"kwargs": {"n_components": 2}}
-    assert len(encoders.TextEncoder(dimension=dimension, flag=1).fit(rows, "query_id", "text").terms) == 1400 * 15
+    rows = spark.createDataFrame([(k, " ".join(f"{c}{k}" for c in "abcdefgh")) for k in range(1400)], "query_id long, text string")
+    dimension = {"kwargs": {"n_components": 2, "n_iter": 0}}
+    whole = encoders.TextEncoder(dimension=dimension, flag=1).fit(rows, "query_id", "text")
+    assert whole.terms == whole.vocabulary.count() == whole.basis.count() == 1400 * 15
     some = encoders.TextEncoder(vectorizer={"kwargs": {"max_features": 50}}, dimension=dimension, flag=1)
-    assert len(some.fit(rows, "query_id", "text").terms) == 50
+    assert some.fit(rows, "query_id", "text").terms == 50
 
 
 def test_negatives_are_cut_where_they_overlap(spark):
@@ -194,14 +198,250 @@ def test_final_paths(tree):
         assert all(s["layer"] == k for p in r["paths"] for k, s in enumerate(p["trail"]))
 
 
-def test_stream_is_ranked_like_a_table(spark, tree, tmp_path):
-    from brindle.streaming.ranking import rank_stream
+def test_positions_of_wide_rows(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", True)
+    mixed = (F.col("id") * 7919) % 500_000
+    rows = spark.range(500_000).select(mixed.alias("id"), F.repeat(F.lit("x"), 200).alias("a"), F.repeat(mixed.cast("string"), 20).alias("b"), F.lit("mine").alias("_at"))
+    got = files.ranked(rows, "id", "pos")
+    assert got.filter("pos is null or pos != id or _at != 'mine'").isEmpty() and got.count() == 500_000
+    assert files.ranked(rows.limit(0), "id", "pos").collect() == []
 
-    model, mentions = tree
-    asked = mentions.filter("mention_id < 6").select(F.col("mention_id").alias("query_id"), "text")
-    asked.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(asked.schema).parquet(str(tmp_path / "in"))
-    writer = rank_stream(model, stream, lambda rows, _: rows.write.mode("append").parquet(str(tmp_path / "out")), topk=2)
-    writer.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
-    key = lambda df: sorted((r["query_id"], r["rank"], r["label_id"]) for r in df.collect())
-    assert key(spark.read.parquet(str(tmp_path / "out"))) == key(model.predict(asked, topk=2))
+
+def test_label_ids_are_ranks(spark):
+    rows = spark.createDataFrame([(w,) for w in ["b", "a", "é", "Z", None, "a", ""]], "l string")
+    assert [tuple(r) for r in labels.label_dictionary(rows, "l").orderBy("label_id").collect()] == [("", 0), ("Z", 1), ("a", 2), ("b", 3), ("é", 4)]
+
+
+@pytest.mark.parametrize("kind, wrong", [
+    ("sklearnlogisticregression", {"dual": True}), ("sklearnlogisticregression", {"solver": "guess"}), ("sgdclassifier", {"loss": "huber"}), ("sgdclassifier", {"learning_rate": "constant", "eta0": 0.0}),
+    ("sklearnrandomforestclassifier", {"oob_score": True}), ("sklearnrandomforestclassifier", {"ccp_alpha": 0.1}), ("lightgbmclassifier", {"boosting_type": "dart"}), ("sklearnsupportvectorclassification", {"break_ties": True}),
+])
+def test_options_of_classifiers_are_refused(kind, wrong):
+    with pytest.raises(ValueError):
+        classifiers.CLASSIFIERS[kind](**wrong)
+
+
+def learning_rows(n=400, d=5, seed=2):
+    rng = np.random.default_rng(seed)
+    x = rng.standard_normal((n, d))
+    return x, (x[:, 0] + 0.3 * x[:, 1] + 0.5 * rng.standard_normal(n) > 0).astype(float)
+
+
+def test_logistic_regression_meets_its_conditions():
+    x, y = learning_rows()
+    for kwargs, square, absolute in (({"C": 0.5}, 2.0, 0.0), ({"penalty": "l1", "C": 0.1}, 0.0, 10.0), ({"penalty": "elasticnet", "l1_ratio": 0.4, "C": 0.2}, 3.0, 2.0), ({"penalty": None}, 0.0, 0.0)):
+        model = classifiers.LogisticRegression(tol=1e-8, max_iter=2000, **kwargs).fit(x, y)
+        w = np.array(model.coef)
+        error = model.predict_proba(x)[:, 1] - y
+        pull = x.T @ error + square * w
+        assert abs(error.sum()) < 1e-3 and (np.abs(pull[w == 0]) <= absolute + 1e-3).all() and np.allclose(pull[w != 0], -absolute * np.sign(w[w != 0]), atol=1e-3)
+    few = x[:4]  # more features than rows
+    model = classifiers.LogisticRegression(tol=1e-8).fit(few, np.array([0.0, 1, 0, 1]))
+    assert np.allclose(few.T @ (model.predict_proba(few)[:, 1] - [0, 1, 0, 1]) + np.array(model.coef), 0, atol=1e-6)
+    assert classifiers.LogisticRegression(fit_intercept=False).fit(x, y).intercept == 0
+    heavy = classifiers.LogisticRegression(class_weight={0: 1, 1: 9}).fit(x, y)
+    assert heavy.predict(x).mean() > classifiers.LogisticRegression().fit(x, y).predict(x).mean() + 0.1
+    assert classifiers.LogisticRegression(max_iter=1).fit(x, y).coef != classifiers.LogisticRegression().fit(x, y).coef
+
+
+@pytest.mark.parametrize("kwargs", [
+    {"loss": "log_loss", "learning_rate": "adaptive", "eta0": 0.01, "penalty": "l1"}, {"early_stopping": True, "random_state": 42}, {"average": True}, {"learning_rate": "invscaling", "eta0": 0.1}, {"learning_rate": "constant", "eta0": 0.01},
+    {"loss": "modified_huber", "penalty": "elasticnet"}, {"loss": "squared_hinge", "penalty": None, "learning_rate": "constant", "eta0": 0.001}, {"loss": "perceptron", "penalty": None, "average": True}, {"class_weight": "balanced"}, {"shuffle": False},
+])
+def test_options_of_sgd(kwargs):
+    x, y = learning_rows()
+    best = (classifiers.LogisticRegression().fit(x, y).predict(x) == y).mean()
+    model = classifiers.SGD(**kwargs).fit(x, y)
+    assert (model.predict(x) == y).mean() > best - 0.08
+    assert model.coef == classifiers.SGD(**kwargs).fit(x, y).coef
+
+
+def test_passes_of_sgd():
+    x, y = learning_rows()
+    one = lambda **kw: classifiers.SGD(loss="log_loss", learning_rate="constant", eta0=0.01, **kw).fit(x, y).state["t"] // len(x)
+    assert one(max_iter=3) == 3 and one(max_iter=300, tol=None) == 300 and 3 < one(max_iter=300, tol=1e-2, n_iter_no_change=2) < 40
+    slow = classifiers.SGD(learning_rate="adaptive", eta0=0.5, tol=1e-2, n_iter_no_change=1, loss="log_loss").fit(x, y)
+    assert slow.state["rate"] < 1e-5
+    strong = classifiers.SGD(penalty="l1", alpha=0.05, learning_rate="constant", eta0=0.01, loss="log_loss").fit(x, y)
+    free = classifiers.SGD(penalty=None, learning_rate="constant", eta0=0.01, loss="log_loss").fit(x, y)
+    assert np.abs(strong.coef[2:]).max() < 0.3 * np.abs(free.coef[2:]).max() and min(strong.coef[:2]) > 0.3
+
+
+def test_options_of_trees():
+    x, y = learning_rows()
+    forest = lambda **kw: classifiers.Forest(n_estimators=5, random_state=1, **kw).fit(x, y).state["trees"]
+    depth = lambda t, k=0: 0 if len(t[k]) == 1 else 1 + max(depth(t, t[k][2]), depth(t, t[k][3]))
+    count = lambda t: sum(len(n) == 1 for n in t)
+    assert max(map(depth, forest())) > 8 and max(depth(t) for t in forest(max_depth=3)) == 3
+    assert all(count(t) <= 6 for t in forest(max_leaf_nodes=6)) and max(map(count, forest())) > 40
+    assert max(map(count, forest(min_samples_leaf=40))) <= 10 and max(map(count, forest(min_samples_split=200))) < 20
+    assert max(map(count, forest(min_impurity_decrease=0.02))) < 10 and forest(criterion="entropy") != forest() != forest(max_features=None)
+    assert max(map(count, forest(max_samples=0.1))) < 30 and len({str(t) for t in forest(bootstrap=False, max_features=None)}) == 1
+    boosted = lambda **kw: classifiers.Boosted(n_estimators=5, **kw).fit(x, y).state["trees"]
+    assert max(map(count, boosted(num_leaves=4))) == 4 and max(depth(t) for t in boosted(max_depth=2)) == 2 and max(map(count, boosted())) <= 31
+    assert max(map(count, boosted(min_child_samples=150))) <= 2 and max(map(count, boosted(min_split_gain=1e6))) == 1
+    for kw in ({"reg_alpha": 5.0}, {"reg_lambda": 50.0}, {"colsample_bytree": 0.4, "random_state": 3}, {"subsample": 0.5, "subsample_freq": 1}, {"min_child_weight": 20.0}, {"learning_rate": 0.5}):
+        assert boosted(**kw) != boosted()
+
+
+def test_kernels():
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((300, 2))
+    y = ((x**2).sum(1) > 1.2).astype(float)
+    right = lambda **kw: (classifiers.KernelSVC(**kw).fit(x, y).predict(x) == y).mean()
+    assert right() > 0.95 and right(kernel="poly", degree=2, coef0=1.0) > 0.95 and right(kernel="linear") < 0.9 and right(gamma="auto", C=10.0) > 0.95
+    model = classifiers.KernelSVC(tol=1e-6).fit(x, y)
+    margin = np.where(y > 0, 1, -1) * model.raw_decision(x)
+    held = {tuple(r) for r in model.state["support"]}
+    assert all(margin[k] > 1 - 1e-3 for k in range(300) if tuple(x[k].tolist()) not in held)  # the conditions for the least
+
+
+@pytest.mark.parametrize("kind, wrong", [
+    ("sklearnkmeans", {"init": "guess"}), ("balancedkmeans", {"distance": "other"}), ("balancedkmeans", {"iter_k": 3}), ("sklearnagglomerativeclustering", {"linkage": "other"}), ("sklearnagglomerativeclustering", {"connectivity": 1}),
+    ("faisskmeans", {"nonsense": 1}),
+])
+def test_options_of_clusterers_are_refused(kind, wrong):
+    with pytest.raises(ValueError):
+        clusters.CLUSTERERS[kind](np.random.default_rng(0).random((20, 3)), {"n_clusters": 3} | wrong)
+
+
+def brute_linkage(z, k, linkage):
+    groups = [[i] for i in range(len(z))]
+    far = lambda a, b: np.linalg.norm(z[a][:, None] - z[b][None], axis=2)
+    cost = {
+        "ward": lambda a, b: ((z[a].mean(0) - z[b].mean(0)) ** 2).sum() * len(a) * len(b) / (len(a) + len(b)),
+        "complete": lambda a, b: far(a, b).max(), "single": lambda a, b: far(a, b).min(), "average": lambda a, b: far(a, b).mean(),
+    }[linkage]
+    while len(groups) > k:
+        _, a, b = min((cost(groups[a], groups[b]), a, b) for b in range(len(groups)) for a in range(b))
+        groups[a] += groups.pop(b)
+    out = np.zeros(len(z), int)
+    for n, rows in enumerate(groups):
+        out[rows] = n
+    return out
+
+
+@pytest.mark.parametrize("linkage", ["ward", "complete", "average", "single"])
+def test_linkages(linkage):
+    rng = np.random.default_rng(6)
+    for _ in range(3):
+        z = rng.random((25, 3))
+        got, want = clusters.agglomerate(z, 5, linkage), brute_linkage(z, 5, linkage)
+        assert len(set(zip(got, want, strict=True))) == len(set(got)) == 5
+    assert len(set(clusters.agglomerate(z, None, linkage, threshold=1e9))) == 1 and len(set(clusters.agglomerate(z, None, linkage, threshold=0.0))) == 25
+
+
+def test_options_of_clusterers():
+    rng = np.random.default_rng(7)
+    z = rng.random((200, 3))
+    run = lambda kind, **kw: clusters.CLUSTERERS[kind](z, {"n_clusters": 6} | kw).tolist()
+    assert run("sklearnkmeans", max_iter=1) != run("sklearnkmeans") != run("sklearnkmeans", init="random", random_state=4)
+    spread = lambda label: sum(((z[np.array(label) == j] - z[np.array(label) == j].mean(0)) ** 2).sum() for j in set(label))
+    assert spread(run("sklearnkmeans", n_init=8)) <= spread(run("sklearnkmeans")) and spread(run("faisskmeans", nredo=8)) <= spread(run("faisskmeans", nredo=1))
+    assert run("faisskmeans", spherical=True) != run("faisskmeans") and run("balancedkmeans", distance="euclidean") != run("balancedkmeans")
+    assert run("sklearnminibatchkmeans", batch_size=20, max_iter=1) != run("sklearnminibatchkmeans", batch_size=200)
+    given = z[:6].tolist()
+    assert len(set(run("sklearnkmeans", init=given, max_iter=1))) == 6
+
+
+def test_large_nodes(spark, monkeypatch):
+    from brindle.plans import model
+
+    rng = np.random.default_rng(8)
+    centres = np.eye(4)
+    z = centres[rng.integers(4, size=400)] + 0.05 * rng.standard_normal((400, 4))
+    nodes = spark.createDataFrame([(k % 2, k, v.tolist()) for k, v in enumerate(z)] + [(7, 1000, [1.0, 0.0, 0.0, 0.0])], "node long, label_id long, z array<double>")
+    monkeypatch.setattr(clusters, "NODE_LABELS", 100)
+    monkeypatch.setattr(clusters, "SAMPLE_LABELS", 60)
+    for kind, n in (("balancedkmeans", 2), ("sklearnkmeans", 4)):
+        got = clusters.cluster_nodes(nodes, {"type": kind, "kwargs": {"n_clusters": n}}, 5).collect()
+        sizes = {}
+        for r in got:
+            sizes.setdefault((r["node"], r["cluster"]), []).append(r["label_id"])
+        assert len(got) == 400 and len(sizes) == 2 * n
+        if kind == "balancedkmeans":
+            assert all(abs(len(x) - 100) <= 1 for x in sizes.values())
+        else:
+            assert all(len({int(z[k].argmax()) for k in x}) == 1 for x in sizes.values())
+    x = spark.createDataFrame([(0, k, v.tolist()) for k, v in enumerate(z)], "node long, mention_id long, vec array<double>")
+    targets = spark.createDataFrame([(0, k, [int(v.argmax() < 2)]) for k, v in enumerate(z)], "node long, mention_id long, clusters array<int>")
+    whole = {r["cluster"]: r for r in model.fit_matchers(x, targets, None).collect()}
+    monkeypatch.setattr(model, "NODE_ROWS", 100)
+    parts = {r["cluster"]: r for r in model.fit_matchers(x, targets, None).collect()}
+    assert set(parts) == set(whole) == {0, 1}
+    for c in (0, 1):
+        a, b = ((z @ np.array(m[c]["coef"]) + m[c]["intercept"] > 0) for m in (whole, parts))
+        assert (a == b).all() and (a == (z.argmax(1) < 2) ^ (c == 0)).all()
+    with pytest.raises(ValueError):
+        model.fit_matchers(x, targets, {"type": "sklearnrandomforestclassifier"})
+
+
+def test_options_of_encoders(spark):
+    for wrong in ({"vectorizer": {"type": "other"}}, {"vectorizer": {"kwargs": {"analyzer": "char"}}}, {"vectorizer": {"kwargs": {"nonsense": 1}}}, {"dimension": {"kwargs": {"tol": 0.1}}}, {"flag": 4}):
+        with pytest.raises(ValueError):
+            encoders.TextEncoder(**({"flag": 1} | wrong))
+    rows = spark.createDataFrame([(0, "red red blue"), (1, "red green"), (2, "blue blue blue")], "query_id long, text string")
+    values = lambda **kw: {(r["query_id"], r["feature"]): r["value"] for r in encoders.TextEncoder(vectorizer={"kwargs": {"ngram_range": (1, 1), "max_df": 1.0} | kw}, flag=1).fit(rows, "query_id", "text")._weights(rows, "query_id", "text").collect()}
+    base = values(use_idf=False, norm=None)
+    assert base == {(0, 0): 1, (0, 2): 2, (1, 1): 1, (1, 2): 1, (2, 0): 3}
+    assert values(use_idf=False, norm=None, binary=True) == dict.fromkeys(base, 1)
+    assert values(use_idf=False, norm=None, sublinear_tf=True)[2, 0] == pytest.approx(1 + np.log(3))
+    assert set(values(use_idf=False, norm=None, min_df=2)) == {(0, 0), (0, 1), (1, 1), (2, 0)} and len(values(max_df=1)) == 1
+    assert values(use_idf=False, norm="l1")[0, 2] == pytest.approx(2 / 3) and values(smooth_idf=False, norm=None)[1, 1] == pytest.approx(np.log(3) + 1)
+    assert len(values(stop_words=["red"])) == 3
+
+
+def test_wide_svd_and_saved_encoder(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(9)
+    a = rng.standard_normal((60, 12)) * np.arange(12, 0, -1)
+    long = spark.createDataFrame([(k, f, float(v)) for k, row in enumerate(a) for f, v in enumerate(row)], "id long, feature int, value double")
+    basis, values = encoders.random_svd(long, "id", 4, more=6)
+    want = np.linalg.svd(a, full_matrices=False)
+    got = np.array([r["vec"] for r in basis.orderBy("feature").collect()])
+    assert np.allclose(values, want[1][:4], rtol=1e-4) and np.allclose(np.abs((got * want[2][:4].T).sum(0)), 1, atol=1e-3)
+    words = ["".join(rng.choice(list("abcdefgh"), 4)) for _ in range(40)]
+    rows = spark.createDataFrame([(k, " ".join(rng.choice(words, 1 + k % 7))) for k in range(120)] + [(500, "")], "query_id long, text string")
+    table = lambda e: {r["query_id"]: r["vec"] for r in e.transform(rows, "query_id", "text").collect()}
+    whole = encoders.TextEncoder(dimension={"kwargs": {"n_components": 300}}, flag=1).fit(rows, "query_id", "text")
+    near = lambda t: np.array([t[k] for k in range(120)]) @ np.array([t[k] for k in range(120)]).T
+    small = near(table(whole))
+    whole.save(str(tmp_path / "encoder"), spark)
+    assert np.allclose(near(table(encoders.TextEncoder.load(spark, str(tmp_path / "encoder")))), small) and not any(table(whole)[500])
+    monkeypatch.setattr(encoders, "MOST_BASIS", 1)
+    assert np.allclose(near(table(whole)), small)
+
+
+def test_batches_shrink_where_memory_runs_out(spark):
+    asked = []
+
+    def encode(texts):
+        asked.append(len(texts))
+        if len(texts) > 3:
+            raise MemoryError
+        return np.array([[len(t), 1.0] for t in texts])
+
+    got = encoders.encode_in_batches(encode, ["x" * k for k in range(7)], 8, retries=9)
+    assert got[:, 0].tolist() == list(range(7)) and max(asked) == 7
+    with pytest.raises(RuntimeError):
+        encoders.encode_in_batches(lambda texts: (_ for _ in ()).throw(MemoryError()), ["x"], 8)
+    with pytest.raises(ZeroDivisionError):
+        encoders.encode_in_batches(lambda texts: 1 / 0, ["x"], 8)
+    encoders.register_loader("loaded", lambda: lambda texts: np.array([[1.0, len(t)] for t in texts]))
+    rows = spark.createDataFrame([(0, "some text"), (1, None)], "query_id long, text string")
+    got = encoders.TextEncoder(transformer={"type": "loaded", "kwargs": {"batch_size": 1}}, flag=3).transform(rows, "query_id", "text").orderBy("query_id").collect()
+    assert got[1]["vec"] == [1.0, 0.0]
+
+
+def test_parts_are_kept_by_kind(spark, tmp_path):
+    from brindle.plans import parts
+
+    table = spark.createDataFrame([(0, 1, [1.0], 0.0, None)], "node long, cluster int, coef array<double>, intercept double, model string")
+    parts.Matcher(table, {"type": "linear_l2"}).save(str(tmp_path / "m"))
+    assert parts.Matcher.load(spark, str(tmp_path / "m")).config == {"type": "linear_l2"}
+    with pytest.raises(ValueError):
+        parts.Ranker.load(spark, str(tmp_path / "m"))
+    trees = spark.createDataFrame([(0, 1, k, [float(k % 2)], int(k % 2)) for k in range(60)], "node long, label_id long, mention_id long, vec array<double>, cluster int")
+    targets = trees.select("node", "mention_id", F.array("cluster").alias("clusters"))
+    forest = parts.Matcher.train(trees.select("node", "mention_id", "vec"), targets, {"type": "sklearnrandomforestclassifier", "kwargs": {"n_estimators": 3}})
+    found = forest.predict_proba(trees.select("node", "mention_id", "vec", F.col("cluster").alias("own")))
+    assert all((r["score"] > 0.5) == (r["own"] == r["cluster"]) for r in found.collect())
