@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm import mixing, near_dups, packing, quality, repeats
-from brindle.llm.common import fresh, shared_folder, spread, table
+from brindle.llm.common import checkpointed, fresh, shared_folder, spread, table
 from brindle.llm.queries import WINDOW, tokenizer_path
 
 #: Some stages can't be expressed in SQL; tests compare run() with brute force.
@@ -32,15 +32,19 @@ def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     Repeated rows of it count as one, and so do rows of its id that are in the class too; of these the one with the least hash of its text
     stays. Rows without an id can't be told apart and stay.
     """
-    found = near_dups.similar_documents(docs).filter("doc_id is not null")
-    first = found.filter("doc_id = class_id").groupBy("class_node").agg(F.min("text_hash").alias("kept"), F.count("*").alias("n"))
-    id_, hash_, kept, n = (fresh(docs, c) for c in ("_id", "_hash", "_kept", "_n"))
-    marked = found.join(first, "class_node", "left")
-    gone = (F.col("doc_id") != F.col("class_id")) | (F.col("text_hash") != F.col("kept"))
-    of = marked.filter(gone).select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_)).distinct()
+    found = near_dups.similar_documents(docs).filter("doc_id is not null").select("doc_id", "text_hash", "class_node", "class_id")
+    found = checkpointed(found)
+    id_, hash_ = fresh(docs, "_id"), fresh(docs, "_hash")
+    gone = found.filter("doc_id != class_id").select("doc_id", "text_hash")
+    # rows of the least id itself, which are several only where ids repeat
+    heads = found.filter("doc_id = class_id")
+    several = checkpointed(heads.groupBy("class_node").agg(F.min("text_hash").alias("kept"), F.count("*").alias("n")).filter("n > 1"))
+    repeats_ids = not several.isEmpty()
+    if repeats_ids:
+        gone = gone.unionByName(heads.join(several, "class_node").filter("text_hash != kept").select("doc_id", "text_hash"))
+    of = gone.select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_)).distinct()
     left = docs.join(of, (docs["doc_id"] == of[id_]) & (F.xxhash64(docs["text"]) == of[hash_]), "left_anti")
-    twice = found.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).filter("n > 1")
-    if twice.isEmpty():
+    if not repeats_ids:
         return left
     # rows that repeat as a whole text of one id: one of each stays
     named = left.filter("doc_id is not null").withColumn(hash_, F.xxhash64("text"))
