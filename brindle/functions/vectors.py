@@ -96,3 +96,22 @@ def top_k(rows: DataFrame, by: list[str] | str, score: str, k: int, tie: str, di
     compared = F.col(score) if digits is None else F.round(score, digits)
     order = Window.partitionBy(by).orderBy(compared.desc(), F.col(tie))
     return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def top_k_of_candidates(dots: DataFrame, queries: DataFrame, labels: DataFrame, query: str, label: str, k: int, digits: int = 6) -> DataFrame:
+    """(query, label, score, rank): as top_k over every label, where pairs that dots leaves out score 0 and none is below.
+
+    Pairs of score 0 are made only for queries with fewer than k candidates, and only with the first labels, one of which is
+    among the k - 1 candidates at most: so no table of all pairs is made.
+    """
+    scored = dots.filter(F.round("score", digits) > 0)
+    best = top_k(scored, query, "score", k, label, digits)
+    held = best.groupBy(query).agg(F.collect_list(label).alias("_held"))
+    short = queries.select(query).join(held, query, "left").withColumn("_held", F.coalesce("_held", F.array().cast(f"array<{dict(labels.dtypes)[label]}>")))
+    short = short.filter(F.size("_held") < k)
+    first = labels.select(label).distinct().orderBy(label).limit(2 * k - 1)  # at most so many rows
+    listed = first.agg(F.array_sort(F.collect_list(label)).alias("_first"))
+    free = F.slice(F.filter("_first", lambda x: ~F.array_contains("_held", x)), F.lit(1), F.lit(k) - F.size("_held"))
+    more = short.crossJoin(F.broadcast(listed)).select(query, F.posexplode(free).alias("_n", label), F.size("_held").alias("_before"))
+    rows = more.select(query, label, F.lit(0.0).alias("score"), (F.col("_before") + F.col("_n") + 1).alias("rank"))
+    return best.select(query, label, "score", "rank").unionByName(rows)

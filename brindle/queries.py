@@ -166,13 +166,11 @@ def pifa_tfidf(spark, d):
  every AS (SELECT p_partkey, l, coalesce(s, 0) AS s FROM part CROSS JOIN (SELECT DISTINCT l FROM pz) LEFT JOIN dots USING (p_partkey, l))
  SELECT p_partkey, l AS label, round(s, 6) AS score, k AS rank FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY round(s, 6) DESC, l) AS k FROM every) WHERE k <= 5""")
 def cosine_topk_tfidf(spark, d):
-    """Candidates that share no term with a query stay, with score 0."""
+    """Labels that share no term with a query score 0, and fill up where there are fewer others."""
     x, z = _part_pifa(spark, d)
     dots = V.long_dots(x, z, "mention_id", "label_id")
-    known = z.select("label_id").distinct()
-    every = _t(spark, d, "part").select(F.col("p_partkey").alias("mention_id")).crossJoin(F.broadcast(known))  # 25 brands
-    scored = every.join(dots, ["mention_id", "label_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-    top = V.top_k(scored, "mention_id", "score", 5, "label_id", 6)
+    asked = _t(spark, d, "part").select(F.col("p_partkey").alias("mention_id"))
+    top = V.top_k_of_candidates(dots, asked, z, "mention_id", "label_id", 5)
     return top.select(F.col("mention_id").alias("p_partkey"), F.col("label_id").alias("label"), _r("score").alias("score"), "rank")
 
 

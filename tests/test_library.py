@@ -445,3 +445,13 @@ def test_parts_are_kept_by_kind(spark, tmp_path):
     forest = parts.Matcher.train(trees.select("node", "mention_id", "vec"), targets, {"type": "sklearnrandomforestclassifier", "kwargs": {"n_estimators": 3}})
     found = forest.predict_proba(trees.select("node", "mention_id", "vec", F.col("cluster").alias("own")))
     assert all((r["score"] > 0.5) == (r["own"] == r["cluster"]) for r in found.collect())
+
+
+def test_few_candidates_are_filled_up(spark):
+    dots = spark.createDataFrame([(1, "b", 0.5), (1, "f", 0.7), (2, "a", 1e-9)], "q long, l string, score double")
+    names = spark.createDataFrame([(c,) for c in "gfedcbaa"], "l string")
+    asked = spark.range(1, 4).withColumnRenamed("id", "q")
+    got = vectors.top_k_of_candidates(dots, asked, names, "q", "l", 4)
+    assert sorted((r["q"], r["rank"], r["l"], r["score"]) for r in got.collect()) == [
+        (1, 1, "f", 0.7), (1, 2, "b", 0.5), (1, 3, "a", 0.0), (1, 4, "c", 0.0), *((q, k + 1, c, 0.0) for q in (2, 3) for k, c in enumerate("abcd"))
+    ]
