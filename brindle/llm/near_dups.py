@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm.common import checkpointed, discard, give_back, written
-from brindle.llm.words import Words, batches, minhashes, mix, shingles
+from brindle.llm.words import Words, batches, minhashes, mix, shingles, sliced
 
 #: MinHash values: each band of ROWS is a key under which documents meet. At similarity 0.8, a pair meets
 #: under none of the bands with probability (1 - 0.8 ** ROWS) ** BANDS, 7 in a million.
@@ -173,7 +173,7 @@ def _sign(width: int, seed: int):
     def sign(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         salts = (np.arange(BANDS, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-        for batch in incoming:
+        for batch in sliced(incoming):
             texts = [t or "" for t in batch.column(2).to_pylist()]
             for low, high in batches(texts):
                 words = Words(texts[low:high])
@@ -213,7 +213,7 @@ def _texts_of_nodes(seed: int):
 
     def texts_of(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in incoming:
+        for batch in sliced(incoming):
             texts = [t or "" for t in batch.column(0).to_pylist()]
             for low, high in batches(texts):
                 words = Words(texts[low:high])

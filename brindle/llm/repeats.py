@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brindle.llm.common import fresh, give_back, written
-from brindle.llm.words import Words, _powers, batches, mix
+from brindle.llm.words import Words, _powers, batches, mix, sliced
 
 _U = np.uint64
 #: Words of a run of repeated sentences that is a passage; sentences of fewer words than SHORT don't count.
@@ -134,7 +134,7 @@ def spans(units: Units, k: int, repeated: np.ndarray, least: int | None) -> list
 def _units(sentences: bool):
     def units_of(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(id, tie, text) to (digest, id, tie, unit): each digest's first occurrence among some texts, and, with digest null, the others."""
-        for batch in incoming:
+        for batch in sliced(incoming):
             ids, ties = batch.column(0), batch.column(1).to_numpy()
             texts = [t or "" for t in batch.column(2).to_pylist()]
             # places of the rows by (id, nulls last, tie); equal ones share a place
@@ -214,7 +214,7 @@ def remove_repeats(docs: DataFrame, passage_words: int | None = None, id_col: st
     text_at = names.index(text_col)
 
     def cut(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in incoming:
+        for batch in sliced(incoming):
             texts, lists = batch.column(text_at).to_pylist(), batch.column(len(names)).to_pylist()
             removed: list[list[dict[str, int]]] = [[] for _ in texts]
             touched = [k for k, x in enumerate(lists) if x and texts[k]]

@@ -40,7 +40,14 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     return _TABLE[0], _TABLE[1]
 
 
-def batches(texts: list[str], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def sliced(incoming: Iterator, rows: int = 1024) -> Iterator:
+    """Record batches of a few rows each, so that a worker holds few texts at a time as its own objects."""
+    for batch in incoming:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def batches(texts: list[str], most: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about most characters together; one longer text makes a range alone."""
     begin, size = 0, 0
     for k, text in enumerate(texts):
