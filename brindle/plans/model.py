@@ -349,6 +349,28 @@ class XModel:
         rows = best.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("label_id", "score"))).alias("i"))
         return rows.select("query_id", F.col("i.label_id").alias("labels"), F.col("i.score").alias("scores"))
 
+    def fused_clusters(self, node: int, vectors: DataFrame, fusion_mode: str = "lp_hinge", alpha: float = 0.5, p: float = 3.0) -> DataFrame:
+        """(query_id, cluster, score): fused scores of a node's labels, added up by cluster, as a check while layers are trained.
+
+        A label has its cluster's matcher score, and the ranker of the node's least label that has one speaks for all labels. In a node without
+        rankers the matcher's score stands alone. vectors: (query_id, vec) of the node's width.
+        """
+        here = self.node_labels.filter(F.col("node") == node).join(self.clusters, ["node", "label_id"]).select("node", "label_id", "cluster", "z")
+        one = F.min_by(F.struct("coef", "intercept", "model"), "label_id")
+        first = self.rankers.filter(F.col("node") == node).groupBy("node").agg(one.alias("r")).select("node", "r.*")  # a single row
+        scored = vectors.withColumn("node", F.lit(node).cast("long")).join(self.matchers, "node")
+        scored = scored.select("query_id", "vec", "node", "cluster", probability(F.col("vec"), self.linear_matchers).alias("m"))
+        if self.linear_rankers:
+            spoken = here.select("node", "label_id").join(F.broadcast(first), "node")
+            of = here.join(ranked_labels(spoken, here.select("node", "label_id", "z")), ["node", "label_id"], "left")
+            pairs = scored.join(of, ["node", "cluster"]).withColumn("r", V.sigmoid(V.dot(F.col("vec"), F.col("w")) + F.col("bias")))
+        else:
+            pairs = scored.join(here, ["node", "cluster"]).join(F.broadcast(first.select("node", "model")), "node", "left")
+            learned = pairs.filter("model is not null").withColumn("r", model_score("model", F.concat("vec", "z")))
+            pairs = learned.unionByName(pairs.filter("model is null").withColumn("r", F.lit(None).cast("double")))
+        score = F.when(F.col("r").isNull(), F.col("m")).otherwise(fusion.training_fusion(fusion_mode, F.col("m"), F.col("r"), alpha, p))
+        return pairs.groupBy("query_id", "cluster").agg(F.sum(score).alias("score"))
+
     def final_paths(self, vectors: DataFrame, topk: int = 5, **kwargs) -> DataFrame:
         """Records: (query_id, paths, final_path), a path being a leaf's trail, labels and scores by falling score."""
         reached = _kept(self.search(vectors, **kwargs))

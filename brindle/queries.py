@@ -8,6 +8,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +16,7 @@ from brindle.functions import fusion, text
 from brindle.functions import vectors as V
 from brindle.operators import clusters, encoders, labels, routing
 from brindle.plans import model, parts
-from brindle.sources import files
+from brindle.sources import files, variables
 
 WIDTH = 64
 
@@ -590,6 +591,22 @@ def node_predict_matrix(spark, d):
     return rows.select("query_id", F.array_join(F.transform("labels", lambda x: x.cast("string")), "|").alias("labels"), F.round(total, 4).alias("total"))
 
 
+@query(f"""WITH {_SQL_TREE}, fv AS (SELECT m, list_concat(e, [0.5, 1.0, 0.6]) AS vec FROM x), fr AS (SELECT z FROM zw WHERE node = 1 AND l < (SELECT max(l) FROM z) - 1 ORDER BY l LIMIT 1),
+ fp AS (SELECT m, cluster, vec, 1 / (1 + exp(-list_dot_product(vec, c))) AS p FROM fv, m1 WHERE node = 1),
+ ff AS (SELECT m, fp.cluster, p, 1 / (1 + exp(-(2 * list_dot_product(vec, fr.z) + 0.5 * list_dot_product(zw.z, fr.z) - 0.2))) AS r FROM fp JOIN zw ON zw.node = 1 AND zw.cluster = fp.cluster, fr)
+ SELECT m AS query_id, cluster, round(sum(pow(0.5 * pow(p, 3) + 0.5 * pow(greatest(least(r, 1), 1e-6), 3), 1.0 / 3)), 6) AS score FROM ff GROUP BY ALL""")
+def fused_clusters(spark, d):
+    """Scores of clusters by one ranker for all labels of a node."""
+    wide = _asked(spark, d).withColumn("vec", F.concat("vec", F.array(F.lit(0.5), F.lit(1.0), F.lit(0.6))))
+    return _tree(spark, d).fused_clusters(1, wide).withColumn("score", _r("score"))
+
+
+@query(f"WITH {_SQL_ROOT} SELECT m AS query_id, cluster, round(p * (SELECT count(*) FROM z WHERE l % 2 = cluster), 6) AS score FROM p0")
+def fused_without_rankers(spark, d):
+    """The same of the root, whose labels have no rankers."""
+    return _tree(spark, d).fused_clusters(0, _asked(spark, d)).withColumn("score", _r("score"))
+
+
 def _kept_part(spark, kind, part):
     folder = f"{files.shared_folder(spark)}/part-{uuid.uuid4().hex}"
     part.save(folder)
@@ -643,6 +660,26 @@ def read_grouped(spark, d):
     return files.read_grouped(spark, _part_lines(spark, d))
 
 
+@query("SELECT p_size AS group_id, string_agg(CASE WHEN p_partkey % 3 = 0 THEN 'nan' ELSE p_name END, ' ' ORDER BY p_partkey) AS text FROM part GROUP BY p_size")
+def read_grouped_missing(spark, d):
+    """Lines of which some have no text, which is read as a word."""
+    part = _t(spark, d, "part").orderBy("p_partkey")
+    lines = part.select(F.concat_ws("\t", F.col("p_size").cast("string"), F.when(F.col("p_partkey") % 3 == 0, F.lit("")).otherwise(F.col("p_name"))).alias("value"))
+    return files.read_grouped(spark, _written(spark, lines), missing="nan")
+
+
+@query("SELECT n_nationkey, n_name, 0.5 * n_regionkey + 1 AS weight, r_name AS region FROM nation JOIN region ON r_regionkey = n_regionkey")
+def kept_variables(spark, d):
+    """A table, an array, a list and a dictionary that were kept and loaded."""
+    store = variables.KeptVariables(spark)
+    regions = {str(r["r_regionkey"]): r["r_name"] for r in _t(spark, d, "region").collect()}  # five rows by the tables' definition
+    keys = sorted(map(int, regions))
+    held = [store.save(v) for v in (_t(spark, d, "nation"), np.array(keys) * 0.5 + 1, keys, regions)]
+    nation, weights, keys, regions = (store.load(path) for path in held)
+    names = spark.createDataFrame([(k, float(w), regions[str(k)]) for k, w in zip(keys, weights, strict=True)], "n_regionkey long, weight double, region string")
+    return nation.join(F.broadcast(names), "n_regionkey").select("n_nationkey", "n_name", "weight", "region")
+
+
 @query("WITH b AS (SELECT row_number() OVER (ORDER BY b) - 1 AS label_pos, b AS label FROM (SELECT DISTINCT p_type AS b FROM part)) SELECT label_pos, label FROM b")
 def read_labels(spark, d):
     names = _t(spark, d, "part").select(F.col("p_type").alias("value")).distinct().orderBy("value")

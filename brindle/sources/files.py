@@ -59,14 +59,14 @@ def in_order(value: str, order: str) -> Column:
     return F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value])
 
 
-def group_texts(rows: DataFrame, key: str, text: str, order: str) -> DataFrame:
-    """All texts of a key, in order, as an array; null texts are empty."""
-    return rows.withColumn(text, F.coalesce(F.col(text), F.lit(""))).groupBy(key).agg(in_order(text, order).alias("corpus"))
+def group_texts(rows: DataFrame, key: str, text: str, order: str, missing: str = "") -> DataFrame:
+    """All texts of a key, in order, as an array; null texts are empty, or what missing says."""
+    return rows.withColumn(text, F.coalesce(F.col(text), F.lit(missing))).groupBy(key).agg(in_order(text, order).alias("corpus"))
 
 
-def concat_texts(rows: DataFrame, key: str, text: str, order: str) -> DataFrame:
+def concat_texts(rows: DataFrame, key: str, text: str, order: str, missing: str = "") -> DataFrame:
     """All texts of a key, in order, joined by single spaces."""
-    return group_texts(rows, key, text, order).select(key, F.array_join("corpus", " ").alias(text))
+    return group_texts(rows, key, text, order, missing).select(key, F.array_join("corpus", " ").alias(text))
 
 
 def read_mentions(spark: SparkSession, path: str) -> DataFrame:
@@ -76,9 +76,10 @@ def read_mentions(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.get(parts, 0).cast("int").alias("group_id"), F.coalesce(F.get(parts, 1), F.lit("")).alias("text"), "pos").filter("group_id is not null")
 
 
-def read_grouped(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each id, with its texts joined: (group_id, text)."""
-    return concat_texts(read_mentions(spark, path), "group_id", "text", "pos")
+def read_grouped(spark: SparkSession, path: str, missing: str = "") -> DataFrame:
+    """One row for each id, with its texts joined: (group_id, text). A line's missing text is read as missing, which some want to be "nan"."""
+    rows = read_mentions(spark, path).withColumn("text", F.nullif("text", F.lit("")))
+    return concat_texts(rows, "group_id", "text", "pos", missing)
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:

@@ -455,3 +455,57 @@ def test_few_candidates_are_filled_up(spark):
     assert sorted((r["q"], r["rank"], r["l"], r["score"]) for r in got.collect()) == [
         (1, 1, "f", 0.7), (1, 2, "b", 0.5), (1, 3, "a", 0.0), (1, 4, "c", 0.0), *((q, k + 1, c, 0.0) for q in (2, 3) for k, c in enumerate("abcd"))
     ]
+
+
+def test_variables_are_kept_by_kind(spark):
+    from brindle.sources import variables
+
+    store = variables.KeptVariables(spark)
+    for value in ([1, "a", None], {"k": [1.5]}, [], {}):
+        assert store.load(store.save(value)) == value
+    for array in (np.arange(12, dtype=np.int16).reshape(3, 4), np.empty((0, 2))):
+        again = store.load(store.save(array))
+        assert again.dtype == array.dtype and again.shape == array.shape and (again == array).all()
+    kept = store.save(spark.range(3))
+    assert store.load(kept).count() == 3
+    store.delete(kept)
+    store.delete(kept)
+    with pytest.raises(Exception, match="(?i)not.exist|not.found"):
+        store.load(kept)
+    with pytest.raises(TypeError):
+        store.save("text")
+    store.delete_all()
+
+
+def test_large_variables_go_in_pieces(spark, monkeypatch):
+    from brindle.sources import variables
+
+    monkeypatch.setattr(variables, "PIECE", 64)
+    store = variables.KeptVariables(spark)
+    long = [f"entry {k}" for k in range(100)]
+    assert store.load(store.save(long)) == long
+
+
+def test_fused_clusters_of_other_rankers(spark):
+    """Rankers that aren't linear are asked as linear ones are."""
+    x = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "query_id long, vec array<double>")
+    z = spark.createDataFrame([(0, 0, [1.0, 0.0]), (0, 1, [0.0, 1.0]), (0, 2, [0.6, 0.8])], "node long, label_id long, z array<double>")
+    own = spark.createDataFrame([(0, 0, 0), (0, 1, 1), (0, 2, 1)], "node long, label_id long, cluster int")
+    matchers = spark.createDataFrame([(0, 0, [1.0, 0.0], 0.0, None), (0, 1, [0.0, 1.0], 0.0, None)], "node long, cluster int, coef array<double>, intercept double, model string")
+    edges = spark.createDataFrame([], "node long, cluster int, child long")
+    names = z.select("label_id", F.col("label_id").cast("string").alias("label"))
+    asked = dict(dictionary=names, embeddings=z.select("label_id", "z"), clusters=own, matchers=matchers, edges=edges, node_labels=z)
+    rng = np.random.default_rng(1)
+    rows = rng.normal(size=(80, 4))
+    learner = classifiers.CLASSIFIERS["sklearnrandomforestclassifier"](n_estimators=3, random_state=1).fit(rows, (rows[:, 0] > 0).astype(float))
+    rankers = spark.createDataFrame([(0, 2, None, None, "never"), (0, 1, None, None, learner.dumps())], "node long, label_id long, coef array<double>, intercept double, model string")
+    model = XModel.from_tables(1, rankers=rankers, **asked)
+    model.config["ranker"] = {"type": "sklearnrandomforestclassifier"}
+    got = {(r["query_id"], r["cluster"]): r["score"] for r in model.fused_clusters(0, x, "geometric").collect()}
+    vectors_, labels_ = {0: [1.0, 0.0], 1: [0.0, 1.0]}, {0: (0, [1.0, 0.0]), 1: (1, [0.0, 1.0]), 2: (1, [0.6, 0.8])}
+    want = dict.fromkeys(got, 0.0)
+    for q, v in vectors_.items():
+        for c, own_z in labels_.values():
+            m, r = 1 / (1 + np.exp(-v[c])), learner.predict_proba(np.array([v + own_z]))[0, 1]
+            want[q, c] += m**0.5 * min(max(r, 1e-6), 1) ** 0.5
+    assert len(got) == 4 and got == pytest.approx(want)
