@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.llm.common import bucket_count, checkpointed, partitions
+from brindle.llm.words import sliced
 
 #: Rows of one range, and most ranges (their bounds are literals in the plan).
 PER_RANGE, MOST_RANGES = 500, 20_000
@@ -48,13 +49,13 @@ def edited(text: str, following: str) -> str:
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         own = [digest(canonical(t)) for t in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary()), *batch.columns[2:]], ["id", "digest", *batch.schema.names[2:]])
 
 
 def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         own = [canonical(t) for t in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([digest(x) for x in own], pa.binary()), pa.array([x.encode("utf-8", "surrogatepass") for x in own], pa.binary())], ["id", "digest", "form"])
 
@@ -62,7 +63,7 @@ def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts as small as they can be moved; repeated ones have equal bytes."""
     squeeze = zstandard.ZstdCompressor(level=3).compress
-    for batch in batches:
+    for batch in sliced(batches):
         packed = [squeeze(t.encode("utf-8", "surrogatepass")) for t in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary()), batch.column(2)], ["id", "packed", "hash"])
 

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brindle.llm.words import sliced
+
 # Element names of HTML.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Content of these is never text of the page.
@@ -345,7 +347,8 @@ def extract_pages(pages: DataFrame, html_col: str = "html", name: str = "text")
     """Add the main text of each page. A null page has the empty text.
 
     One pass without a shuffle; rows, other columns and repeated rows stay as they are. A column called as
-    the new one is replaced. An empty table gives no rows.
+    the new one is replaced. An empty table gives no rows. A page may be of any length that a row can hold; its task holds it
+    whole, with its tree.
     """
     kept = [c for c in pages.columns if c.lower() not in (name.lower(),)]
     schema = pages.select(*kept).schema.add(name, "string")
@@ -353,10 +356,8 @@ def extract_pages(pages: DataFrame, html_col: str = "html", name: str = "text")
     kept_at = [pages.columns.index(c) for c in kept]
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                texts = pa.array([main_text(x) for x in part.column(place).to_pylist()], pa.string())
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in kept_at), texts], [*kept, name])
+        for part in sliced(batches, 256):
+            texts = pa.array([main_text(x) for x in part.column(place).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in kept_at), texts], [*kept, name])
 
     return pages.mapInArrow(extract, schema)

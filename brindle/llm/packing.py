@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.llm.common import bucket_count, checkpointed, fresh, give_back, running_total
-from brindle.llm.words import batches
+from brindle.llm.words import batches, sliced
 
 # Latin letters and numerals up to U+017F, as the vocabulary's own pattern splits them.
 _LETTER = "a-zA-ZªµºÀ-ÖØ-öø-ſ"
@@ -86,7 +86,7 @@ def tokenize_documents(docs: DataFrame, tokenizer_path: str, window: int = 2048,
 
     def cut(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, end, step = _tokenizer(tokenizer_path), np.uint32(end_id).tobytes(), 4 * window
-        for batch in incoming:
+        for batch in sliced(incoming):
             for low, high in batches(texts := [t or "" for t in batch.column(1).to_pylist()]):
                 row, start, length, total, ids = [], [], [], [], []
                 for i, data in enumerate(tokenizer.ids(texts[low:high])):

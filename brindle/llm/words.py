@@ -10,6 +10,8 @@ import functools
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _U = np.uint64
 _RADIX = 0x9E3779B97F4A7C15 | 1
@@ -40,11 +42,22 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     return _TABLE[0], _TABLE[1]
 
 
-def sliced(incoming: Iterator, rows: int = 1024) -> Iterator:
-    """Record batches of a few rows each, so that a worker holds few texts at a time as its own objects."""
+def sliced(incoming: Iterator[pa.RecordBatch], rows: int = 1024, most: int = 1 << 24) -> Iterator[pa.RecordBatch]:
+    """Record batches of a few rows each, and of about most bytes of texts, so that a worker holds few texts at a time as its own objects.
+
+    A longer text makes a batch alone.
+    """
     for batch in incoming:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        held = np.zeros(batch.num_rows, np.int64)
+        for column in batch.columns:
+            if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):
+                held += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        ends, at = np.cumsum(held), 0
+        while at < batch.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            stop = max(at + 1, min(at + rows, int(np.searchsorted(ends, before + most, "right"))))
+            yield batch.slice(at, stop - at)
+            at = stop
 
 
 def batches(texts: list[str], most: int = 1 << 19) -> Iterator[tuple[int, int]]:

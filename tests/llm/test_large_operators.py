@@ -5,11 +5,12 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from brindle.llm import chat, fingerprints, html_text, mixing, near_dups, neighbours, packing, quality, queries, repeats, sharding
+from brindle.llm import chat, fingerprints, html_text, mixing, near_dups, neighbours, packing, quality, queries, repeats, sharding, words
 from brindle.llm.words import Words, minhashes, shingles
 from tests.conftest import SF
 
@@ -300,6 +301,15 @@ def test_repeats_of_repeated_ids(spark):
         assert got == Counter({(nine, "a line"): 2, (nine, "other text"): 1, (None, "x"): 1, (None, ""): 1, (cast("s"), "z"): 1})
 
 
+def test_workers_hold_few_texts():
+    texts = ["x" * n for n in (5, 0, 90, 3, 300, 1, 1, 60)] + [None, "é" * 30]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10)), pa.array(texts)], ["id", "text"])
+    parts = list(words.sliced([batch, batch.slice(0, 0), batch.slice(3, 2)], 3, 100))
+    assert [p.num_rows for p in parts] == [3, 1, 1, 3, 2, 1, 1]
+    assert [i for p in parts for i in p.column(0).to_pylist()] == [*range(10), 3, 4]
+    assert [t for p in parts for t in p.column(1).to_pylist()] == [*texts, *texts[3:5]]
+
+
 def test_units_don_t_depend_on_their_batch():
     rng = random.Random(3)
     texts = [sentence(rng, n).replace(" ", ". ", n // 7) for n in (0, 1, 2, 50, 500)] + ["\n\n a b. \n c", "x"]
