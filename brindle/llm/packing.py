@@ -22,7 +22,7 @@ _NUMBER = "0-9²³¹¼-¾"
 _PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^\s{_LETTER}{_NUMBER}]+")
 #: Anything that isn't plain Latin text is left to the tokenizer itself.
 _ODD = re.compile("[^\t\n\r\x20-\x7e¡-įı-ſ]|<\\|")
-#: Words kept by each Python worker; beyond it the memory starts anew.
+#: Words kept by each Python worker; beyond it the memory starts anew, and of those before the ones that come again are kept.
 CACHED_WORDS = 250_000
 
 
@@ -40,6 +40,7 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
@@ -58,13 +59,15 @@ class WordTokenizer:
     def ids(self, texts: list[str]) -> list[bytes]:
         """Words that are new to these texts are encoded together, so give many texts at once."""
         if len(self.words) > CACHED_WORDS:
-            self.words.clear()
+            self.older, self.words = self.words, {}
         pieces = [None if _ODD.search(text) else _PIECE.findall(text.lower()) for text in texts]
         found = [None if p is None else list(map(self.words.get, p)) for p in pieces]
         gaps = [[k for k, x in enumerate(f) if x is None] if f and None in f else () for f in found]
         new = {p[k] for p, g in zip(pieces, gaps, strict=True) for k in g}
-        if new:
-            self.learn(list(new))
+        known = new & self.older.keys()
+        self.words.update((word, self.older[word]) for word in known)
+        if len(new) > len(known):
+            self.learn(list(new - known))
         for p, f, g in zip(pieces, found, gaps, strict=True):
             for k in g:
                 f[k] = self.words[p[k]]

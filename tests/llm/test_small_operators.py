@@ -164,6 +164,18 @@ def check_pieces(rows, texts, tokenizer, window=2048):
     return len(by_sequence) * window
 
 
+def test_words_are_kept_while_they_come_again(monkeypatch):
+    monkeypatch.setattr(packing, "CACHED_WORDS", 3)
+    own = packing.WordTokenizer(queries.tokenizer_path())
+    learned = Counter()
+    learn = own.learn
+    monkeypatch.setattr(own, "learn", lambda new: (learned.update(new), learn(new)))
+    texts = [["a common word", "it's common 42"], ["common rare"], [], ["common", "it's other words, five of them", "漢字 common"], ["the common end"], ["more common words now"], ["common rare"]]
+    for group in texts:
+        assert own.ids(group) == [own.whole(t) for t in group]
+    assert learned["common"] == 1 and learned["rare"] == 2 and len(own.older) + len(own.words) < 20
+
+
 def test_packing(spark, docs):
     from tokenizers import Tokenizer
 
