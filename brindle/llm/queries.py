@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import chat, fingerprints, html_text, mixing, near_dups, neighbours, packing, quality, repeats, sharding
+from brindle.llm import chat, clicks, exact_topk, fingerprints, html_text, mixing, near_dups, neighbours, packing, prefixes, quality, repeats, sharding
 from brindle.llm.common import spread, table
 
 WINDOW = 2048
@@ -92,6 +92,19 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk.top_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op12_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv = F.col("conv")
+    return prefixes.prefix_trie(table(spark, sf_dir, "conversations"), conv - conv % 5, F.crc32(conv.cast("string")) % 9)
+
+
+def op13_clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clicks.deduplicate_clicks(table(spark, sf_dir, "clicks"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
@@ -104,6 +117,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_fingerprints": op8_fingerprints,
         "op9_html": op9_html,
         "op10_chat": op10_chat,
+        "op11_exact_topk": op11_exact_topk,
+        "op12_prefixes": op12_prefixes,
+        "op13_clicks": op13_clicks,
         "repeated_lines": repeated_lines,
     }
 
@@ -140,6 +156,46 @@ _LINES = r"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), c
   CAST(coalesce(sum(size) FILTER (gone), 0) AS BIGINT) AS chars_removed, CAST(coalesce(min(start) FILTER (gone), -1) AS INTEGER) AS first_start FROM p GROUP BY doc_id"""
 
 
+_OP11 = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS vec FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ s AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(list_inner_product(q.vec, v.vec) AS BIGINT) AS score FROM v q JOIN v ON v.vec_id IS DISTINCT FROM q.vec_id AND q.vec_id % 100 = 0),
+ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id NULLS LAST) AS INTEGER) AS rank FROM s)
+ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10"""
+
+
+def _crc32(text: str) -> str:
+    """SQL for the CRC-32 of a text in ASCII: eight shifts for each character."""
+    codes = f"list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda x: ord(x)::BIGINT))"
+    return f"xor(list_reduce({codes}, lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda p, q: xor(p >> 1, 3988292384 * (p & 1)))), 4294967295)"
+
+
+_OP12 = f"""WITH t AS (SELECT conv_id AS c, {{'role': coalesce(role, ''), 'text': coalesce(text, '')}} AS said, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+ k AS (SELECT c, count(*) AS n, c - c % 5 AS s, {_crc32("c::VARCHAR")} % 9 AS h FROM t GROUP BY c),
+ b AS (SELECT k.c, pos AS d, said FROM k JOIN t ON t.c = k.s AND pos <= h
+  UNION ALL SELECT k.c, pos - k.h + least(k.h, coalesce(q.n, 0)), said FROM k JOIN t ON t.c = k.c AND pos > k.h LEFT JOIN k q ON q.c = k.s),
+ w AS (SELECT k.c, coalesce(list(said ORDER BY d) FILTER (WHERE d IS NOT NULL), []) AS path FROM k LEFT JOIN b ON b.c = k.c GROUP BY k.c),
+ p AS (SELECT c, path AS whole, unnest(range(0, len(path) + 1)) AS depth, path FROM w),
+ n AS (SELECT path[:depth] AS node, depth, min(c) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE len(whole) = depth), '')) AS ends_sha256 FROM p GROUP BY ALL),
+ l AS (SELECT node, CASE WHEN depth > 0 THEN (n_convs - 1) * strlen(node[depth].text) ELSE 0 END AS saved, node NOT IN (SELECT node[:depth - 1] FROM n WHERE depth > 0) AS leaf, unnest(range(0, depth + 1)) AS top, depth FROM n),
+ u AS (SELECT node[:top] AS node, sum(saved) AS saved, count(*) FILTER (WHERE leaf) AS leaves, count(*) FILTER (WHERE depth = top + 1) AS children FROM l GROUP BY ALL)
+ SELECT n.conv_id, n.depth, a.conv_id AS parent_conv_id, n.n_convs, u.children AS n_children, u.leaves AS n_leaves, CAST(u.saved AS BIGINT) AS saved_tokens, n.ends_sha256
+ FROM n JOIN u ON u.node = n.node LEFT JOIN n a ON n.depth > 0 AND a.node = n.node[:n.depth - 1]"""
+
+
+_OP13 = f"""WITH RECURSIVE j AS (SELECT *, epoch_us(arrived_at) AS arrived, unnest(range(0, (click_id % 3 + 3) % 3 + 1)) AS j FROM clicks WHERE click_id IS NOT NULL AND arrived_at IS NOT NULL),
+ c AS (SELECT *, {_crc32("concat(click_id, ':', j)")} AS c FROM j),
+ h AS (SELECT *, CAST(floor(arrived / 3600000000) AS BIGINT) + 6 * j * (c % 10) AS hour FROM c),
+ l AS (SELECT click_id, hour, hour + c // 10 % 200 AS l, sha256(concat(coalesce(client_id::VARCHAR, ''), '|', coalesce(kind, ''), '|', coalesce(CAST(floor(100 * value + 0.5) AS BIGINT)::VARCHAR, ''), '|', coalesce(epoch_us(ts)::VARCHAR, ''), '|', coalesce(props, ''), '|', c % 3)) AS hash FROM h),
+ b AS (SELECT *, (l - min(l) OVER ()) * 10 // (max(l) OVER () - min(l) OVER () + 1) AS batch FROM l),
+ m AS (SELECT s.batch, max(hour) AS top FROM range(1, 11) s(batch) JOIN b ON b.batch < s.batch GROUP BY s.batch),
+ e AS (SELECT click_id, batch, hour, hash, row_number() OVER (PARTITION BY click_id ORDER BY batch, hour, hash) AS k FROM b LEFT JOIN m USING (batch) WHERE top IS NULL OR hour >= top - 24),
+ f AS (SELECT click_id, k, batch, hour, hash, hour AS start_hour, hash AS opener, k AS opened FROM e WHERE k = 1
+  UNION ALL SELECT e.click_id, e.k, e.batch, e.hour, e.hash, CASE WHEN e.hour <= f.start_hour + 48 THEN f.start_hour ELSE e.hour END, CASE WHEN e.hour <= f.start_hour + 48 THEN f.opener ELSE e.hash END, CASE WHEN e.hour <= f.start_hour + 48 THEN f.opened ELSE e.k END
+  FROM f JOIN e ON e.click_id = f.click_id AND e.k = f.k + 1),
+ w AS (SELECT click_id, opened, start_hour, opener AS hash, max(k) AS last, count(*) - 1 AS n_repeats, count(*) FILTER (WHERE hash <> opener) AS n_conflicts, CAST(coalesce(sum({_crc32("hash")}) FILTER (WHERE hash <> opener), 0) AS BIGINT) AS conflict_crc FROM f GROUP BY ALL)
+ SELECT w.click_id, start_hour, least(coalesce(e.batch, 9), coalesce((SELECT min(m.batch) - 1 FROM m WHERE w.start_hour + 48 < m.top - 24), 9)) AS closed_batch, n_repeats, n_conflicts, conflict_crc, w.hash
+ FROM w LEFT JOIN e ON e.click_id = w.click_id AND e.k = w.last + 1"""
+
+
 def oracle_sql() -> dict[str, str]:
     """The others are compared with brute force, round trips or held-out labels in tests."""
-    return {"op5_mixing": _OP5, "op10_chat": _OP10, "repeated_lines": _LINES}
+    return {"op5_mixing": _OP5, "op10_chat": _OP10, "op11_exact_topk": _OP11, "op12_prefixes": _OP12, "op13_clicks": _OP13, "repeated_lines": _LINES}
