@@ -28,6 +28,8 @@ _OPEN = np.dtype([("id", "<i8"), ("start", "<i8"), ("repeats", "<i8"), ("conflic
 _SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # else each store sets several megabytes of disk aside for its logs, however little it holds
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 
