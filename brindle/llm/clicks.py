@@ -22,17 +22,25 @@ HOUR, SHIFT = 3_600_000, 1_800_000
 SPAN, LATE = 48, 24
 #: Batches of a run, and copies that one cell of clicks has on average at most.
 BATCHES, PER_CELL = 10, 200_000
-EVENT = "click_id long, hour long, hash string, n long"
-WINDOW = "click_id long, start_hour long, n_repeats long, n_conflicts long, conflict_crc long, hash string, expired boolean"
-_OPEN = np.dtype([("id", "<i8"), ("start", "<i8"), ("repeats", "<i8"), ("conflicts", "<i8"), ("crc", "<i8"), ("hash", "S64")])
+EVENT = "click_id long, hour long, hash binary, n long"
+WINDOW = "click_id long, start_hour long, n_repeats long, n_conflicts long, conflict_crc long, hash binary, expired boolean"
+_OPEN = np.dtype([("id", "<i8"), ("start", "<i8"), ("repeats", "<i8"), ("conflicts", "<i8"), ("crc", "<i8"), ("hash", "S32")])
 _SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     # else each store sets several megabytes of disk aside for its logs, however little it holds
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    # the stores of an executor share their buffers
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
 }
 
 
+def whole_bytes(hashes: np.ndarray) -> list[bytes]:
+    """Hashes as bytes, zeros at their ends too."""
+    return np.ascontiguousarray(hashes, "S32").view("V32").tolist()
+
+
 def fold(held: np.ndarray, ids: np.ndarray, hours: np.ndarray, hashes: np.ndarray, counts: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
     """Fold sorted events into the open windows of some clicks: (closed windows, open windows, by id).
 
@@ -67,7 +75,7 @@ def fold(held: np.ndarray, ids: np.ndarray, hours: np.ndarray, hashes: np.ndarra
         unlike = hashes[rows] != now["hash"][owner]
         rows, owner = rows[unlike], owner[unlike]
         np.add.at(now["conflicts"], owner, counts[rows])
-        np.add.at(now["crc"], owner, counts[rows] * np.fromiter(map(zlib.crc32, hashes[rows].tolist()), np.int64, len(rows)))
+        np.add.at(now["crc"], owner, counts[rows] * np.fromiter((zlib.crc32(h.hex().encode()) for h in whole_bytes(hashes[rows])), np.int64, len(rows)))
         at[left] = end
         left = left[end < high[left]]
         closed.append(now[left])
@@ -111,7 +119,7 @@ class ClickWindows(StatefulProcessor):
 
     def told(self, windows: np.ndarray, watermark: int) -> pd.DataFrame:
         out = {"click_id": windows["id"], "start_hour": windows["start"], "n_repeats": windows["repeats"], "n_conflicts": windows["conflicts"], "conflict_crc": windows["crc"]}
-        return pd.DataFrame(out | {"hash": windows["hash"].astype(str).astype(object), "expired": self.expires(windows["start"]) <= watermark})
+        return pd.DataFrame(out | {"hash": whole_bytes(windows["hash"]), "expired": self.expires(windows["start"]) <= watermark})
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         watermark = timerValues.getCurrentWatermarkInMs()
@@ -119,7 +127,7 @@ class ClickWindows(StatefulProcessor):
         ids, hours, counts = (np.concatenate([p[c].to_numpy(np.int64) for p in parts]) for c in ("click_id", "hour", "n"))
         if not len(ids):
             return
-        hashes = np.concatenate([p["hash"].to_numpy().astype("S64") for p in parts])
+        hashes = np.concatenate([np.array(p["hash"].tolist(), "S32") for p in parts])
         order = np.lexsort((hashes, hours, ids))
         timer, held = self.load()
         closed, windows = fold(held, ids[order], hours[order], hashes[order], counts[order], self.span)
@@ -145,7 +153,7 @@ def click_windows(events: DataFrame, cells: int = 0, span: int = SPAN, late: int
 
     cells: clicks are dealt to so many groups by hash, whose windows are one state, folded together; 0 makes each click a group of
     its own. It is fixed for as long as a checkpoint is used. A group's events of one batch and its open windows are held by one task, so cells
-    must grow with the input. hash holds at most 64 ASCII characters.
+    must grow with the input. A hash has 32 bytes; conflict_crc sums the CRC-32 of their hexadecimal form.
     """
     group = F.pmod(F.xxhash64("click_id"), F.lit(cells)) if cells else F.col("click_id")
     timed = events.withColumn("at", F.timestamp_millis(F.col("hour") * HOUR)).withWatermark("at", f"{late} hours 1 millisecond")
@@ -194,7 +202,7 @@ def run_batches(events: DataFrame, n_batches: int, cells: int = 0, span: int = S
             # what has expired before this batch did so after the one before it
             start(batch, batch if last is None else last, False)
             last = batch
-    columns = "click_id long, start_hour long, closed_batch long, n_repeats long, n_conflicts long, conflict_crc long, hash string"
+    columns = "click_id long, start_hour long, closed_batch long, n_repeats long, n_conflicts long, conflict_crc long, hash binary"
     if last is None:
         discard(spark, folder)
         return spark.createDataFrame([], columns)
@@ -231,11 +239,11 @@ def click_copies(clicks: DataFrame) -> DataFrame:
     copies = copies.withColumn("c", F.crc32(F.concat_ws(":", F.col("click_id").cast("string"), F.col("j").cast("string"))))
     hour = F.col("arrived") + 6 * F.col("j") * (F.col("c") % 10)
     late = hour + F.floor(F.col("c") / 10) % 200
-    return copies.select(late.alias("late_hour"), "click_id", hour.alias("hour"), F.sha2(F.concat("told", (F.col("c") % 3).cast("string")), 256).alias("hash"))
+    return copies.select(late.alias("late_hour"), "click_id", hour.alias("hour"), F.unhex(F.sha2(F.concat("told", (F.col("c") % 3).cast("string")), 256)).alias("hash"))
 
 
 def deduplicate_clicks(clicks: DataFrame, n_batches: int = BATCHES, cells: int | None = None, span: int = SPAN, late: int = LATE) -> DataFrame:
-    """Windows of a table of clicks that is replayed as a stream in batches: click_id, start_hour, closed_batch, n_repeats, n_conflicts, conflict_crc, hash.
+    """Windows of a table of clicks that is replayed as a stream in batches: click_id, start_hour, closed_batch, n_repeats, n_conflicts, conflict_crc, hash (hexadecimal).
 
     clicks: click_id, ts, arrived_at, client_id, kind, value, props; other columns, whatever their names, are left out. Copies (click_copies) of equal
     click, hour and hash are counted before they are moved. Only the least and greatest hours and the number of copies go to the driver.
@@ -254,4 +262,4 @@ def deduplicate_clicks(clicks: DataFrame, n_batches: int = BATCHES, cells: int |
     batch = F.floor((F.col("late_hour") - low) * n_batches / (high - low + 1)).cast("int").alias("batch")
     events = copies.select(batch, "click_id", (F.col("hour") + shift).alias("hour"), "hash").groupBy("batch", "click_id", "hour", "hash").agg(F.count("*").alias("n"))
     found = run_batches(events, n_batches, cells, span, late)
-    return found.withColumn("start_hour", F.col("start_hour") - shift)
+    return found.withColumn("start_hour", F.col("start_hour") - shift).withColumn("hash", F.lower(F.hex("hash")))

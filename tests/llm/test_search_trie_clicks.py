@@ -31,7 +31,7 @@ def odd_vectors():
     rng = np.random.default_rng(4)
     rows = [(k, rng.normal(0, 0.3, 6).astype(np.float32).tolist()) for k in range(90)]
     rows += [(k, rows[k % 7][1]) for k in range(90, 150)]  # many of the same scores
-    rows += [rows[5], rows[10], rows[10], (10, rows[3][1]), (None, rows[4][1]), (None, rows[4][1]), (150, [0.0] * 6), (151, None), (160, []), (152, [1.0, None, 0, 0, 0, 0])]
+    rows += [rows[5], rows[10], rows[10], (10, rows[3][1]), (None, rows[4][1]), (None, rows[4][1]), (150, [0.0] * 6), (151, None), (160, []), (152, [1.0, None, 0.0, 0.0, 0.0, 0.0])]
     rows += [(153, [float("nan")] + [0.0] * 5), (170, [float("inf")] + [0.0] * 5), (180, [1.0, -2.0]), (181, [0.5, 0.5]), (-10, [-1.0] * 6), (190, [1.5] * 3)]
     return rows
 
@@ -156,21 +156,25 @@ def brute_windows(batches, span=48, late=24):
     return Counter(out)
 
 
+#: Hashes of 32 bytes, some of which end with zeros.
+HASHES = {name: bytes.fromhex(hashlib.sha256(name.encode()).hexdigest())[: 32 - k] + b"\0" * k for k, name in enumerate("abc")}
+
+
 def test_fold():
     rng = random.Random(3)
     for _ in range(30):
-        events = sorted((rng.randrange(8), rng.randrange(1000, 1300), rng.choice("abc")) for _ in range(rng.choice([1, 5, 60])))
+        events = sorted((rng.randrange(8), rng.randrange(1000, 1300), HASHES[rng.choice("abc")].hex()) for _ in range(rng.choice([1, 5, 60])))
         cut = sorted(rng.sample(range(1000, 1300), 2))
         parts = [[e for e in events if low <= e[1] < high] for low, high in zip([0, *cut], [*cut, 9999], strict=True)]
         held, out = np.zeros(0, clicks._OPEN), []
         for part in parts:
             counted = sorted(Counter(part).items())
             ids, hours = (np.array([e[0][c] for e in counted], np.int64) for c in (0, 1))
-            hashes, n = np.array([e[0][2] for e in counted], "S64"), np.array([e[1] for e in counted], np.int64)
+            hashes, n = np.array([bytes.fromhex(e[0][2]) for e in counted], "S32"), np.array([e[1] for e in counted], np.int64)
             closed, held = clicks.fold(held, ids, hours, hashes, n, 48)
             out.append(closed)
         out = np.concatenate([*out, held])
-        got = Counter((*(int(w[c]) for c in ("id", "start", "repeats", "conflicts", "crc")), w["hash"].decode()) for w in out)
+        got = Counter((*(int(w[c]) for c in ("id", "start", "repeats", "conflicts", "crc")), h.hex()) for w, h in zip(out, clicks.whole_bytes(out["hash"]), strict=True))
         assert got == Counter((w[0], w[1], *w[3:]) for w in brute_windows([events]).elements())
 
 
@@ -206,7 +210,7 @@ def test_click_copies(spark, zone):
     old = spark.conf.get("spark.sql.session.timeZone")
     try:
         spark.conf.set("spark.sql.session.timeZone", zone)
-        assert Counter(map(tuple, clicks.click_copies(spark.createDataFrame(rows, kinds)).collect())) == Counter(brute_copies(rows))
+        assert Counter((*r[:3], r[3].hex()) for r in clicks.click_copies(spark.createDataFrame(rows, kinds)).collect()) == Counter(brute_copies(rows))
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
 
@@ -225,8 +229,8 @@ def test_deduplicated_clicks(spark):
 
 def test_batches_of_which_one_is_empty(spark):
     rng = random.Random(11)
-    batches = [[(rng.randrange(6), rng.randrange(1000 + 60 * b, 1090 + 60 * b), rng.choice("ab")) for _ in range(12)] for b in range(4)]
+    batches = [[(rng.randrange(6), rng.randrange(1000 + 60 * b, 1090 + 60 * b), HASHES[rng.choice("ab")].hex()) for _ in range(12)] for b in range(4)]
     batches[1] = []
-    rows = [(b, *e, n) for b, events in enumerate(batches) for e, n in Counter(events).items()]
-    events = spark.createDataFrame(rows, "batch int, click_id long, hour long, hash string, n long").repartition(2)
-    assert Counter(map(tuple, clicks.run_batches(events, 4, cells=0).collect())) == brute_windows(batches)
+    rows = [(b, i, hour, bytearray.fromhex(h), n) for b, events in enumerate(batches) for (i, hour, h), n in Counter(events).items()]
+    events = spark.createDataFrame(rows, "batch int, click_id long, hour long, hash binary, n long").repartition(2)
+    assert Counter((*r[:6], r[6].hex()) for r in clicks.run_batches(events, 4, cells=0).collect()) == brute_windows(batches)
