@@ -175,6 +175,9 @@ LOSSES: dict[str, tuple[Callable, Callable]] = {
     "log_loss": (lambda m: float(np.log1p(np.exp(-m))) if m > -30 else -m, lambda m: -1 / (1 + float(np.exp(min(m, 500.0))))),
 }
 
+#: The most that a loss with unbounded slopes is curved: a longer step than its inverse would go beyond the least.
+CURVATURES = {"squared_hinge": 2.0, "modified_huber": 2.0}
+
 
 #: Fixed value: how much slower the intercept moves than coefficients, as customary for sparse rows.
 DECAY = 0.01
@@ -183,9 +186,10 @@ DECAY = 0.01
 class SGD(Linear):
     """One example at a time, in an order drawn from the seed.
 
-    Rates: optimal, 1 / (alpha (t0 + t)) with a t0 that suits rows of length 1; constant, eta0; invscaling, eta0 / t ** power_t; adaptive, eta0,
+    Rates: optimal, 1 / (alpha (t0 + t)) with a t0 that suits the rows' mean squared length and the loss's curvature; constant, eta0; invscaling, eta0 / t ** power_t; adaptive, eta0,
     a fifth of it whenever passes bring no more. A fit ends after max_iter passes, or when the loss (with early_stopping: the
-    accuracy on a part kept back) hasn't been better by tol for n_iter_no_change of them.
+    accuracy on a part kept back) hasn't been better by tol for n_iter_no_change of them. Coefficients are those of the pass after which the objective (or that accuracy)
+    was best, so they don't hang on how the last rows fell.
     """
 
     known = {
@@ -211,10 +215,14 @@ class SGD(Linear):
                 kept[self.rng(7).permutation(rows)[: int(self.get("validation_fraction") * len(rows))]] = True
         own = ~kept if kept.any() and len(set(y[~kept])) == 2 else np.ones(len(x), bool)
         best, idle, first = np.inf, 0, True
+        least, found = np.inf, None
         for _ in range(self.get("max_iter")):
             loss = self._pass(x[own], y[own])
+            reached = self.objective(x[own], y[own])
             if self.get("early_stopping") and kept.any():
-                loss = 1 - float(((self._decision(x[kept]) > 0) == (y[kept] > 0)).mean())
+                loss = reached = 1 - float(((self._decision(x[kept]) > 0) == (y[kept] > 0)).mean())
+            if found is None or reached < least:
+                least, found = reached, {k: self.state[k] for k in ("coef", "intercept")}
             idle = 0 if first or self.get("tol") is None or loss < best - self.get("tol") else idle + 1
             best, first = min(best, loss), False
             if idle >= self.get("n_iter_no_change"):
@@ -222,6 +230,21 @@ class SGD(Linear):
                     break
                 self.state["rate"] /= 5
                 idle = 0
+        self.state |= found or {}
+
+    def _strengths(self) -> tuple[float, float]:
+        """Of squares and of absolute values."""
+        share = {"l1": 1.0, "elasticnet": self.get("l1_ratio")}.get(self.get("penalty"), 0.0)
+        alpha = 0.0 if self.get("penalty") is None else self.get("alpha")
+        return alpha * (1 - share), alpha * share
+
+    def objective(self, x: np.ndarray, y: np.ndarray) -> float:
+        """The mean weighted loss and the penalty of the coefficients."""
+        loss, _ = LOSSES[self.get("loss")]
+        margins = np.where(y > 0, 1.0, -1.0) * self._decision(x.astype(float))
+        w, (square, absolute) = np.array(self.state["coef"]), self._strengths()
+        told = float((_weights(y, self.get("class_weight")) * np.fromiter(map(loss, margins.tolist()), float, len(margins))).mean())
+        return told + 0.5 * square * float(w @ w) + absolute * float(np.abs(w).sum())
 
     def partial_fit(self, x: np.ndarray, y: np.ndarray) -> SGD:
         """One pass."""
@@ -234,14 +257,14 @@ class SGD(Linear):
         w, b, t = np.array(s["raw"]) if "raw" in s else np.zeros(x.shape[1]), s.get("raw_intercept", 0.0), s.get("t", 0)
         mean, mean_b = np.array(s["mean"]) if "mean" in s else np.zeros(x.shape[1]), s.get("mean_intercept", 0.0)
         alpha, how, average = self.get("alpha"), self.get("learning_rate"), int(self.get("average"))
-        share = {"l1": 1.0, "elasticnet": self.get("l1_ratio")}.get(self.get("penalty"), 0.0)
-        square = 0.0 if self.get("penalty") is None else alpha * (1 - share)
-        absolute = 0.0 if self.get("penalty") is None else alpha * share
+        square, absolute = self._strengths()
         loss, slope = LOSSES[self.get("loss")]
         if "rate" not in s:
             s["rate"] = self.get("eta0")
             typical = np.sqrt(1 / np.sqrt(alpha)) if alpha else 1.0
-            s["t0"] = 1 / (typical / max(1.0, -slope(-typical)) * alpha) if alpha else 1.0
+            length = max(1.0, float((x * x).sum(1).mean())) if len(x) else 1.0
+            first = typical / max(1.0, -slope(-typical))
+            s["t0"] = length / (min(first, 0.5 / CURVATURES.get(self.get("loss"), 0.5 / first)) * alpha) if alpha else 1.0
         weight, sign = _weights(y, self.get("class_weight")), np.where(y > 0, 1.0, -1.0)
         order = self.rng(t).permutation(len(x)) if self.get("shuffle") else np.arange(len(x))
         total, intercept = 0.0, bool(self.get("fit_intercept"))

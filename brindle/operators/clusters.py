@@ -9,7 +9,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from brindle.functions.blocks import width_of
 from brindle.functions.vectors import dot, norm
+from brindle.operators import large_clusters as large
+from brindle.operators.large_clusters import directions, nearness
+from brindle.sources.files import checkpointed
 
 
 def assign(rows: DataFrame, centroids: list[list[float]], vector: str = "e", digits: int = 9) -> DataFrame:
@@ -87,23 +91,14 @@ def _starts(u: np.ndarray, k: int, init, rng: np.random.Generator) -> np.ndarray
     return np.array(centres)
 
 
-def _directions(z: np.ndarray, cosine: bool) -> np.ndarray:
-    size = np.linalg.norm(z, axis=1)
-    return z / np.where(size == 0, 1, size)[:, None] if cosine else z.astype(float)
-
-
-def _near(u: np.ndarray, c: np.ndarray, cosine: bool) -> np.ndarray:
-    return u @ c.T if cosine else 2 * u @ c.T - (c * c).sum(1)
-
-
 def kmeans(z: np.ndarray, k: int, rounds: int = 300, balanced: bool = False, seed: int = 0, cosine: bool = True, tol: float = 0.0, init="k-means++") -> np.ndarray:
     """Clusters of rows; zero rows go to the nearest like others. Ends when nothing changes, or when the centres' moves, squared, are
     together at most tol times the rows' mean variance."""
-    rng, u = np.random.default_rng(seed), _directions(z, cosine)
+    rng, u = np.random.default_rng(seed), directions(z, cosine)
     k = min(k, len(z))
     c, label, least = _starts(u, k, init, rng), None, tol * u.var(0).mean()
     for _ in range(rounds):
-        near = _near(u, c, cosine)
+        near = nearness(u, c, cosine)
         new = balanced_assignment(near) if balanced else np.round(near, 9).argmax(1)
         if label is not None and (new == label).all():
             break
@@ -128,7 +123,7 @@ def mini_batches(z: np.ndarray, k: int, rounds: int, seed: int, batch: int, tol:
     c, seen, mean, best, still = _starts(first, k, init, rng), np.zeros(k), None, np.inf, 0
     for step in range(max(1, rounds * n // batch)):
         rows = z[rng.choice(n, batch, replace=False)]
-        distance = (rows * rows).sum(1)[:, None] - _near(rows, c, False)
+        distance = (rows * rows).sum(1)[:, None] - nearness(rows, c, False)
         label, old = distance.argmin(1), c.copy()
         for j in range(k):
             own = rows[label == j]
@@ -146,58 +141,123 @@ def mini_batches(z: np.ndarray, k: int, rounds: int, seed: int, batch: int, tol:
         best = min(best, mean)
         if idle is not None and still >= idle or tol and ((c - old) ** 2).sum() <= tol * z.var(0).mean():
             break
-    return np.round(_near(z, c, False), 9).argmax(1)
+    return np.round(nearness(z, c, False), 9).argmax(1)
 
 
-def agglomerate(z: np.ndarray, k: int | None, linkage: str = "ward", metric: str = "euclidean", threshold: float | None = None) -> np.ndarray:
-    """Agglomerative clusters: the closest two are joined until k are left, or none is closer than threshold.
+#: Bytes that a matrix of all distances may have.
+MATRIX_BYTES = 1 << 31
 
-    By chains of nearest neighbours: each step follows them until two are each other's nearest, which joins them in any order. That takes
-    time and memory of the square of the rows.
-    """
-    n = len(z)
-    if metric in ("euclidean", "l2") or linkage == "ward":
-        d = (z * z).sum(1)[:, None] + (z * z).sum(1)[None] - 2 * z @ z.T
-        d = np.sqrt(np.maximum(d, 0))
-    elif metric == "cosine":
-        u = _directions(z, True)
-        d = 1 - u @ u.T
-    elif metric in ("manhattan", "l1", "cityblock"):
-        d = np.array([np.abs(z - row).sum(1) for row in z])
-    else:
-        raise ValueError(f"unknown metric {metric!r}")
-    if linkage not in ("ward", "complete", "average", "single"):
-        raise ValueError(f"unknown linkage {linkage!r}")
-    np.fill_diagonal(d, np.inf)
-    size, open_, joins, chain = np.ones(n), np.ones(n, bool), [], []
+
+def needs_matrix(linkage: str, metric: str) -> bool:
+    """Whether distances of clusters don't follow from their sums: then all distances of rows are held."""
+    return not (linkage in ("ward", "single") or linkage == "average" and metric == "cosine")
+
+
+def _distances(z: np.ndarray, row: np.ndarray, metric: str) -> np.ndarray:
+    if metric in ("euclidean", "l2"):
+        return np.sqrt(((z - row) ** 2).sum(1))
+    if metric == "cosine":
+        return 1 - z @ row  # of directions
+    if metric in ("manhattan", "l1", "cityblock"):
+        return np.abs(z - row).sum(1)
+    raise ValueError(f"unknown metric {metric!r}")
+
+
+class _BySums:
+    """Distances of clusters from their sums: no more is held than the rows themselves."""
+
+    def __init__(self, z: np.ndarray, linkage: str):
+        self.ward, self.sums, self.size, self.at = linkage == "ward", z.astype(float).copy(), np.ones(len(z)), np.arange(len(z))
+
+    def near(self, a: int) -> tuple[np.ndarray, np.ndarray]:
+        """Open clusters, ascending, and how far each is from a."""
+        size, centres = self.size[self.at], self.sums[self.at] / self.size[self.at, None]
+        own = self.sums[a] / self.size[a]
+        far = np.sqrt(2 * self.size[a] * size / (self.size[a] + size) * ((centres - own) ** 2).sum(1)) if self.ward else 1 - centres @ own
+        far[np.searchsorted(self.at, a)] = np.inf
+        return self.at, far
+
+    def join(self, a: int, b: int) -> None:
+        self.sums[a] += self.sums[b]
+        self.size[a] += self.size[b]
+        self.at = self.at[self.at != b]
+
+
+class _ByMatrix:
+    """All distances are held, and follow each join."""
+
+    def __init__(self, z: np.ndarray, linkage: str, metric: str):
+        self.d = np.array([_distances(z, row, metric) for row in z])
+        np.fill_diagonal(self.d, np.inf)
+        self.linkage, self.size, self.at = linkage, np.ones(len(z)), np.arange(len(z))
+
+    def near(self, a: int) -> tuple[np.ndarray, np.ndarray]:
+        return self.at, self.d[a, self.at]
+
+    def join(self, a: int, b: int) -> None:
+        d, size = self.d, self.size
+        new = (size[a] * d[a] + size[b] * d[b]) / (size[a] + size[b]) if self.linkage == "average" else np.maximum(d[a], d[b])
+        new[[a, b]] = np.inf
+        d[a], d[:, a] = new, new
+        size[a] += size[b]
+        self.at = self.at[self.at != b]
+
+
+def _chained(clusters: _BySums | _ByMatrix, n: int) -> list[tuple[float, int, int]]:
+    """Joins by chains of nearest neighbours: each step follows them until two are each other's nearest, which joins them in any order."""
+    joins, chain = [], []
     while len(joins) < n - 1:
         if not chain:
-            chain.append(int(open_.argmax()))
+            chain.append(int(clusters.at[0]))
         while True:
-            near = d[chain[-1]]
-            to = int(near.argmin())
-            if len(chain) > 1 and near[chain[-2]] <= near[to]:
-                to = chain[-2]
+            at, far = clusters.near(chain[-1])
+            k = int(far.argmin())
+            to, apart = int(at[k]), far[k]
+            if len(chain) > 1 and far[np.searchsorted(at, chain[-2])] <= apart:
+                to, apart = chain[-2], far[np.searchsorted(at, chain[-2])]
                 break
             chain.append(to)
         a, b = chain.pop(), chain.pop()
         a, b = min(a, b), max(a, b)
-        apart = d[a, b]
-        joins.append((apart, a, b))
-        with np.errstate(invalid="ignore"):
-            if linkage == "ward":
-                w = size + size[a] + size[b]
-                new = np.sqrt(np.maximum(((size + size[a]) * d[a] ** 2 + (size + size[b]) * d[b] ** 2 - size * apart**2) / w, 0))
-            elif linkage == "average":
-                new = (size[a] * d[a] + size[b] * d[b]) / (size[a] + size[b])
-            else:
-                new = (np.maximum if linkage == "complete" else np.minimum)(d[a], d[b])
-        new[~open_] = np.inf
-        new[[a, b]] = np.inf
-        d[a], d[:, a] = new, new
-        d[b], d[:, b] = np.inf, np.inf
-        size[a] += size[b]
-        open_[b] = False
+        joins.append((float(apart), a, b))
+        clusters.join(a, b)
+    return joins
+
+
+def _spanned(z: np.ndarray, metric: str) -> list[tuple[float, int, int]]:
+    """Joins of single linkage: the edges of a least spanning tree, which takes in the nearest row at a time."""
+    open_, far, to = np.ones(len(z), bool), np.full(len(z), np.inf), np.zeros(len(z), int)
+    joins, last = [], 0
+    open_[0] = False
+    for _ in range(len(z) - 1):
+        d = _distances(z, z[last], metric)
+        closer = d < far
+        far[closer], to[closer] = d[closer], last
+        last = int(np.where(open_, far, np.inf).argmin())
+        joins.append((float(far[last]), min(last, int(to[last])), max(last, int(to[last]))))
+        open_[last] = False
+    return joins
+
+
+def agglomerate(z: np.ndarray, k: int | None, linkage: str = "ward", metric: str = "euclidean", threshold: float | None = None) -> np.ndarray:
+    """Agglomerative clusters: the closest two are joined until k are left, or none is closer than threshold.
+
+    Takes time of the square of the rows, and memory of the rows; complete and most average linkages hold all distances (MATRIX_BYTES at most).
+    """
+    n = len(z)
+    if linkage not in ("ward", "complete", "average", "single"):
+        raise ValueError(f"unknown linkage {linkage!r}")
+    metric = "euclidean" if linkage == "ward" else metric
+    z = directions(z, metric == "cosine")
+    _distances(z[:1], z[0], metric)
+    if linkage == "single":
+        joins = _spanned(z, metric)
+    elif needs_matrix(linkage, metric):
+        if n * n * 8 > MATRIX_BYTES:
+            raise ValueError(f"{n} rows are too many for {linkage} linkage")
+        joins = _chained(_ByMatrix(z, linkage, metric), n)
+    else:
+        joins = _chained(_BySums(z, linkage), n)
     root = np.arange(n)
 
     def find(i):
@@ -296,39 +356,63 @@ def resolved(config: dict | None, kinds: dict, default: str) -> tuple[str, dict]
     return kind, dict(config.get("kwargs") or {})
 
 
-#: Labels of a node that one task clusters; of a larger node a sample of so many finds where the rounds over all of them start.
-NODE_LABELS, SAMPLE_LABELS, ROUNDS = 200_000, 20_000, 10
+#: Labels of a node that one task clusters, and bytes of their vectors; a sample of so many of a larger node is joined step by step.
+NODE_LABELS, NODE_BYTES, SAMPLE_LABELS = 200_000, 256 << 20, 10_000
+
+
+def node_labels(width: int) -> int:
+    return max(2, min(NODE_LABELS, NODE_BYTES // (8 * max(1, width))))
+
+
+def _large_settings(kind: str, kwargs: dict) -> dict:
+    """What the type's options mean for rounds over all labels."""
+    given = {k: v for k, v in kwargs.items() if v is not None}
+    seed = given.get("random_state", 42 if kind == "faisskmeans" else 1 if kind == "cumlkmeans" else 0)
+    if kind == "balancedkmeans":
+        return {"init": "k-means++", "cosine": given.get("distance", "cosine") == "cosine", "rounds": given.get("iter_limit", 400), "tol": given.get("tol", 1e-4), "seed": seed, "n": 1, "balanced": True}
+    if kind == "faisskmeans":
+        return {"init": "k-means++", "cosine": given.get("spherical", False), "rounds": given.get("max_iter", 300), "tol": given.get("tol", 1e-4), "seed": seed, "n": max(1, given.get("nredo", 3)), "balanced": False}
+    init, n = given.get("init", "k-means++"), given.get("n_init", "auto")
+    tries = (1 if not isinstance(init, str) or init != "random" else 3 if kind == "sklearnminibatchkmeans" else 10) if n == "auto" else n
+    return {"init": init, "cosine": False, "rounds": given.get("max_iter", 300), "tol": given.get("tol", 0.0 if kind == "sklearnminibatchkmeans" else 1e-4), "seed": seed, "n": tries, "balanced": False}
+
+
+def _joined_sample(rows: DataFrame, kind: str, kwargs: dict) -> np.ndarray:
+    """Centres of the clusters of a sample, which one task finds."""
+    sample = rows.orderBy(F.xxhash64("label_id"), "label_id").limit(SAMPLE_LABELS).select(F.lit(0).alias("one"), "label_id", "z")
+
+    def split(some: pd.DataFrame) -> pd.DataFrame:
+        z = np.stack(some.sort_values("label_id")["z"].to_numpy())
+        label = CLUSTERERS[kind](z, kwargs)
+        return pd.DataFrame({"centre": [z[label == c].mean(0) for c in sorted(set(label.tolist()))]})
+
+    return np.array([r["centre"] for r in sample.groupBy("one").applyInPandas(split, "centre array<double>").collect()])
 
 
-def _large_node(rows: DataFrame, node: int, kind: str, kwargs: dict, least: int) -> DataFrame:
-    """Clusters of one node of many labels: centres of the configured clusterer on a sample, then Lloyd rounds over all labels.
+def _large_node(rows: DataFrame, kind: str, kwargs: dict, least: int) -> DataFrame:
+    """Clusters of one node of many labels, in rounds over all of them with the type's own distance, starts, limits and equal sizes.
 
-    Two balanced clusters are cut where half of the labels lie on each side; more are not balanced exactly.
+    Mini-batches are whole passes here. Types that join the closest, and registered ones, cluster a sample; its centres take the other labels.
     """
-    sample = rows.orderBy(F.xxhash64("label_id"), "label_id").limit(SAMPLE_LABELS).select("z").collect()
-    z = np.array([r["z"] for r in sample], float)
-    label = CLUSTERERS[kind](z, kwargs)
-    centres = [z[label == c].mean(0).tolist() for c in sorted(set(label.tolist()))]
-    if kind == "balancedkmeans" and len(centres) == 2:
-        a, b = (np.array(c) / (np.linalg.norm(c) or 1) for c in centres)
-        side = dot(F.col("z"), F.array(*map(F.lit, (a - b).tolist())))
-        sided = rows.withColumn("side", F.round(side, 9))
-        half = sided.agg(F.percentile_approx("side", 0.5, 100_000)).first()[0]
-        found = sided.withColumn("cluster", (F.col("side") < half).cast("int"))
+    k = kwargs["n_clusters"]
+    if kind in ("balancedkmeans", "faisskmeans", "sklearnkmeans", "sklearnminibatchkmeans", "cumlkmeans"):
+        how = _large_settings(kind, kwargs)
+        cosine, balanced = how["cosine"], how["balanced"]
+        tries = [large.centres_of(rows, k, how["init"], cosine, how["rounds"], how["tol"], how["seed"] + t, balanced) for t in range(how["n"])]
+        centres, prices, _ = min(tries, key=lambda t: t[2])
     else:
-        found = lloyd(rows, centres, ROUNDS, "z")
+        centres, cosine, balanced = _joined_sample(rows, kind, kwargs), False, False
+        prices = np.zeros(len(centres))
+    found = large.assigned(rows, centres, prices, cosine)
+    found = large.evened(found, len(centres)) if balanced else checkpointed(found)
     sizes = {r["cluster"]: r["n"] for r in found.groupBy("cluster").agg(F.count("*").alias("n")).collect()}
     valid = sorted(c for c, n in sizes.items() if n >= least)
     if len(valid) < 2:
-        return found.limit(0).select("node", "label_id", F.col("cluster").cast("int").alias("cluster"))
-    if len(valid) < len(sizes):
-        means = found.filter(F.col("cluster").isin(valid)).select("cluster", F.posexplode("z").alias("k", "v")).groupBy("cluster", "k").agg(F.avg("v").alias("v")).collect()
-        of = {c: [0.0] * z.shape[1] for c in valid}
-        for r in means:
-            of[r["cluster"]][r["k"]] = r["v"]
-        lost = assign(found.filter(~F.col("cluster").isin(valid)).drop("cluster"), [of[c] for c in valid], "z")
-        found = found.filter(F.col("cluster").isin(valid)).select("node", "label_id", "z", "cluster").unionByName(lost.select("node", "label_id", "z", F.element_at(F.array(*map(F.lit, valid)), F.col("cluster").cast("int") + 1).alias("cluster")))
-    number = F.array_position(F.array(*map(F.lit, valid)), F.col("cluster").cast("int")) - 1
+        return found.limit(0).select("node", "label_id", "cluster")
+    # labels of clusters that are too small go to the nearest valid one
+    own = F.when(F.col("cluster").isin(valid), F.col("cluster"))
+    offers = F.array_max(F.array(*(F.struct(F.col("near")[c].alias("near"), F.lit(-c).alias("c")) for c in valid)))
+    number = F.array_position(F.array(*map(F.lit, valid)), F.coalesce(own, -offers["c"])) - 1
     return found.select("node", "label_id", number.cast("int").alias("cluster"))
 
 
@@ -337,7 +421,7 @@ def cluster_nodes(z: DataFrame, config: dict | None, least: int) -> DataFrame:
 
     A node of at most `least` labels, or with fewer than two clusters of that size, is not split and
     gives no rows. Labels of clusters that are too small go to the valid one nearest to them. One task holds the labels of a node, but
-    those of a node with more than NODE_LABELS are worked on by all.
+    those of a node with more than node_labels are worked on by all.
     """
     kind, kwargs = resolved(config, CLUSTERERS, "balancedkmeans")
     kwargs.setdefault("n_clusters", 2)
@@ -360,9 +444,12 @@ def cluster_nodes(z: DataFrame, config: dict | None, least: int) -> DataFrame:
         own[lost] = (vectors[lost] @ centres.T).argmax(1)
         return pd.DataFrame({"node": key[0], "label_id": rows["label_id"].to_numpy(), "cluster": own.astype("int32")})
 
-    large = [r["node"] for r in z.groupBy("node").count().filter(F.col("count") > NODE_LABELS).collect()]
-    small = z.filter(~F.col("node").isin(large)) if large else z
+    most = node_labels(width_of(z, "z"))
+    if kind == "sklearnagglomerativeclustering" and needs_matrix(kwargs.get("linkage", "ward"), kwargs.get("metric", "euclidean")):
+        most = min(most, int((MATRIX_BYTES / 8) ** 0.5))
+    many = [r["node"] for r in z.groupBy("node").count().filter(F.col("count") > most).collect()]
+    small = z.filter(~F.col("node").isin(many)) if many else z
     out = small.groupBy("node").applyInPandas(split, "node long, label_id long, cluster int")
-    for node in large:
-        out = out.unionByName(_large_node(z.filter(F.col("node") == node), node, kind, kwargs, least))
+    for node in many:
+        out = out.unionByName(_large_node(z.filter(F.col("node") == node), kind, kwargs, least))
     return out

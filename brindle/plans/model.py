@@ -10,23 +10,25 @@ import json
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brindle.functions import fusion
 from brindle.functions import vectors as V
+from brindle.functions.blocks import affinity, width_of
 from brindle.operators import labels as L
-from brindle.operators import routing
+from brindle.operators import linear, negatives, routing
 from brindle.operators.classifiers import CLASSIFIERS, Classifier
 from brindle.operators.clusters import cluster_nodes, resolved
 from brindle.operators.encoders import TextEncoder
+from brindle.plans.scoring import cluster_scores, label_scores
 from brindle.sources.files import checkpointed as _kept
 
 #: Clusters of a node that are scored at a leaf, and matched clusters whose mentions a last layer's ranker sees.
 LEAF_BEAM, TOP_MATCHED = 100, 5
-#: Mentions of a node that one task learns from; those of a larger node are dealt to blocks.
-NODE_ROWS = 200_000
+#: Mentions of a node that one task learns from, and bytes of their vectors; those of a larger node stay where they are.
+NODE_ROWS, NODE_BYTES = 200_000, 256 << 20
 #: How a classifier is kept: linear ones as columns, others as text.
 _MODEL = "coef array<double>, intercept double, model string"
 
@@ -47,15 +49,19 @@ def probability(vec: Column, linear: bool) -> Column:
     return V.sigmoid(V.dot(vec, F.col("coef")) + F.col("intercept")) if linear else model_score("model", vec)
 
 
+def node_rows(width: int) -> int:
+    """Vectors of a node that one task learns from, so that they have NODE_BYTES at most."""
+    return max(2, min(NODE_ROWS, NODE_BYTES // (8 * max(1, width))))
+
+
 def fit_matchers(x: DataFrame, targets: DataFrame, config: dict | None) -> DataFrame:
     """One classifier against the rest for each cluster of a node: (node, cluster, coef, intercept, model).
 
-    targets: (node, mention_id, clusters), the clusters of a mention's labels. One task holds a node's mentions; those of a node
-    with more than NODE_ROWS are dealt to blocks, each is fitted alone, and the node's coefficients are the blocks' mean, by rows. Only linear types
-    can be put together like that.
+    targets: (node, mention_id, clusters), the clusters of a mention's labels. A node of at most node_rows mentions is fitted in one task. Linear types of
+    larger ones are fitted by sums over all tasks (linear.fit), to the same coefficients; other types can't be.
     """
     kind, kwargs = resolved(config, CLASSIFIERS, "sklearnlogisticregression")
-    linear = CLASSIFIERS[kind].is_linear_model
+    linear_type = CLASSIFIERS[kind].is_linear_model
 
     def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("mention_id")
@@ -63,28 +69,21 @@ def fit_matchers(x: DataFrame, targets: DataFrame, config: dict | None) -> DataF
         out = []
         for c in sorted({c for own in rows["clusters"] for c in own}):
             y = np.array([c in own for own in rows["clusters"]], float)
-            out.append((key[0], key[1], c, len(rows), *_columns(CLASSIFIERS[kind](**kwargs).fit(vectors, y), vectors.shape[1])))
-        return pd.DataFrame(out, columns=["node", "block", "cluster", "n", "coef", "intercept", "model"])
-
-    large = {r["node"]: -(-r["count"] // NODE_ROWS) for r in x.groupBy("node").count().filter(F.col("count") > NODE_ROWS).collect()}
-    if large and not linear:
-        raise ValueError(f"a node has more than {NODE_ROWS} mentions; {kind} can't be fitted in blocks")
-    blocks = F.lit(1)
-    for node, n in large.items():
-        blocks = F.when(F.col("node") == node, F.lit(n)).otherwise(blocks)
-    dealt = x.join(targets, ["node", "mention_id"]).withColumn("block", F.pmod(F.xxhash64("mention_id"), blocks).cast("int"))
-    fitted = dealt.groupBy("node", "block").applyInPandas(fit, f"node long, block int, cluster int, n long, {_MODEL}")
-    whole = ["node", "cluster", "coef", "intercept", "model"]
+            out.append((key[0], c, *_columns(CLASSIFIERS[kind](**kwargs).fit(vectors, y), vectors.shape[1])))
+        return pd.DataFrame(out, columns=["node", "cluster", "coef", "intercept", "model"])
+
+    schema = f"node long, cluster int, {_MODEL}"
+    most = node_rows(width_of(x, "vec"))
+    large = [r["node"] for r in x.groupBy("node").count().filter(F.col("count") > most).collect()]
+    rows = x.join(targets, ["node", "mention_id"]).select("node", "mention_id", "vec", "clusters")
     if not large:
-        return fitted.select(*whole)
-    fitted = _kept(fitted)
-    of = F.col("node").isin(list(large))
-    share = F.col("n") / F.sum("n").over(Window.partitionBy("node", "cluster"))
-    each = fitted.filter(of).withColumn("share", share)
-    sums = each.select("node", "cluster", "share", F.posexplode("coef").alias("k", "v")).groupBy("node", "cluster", "k").agg(F.sum(F.col("share") * F.col("v")).alias("v"))
-    coef = sums.groupBy("node", "cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda s: s["v"]).alias("coef"))
-    means = coef.join(each.groupBy("node", "cluster").agg(F.sum(F.col("share") * F.col("intercept")).alias("intercept")), ["node", "cluster"]).withColumn("model", F.lit(None).cast("string"))
-    return fitted.filter(~of).select(*whole).unionByName(means.select(*whole))
+        return rows.groupBy("node").applyInPandas(fit, schema)
+    if not linear_type:
+        raise ValueError(f"a node has more than {most} mentions; {kind} is fitted in one task")
+    of = F.col("node").isin(large)
+    dealt = _kept(rows.filter(of).select("node", "vec", F.col("clusters").cast("array<int>").alias("clusters")))
+    found = x.sparkSession.createDataFrame([(*r, None) for r in linear.fit(dealt, CLASSIFIERS[kind], kwargs)], schema)
+    return rows.filter(~of).groupBy("node").applyInPandas(fit, schema).unionByName(found)
 
 
 @F.pandas_udf(T.DoubleType())
@@ -101,12 +100,13 @@ def fit_rankers(pool: DataFrame, x: DataFrame, z: DataFrame, config: dict | None
     """A classifier of each label over pairs [x, z]: (node, label_id, coef, intercept, model).
 
     pool: (node, label_id, mention_id, target, epoch); each epoch is one pass over its rows, by the same learner. One task
-    holds the sample of a label, and its vector once.
+    holds the sample of a label, each mention's vector once, whatever its epochs.
     """
     kind, kwargs = resolved(config, CLASSIFIERS, "sklearnsgdclassifier")
     if not CLASSIFIERS[kind].supports_partial_fit:
         raise ValueError(f"a ranker needs a classifier that learns in passes; {kind} doesn't")
-    rows = pool.join(x, ["node", "mention_id"]).select("node", "label_id", "mention_id", "target", "epoch", "vec")
+    once = pool.groupBy("node", "label_id", "mention_id", "target").agg(F.collect_set("epoch").alias("epochs"))
+    rows = once.join(x, ["node", "mention_id"]).select("node", "label_id", "mention_id", "target", "epochs", "vec")
 
     def fit(key: tuple, rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         columns = ["node", "label_id", "coef", "intercept", "model"]
@@ -114,12 +114,18 @@ def fit_rankers(pool: DataFrame, x: DataFrame, z: DataFrame, config: dict | None
             return pd.DataFrame([], columns=columns)
         z = np.asarray(own["z"].iloc[0], float)
         learner = CLASSIFIERS[kind](**kwargs)
-        for _, part in rows.sort_values(["epoch", "mention_id"]).groupby("epoch"):
-            vectors = np.stack(part["vec"].to_numpy())
-            learner.partial_fit(np.hstack((vectors, np.broadcast_to(z, (len(vectors), len(z))))), part["target"].to_numpy())
+        rows = rows.sort_values("mention_id")
+        vectors, target = np.stack(rows["vec"].to_numpy()), rows["target"].to_numpy()
+        inside = np.zeros((len(rows), epochs + 1), bool)
+        for k, own in enumerate(rows["epochs"]):
+            inside[k, own] = True
+        for part in inside.T[1:]:
+            if part.any():
+                learner.partial_fit(np.hstack((vectors[part], np.broadcast_to(z, (part.sum(), len(z))))), target[part])
         return pd.DataFrame([(key[0], key[1], *_columns(learner, len(z) * 2))], columns=columns)
 
-    return rows.groupBy("node", "label_id").cogroup(z.select("node", "label_id", "z").groupBy("node", "label_id")).applyInPandas(fit, f"node long, label_id long, {_MODEL}")
+    of = z.select(F.col("node").alias("of_node"), F.col("label_id").alias("of_label"), "z").groupBy("of_node", "of_label")
+    return rows.groupBy("node", "label_id").cogroup(of).applyInPandas(fit, f"node long, label_id long, {_MODEL}")
 
 
 def ranked_labels(rankers: DataFrame, node_labels: DataFrame) -> DataFrame:
@@ -129,35 +135,34 @@ def ranked_labels(rankers: DataFrame, node_labels: DataFrame) -> DataFrame:
     return both.select("node", "label_id", F.slice("coef", F.lit(1), at).alias("w"), (V.dot(F.slice("coef", at + 1, F.size("z")), F.col("z")) + F.col("intercept")).alias("bias"))
 
 
-def ranker_pool(x: DataFrame, y: DataFrame, z: DataFrame, clusters: DataFrame, matched: DataFrame | None, curriculum: dict, epochs: int, seed: int = 0) -> DataFrame:
-    """The sample of each label: positives and chosen negatives of its cluster's mentions, epoch by epoch."""
-    own = y.join(clusters, "label_id").select("node", "mention_id", "cluster").distinct()
-    candidates = routing.mask_union(own, matched) if matched is not None else own
-    pairs = candidates.join(clusters, ["node", "cluster"]).select("node", "label_id", "mention_id")
-    marked = pairs.join(y.withColumn("target", F.lit(1)), ["mention_id", "label_id"], "left").withColumn("target", F.coalesce("target", F.lit(0)))
-    counts = marked.groupBy("node", "label_id").agg(F.sum("target").alias("pos"), F.sum(1 - F.col("target")).alias("neg"))
-    counts = routing.trainable(counts, "pos", "neg", curriculum.get("neg_mult", 15)).select("node", "label_id", "n_neg")
-    marked = _kept(marked.join(counts, ["node", "label_id"]))
-    negatives = marked.filter("target = 0").join(x, ["node", "mention_id"]).join(z, ["node", "label_id"])
-    ip = V.dot(F.col("vec"), F.col("z"))
-    scored = negatives.select("node", "label_id", "mention_id", "n_neg", F.round(ip / (V.norm(F.col("vec")) + 1e-12), 9).alias("cos"), F.round(ip, 9).alias("ip"))
-    scored = _kept(scored.withColumn("key", F.concat_ws("/", "node", "label_id")))
+def epoch_phases(curriculum: dict, epochs: int) -> list[list[negatives.Phase]]:
+    """What each epoch's negatives go by: random ones and near ones while it is warm, then hard ones."""
     warm_rand, warm_cos = curriculum.get("warm", (0.70, 0.30))
     hard_ip, hard_cos, _ = curriculum.get("hard", (0.60, 0.30, 0.10))
-    positives = marked.filter("target = 1").select("node", "label_id", "mention_id", "target")
-    out = None
-    for epoch in range(1, epochs + 1):
-        drawn = scored.withColumn("draw", F.xxhash64(F.lit(seed), F.lit(epoch), "label_id", "mention_id"))
-        by_draw, by_cos, by_ip = ([(c, down), ("mention_id", False)] for c, down in (("draw", False), ("cos", True), ("ip", True)))
-        if epoch <= curriculum.get("E_warm", 3):
-            picked = routing.pick_negatives(drawn, [(warm_rand, by_draw), (warm_cos, by_cos)], "key")
-        else:
-            picked = routing.pick_negatives(drawn, [(hard_ip, by_ip), (hard_cos, by_cos), (None, by_draw)], "key")
-        split = F.split("key", "/")
-        chosen = picked.select(F.get(split, 0).cast("long").alias("node"), F.get(split, 1).cast("long").alias("label_id"), "mention_id", F.lit(0).alias("target"))
-        part = positives.unionByName(chosen).withColumn("epoch", F.lit(epoch))
-        out = part if out is None else out.unionByName(part)
-    return out
+    warm, hard = [(warm_rand, "draw"), (warm_cos, "cos")], [(hard_ip, "ip"), (hard_cos, "cos"), (None, "draw")]
+    return [warm if epoch <= curriculum.get("E_warm", 3) else hard for epoch in range(1, epochs + 1)]
+
+
+def ranker_pool(
+    x: DataFrame, y: DataFrame, z: DataFrame, clusters: DataFrame, matched: DataFrame | None, curriculum: dict, epochs: int, seed: int = 0, draw: negatives.Draw | None = None
+) -> DataFrame:
+    """The sample of each label, (node, label_id, mention_id, target, epoch): positives and chosen negatives of its cluster's mentions, epoch by epoch.
+
+    Only labels that can be trained are in it. How many negatives there are follows from counts; which ones, from negatives.choose: no table of
+    labels with all mentions of their clusters is made.
+    """
+    places = _kept(y.join(clusters, "label_id").select("node", "mention_id", "label_id", "cluster").distinct())
+    own = places.select("node", "mention_id", "cluster").distinct()
+    candidates = _kept(routing.mask_union(own, matched) if matched is not None else own)
+    around = candidates.groupBy("node", "cluster").agg(F.count("*").alias("n"))
+    counts = places.groupBy("node", "cluster", "label_id").agg(F.count("*").alias("pos")).join(around, ["node", "cluster"]).withColumn("neg", F.col("n") - F.col("pos"))
+    counts = _kept(routing.trainable(counts, "pos", "neg", curriculum.get("neg_mult", 15)).select("node", "cluster", "label_id", "n_neg"))
+    labels = counts.join(z, ["node", "label_id"])
+    lists = y.groupBy("mention_id").agg(F.collect_set("label_id").alias("own"))
+    mentions = candidates.join(x, ["node", "mention_id"]).join(lists, "mention_id", "left").withColumn("own", F.coalesce("own", F.array().cast("array<long>")))
+    chosen = negatives.choose(labels, mentions, epoch_phases(curriculum, epochs), draw or negatives.mixed(seed))
+    positives = places.join(counts.select("node", "label_id"), ["node", "label_id"]).select("node", "label_id", "mention_id", F.lit(1).alias("target"), F.explode(F.sequence(F.lit(1), F.lit(epochs))).alias("epoch"))
+    return positives.unionByName(chosen.select("node", "label_id", "mention_id", F.lit(0).alias("target"), "epoch"))
 
 
 class XModel:
@@ -222,24 +227,24 @@ class XModel:
             of = y.join(here, "label_id").select("node", "mention_id", "cluster").distinct()
             targets = of.groupBy("node", "mention_id").agg(F.collect_set("cluster").alias("clusters"))
             matchers = _kept(fit_matchers(x, targets, c["matcher"]))
-            scores = _kept(x.join(matchers, "node").withColumn("score", probability(F.col("vec"), self.linear_matchers)).select("node", "mention_id", "vec", "cluster", "score"))
+            scores = _kept(cluster_scores(x, matchers, None, "mention_id"))
             sizes = here.groupBy("node", "cluster").count()
             grows = sizes.filter(F.col("count") > c["min_leaf_size"]) if not last else sizes.limit(0)
             edges = _kept(grows.select("node", "cluster", F.abs(F.xxhash64("node", "cluster")).alias("child")))
             if c["ranker_every_layer"] or last:
                 matched = None
                 if last:
-                    matched = V.top_k(scores, ["node", "mention_id"], "score", TOP_MATCHED, "cluster", 9).select("node", "mention_id", "cluster")
+                    matched = scores.select("node", "mention_id", F.explode(F.slice("best", 1, TOP_MATCHED)).alias("b")).select("node", "mention_id", "b.cluster")
                 config = dict(c["ranker"] or {})
                 epochs = config.get("n_epochs", 3)
-                pool = ranker_pool(x, y, z, here, matched, config.get("cur_config", {}), epochs, int((config.get("kwargs") or {}).get("random_state") or 0))
+                pool = _kept(ranker_pool(x, y, z, here, matched, config.get("cur_config", {}), epochs, int((config.get("kwargs") or {}).get("random_state") or 0)))
                 parts["rankers"].append(_kept(fit_rankers(pool, x, z, c["ranker"], epochs)))
             parts["clusters"].append(here)
             parts["matchers"].append(matchers)
             parts["edges"].append(edges)
             if last or edges.isEmpty():
                 break
-            x, z = self._children(x, y, z, here, scores, edges)
+            x, z = self._children(y, z, here, scores, edges)
             self.node_labels = self.node_labels.unionByName(z)
             if c["cut_half_cluster"]:
                 kwargs = dict((clustering or {}).get("kwargs") or {})
@@ -257,17 +262,18 @@ class XModel:
         return self
 
     @staticmethod
-    def _children(x, y, z, here, scores, edges):
+    def _children(y, z, here, scores, edges):
         """Inputs of the next layer: x gets its own cluster's score, the sum and the greatest; z the mean, sum and
-        greatest affinity to the child's mentions, zeros among them."""
-        clipped = scores.withColumn("score", F.greatest("score", F.lit(0.0)))
-        totals = clipped.groupBy("node", "mention_id").agg(F.sum("score").alias("sum"), F.max("score").alias("max"))
+        greatest affinity to the child's mentions, zeros among them.
+
+        scores: as cluster_scores gives them for all clusters. No pairs of mentions and labels are made.
+        """
         of = y.join(here, "label_id").select("node", "mention_id", "cluster").distinct().join(edges, ["node", "cluster"])
-        inside = _kept(of.join(clipped, ["node", "mention_id", "cluster"]).join(totals, ["node", "mention_id"]))
+        own = F.get(F.filter("best", lambda b: b["cluster"] == F.col("cluster")), 0)["m"]
+        inside = _kept(of.join(scores, ["node", "mention_id"]).select("child", "mention_id", "vec", own.alias("score"), "sum", "max"))
         labels = here.join(edges, ["node", "cluster"]).join(z, ["node", "label_id"]).select("child", "label_id", "z")
-        affinity = inside.select("child", "vec").join(labels, "child").groupBy("child", "label_id").agg(*(f(V.dot(F.col("vec"), F.col("z"))).alias(n) for f, n in ((F.avg, "mean"), (F.sum, "total"), (F.max, "most"))))
         new_x = inside.select(F.col("child").alias("node"), "mention_id", V.unit(F.concat("vec", F.array("score", "sum", "max"))).alias("vec"))
-        wider = labels.join(affinity, ["child", "label_id"])
+        wider = labels.join(affinity(inside, labels, ["child"]), ["child", "label_id"])
         new_z = wider.select(F.col("child").alias("node"), "label_id", V.unit(F.concat("z", F.array("mean", "total", "most"))).alias("z"))
         return _kept(new_x), _kept(new_z)
 
@@ -281,30 +287,30 @@ class XModel:
         now = vectors.select("query_id", F.lit(0).cast("long").alias("node"), "vec", F.lit(0.0).alias("logscore"), F.array().cast(step).alias("trail"))
         ended: DataFrame | None = None
         for layer in range(self.config["depth"]):
-            scored = now.join(self.matchers, "node").withColumn("m", probability(F.col("vec"), self.linear_matchers)).drop("coef", "intercept", "model")
-            by = Window.partitionBy("query_id", "node")
-            scored = scored.withColumn("sum", F.sum("m").over(by)).withColumn("max", F.max("m").over(by)).filter("max > 0")
-            scored = _kept(V.top_k(scored, ["query_id", "node"], "m", LEAF_BEAM, "cluster", 9)).join(self.edges, ["node", "cluster"], "left")
+            scored = _kept(cluster_scores(now, self.matchers, self.edges, "query_id", LEAF_BEAM))
             # where no child follows, labels are scored here
-            stop = scored.filter("child is null").select("query_id", "node", "cluster", "m", "vec", "trail")
-            ended = stop if ended is None else ended.unionByName(stop, allowMissingColumns=True)
-            on = scored.filter(F.col("child").isNotNull() & (F.col("rank") <= beam)).withColumn("logscore", fusion.path_score(F.col("logscore"), F.col("m"))).drop("rank")
-            on = V.top_k(on, "query_id", "logscore", beam, "child", 9)
-            trail = F.concat("trail", F.array(F.struct(F.lit(layer).alias("layer"), "node", "cluster", F.col("m").alias("probability"), "logscore")))
-            now = _kept(on.select("query_id", F.col("child").alias("node"), V.unit(F.concat("vec", F.array("m", "sum", "max"))).alias("vec"), "logscore", trail.cast(step).alias("trail")))
+            stop = scored.select("query_id", "node", "vec", "trail", F.transform(F.filter("best", lambda b: b["child"].isNull()), lambda b: F.struct(b["cluster"].alias("cluster"), b["m"].alias("m"))).alias("stop")).filter(F.size("stop") > 0)
+            ended = stop if ended is None else ended.unionByName(stop)
+            open_ = scored.select("query_id", "node", "logscore", F.explode(F.filter(F.slice("best", 1, beam), lambda b: b["child"].isNotNull())).alias("b"))
+            open_ = open_.select("query_id", "node", "b.cluster", "b.m", "b.child", fusion.path_score(F.col("logscore"), F.col("b.m")).alias("now"))
+            on = V.top_k(open_, "query_id", "now", beam, "child", 9).drop("rank").join(scored.select("query_id", "node", "vec", "trail", "sum", "max"), ["query_id", "node"])
+            trail = F.concat("trail", F.array(F.struct(F.lit(layer).alias("layer"), "node", "cluster", F.col("m").alias("probability"), F.col("now").alias("logscore"))))
+            now = _kept(on.select("query_id", F.col("child").alias("node"), V.unit(F.concat("vec", F.array("m", "sum", "max"))).alias("vec"), F.col("now").alias("logscore"), trail.cast(step).alias("trail")))
             if now.isEmpty():
                 break
-        reached = ended.join(self.clusters, ["node", "cluster"])
+        found = label_scores(ended, self._ranked_clusters(), "query_id", width_of(vectors, "vec"))
+        return found.select("query_id", "label_id", "leaf", fusion.fuse(fusion_mode, F.col("m"), F.col("r"), alpha, p, eps).alias("score"), "trail")
+
+    def _ranked_clusters(self) -> DataFrame:
+        """Labels of all clusters with what their rankers say, as label_scores takes them."""
         # a ranker was fitted on its own node's label vectors, which have three numbers more for each layer
         if self.linear_rankers:
-            reached = reached.join(ranked_labels(self.rankers, self.node_labels), ["node", "label_id"], "left")
-            scored = reached.withColumn("r", F.coalesce(V.sigmoid(V.dot(F.col("vec"), F.col("w")) + F.col("bias")), F.lit(1.0)))
+            known = ranked_labels(self.rankers, self.node_labels).select("node", "label_id", "w", "bias", F.lit(None).cast("string").alias("model"), F.lit(None).cast("array<double>").alias("z"), F.lit(True).alias("known"))
         else:
-            reached = reached.join(self.rankers, ["node", "label_id"], "left").join(self.node_labels, ["node", "label_id"])
-            # without a model the probability isn't asked for
-            with_model = reached.filter("model is not null").withColumn("r", model_score("model", F.concat("vec", "z")))
-            scored = with_model.unionByName(reached.filter("model is null").withColumn("r", F.lit(1.0)))
-        return scored.select("query_id", "label_id", F.col("node").alias("leaf"), fusion.fuse(fusion_mode, F.col("m"), F.col("r"), alpha, p, eps).alias("score"), "trail")
+            none = F.lit(None).cast("array<double>").alias("w"), F.lit(None).cast("double").alias("bias")
+            known = self.rankers.join(self.node_labels, ["node", "label_id"]).select("node", "label_id", *none, "model", "z", F.col("model").isNotNull().alias("known"))
+        held = self.clusters.join(known, ["node", "label_id"], "left")
+        return held.select("node", "label_id", F.col("cluster").cast("int").alias("cluster"), "w", "bias", "model", "z", F.coalesce("known", F.lit(False)).alias("known"))
 
     def predict_vectors(
         self, vectors: DataFrame, topk: int = 5, beam_size: int | None = None, fusion_mode: str = "geometric", topk_mode: str = "per_leaf", topk_inside_global: int | None = None, alpha: float = 0.5, p: float = 3.0, eps: float = 1e-6
@@ -332,17 +338,12 @@ class XModel:
         (query_id, rank, label_id, score); as_matrix: a row for each query with its labels, ascending, and their scores:
         (query_id, labels, scores). topk keeps the best of a query in either form.
         """
-        scored = vectors.join(self.matchers.filter(F.col("node") == node), F.lit(True)).withColumn("m", probability(F.col("vec"), self.linear_matchers))
-        top = V.top_k(scored, "query_id", "m", beam_size or LEAF_BEAM, "cluster", 9).select("query_id", "vec", "node", "cluster", "m")
-        reached = top.join(self.clusters, ["node", "cluster"])
-        if self.linear_rankers:
-            reached = reached.join(ranked_labels(self.rankers, self.node_labels), ["node", "label_id"], "left")
-            r = F.coalesce(V.sigmoid(V.dot(F.col("vec"), F.col("w")) + F.col("bias")), F.lit(1.0))
-        else:
-            reached = reached.join(self.rankers, ["node", "label_id"], "left").join(self.node_labels, ["node", "label_id"])
-            learned = reached.filter("model is not null").withColumn("r", model_score("model", F.concat("vec", "z")))
-            reached, r = learned.unionByName(reached.filter("model is null").withColumn("r", F.lit(1.0))), F.col("r")
-        fused = reached.select("query_id", "label_id", fusion.fuse(fusion_mode, F.col("m"), r, alpha, p, eps).alias("score"))
+        at = vectors.select("query_id", F.lit(node).cast("long").alias("node"), "vec")
+        of = F.col("node") == node
+        top = cluster_scores(at, self.matchers.filter(of), None, "query_id", beam_size or LEAF_BEAM)
+        stop = F.transform("best", lambda b: F.struct(b["cluster"].alias("cluster"), b["m"].alias("m")))
+        reached = label_scores(top.select("query_id", "node", "vec", stop.alias("stop")), self._ranked_clusters().filter(of), "query_id", width_of(vectors, "vec"))
+        fused = reached.select("query_id", "label_id", fusion.fuse(fusion_mode, F.col("m"), F.col("r"), alpha, p, eps).alias("score"))
         best = V.top_k(fused, "query_id", "score", topk or 2**31 - 1, "label_id", 9)
         if not as_matrix:
             return best.select("query_id", "rank", "label_id", "score")

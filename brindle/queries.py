@@ -5,16 +5,16 @@ Scores are rounded to six digits on both sides.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from brindle.functions import fusion, text
+from brindle.functions import blocks, fusion, text
 from brindle.functions import vectors as V
-from brindle.operators import clusters, encoders, labels, routing
+from brindle.operators import clusters, encoders, labels, linear, negatives, routing
 from brindle.plans import model, parts
 from brindle.sources import files, variables
 
@@ -199,6 +199,12 @@ def _scores(spark, d):
     return V.pairs_with_all(x, _z(x).withColumnRenamed("l", "label"), WIDTH).withColumn("score", V.dot(F.col("e"), F.col("z")))
 
 
+def _both(spark, d):
+    """Mentions and label embeddings, as products in blocks take them."""
+    x = _x(spark, d)
+    return x.select("m", F.col("e").alias("vec")), _z(x).withColumnRenamed("l", "label")
+
+
 _SQL_SCORES = f"{_SQL_Z}, sc AS (SELECT m, x.l AS l, z.l AS label, e, z, list_dot_product(e, z) AS score FROM x CROSS JOIN z)"
 
 
@@ -209,8 +215,8 @@ def inner_product_scores(spark, d):
 
 @query(f"WITH {_SQL_SCORES} SELECT vec_id, label, score, rank FROM (SELECT m AS vec_id, label, round(list_cosine_similarity(e, z), 6) AS score, row_number() OVER (PARTITION BY m ORDER BY round(list_cosine_similarity(e, z), 6) DESC, label) AS rank FROM sc) WHERE rank <= 3")
 def cosine_topk_dense(spark, d):
-    scored = _scores(spark, d).withColumn("score", V.cosine(F.col("e"), F.col("z")))
-    return V.top_k(scored, "m", "score", 3, "label", 6).select(F.col("m").alias("vec_id"), "label", _r("score").alias("score"), "rank")
+    top = blocks.top_products(*_both(spark, d), "m", "label", 3, 6, cosine=True)
+    return top.select(F.col("m").alias("vec_id"), "label", _r("score").alias("score"), "rank")
 
 
 # clusters
@@ -291,8 +297,10 @@ def routing_features(spark, d):
 
 @query(f"WITH {_SQL_SCORES} SELECT label, round(sum(score) / (SELECT count(*) FROM x), 6) AS mean_score, round(sum(score), 6) AS sum_score, round(max(score), 6) AS max_score FROM sc GROUP BY label")
 def label_affinity(spark, d):
-    got = routing.label_affinity(_scores(spark, d), _x(spark, d).count(), "label")
-    return got.select("label", *(_r(c).alias(c) for c in ("mean_score", "sum_score", "max_score")))
+    x = _x(spark, d)
+    node = F.lit(0).cast("long").alias("node")
+    got = blocks.affinity(x.select(node, F.col("m").alias("mention_id"), F.col("e").alias("vec")), _z(x).select(node, F.col("l").alias("label_id"), "z"), ["node"])
+    return got.select(F.col("label_id").cast("int").alias("label"), _r("mean").alias("mean_score"), _r("total").alias("sum_score"), _r("most").alias("max_score"))
 
 
 def _top_clusters(spark, d, k):
@@ -413,15 +421,28 @@ _SQL_POOL = f"""{_SQL_SCORES}, cn AS (SELECT l AS label, count(*) AS n_pos, leas
  pl AS (SELECT label, m, n_neg, round(score / (sqrt(list_dot_product(e, e)) + 1e-12), 9) AS c, round(score, 9) AS ip, (m * 7919 + label * 104729 + 12345) % 1000003 AS draw FROM sc JOIN ok USING (label) WHERE l <> label)"""
 
 
+def _draw(epoch, labels_, mentions):
+    """Portable random keys."""
+    return (mentions[:, None] * 7919 + labels_[None] * 104729 + 12345 * epoch) % 1000003
+
+
+def _chosen(spark, d, epochs):
+    """Negatives of each label among all mentions, by bounded heaps."""
+    x = _x(spark, d)
+    counts = x.groupBy(F.col("l").alias("label")).agg(F.count("*").alias("n_pos")).withColumn("available", F.lit(x.count()) - F.col("n_pos"))
+    counts = routing.trainable(counts, "n_pos", "available", 2)
+    place = [F.lit(0).cast("long").alias("node"), F.lit(0).cast("long").alias("cluster")]
+    own = _z(x).join(counts.withColumnRenamed("label", "l"), "l").select(*place, F.col("l").alias("label_id"), "z", "n_neg")
+    rows = x.select(*place, F.col("m").alias("mention_id"), F.col("e").alias("vec"), F.array("l").alias("own"))
+    found = negatives.choose(own, rows, epochs, _draw)
+    return found.select(F.col("label_id").cast("int").alias("label"), F.col("mention_id").alias("vec_id"), "epoch")
+
+
 @query(f"""WITH {_SQL_POOL}, k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY draw, m) AS r1, row_number() OVER (PARTITION BY label ORDER BY c DESC, m) AS r2, round_even(0.7 * n_neg, 0) AS q1 FROM pl),
  p AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY m) AS n FROM k WHERE r1 <= q1 OR r2 <= n_neg - q1) SELECT label, m AS vec_id FROM p WHERE n <= n_neg""")
 def negatives_warm(spark, d):
     """Warm epochs: seven tenths at random, the rest of greatest cosine."""
-    pool = _pool(spark, d).withColumn("first", F.bround(0.7 * F.col("n_neg")))
-    by = Window.partitionBy("label")
-    picked = pool.withColumn("r1", F.row_number().over(by.orderBy("draw", "m"))).withColumn("r2", F.row_number().over(by.orderBy(F.desc("cos"), "m")))
-    picked = picked.filter((F.col("r1") <= F.col("first")) | (F.col("r2") <= F.col("n_neg") - F.col("first")))
-    return picked.withColumn("at", F.row_number().over(by.orderBy("m"))).filter("at <= n_neg").select("label", F.col("m").alias("vec_id"))
+    return _chosen(spark, d, [[(0.7, "draw"), (0.3, "cos")]]).select("label", "vec_id")
 
 
 @query(f"""WITH {_SQL_POOL}, k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY ip DESC, m) AS r1, row_number() OVER (PARTITION BY label ORDER BY c DESC, m) AS r2, round_even(0.6 * n_neg, 0) AS q1, round_even(0.3 * n_neg, 0) AS q2 FROM pl),
@@ -433,6 +454,19 @@ def negatives_hard(spark, d):
     return routing.pick_negatives(_pool(spark, d), phases, "label", "m").withColumnRenamed("m", "vec_id")
 
 
+_SQL_EPOCHS = f"""{_SQL_POOL}, ep AS (SELECT pl.*, epoch, (m * 7919 + label * 104729 + 12345 * epoch) % 1000003 AS d, round_even(0.7 * n_neg, 0) AS w1, round_even(0.3 * n_neg, 0) AS w2, round_even(0.6 * n_neg, 0) AS h1, round_even(0.3 * n_neg, 0) AS h2 FROM pl, (SELECT unnest([1, 2, 3]) AS epoch)),
+ er AS (SELECT *, row_number() OVER (w ORDER BY d, m) AS rd, row_number() OVER (w ORDER BY c DESC, m) AS rc, row_number() OVER (w ORDER BY ip DESC, m) AS ri FROM ep WINDOW w AS (PARTITION BY epoch, label)),
+ et AS (SELECT *, CASE WHEN epoch <= 2 THEN rd <= w1 OR rc <= w2 ELSE ri <= h1 OR rc <= h2 END AS taken FROM er),
+ eu AS (SELECT *, row_number() OVER (PARTITION BY epoch, label ORDER BY taken, d, m) AS rr FROM et),
+ ev AS (SELECT *, row_number() OVER (PARTITION BY epoch, label ORDER BY m) AS n FROM eu WHERE taken OR epoch > 2 AND rr <= n_neg - h1 - h2)"""
+
+
+@query(f"WITH {_SQL_EPOCHS} SELECT label, m AS vec_id, CAST(epoch AS INTEGER) AS epoch FROM ev WHERE n <= n_neg")
+def negatives_epochs(spark, d):
+    """Two warm epochs and a hard one, from one pass of the mentions by the labels."""
+    return _chosen(spark, d, model.epoch_phases({"E_warm": 2}, 3))
+
+
 @query("WITH c AS (SELECT label, count(*) AS positives FROM embeddings GROUP BY label) SELECT label, positives, (SELECT count(*) FROM embeddings) - positives AS available, least(positives * 15, (SELECT count(*) FROM embeddings) - positives) AS n_neg FROM c WHERE positives >= 2 AND least(positives * 15, (SELECT count(*) FROM embeddings) - positives) >= 2")
 def trainable_labels(spark, d):
     x = _t(spark, d, "embeddings")
@@ -447,14 +481,16 @@ def mask_union(spark, d):
     return got.withColumnRenamed("m", "vec_id")
 
 
-# evaluation: the gold codes of a vector are its own label and the next one
+# evaluation: the gold codes of a vector are its own label and the next one, the first after the last
 
 
 def _gold(spark, d):
-    return _t(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.array(F.col("label").cast("string"), ((F.col("label") + 1) % 10).cast("string")).alias("codes"))
+    x = _t(spark, d, "embeddings")
+    following = (F.col("label") + 1) % (x.agg(F.max("label")).first()[0] + 1)
+    return x.select(F.col("vec_id").alias("query_id"), F.array(F.col("label").cast("string"), following.cast("string")).alias("codes"))
 
 
-@query("SELECT vec_id AS query_id, CAST(label AS VARCHAR) || '|' || CAST((label + 1) % 10 AS VARCHAR) AS codes FROM embeddings WHERE label < (SELECT max(label) FROM embeddings) - 3")
+@query("SELECT vec_id AS query_id, CAST(label AS VARCHAR) || '|' || CAST((label + 1) % (SELECT max(label) + 1 FROM embeddings) AS VARCHAR) AS codes FROM embeddings WHERE label < (SELECT max(label) FROM embeddings) - 3")
 def gold_filter(spark, d):
     own = _t(spark, d, "embeddings").select("label").distinct()
     known = own.filter(F.col("label") < own.agg(F.max("label")).first()[0] - 3).select(F.col("label").cast("string").alias("label"))
@@ -462,11 +498,12 @@ def gold_filter(spark, d):
 
 
 def _hits(spark, d):
-    top = V.top_k(_scores(spark, d), "m", "score", 3, "label", 6).select(F.col("m").alias("query_id"), F.col("label").cast("string").alias("label"))
+    found = blocks.top_products(*_both(spark, d), "m", "label", 3, 6)
+    top = found.select(F.col("m").alias("query_id"), F.col("label").cast("string").alias("label"))
     return routing.hit_counts(top, _gold(spark, d))
 
 
-_SQL_HITS = f"{_SQL_SCORES}, t3 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY m ORDER BY round(score, 6) DESC, label) AS k FROM sc) WHERE k <= 3), hits AS (SELECT m AS query_id, CAST(count(*) FILTER (WHERE label = l OR label = (l + 1) % 10) AS INTEGER) AS hits FROM t3 GROUP BY m)"
+_SQL_HITS = f"{_SQL_SCORES}, t3 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY m ORDER BY round(score, 6) DESC, label) AS k FROM sc) WHERE k <= 3), hits AS (SELECT m AS query_id, CAST(count(*) FILTER (WHERE label = l OR label = (l + 1) % (SELECT max(label) + 1 FROM embeddings)) AS INTEGER) AS hits FROM t3 GROUP BY m)"
 
 
 @query(f"WITH {_SQL_HITS} SELECT query_id, hits FROM hits")
@@ -546,6 +583,37 @@ def tree_search(spark, d):
     return found.select("query_id", "label_id", "leaf", _r("score").alias("score"))
 
 
+def _root_layer(spark, d):
+    """Vectors and labels of the root's two children."""
+    tree, x = _tree(spark, d), _x(spark, d)
+    root = F.col("node") == 0
+    rows = x.select(F.lit(0).cast("long").alias("node"), F.col("m").alias("mention_id"), F.col("e").alias("vec"))
+    scores = files.checkpointed(model.cluster_scores(rows, tree.matchers.filter(root), None, "mention_id"))
+    y = x.select(F.col("m").alias("mention_id"), F.col("l").cast("long").alias("label_id"))
+    return tree._children(y, tree.node_labels.filter(root), tree.clusters.filter(root), scores, tree.edges.filter(root))
+
+
+def _cells(rows, key, vec):
+    return rows.select("node", key, F.posexplode(vec).alias("feature", "value")).select("node", key, F.col("feature").cast("long").alias("feature"), _r("value").alias("value"))
+
+
+_SQL_CHILD = f"""{_SQL_ROOT}, cx AS (SELECT m, x.l % 2 + 1 AS node, e, z.z AS z, z.l AS label FROM x JOIN z ON z.l % 2 = x.l % 2),
+ cz AS (SELECT node, label, list_concat(any_value(z), [avg(list_dot_product(e, z)), sum(list_dot_product(e, z)), max(list_dot_product(e, z))]) AS w FROM cx GROUP BY node, label),
+ cm AS (SELECT x.m, x.l % 2 + 1 AS node, list_concat(x.e, [max(p) FILTER (WHERE cluster = x.l % 2), sum(p), max(p)]) AS w FROM x JOIN p0 ON p0.m = x.m GROUP BY x.m, x.l, x.e)"""
+
+
+@query(f"WITH {_SQL_CHILD} SELECT CAST(node AS BIGINT) AS node, CAST(label AS BIGINT) AS label_id, i - 1 AS feature, round(v / n, 6) AS value FROM (SELECT node, label, unnest(range(1, 68)) AS i, unnest(w) AS v, sqrt(list_dot_product(w, w)) AS n FROM cz)")
+def children_labels(spark, d):
+    """Labels of the next layer: mean, sum and greatest affinity to their node's mentions."""
+    return _cells(_root_layer(spark, d)[1], "label_id", "z")
+
+
+@query(f"WITH {_SQL_CHILD} SELECT CAST(node AS BIGINT) AS node, m AS mention_id, i - 1 AS feature, round(v / n, 6) AS value FROM (SELECT node, m, unnest(range(1, 68)) AS i, unnest(w) AS v, sqrt(list_dot_product(w, w)) AS n FROM cm)")
+def children_mentions(spark, d):
+    """Mentions of the next layer: their own cluster's score, the sum and the greatest."""
+    return _cells(_root_layer(spark, d)[0], "mention_id", "vec")
+
+
 _SQL_PER_LEAF = f"""{_SQL_TREE}, lf AS (SELECT *, row_number() OVER (PARTITION BY m, node ORDER BY round(score, 9) DESC, l) AS k FROM fu), mx AS (SELECT m, l, max(score) AS score FROM lf WHERE k <= {_TOP} GROUP BY m, l HAVING max(score) > 0)
  SELECT m AS query_id, rank, l AS label_id, 'L' || l AS label, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY m ORDER BY round(score, 9) DESC, l) AS rank FROM mx) WHERE rank <= {_TOP}"""
 
@@ -562,7 +630,7 @@ def tree_predict(spark, d):
 @query(f"WITH {_SQL_PER_LEAF}")
 def tree_saved(spark, d):
     """The same of a model that was saved and loaded."""
-    folder = f"{files.shared_folder(spark)}/tree-{uuid.uuid4().hex}"
+    folder = files.scratch(spark, "tree")
     _tree(spark, d).save(folder)
     return _best(model.XModel.load(spark, folder).predict_vectors(_asked(spark, d), topk=_TOP, beam_size=_BEAM))
 
@@ -608,7 +676,7 @@ def fused_without_rankers(spark, d):
 
 
 def _kept_part(spark, kind, part):
-    folder = f"{files.shared_folder(spark)}/part-{uuid.uuid4().hex}"
+    folder = files.scratch(spark, "part")
     part.save(folder)
     return kind.load(spark, folder)
 
@@ -645,8 +713,8 @@ def clustering_saved(spark, d):
 
 
 def _written(spark, rows, column="value"):
-    folder = f"{files.shared_folder(spark)}/file-{uuid.uuid4().hex}"
-    rows.select(F.col(column).alias("value")).coalesce(1).write.text(folder)
+    folder = files.scratch(spark, "file")
+    rows.select(F.col(column).alias("value")).write.text(folder)
     return folder
 
 
@@ -657,7 +725,7 @@ def _part_lines(spark, d):
 
 @query("SELECT p_size AS group_id, string_agg(p_name, ' ' ORDER BY p_partkey) AS text FROM part GROUP BY p_size")
 def read_grouped(spark, d):
-    return files.read_grouped(spark, _part_lines(spark, d))
+    return files.read_grouped(spark, _part_lines(spark, d)).withColumn("group_id", F.col("group_id").cast("int"))
 
 
 @query("SELECT p_size AS group_id, string_agg(CASE WHEN p_partkey % 3 = 0 THEN 'nan' ELSE p_name END, ' ' ORDER BY p_partkey) AS text FROM part GROUP BY p_size")
@@ -665,7 +733,15 @@ def read_grouped_missing(spark, d):
     """Lines of which some have no text, which is read as a word."""
     part = _t(spark, d, "part").orderBy("p_partkey")
     lines = part.select(F.concat_ws("\t", F.col("p_size").cast("string"), F.when(F.col("p_partkey") % 3 == 0, F.lit("")).otherwise(F.col("p_name"))).alias("value"))
-    return files.read_grouped(spark, _written(spark, lines), missing="nan")
+    return files.read_grouped(spark, _written(spark, lines), missing="nan").withColumn("group_id", F.col("group_id").cast("int"))
+
+
+@query("SELECT p_brand AS group_id, string_agg(CASE WHEN p_partkey % 3 = 0 THEN p_name || '\t\"' || p_type || '\"' ELSE p_name END, ' ' ORDER BY p_partkey) AS text FROM part GROUP BY p_brand")
+def read_grouped_names(spark, d):
+    """Ids that are texts, in a folder of files of different sizes, and fields with tabs and quotes."""
+    part = _t(spark, d, "part").orderBy("p_partkey")
+    name = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit('"'), "p_name", F.lit('\t""'), "p_type", F.lit('"""'))).otherwise(F.col("p_name"))
+    return files.read_grouped(spark, _written(spark, part.select(F.concat_ws("\t", "p_brand", name).alias("value"))))
 
 
 @query("SELECT n_nationkey, n_name, 0.5 * n_regionkey + 1 AS weight, r_name AS region FROM nation JOIN region ON r_regionkey = n_regionkey")
@@ -683,7 +759,7 @@ def kept_variables(spark, d):
 @query("WITH b AS (SELECT row_number() OVER (ORDER BY b) - 1 AS label_pos, b AS label FROM (SELECT DISTINCT p_type AS b FROM part)) SELECT label_pos, label FROM b")
 def read_labels(spark, d):
     names = _t(spark, d, "part").select(F.col("p_type").alias("value")).distinct().orderBy("value")
-    return files.read_labels(spark, _written(spark, names.select(F.concat(F.lit("  "), F.col("value"), F.lit(" ")).alias("value"))))
+    return files.read_labels(spark, _written(spark, names.select(F.concat(F.lit(" \t"), F.col("value"), F.lit(" \t ")).alias("value"))))
 
 
 @query(f"WITH {_POSITION} SELECT label_pos, label, corpus FROM gp JOIN b USING (label_pos)")
@@ -707,7 +783,7 @@ def read_queries(spark, d):
 
 @query("SELECT p_brand AS code FROM part WHERE p_size % 5 > 0")
 def extract_codes(spark, d):
-    folder = f"{files.shared_folder(spark)}/codes-{uuid.uuid4().hex}"
+    folder = files.scratch(spark, "codes")
     code = F.when(F.col("p_size") % 5 > 0, F.col("p_brand"))
     _t(spark, d, "part").select("p_partkey", code.alias("code")).write.csv(f"{folder}/in", sep="\t", header=True)
     files.extract_codes(spark, f"{folder}/in", f"{folder}/out")
@@ -716,7 +792,7 @@ def extract_codes(spark, d):
 
 @query("SELECT s_suppkey, s_name, round(s_acctbal, 2) AS s_acctbal FROM supplier")
 def debug_tables(spark, d):
-    folder = f"{files.shared_folder(spark)}/debug-{uuid.uuid4().hex}"
+    folder = files.scratch(spark, "debug")
     files.write_debug_tables({"supplier": _t(spark, d, "supplier").select("s_suppkey", "s_name", "s_acctbal")}, folder)
     return spark.read.csv(f"{folder}/supplier", header=True, schema="s_suppkey bigint, s_name string, s_acctbal double").withColumn("s_acctbal", F.round("s_acctbal", 2))
 
@@ -809,6 +885,35 @@ def _matcher(spark, d):
     return x, model.fit_matchers(x, targets, {"type": "sklearnlogisticregression"})
 
 
+_CURVES = 5
+_SQL_CURVES = f"""{_SQL_X}, o AS (SELECT m, CAST(l % 4 AS INTEGER) AS own, list_concat(e, [1.0]) AS e FROM x), k AS (SELECT DISTINCT own AS cluster FROM o),
+ w AS (SELECT cluster, list((((i * 7 + cluster * 3) % 11) - 5) * 0.1 ORDER BY i) AS w FROM k, (SELECT unnest(range(0, 65)) AS i) GROUP BY cluster),
+ p AS (SELECT cluster, e, CAST(own = cluster AS INTEGER) AS y, 1 / (1 + exp(-list_dot_product(e, w))) AS p FROM o, w),
+ v AS (SELECT cluster, -1 AS i, -1 AS j, sum(-ln(CASE WHEN y = 1 THEN p ELSE 1 - p END)) AS v FROM p GROUP BY cluster
+  UNION ALL SELECT cluster, i - 1, -1, sum((p - y) * e[i]) FROM p, (SELECT unnest(range(1, 66)) AS i) GROUP BY cluster, i
+  UNION ALL SELECT cluster, i - 1, j - 1, sum(p * (1 - p) * e[i] * e[j]) FROM p, (SELECT unnest(range(1, 66)) AS i), (SELECT unnest(range(1, 66)) AS j) GROUP BY cluster, i, j)"""
+
+
+@query(f"WITH {_SQL_CURVES} SELECT cluster, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(v, {_CURVES}) AS value FROM v")
+def matcher_sums(spark, d):
+    """What a step of the matchers' fit is made of: losses (i and j are -1), slopes (j is -1) and curvatures at given coefficients."""
+    rows = _x(spark, d).select(F.lit(0).cast("long").alias("node"), F.col("e").alias("vec"), F.array((F.col("l") % 4).cast("int")).alias("clusters"))
+    own = sorted(r[0] for r in rows.select(F.get("clusters", 0)).distinct().collect())  # four at most
+    coef = np.array([[((i * 7 + c * 3) % 11 - 5) * 0.1 for i in range(WIDTH + 1)] for c in own])
+    got = linear.sums(rows, {0: (own, coef, np.ones((len(own), 2)))})
+    n = WIDTH + 1
+
+    def cells(batches):
+        for batch in batches:
+            for cluster, chunk, sums in zip(batch["cluster"], batch["chunk"], batch["sums"], strict=True):
+                at = np.arange(chunk * linear.PER_CHUNK, chunk * linear.PER_CHUNK + len(sums) // 8)
+                i = np.where(at == 0, -1, np.where(at <= n, at - 1, (at - n - 1) // n))
+                j = np.where(at <= n, -1, (at - n - 1) % n)
+                yield pd.DataFrame({"cluster": np.full(len(at), cluster, np.int32), "i": i.astype(np.int32), "j": j.astype(np.int32), "value": np.frombuffer(sums)})
+
+    return got.mapInPandas(cells, "cluster int, i int, j int, value double").withColumn("value", _r("value", _CURVES))
+
+
 @query()
 def matcher_fit_predict(spark, d):
     x, fitted = _matcher(spark, d)

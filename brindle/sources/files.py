@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import uuid
 import warnings
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,10 +33,53 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
+#: Folders that were made for a while, by the scopes they belong to; those of the first last until the process ends.
+_SCOPES: list[list[tuple[SparkSession, str]]] = [[]]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a folder; nothing happens if it isn't there."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, which is removed when its scope ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _SCOPES[-1].append((spark, path))
+    return path
+
+
+@contextmanager
+def scope() -> Iterator[None]:
+    """What is checkpointed or put into scratch folders inside is removed at the end: results have to be written, elsewhere, before that."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for spark, path in _SCOPES.pop():
+            discard(spark, path)
+
+
+@atexit.register
+def _end() -> None:
+    while _SCOPES[0]:
+        spark, path = _SCOPES[0].pop()
+        try:
+            discard(spark, path)
+        except (Py4JError, OSError, AttributeError):  # the session has gone before, and cleans up as its settings say
+            return
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and cut its lineage."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write df to the shared folder and cut its lineage. The files are removed when their scope ends."""
+    spark = df.sparkSession
+    shared_folder(spark)
+    out = df.checkpoint(eager=True)
+    held = out._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if held.isDefined():
+        _SCOPES[-1].append((spark, held.get()))
+    return out
 
 
 def with_position(df: DataFrame, name: str = "pos") -> DataFrame:
@@ -54,6 +102,37 @@ def with_position(df: DataFrame, name: str = "pos") -> DataFrame:
     return joined.withColumn(name, F.col(f"{mark}first") + F.col(mark).bitwiseAND((1 << 33) - 1)).drop(mark, f"{mark}p", f"{mark}first")
 
 
+def read_lines(spark: SparkSession, path: str, name: str = "pos") -> DataFrame:
+    """(value, name): lines of a file, or of all files of a folder by their names, numbered from 0 in that order.
+
+    Lines are placed by file and by where their block starts in it, not by how blocks are put together into tasks. Only the number of lines of each block
+    goes to the driver.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    held = checkpointed(lines)
+    starts, total = [], 0
+    for r in held.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("at").alias("at")).orderBy("file", "block").toLocalIterator():
+        starts.append((r["file"], r["block"], total - r["at"]))
+        total += r["n"]
+    moved = spark.createDataFrame(starts, "file string, block long, moved long")
+    few = F.broadcast(moved) if len(starts) <= MOST_BROADCAST else moved
+    return held.join(few, ["file", "block"]).select("value", (F.col("at") + F.col("moved")).alias(name))
+
+
+#: White space at the ends of a line, as any text has it: tabs, control separators and signs of other scripts too.
+_ENDS = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+
+
+def stripped(text: Column) -> Column:
+    return F.regexp_replace(text, _ENDS, "")
+
+
+def unquoted(field: Column) -> Column:
+    """A field without the quotes around it; two quotes inside stand for one."""
+    whole = field.rlike(r'(?s)^"(?:[^"]|"")*"$')
+    return F.when(whole, F.replace(F.substring(field, 2, F.length(field) - 2), F.lit('""'), F.lit('"'))).otherwise(field)
+
+
 def in_order(value: str, order: str) -> Column:
     """The group's values as an array, by order."""
     return F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value])
@@ -70,21 +149,20 @@ def concat_texts(rows: DataFrame, key: str, text: str, order: str, missing: str
 
 
 def read_mentions(spark: SparkSession, path: str) -> DataFrame:
-    """Rows (group_id, text, pos) of a tab-separated file without a header."""
-    lines = with_position(spark.read.text(path))
+    """Rows (group_id, text, pos) of a tab-separated file, or of a folder of them, without a header. Ids are texts; fields may be quoted. Lines without an id go."""
     parts = F.split("value", "\t", 2)
-    return lines.select(F.get(parts, 0).cast("int").alias("group_id"), F.coalesce(F.get(parts, 1), F.lit("")).alias("text"), "pos").filter("group_id is not null")
+    return read_lines(spark, path).select(unquoted(F.get(parts, 0)).alias("group_id"), F.coalesce(unquoted(F.get(parts, 1)), F.lit("")).alias("text"), "pos").filter("group_id != ''")
 
 
 def read_grouped(spark: SparkSession, path: str, missing: str = "") -> DataFrame:
-    """One row for each id, with its texts joined: (group_id, text). A line's missing text is read as missing, which some want to be "nan"."""
+    """One row for each id, of any kind, with its texts joined: (group_id, text). A line's missing text is read as missing, which some want to be "nan"."""
     rows = read_mentions(spark, path).withColumn("text", F.nullif("text", F.lit("")))
     return concat_texts(rows, "group_id", "text", "pos", missing)
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
-    """Trimmed lines that aren't blank, with their place: (label_pos, label)."""
-    lines = with_position(spark.read.text(path)).select("pos", F.trim("value").alias("label")).filter("label != ''")
+    """Stripped lines that aren't blank, with their place: (label_pos, label)."""
+    lines = read_lines(spark, path).select("pos", stripped(F.col("value")).alias("label")).filter("label != ''")
     return ranked(lines, "pos", "label_pos").select("label_pos", "label")
 
 
@@ -110,17 +188,18 @@ def attach_labels(grouped: DataFrame, labels: DataFrame, key: str = "group_id",
 
 def read_labelled(spark: SparkSession, train: str, labels: str, truncate: int = 0, by_index: bool = False) -> DataFrame:
     """(label_pos, label, corpus) of a file of mentions and a file of labels."""
-    grouped = group_texts(read_mentions(spark, train), "group_id", "text", "pos")
+    rows = read_mentions(spark, train).withColumn("group_id", F.col("group_id").cast("long"))  # the order of groups is that of numbers
+    grouped = group_texts(rows, "group_id", "text", "pos")
     return attach_labels(grouped, read_labels(spark, labels), truncate=truncate, by_index=by_index).select("label_pos", "label", "corpus")
 
 
 def read_gold(spark: SparkSession, path: str) -> DataFrame:
     """(query_id, codes): codes of a line, split at bars."""
-    return with_position(spark.read.text(path), "query_id").select("query_id", F.split(F.trim("value"), r"\|").alias("codes"))
+    return read_lines(spark, path, "query_id").select("query_id", F.split(stripped(F.col("value")), r"\|").alias("codes"))
 
 
 def read_queries(spark: SparkSession, path: str) -> DataFrame:
-    return with_position(spark.read.text(path), "query_id").select("query_id", F.col("value").alias("text"))
+    return read_lines(spark, path, "query_id").select("query_id", F.col("value").alias("text"))
 
 
 def extract_codes(spark: SparkSession, source: str, target: str, column: str = "code") -> None:

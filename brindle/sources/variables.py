@@ -10,7 +10,7 @@ from typing import Any
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.sources.files import shared_folder
+from brindle.sources.files import discard, scratch
 
 #: Bytes of an array or a JSON text in one row.
 PIECE = 1 << 24
@@ -21,7 +21,7 @@ class KeptVariables:
     the others are the driver's and are written in pieces."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.folder = spark, f"{shared_folder(spark)}/variables-{uuid.uuid4().hex}"
+        self.spark, self.folder = spark, scratch(spark, "variables")
 
     def save(self, value: Any) -> str:
         """Where the value is kept; a type that isn't known is an error."""
@@ -50,8 +50,7 @@ class KeptVariables:
 
     def delete(self, path: str) -> None:
         """Nothing happens if it isn't there."""
-        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+        discard(self.spark, path)
 
     def delete_all(self) -> None:
         self.delete(self.folder)
