@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -14,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from brindle.llm.common import discard, fresh, partitions, shared_folder
+from brindle.llm.common import discard, partitions, scratch
 
 #: Milliseconds of an hour; a window's timer stands half an hour after its last one, so it never falls on a watermark.
 HOUR, SHIFT = 3_600_000, 1_800_000
@@ -33,6 +32,8 @@ _SETTINGS = {
     # the stores of an executor share their buffers
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
+    # each start is one batch: a store that stayed loaded would only wait for the next query's, which is another
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }
 
 
@@ -181,7 +182,7 @@ def run_batches(events: DataFrame, n_batches: int, cells: int = 0, span: int = S
     All but the result is removed at the end.
     """
     spark = events.sparkSession
-    folder = f"{shared_folder(spark)}/clicks-{uuid.uuid4().hex}"
+    folder = scratch(spark, "clicks")
     staged, source, state, out = (f"{folder}/{x}" for x in ("staged", "source", "state", "windows"))
     events.write.partitionBy("batch").parquet(staged)
     files = spark._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
