@@ -3,58 +3,31 @@
 from __future__ import annotations
 
 import ctypes
-import uuid
 from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from brindle.sources.files import checkpointed, discard, scope, scratch, shared_folder
+
+__all__ = ["checkpointed", "discard", "scope", "scratch", "shared_folder"]
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the session names for checkpoints, which all executors share.
-
-    On one machine, where the session names none, it is a folder of the warehouse. On a cluster that is an error: what
-    one executor keeps to itself is lost with it.
-    """
-    context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if named is None:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        named = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(named)
-    return named
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and cut its lineage."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def written(df: DataFrame) -> tuple[DataFrame, str]:
     """Write df as a table in the shared folder and read it again: also says where it is.
 
     Unlike a checkpoint, this also forgets how the rows were partitioned and sorted. In a loop of joins Spark
     would list ever more equal ways to say that, and planning would take longer with each round.
     """
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
-def discard(spark: SparkSession, path: str) -> None:
-    """Remove a table that written made."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-
-
 def give_back() -> None:
     """Return memory that a Python worker has freed to the system, as workers stay for later tasks."""
     pa.default_memory_pool().release_unused()

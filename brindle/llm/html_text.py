@@ -27,7 +27,6 @@ _ENDS = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",),
     "thead": ("thead", "tbody", "tfoot"), "tbody": ("thead", "tbody", "tfoot"), "tfoot": ("thead", "tbody", "tfoot"),
 }
-_BOUNDS = frozenset("ul ol dl table html body td th select".split())
 #: Block elements end an open paragraph.
 _ENDS_P = _BLOCK - frozenset("body html caption dd dt li summary tbody td tfoot th thead tr figcaption".split()) | {"p"}
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -42,8 +41,14 @@ _NOT_ARTICLE = re.compile(
 )
 #: Names of the state of a page's layout; they don't say what the element itself is.
 _MODIFIER = re.compile(r"(?:^|\s)(?:has|with|without|no|is|show|hide)[_-]\S*", re.I)
-#: Words of _NOT_ARTICLE that also head parts of articles.
-_EITHER = re.compile(r"(?:^|[\s_-])(?:notice|alert|side|rail|header|discussion|related|search|share|sharing|social|respond|replies|reply|overlay|skip|copyright|recommend\w*)(?=$|[\s_-])", re.I)
+#: Words of _NOT_ARTICLE that also head parts of articles, unless they are the whole name or have such an ending.
+_EITHER = re.compile(
+    r"(?:^|\s)(?!(?:notice|alert|related|share|sharing|social|recommend\w*)(?:[_-](?:posts?|articles?|links?|stories|box|bar|buttons?|icons?|list|news|items?|widget|message|success|info|warning|danger|error))?(?:\s|$))"
+    r"\S*?(?:notice|alert|side|rail|header|discussion|related|search|share|sharing|social|respond|replies|reply|overlay|skip|copyright|recommend\w*)(?=$|[\s_-])\S*",
+    re.I,
+)
+#: Words for ways through a site: whether an element of such a name is one, its links say.
+_WAYS = re.compile(r"(?:^|[\s_-])(?:menu|nav|navbar|navigation|breadcrumbs?|pagination|pager|toolbar|rail|side)(?=$|[\s_-])", re.I)
 #: Names of what readers write below an article.
 _READERS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|disqus|respond|replies)(?:$|[\s_-])", re.I)
 #: Names that say the opposite, whatever else is said beside them.
@@ -55,10 +60,13 @@ _ROLES = frozenset("navigation banner contentinfo complementary search form dial
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(.*?)(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s\"'>]+)))?")
 _SPACE = re.compile(r"\s+")
+#: End tags of other elements don't reach beyond these; those of the second do.
+_FENCES, _OVER_FENCES = frozenset(("td", "th", "table")), frozenset("table tr tbody thead tfoot body html article main".split())
 
 
-#: How sure it is that an element isn't of the article; HEADER: a header element, which is one of an article if it holds its title.
-PERHAPS, NAMED, HEADER, SURE = 1, 2, 3, 4
+#: How sure it is that an element isn't of the article; WAY: it is called a way through the site; HEADER: a header element, which is one of an article if it
+#: holds its title.
+PERHAPS, WAY, NAMED, HEADER, SURE = 1, 2, 3, 4, 5
 
 
 class Node:
@@ -84,8 +92,12 @@ def _skipped(name: str, attributes: str) -> int:
         if key in ("class", "id"):
             value = _MODIFIER.sub(" ", value)
             if _NOT_ARTICLE.search(value):
-                sure = _NOT_ARTICLE.search(_EITHER.sub(" ", value)) and not _ARTICLE.search(value)
-                found = max(found, NAMED if sure or key == "id" and _READERS.search(value) else PERHAPS)
+                left = _EITHER.sub(" ", value)
+                sure = _NOT_ARTICLE.search(left) and not _ARTICLE.search(value)
+                named = NAMED if _NOT_ARTICLE.search(_WAYS.sub(" ", left)) else WAY
+                # a section's own name, by which it is linked, may be any heading
+                heading = key == "id" and name == "section" and not _READERS.search(value)
+                found = max(found, named if sure and not heading else NAMED if key == "id" and _READERS.search(value) else PERHAPS)
         if key == "role" and value.strip().lower() in _ROLES:
             found = NAMED if value.strip().lower() == "form" else SURE
             if found == SURE:
@@ -103,7 +115,7 @@ def settle(root: Node) -> None:
     These hold all article and main elements of the page. Where it has none: if there is an article's text outside all of them,
     only those that hold an h1 element (and none is outside); else those with most of the text outside links, readers' comments
     last. Inside an article or main element, those of a name in doubt stay that hold a paragraph and more than links, and
-    a header that holds a heading.
+    a header that holds a heading. Those that are called ways through the site stay anywhere, if they hold a paragraph and links are the lesser part of their text.
     """
     nodes, stack = [], [(root, False, False)]
     while stack:
@@ -134,7 +146,9 @@ def settle(root: Node) -> None:
         text, links, articles, titles, heads, paragraphs = own[node]
         if not node.doubt:
             continue
-        if within:
+        if node.doubt == WAY and paragraphs and text > 2 * links:
+            node.skip = False
+        elif within:
             node.skip = not (heads > 0 if node.doubt == HEADER else node.doubt == PERHAPS and paragraphs and text > links)
         elif all_articles:
             node.skip = articles < all_articles
@@ -157,6 +171,19 @@ def parse(source: str) -> Node:
     """A lenient tree of a page: end tags may be missing, and unknown or wrong ones are passed over."""
     root = Node("#root", None, 0)
     node, at, end, lower = root, 0, len(source), None
+    path, open_, fences, blocks = [root], {}, [], []  # open elements, where those of a name stand in the path, and where cells and tables, and blocks
+
+    def leave(depth: int) -> Node:
+        """Close all that is open below so many elements of the path."""
+        while len(path) > depth:
+            gone = path.pop()
+            open_[gone.name].pop()
+            if gone.name in _FENCES:
+                fences.pop()
+            if gone.name in _BLOCK and gone.name != "p":
+                blocks.pop()
+        return path[-1]
+
     while at < end:
         found = _TAG.search(source, at)
         if found is None:
@@ -172,31 +199,29 @@ def parse(source: str) -> Node:
             continue
         name = name.lower()
         if found[2]:
-            target = node
-            while target.parent is not None and target.name != name:
-                if target.name in ("td", "th", "table") and name not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html", "article", "main") and target is not node:
-                    target = root
-                    break
-                target = target.parent
-            if target.parent is not None:
-                node = target.parent
+            depth = open_[name][-1] if open_.get(name) else 0
+            fence = next((f for f in reversed(fences[-2:]) if f < len(path) - 1), 0)
+            if depth and (name in _OVER_FENCES or depth >= fence):
+                node = leave(depth)
             elif name == "br":
                 node.children.append(Node("br", node, 0))
             continue
         if name in _ENDS_P or name in _ENDS:
             ends = _ENDS.get(name, ())
-            walk = node
-            while walk.parent is not None and walk.name not in _BOUNDS:
-                if walk.name in ends or walk.name == "p" and name in _ENDS_P:
-                    node = walk.parent
-                    break
-                if walk.name in _BLOCK and walk.name not in ("p", *ends) and not (walk.name in ("td", "th", "tr") and name in ("tr", "tbody", "tfoot", "thead")):
-                    break
-                walk = walk.parent
+            # an open paragraph or item of the same kind, with nothing but paragraphs and inline elements below it; rows end cells too
+            wanted = (*ends, "p") if name in _ENDS_P else ends
+            depth = max((open_[w][-1] for w in wanted if open_.get(w)), default=0)
+            k = len(blocks) - 1
+            while k >= 0 and blocks[k] > depth and path[blocks[k]].name in ("td", "th", "tr") and name in ("tr", "tbody", "tfoot", "thead"):
+                k -= 1
+            if depth and (k < 0 or blocks[k] <= depth):
+                node = leave(depth)
+                while node.name in wanted:
+                    node = leave(len(path) - 1)
         if name == "body" and node.name == "head":
-            node = node.parent
+            node = leave(len(path) - 1)
         if node.name == "head" and name in _BLOCK:
-            node = node.parent  # a head without an end
+            node = leave(len(path) - 1)  # a head without an end
         new = Node(name, node, _skipped(name, found[4]))
         node.children.append(new)
         if name in _VOID or found[4].endswith("/") and name in ("svg", "path", "math"):
@@ -208,6 +233,12 @@ def parse(source: str) -> Node:
             new.children.append(source[at : stop if stop >= 0 else end])
             at = end if stop < 0 else (close + 1 if (close := source.find(">", stop)) >= 0 else end)
             continue
+        open_.setdefault(name, []).append(len(path))
+        if name in _FENCES:
+            fences.append(len(path))
+        if name in _BLOCK and name != "p":
+            blocks.append(len(path))
+        path.append(new)
         node = new
     return root
 
@@ -252,11 +283,28 @@ def measure(root: Node) -> list[Node]:
     return nodes
 
 
+def _outermost(nodes: list[Node]) -> list[Node]:
+    """Article elements that no other holds, in page order, but for those that are mostly links."""
+    held: set[Node] = set()
+    out = []
+    for node in nodes:  # each before those inside it
+        if node.parent in held or node.name == "article":
+            if node.parent not in held and node.link_chars * 2 <= node.chars and node.chars:
+                out.append(node)
+            held.add(node)
+    order, stack = {}, [nodes[0]]
+    while stack:
+        node = stack.pop()
+        order[node] = len(order)
+        stack.extend(c for c in reversed(node.children) if not isinstance(c, str))
+    return sorted(out, key=order.__getitem__)
+
+
 def main_nodes(root: Node) -> tuple[list[Node], float]:
     """The subtrees that hold the article, in page order, and the least density on the path from the densest one to the body.
 
     The subtree with the greatest density sum is the densest. An article or main element that holds it, or most of
-    its text, is taken instead. Otherwise its outermost ancestor below the body is, as all ancestors reach the least density of the
+    its text, is taken instead, with the article elements beside it; or all outermost article elements, if they do together. Otherwise its outermost ancestor below the body is, as all ancestors reach the least density of the
     path, and with it the body's other children that reach it and those that are headings or paragraphs, unless mostly links.
     Paragraphs' own densities are leaves' sums, so a text block counts with its element's density where it has
     no element inside.
@@ -274,11 +322,14 @@ def main_nodes(root: Node) -> tuple[list[Node], float]:
     up = best
     while up.parent is not None and up.name not in ("article", "main"):
         up = up.parent
-    if up.parent is not None:
-        return [up], threshold
     inside = [n for n in nodes if n.name in ("article", "main") and n.chars * 2 > best.chars]
-    if inside:
-        return [max(inside, key=lambda n: n.chars)], threshold
+    if up.parent is None and inside:
+        up = max(inside, key=lambda n: n.chars)
+    elif up.parent is None and (several := _outermost(nodes)) and sum(n.chars for n in several) * 2 > best.chars:
+        return several, threshold
+    if up.parent is not None:
+        beside = [c for c in up.parent.children if not isinstance(c, str) and not c.skip and c.name == up.name and c.chars]
+        return ([c for c in beside if c is up or c.link_chars * 2 <= c.chars] if up.name == "article" else [up]), threshold
     if best.name in _TOP:
         return [best], threshold
     up = best
@@ -286,18 +337,37 @@ def main_nodes(root: Node) -> tuple[list[Node], float]:
         up = up.parent
 
     def joins(node: Node) -> bool:
-        reaches = node.density >= threshold * (1 - 1e-9) and node.chars * 20 >= up.chars or node.name in _HEADINGS or node.name == "p"
+        reaches = node.density >= threshold * (1 - 1e-9) or node.name in _HEADINGS or node.name == "p"
         return node is up or reaches and node.link_chars * 2 <= node.chars
 
     return [c for c in up.parent.children if not isinstance(c, str) and not c.skip and c.chars and joins(c)], threshold
 
 
-def blocks_of(node: Node, threshold: float) -> list[str]:
-    """Texts of the blocks under node, in page order.
+def _set_aside(node: Node, threshold: float) -> set[Node]:
+    """Children anywhere under node that are only ways on: less dense than the threshold, mostly links, and at an end of their element.
 
-    Children with less density than the threshold whose text is mostly links are left out; paragraphs and
-    headings stay however short they are.
+    Tables, headings and paragraphs never are, nor is what stands between other text of its element, as a list of sources does.
     """
+    out, stack = set(), [node]
+    while stack:
+        around = stack.pop()
+        parts = [c for c in around.children if (c.strip() if isinstance(c, str) else not c.skip and c.chars)]
+
+        def aside(c: Node | str) -> bool:
+            return not isinstance(c, str) and c.name in _BLOCK and c.name not in _HEADINGS and c.name not in ("p", "table", "li", "tr", "td", "th", "tbody", "thead", "tfoot", "caption") and c.density < threshold and c.link_chars * 2 > c.chars
+
+        low, high = 0, len(parts)
+        while low < high and aside(parts[low]):
+            low += 1
+        while high > low and aside(parts[high - 1]):
+            high -= 1
+        out.update(parts[:low], parts[high:])
+        stack.extend(c for c in parts[low:high] if not isinstance(c, str))
+    return out
+
+
+def blocks_of(node: Node, threshold: float) -> list[str]:
+    """Texts of the blocks under node, in page order, without what is set aside."""
     out: list[str] = []
     open_: list[str] = []
 
@@ -308,6 +378,7 @@ def blocks_of(node: Node, threshold: float) -> list[str]:
                 out.append(text)
             open_.clear()
 
+    aside = _set_aside(node, threshold)
     stack: list[Node | str | None] = [node]
     while stack:
         now = stack.pop()
@@ -317,13 +388,11 @@ def blocks_of(node: Node, threshold: float) -> list[str]:
             open_.append(now)
         elif now.name == "br":
             open_.append(" ")
+        elif now.skip and now is not node:
+            continue
+        elif now in aside:
+            close()
         else:
-            if now is not node:
-                if now.skip:
-                    continue
-                if now.name in _BLOCK and now.name not in _HEADINGS and now.density < threshold and now.link_chars * 2 > now.chars and now.name != "p":
-                    close()
-                    continue
             block = now.name in _BLOCK
             if block:
                 close()

@@ -22,8 +22,9 @@ BANDS, ROWS = 30, 5
 STEP, TOLERANCE = 15, 1e-6
 #: Texts of a tile, and words of all of them; a group of more is compared tile by tile.
 TILE, TILE_WORDS = 512, 4_000_000
-#: Signatures of a tile; a bucket of more is pruned tile by tile.
-BUCKET_TILE = 4096
+#: Signatures of a tile. Nodes of a bucket of more meet by longer keys instead, drawn from all MinHash values: at similarity 0.8, a pair then meets under none
+#: of these with probability (1 - 0.8 ** LONG_ROWS) ** LONG_KEYS, one in a million, or some ten times that for a signature that says less. What is still larger is pruned tile by tile.
+BUCKET_TILE, LONG_KEYS, LONG_ROWS = 4096, 128, 10
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -230,6 +231,31 @@ def _texts_of_nodes(seed: int):
     return texts_of
 
 
+def _long_keys(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, signature) to (node, keys): hashes of LONG_KEYS draws of LONG_ROWS values each, the same draws for all."""
+    rng = np.random.default_rng(41)
+    drawn = np.array([rng.choice(BANDS * ROWS, LONG_ROWS, replace=False) for _ in range(LONG_KEYS)])
+    salts = (np.arange(LONG_KEYS, dtype=np.uint64) + np.uint64(BANDS + 1)) * np.uint64(0x9E3779B97F4A7C15)
+    for batch in incoming:
+        for low in range(0, batch.num_rows, 1024):
+            part = batch.slice(low, 1024)
+            values = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint16).reshape(part.num_rows, -1).astype(np.uint64)
+            key = np.broadcast_to(salts, (part.num_rows, LONG_KEYS)).copy()
+            for r in range(LONG_ROWS):
+                key = mix(key * np.uint64(0xC2B2AE3D27D4EB4F) + values[:, drawn[:, r]])
+            flat = pa.array(key.astype(np.int64).ravel())
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * LONG_KEYS), flat)], ["node", "keys"])
+
+
+def _met(keyed: DataFrame) -> DataFrame:
+    """(node, key, tiles) of rows (node, key): nodes in buckets with others; of buckets with the same nodes one is kept."""
+    # a bucket's nodes are told by their least, greatest, number and sums of halves; a node of several tasks comes as often in each of its buckets
+    halves = (F.col("node").bitwiseAND(0x7FFFFFFF), F.shiftrightunsigned("node", 31).bitwiseAND(0x7FFFFFFF))
+    buckets = keyed.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count("*").alias("n"), *(F.sum(h).alias(f"sum{k}") for k, h in enumerate(halves))).filter("least != most")
+    buckets = checkpointed(buckets.groupBy("least", "most", "n", "sum0", "sum1").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / BUCKET_TILE).cast("int").alias("tiles")))
+    return checkpointed(keyed.join(buckets, "key").select("node", "key", "tiles"))
+
+
 def _likely_pairs(values: np.ndarray, begins: np.ndarray, sides: np.ndarray | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows within groups that pruning leaves. sides: pairs are of a false and a true one only, in groups that have both.
 
@@ -371,7 +397,8 @@ def similar_documents(docs: DataFrame, threshold: float = 0.8, width: int = 5, i
     same words in the same order, itself among them).
 
     1. Documents with the same words are one node; the rest works on nodes, so copies are never paired.
-    2. Nodes meet in the buckets of BANDS bands of MinHash values; of buckets with the same nodes one is looked at. There signatures, not
+    2. Nodes meet in the buckets of BANDS bands of MinHash values; of buckets with the same nodes one is looked at. Nodes of a bucket of more than BUCKET_TILE
+       signatures, as pages of one template fill, meet by longer keys instead, which only nodes share that are alike elsewhere too. There signatures, not
        texts, are compared STEP values at a time, a pair being dropped when the posterior probability of reaching the threshold is
        under TOLERANCE. Each node that may be linked is tied to one other, so there are fewer ties than nodes, and texts that
        only resemble each other, as pages of a template do, aren't tied at all.
@@ -379,8 +406,8 @@ def similar_documents(docs: DataFrame, threshold: float = 0.8, width: int = 5, i
        TILE_WORDS words, tile by tile: pruned as before, then counted exactly over the shingles' 64-bit hashes. Only counts and a root for each node leave the task.
     4. Components of these roots are the classes.
 
-    A pair is lost only if it meets under no band or is pruned; at the threshold the first has probability
-    (1 - threshold ** ROWS) ** BANDS, and both fall fast above it. Texts of fewer than width words have one shingle of all. Texts
+    A pair is lost only if it meets under no band, or only in crowded buckets and by no longer key, or is pruned; at the threshold the first has probability
+    (1 - threshold ** ROWS) ** BANDS, and all fall fast above it. Texts of fewer than width words have one shingle of all. Texts
     without words, null ones among them, are copies of each other. Null ids: the class has the least id that isn't null.
     Repeated rows are copies. Ids are numbers or strings. A text may be of any length below 2 GB; one is held whole by its task, with
     about ten times its size for numbers. An empty table gives no rows. Other columns are left out.
@@ -396,13 +423,14 @@ def similar_documents(docs: DataFrame, threshold: float = 0.8, width: int = 5, i
             break
         seed += 1  # two word sequences share 64 bits of their 128-bit digest: draw anew
     keyed = signed.filter("bands is not null").select("node", F.explode("bands").alias("key"))
-    # a bucket's nodes are told by their least, greatest, number and sums of halves; a node of several tasks comes as often in each of its buckets
-    halves = (F.col("node").bitwiseAND(0x7FFFFFFF), F.shiftrightunsigned("node", 31).bitwiseAND(0x7FFFFFFF))
-    buckets = keyed.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count("*").alias("n"), *(F.sum(h).alias(f"sum{k}") for k, h in enumerate(halves))).filter("least != most")
-    buckets = checkpointed(buckets.groupBy("least", "most", "n", "sum0", "sum1").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / BUCKET_TILE).cast("int").alias("tiles")))
-    met = checkpointed(keyed.join(buckets, "key"))
-    signatures = signed.filter("signature is not null").select("node", "signature")
-    signatures = signatures.join(met.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("signature").alias("signature"))
+    met = _met(keyed)
+    all_signatures = signed.filter("signature is not null").select("node", "signature")
+    crowded = met.filter("tiles > 1").select("node")
+    if not crowded.isEmpty():
+        once = all_signatures.join(crowded.distinct(), "node", "left_semi").groupBy("node").agg(F.first("signature").alias("signature"))
+        longer = once.mapInArrow(_long_keys, "node long, keys array<long>").select("node", F.explode("keys").alias("key"))
+        met = met.filter("tiles = 1").unionByName(_met(longer))
+    signatures = all_signatures.join(met.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("signature").alias("signature"))
     dealt = met.distinct().join(signatures, "node").withColumn("tile", F.pmod(F.xxhash64("node"), "tiles").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     dealt = dealt.select("key", F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), "tile", "node", "signature")

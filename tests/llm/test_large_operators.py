@@ -95,6 +95,25 @@ def test_similar_documents_at_small_scale(spark):
     assert Counter(map(tuple, queries.op7_near_dups(spark, SF).collect())) == brute_classes(rows)
 
 
+def test_crowded_buckets_meet_by_longer_keys(spark):
+    """Signatures that share one band and nothing else don't meet again; those of alike texts do."""
+    rng = np.random.default_rng(12)
+    n = near_dups.BANDS * near_dups.ROWS
+    values = rng.integers(0, 2**16, (3000, n)).astype(np.uint16)
+    values[:, :5] = 7  # the band
+    for k in range(0, 200, 2):
+        same = rng.random(n) < 0.85
+        values[k + 1, same] = values[k, same]
+    table = spark.createDataFrame([(k, bytearray(v.tobytes())) for k, v in enumerate(values)], "node long, signature binary")
+    keyed = table.mapInArrow(near_dups._long_keys, "node long, keys array<long>").select("node", F.explode("keys").alias("key"))
+    met = near_dups._met(keyed).collect()
+    together = defaultdict(set)
+    for r in met:
+        together[r["key"]].add(r["node"])
+    pairs = {tuple(sorted(x)) for x in together.values()}
+    assert {(k, k + 1) for k in range(0, 200, 2)} <= pairs and len(pairs) <= 110 and max(r["tiles"] for r in met) == 1
+
+
 def test_texts_that_only_resemble_each_other_are_not_compared(spark, monkeypatch):
     # a chain in which neighbours share three fifths of their shingles: under the bands, not near the threshold
     rng = random.Random(6)

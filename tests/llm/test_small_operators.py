@@ -1,6 +1,7 @@
 """Sharding, packing, mixing, fingerprints, page text and chat, against brute force and by their invariants."""
 
 import hashlib
+import time
 import unicodedata
 import zlib
 from collections import Counter, defaultdict
@@ -464,6 +465,74 @@ def test_chat_query(spark):
     assert got == want
 
 
+def story(rng, n):
+    """Sentences of words that no site would use for itself."""
+    return " ".join(" ".join("".join(map(chr, rng.integers(97, 123, rng.integers(2, 9)))) for _ in range(rng.integers(6, 14))).capitalize() + "." for _ in range(n))
+
+
+def link_list(rng, n):
+    return "<ul>" + "".join(f"<li><a href='/{k}'>{story(rng, 1)[:18]}</a></li>" for k in range(n)) + "</ul>"
+
+
+def made_page(rng, tag):
+    """A page and the blocks of its article, which are known as the page is made of them."""
+    known = [story(rng, 1)]
+    parts = [f"<h1>{known[0]}</h1>"]
+    for k in range(int(rng.integers(4, 9))):
+        kind = rng.choice(["p", "p", "p", "list", "table", "menu", "quote", "sources"]) if k else "p"
+        text = story(rng, int(rng.integers(3, 7)))
+        if kind == "list":
+            items = [story(rng, 2) for _ in range(3)]
+            parts.append("<ul>" + "".join(f"<li>{i}" for i in items) + "</ul>")
+            known += items
+        elif kind == "table":
+            cells = [str(rng.integers(10, 99)), story(rng, 1)[:20].strip()]
+            parts.append(f"<table><tr><td>{cells[0]}</td><td><a href='/x'>{cells[1]}</a></td></tr></table><p>{text}</p>")
+            known += [*cells, text]
+        elif kind == "menu":  # a name that sites use for ways through them
+            parts.append(f"<div class='menu'><p>{text}</p></div>")
+            known.append(text)
+        elif kind == "sources":
+            links = [story(rng, 1)[:30].strip() for _ in range(3)]
+            parts.append("<ul>" + "".join(f"<li><a href='/s'>{x}</a></li>" for x in links) + f"</ul><p>{text}</p>")
+            known += [*links, text]
+        else:
+            parts.append(f"<blockquote>{text}</blockquote>" if kind == "quote" else f"<p>{text}</p>")
+            known.append(text)
+        if rng.random() < 0.4:
+            name = rng.choice(["notice", "alert", "ad", "newsletter", "share", "related", "sidebar", "cookie-consent"])
+            parts.append(f"<div class='{name}'><p>{story(rng, 2)}</p></div>")
+    last = story(rng, 4)
+    body = "".join(parts) + f"<p>{last}</p>"
+    known.append(last)
+    around = f"<header><a href='/'>{story(rng, 1)[:10]}</a></header><nav>{link_list(rng, 6)}</nav>", f"<div class='comments'><p>{story(rng, 3)}</p></div><aside>{link_list(rng, 4)}</aside><footer>{story(rng, 1)}</footer>"
+    return f"<html><head><title>{known[0]}</title></head><body>{around[0]}<{tag} class='{rng.choice(['', 'text', 'page'])}'>{body}</{tag}>{around[1]}</body></html>", known
+
+
+@pytest.mark.parametrize("tag", ["article", "main", "div", "section"])
+def test_made_pages(tag):
+    """Articles that are known, with and without an element of that name, notices among their paragraphs."""
+    rng = np.random.default_rng(21)
+    for _ in range(40):
+        page, known = made_page(rng, tag)
+        assert html_text.main_text(page).split("\n") == known
+
+
+def test_several_articles_and_deep_pages():
+    rng = np.random.default_rng(22)
+    texts = [story(rng, 6) for _ in range(4)]
+    two = f"<body><nav>{link_list(rng, 3)}</nav><div><article><p>{texts[0]}</p></article><article><p>{texts[1]}</p><p>{texts[2]}</p></article></div><p class='notice'>{story(rng, 1)}</p></body>"
+    assert html_text.main_text(two).split("\n") == texts[:3]
+    section = f"<body><article><p>{texts[0]}</p><section id='discussion'><h2>{texts[1]}</h2><p>{texts[2]}</p></section><section id='related-work'><p>{texts[3]}</p></section></article></body>"
+    assert html_text.main_text(section).split("\n") == texts
+    began = time.process_time()
+    for n in (1000, 16_000):
+        assert html_text.main_text("<div>" * n + texts[0] + "</foo>" * n) == texts[0]
+        html_text.main_text("<ul><li><div>" + "<b>" * n + "<li></li>" * n)
+        html_text.main_text("<div><table><tr><td>" + "<span>" * n + "</div>" * n)
+    assert time.process_time() - began < 30
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_matches_sql(spark, name):
     sf = SF.replace("0.001", "0.01")
