@@ -42,3 +42,11 @@ def pifa_dense(rows: DataFrame, vector: str, label: str) -> DataFrame:
 def mention_clusters(y: DataFrame, clusters: DataFrame, mention: str = "mention_id", label: str = "label_id") -> DataFrame:
     """(mention, cluster): a mention is in each cluster that has one of its labels."""
     return y.join(clusters, label).select(mention, "cluster").distinct()
+
+
+def node_pairs(y: DataFrame, own: DataFrame, mention: str = "mention_id", label: str = "label_id") -> DataFrame:
+    """The label matrix's part in some nodes: pairs (mention, label), each once, of the labels in own (label, and what says their node), with all that own says of them.
+
+    So columns of other labels go, and mentions that have none of these.
+    """
+    return y.join(own, label).select(mention, *own.columns).distinct()

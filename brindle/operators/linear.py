@@ -219,6 +219,7 @@ class Learned(_Fit):
         self.pairs: deque = deque(maxlen=MEMORY)
         self.slope: np.ndarray | None = None
         self.still, self.down = 0, 1.0
+        self.least = 1e-12  # what a step must bring, as a share; less three times over is the end
 
     def least_gain(self, moved):
         if self.slope is None:
@@ -239,7 +240,7 @@ class Learned(_Fit):
 
     def over(self, moved, before, slope):
         # a small step alone says little here
-        self.still = self.still + 1 if before - self.value <= 1e-12 * max(1.0, abs(self.value)) and moved <= self.tol else 0
+        self.still = self.still + 1 if before - self.value <= self.least * max(1.0, abs(self.value)) and (moved <= self.tol or self.least > 1e-12) else 0
         return self.still >= 3 or np.abs(self.pull(slope)).max() <= 1e-7 * max(1.0, abs(self.value))
 
     def step(self, slope, second):
@@ -272,7 +273,7 @@ def _settings(learner: Linear, n: int) -> tuple[str, float, float, int]:
     if penalty not in ("l2", "l1", "elasticnet", "none", None):
         raise ValueError(f"unknown penalty {penalty!r}")
     strength = 0.0 if penalty in ("none", None) else 1 / learner.get("C")
-    return "log_loss", strength * (1 - share), strength * share, learner.get("max_iter") * (1 if share == 0 else 10)
+    return learner.get("loss") or "log_loss", strength * (1 - share), strength * share, learner.get("max_iter") * (1 if share == 0 else 10)
 
 
 def _class_weights(how, n: int, inside: int) -> tuple[float, float]:
@@ -330,6 +331,8 @@ def _fit_group(rows, group, sizes, inside, learner, curved):
             # a regression's tol is a step's; passes have another one
             tol = learner.get("tol") if type(learner).__name__ != "SGD" else 1e-5
             fits[node, cluster] = (Curved if curved else Learned)(width, square, absolute, bool(learner.get("fit_intercept")), tol, rounds)
+            if loss in CORNERED and not curved:
+                fits[node, cluster].least = 1e-6
             weights[node, cluster] = _class_weights(learner.get("class_weight"), n, count)
     while todo := {at: f for at, f in fits.items() if not f.done}:
         models = {}

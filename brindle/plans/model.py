@@ -18,8 +18,8 @@ from brindle.functions import fusion
 from brindle.functions import vectors as V
 from brindle.functions.blocks import affinity, width_of
 from brindle.operators import labels as L
-from brindle.operators import linear, negatives, routing
-from brindle.operators.classifiers import CLASSIFIERS, Classifier
+from brindle.operators import large_fits, linear, negatives, routing
+from brindle.operators.classifiers import CLASSIFIERS, Boosted, Classifier, Forest, KernelSVC
 from brindle.operators.clusters import cluster_nodes, resolved
 from brindle.operators.encoders import TextEncoder
 from brindle.plans.scoring import cluster_scores, label_scores
@@ -49,6 +49,10 @@ def probability(vec: Column, linear: bool) -> Column:
     return V.sigmoid(V.dot(vec, F.col("coef")) + F.col("intercept")) if linear else model_score("model", vec)
 
 
+#: How types that aren't linear are fitted to a larger node.
+_LARGE = {Forest: large_fits.forests, Boosted: large_fits.boosted, KernelSVC: large_fits.kernels}
+
+
 def node_rows(width: int) -> int:
     """Vectors of a node that one task learns from, so that they have NODE_BYTES at most."""
     return max(2, min(NODE_ROWS, NODE_BYTES // (8 * max(1, width))))
@@ -58,7 +62,7 @@ def fit_matchers(x: DataFrame, targets: DataFrame, config: dict | None) -> DataF
     """One classifier against the rest for each cluster of a node: (node, cluster, coef, intercept, model).
 
     targets: (node, mention_id, clusters), the clusters of a mention's labels. A node of at most node_rows mentions is fitted in one task. Linear types of
-    larger ones are fitted by sums over all tasks (linear.fit), to the same coefficients; other types can't be.
+    larger ones are fitted by sums over all tasks (linear.fit), to the same coefficients; forests, boosted trees and kernel machines as large_fits says.
     """
     kind, kwargs = resolved(config, CLASSIFIERS, "sklearnlogisticregression")
     linear_type = CLASSIFIERS[kind].is_linear_model
@@ -74,15 +78,22 @@ def fit_matchers(x: DataFrame, targets: DataFrame, config: dict | None) -> DataF
 
     schema = f"node long, cluster int, {_MODEL}"
     most = node_rows(width_of(x, "vec"))
+    if CLASSIFIERS[kind] is KernelSVC:
+        most = min(most, KernelSVC.MOST_ROWS)
     large = [r["node"] for r in x.groupBy("node").count().filter(F.col("count") > most).collect()]
     rows = x.join(targets, ["node", "mention_id"]).select("node", "mention_id", "vec", "clusters")
     if not large:
         return rows.groupBy("node").applyInPandas(fit, schema)
-    if not linear_type:
-        raise ValueError(f"a node has more than {most} mentions; {kind} is fitted in one task")
     of = F.col("node").isin(large)
-    dealt = _kept(rows.filter(of).select("node", "vec", F.col("clusters").cast("array<int>").alias("clusters")))
-    found = x.sparkSession.createDataFrame([(*r, None) for r in linear.fit(dealt, CLASSIFIERS[kind], kwargs)], schema)
+    dealt = _kept(rows.filter(of).withColumn("clusters", F.col("clusters").cast("array<int>")))
+    if linear_type:
+        found = x.sparkSession.createDataFrame([(*r, None) for r in linear.fit(dealt, CLASSIFIERS[kind], kwargs)], schema)
+    elif CLASSIFIERS[kind] in _LARGE:
+        fitted = _LARGE[CLASSIFIERS[kind]](dealt, kwargs)
+        fitted = fitted if isinstance(fitted, DataFrame) else x.sparkSession.createDataFrame(fitted, "node long, cluster int, model string")
+        found = fitted.select("node", "cluster", F.lit(None).cast("array<double>").alias("coef"), F.lit(None).cast("double").alias("intercept"), "model")
+    else:
+        raise ValueError(f"a node has more than {most} mentions; {kind} is fitted in one task")
     return rows.filter(~of).groupBy("node").applyInPandas(fit, schema).unionByName(found)
 
 
@@ -151,7 +162,7 @@ def ranker_pool(
     Only labels that can be trained are in it. How many negatives there are follows from counts; which ones, from negatives.choose: no table of
     labels with all mentions of their clusters is made.
     """
-    places = _kept(y.join(clusters, "label_id").select("node", "mention_id", "label_id", "cluster").distinct())
+    places = _kept(L.node_pairs(y, clusters.select("node", "label_id", "cluster")))
     own = places.select("node", "mention_id", "cluster").distinct()
     candidates = _kept(routing.mask_union(own, matched) if matched is not None else own)
     around = candidates.groupBy("node", "cluster").agg(F.count("*").alias("n"))
@@ -224,7 +235,7 @@ class XModel:
                 break
             last = layer == c["depth"] - 1
             here = found.select("node", "label_id", "cluster")
-            of = y.join(here, "label_id").select("node", "mention_id", "cluster").distinct()
+            of = L.node_pairs(y, here).select("node", "mention_id", "cluster").distinct()
             targets = of.groupBy("node", "mention_id").agg(F.collect_set("cluster").alias("clusters"))
             matchers = _kept(fit_matchers(x, targets, c["matcher"]))
             scores = _kept(cluster_scores(x, matchers, None, "mention_id"))
@@ -268,7 +279,7 @@ class XModel:
 
         scores: as cluster_scores gives them for all clusters. No pairs of mentions and labels are made.
         """
-        of = y.join(here, "label_id").select("node", "mention_id", "cluster").distinct().join(edges, ["node", "cluster"])
+        of = L.node_pairs(y, here).select("node", "mention_id", "cluster").distinct().join(edges, ["node", "cluster"])
         own = F.get(F.filter("best", lambda b: b["cluster"] == F.col("cluster")), 0)["m"]
         inside = _kept(of.join(scores, ["node", "mention_id"]).select("child", "mention_id", "vec", own.alias("score"), "sum", "max"))
         labels = here.join(edges, ["node", "cluster"]).join(z, ["node", "label_id"]).select("child", "label_id", "z")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions import blocks, fusion, text
 from brindle.functions import vectors as V
-from brindle.operators import clusters, encoders, labels, linear, negatives, routing
+from brindle.operators import clusters, encoders, labels, large_clusters, linear, negatives, routing
 from brindle.plans import model, parts
 from brindle.sources import files, variables
 
@@ -125,13 +125,13 @@ def tokenize_ngrams(spark, d):
 
 @query(f"WITH {_tfidf_sql('documents', 'doc_id', 'text', False)} SELECT doc_id, count(*) AS terms, CAST(sum(tf) AS BIGINT) AS words FROM tf GROUP BY doc_id")
 def tokenize_documents(spark, d):
-    return text.terms(_t(spark, d, "documents"), "doc_id", "text", 1, 1).groupBy("doc_id").agg(F.count("*").alias("terms"), F.sum("tf").alias("words"))
+    return text.terms(files.spread(_t(spark, d, "documents").select("doc_id", "text")), "doc_id", "text", 1, 1).groupBy("doc_id").agg(F.count("*").alias("terms"), F.sum("tf").alias("words"))
 
 
 @query(f"WITH {_tfidf_sql('documents', 'doc_id', 'text', False, 2000)} SELECT term, df, cf, round(idf, 6) AS idf FROM df")
 def doc_freq_pruned(spark, d):
     docs = _t(spark, d, "documents")
-    found = text.document_frequencies(text.terms(docs, "doc_id", "text", 1, 1), docs.count(), max_features=2000)
+    found = text.document_frequencies(text.terms(files.spread(docs.select("doc_id", "text")), "doc_id", "text", 1, 1), docs.count(), max_features=2000)
     return found.select("term", "df", "cf", _r("idf").alias("idf"))
 
 
@@ -153,6 +153,7 @@ _SQL_PIFA_PART = f"""{_tfidf_sql("part", "p_partkey", "p_name", True)}, ps AS (S
 
 def _part_pifa(spark, d):
     part, w = _part_weights(spark, d)
+    w = files.checkpointed(w)  # weights are read twice: in labels' embeddings, and in products with them
     x = w.select(F.col("p_partkey").alias("mention_id"), F.col("term").alias("feature"), "value")
     y = part.select(F.col("p_partkey").alias("mention_id"), F.col("p_brand").alias("label_id"))
     return x, labels.pifa(x, y)
@@ -806,7 +807,7 @@ def node_slice(spark, d):
     y = _t(spark, d, "embeddings").select(F.col("vec_id").alias("mention_id"), F.col("label").alias("label_id"))
     x = _x(spark, d).select(F.col("m").alias("mention_id"), F.col("e").alias("vec"))
     own = _four(spark, d).filter("label_id % 2 = 1")
-    held = y.join(own, "label_id").select("mention_id", "label_id").distinct()
+    held = labels.node_pairs(y, own).select("mention_id", "label_id")
     return held.join(x, "mention_id").select(F.col("mention_id").alias("vec_id"), F.col("label_id").alias("label"))
 
 
@@ -863,13 +864,10 @@ def svd_reduce(spark, d):
 
 @query()
 def kmeans_ml(spark, d):
-    """Cosine k-means of the library that comes with Spark."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    rows = _x(spark, d).select("m", array_to_vector("e").alias("features"))
-    fitted = KMeans(k=8, seed=1, distanceMeasure="cosine").fit(rows)
-    return fitted.transform(rows).select(F.col("m").alias("vec_id"), F.col("prediction").alias("cluster"))
+    """Cosine k-means in rounds over all vectors, as of a node of any size."""
+    rows = _x(spark, d).select(F.lit(0).cast("long").alias("node"), F.col("m").alias("label_id"), F.col("e").alias("z"))
+    centres, prices, _ = large_clusters.centres_of(rows, 8, "k-means++", True, 50, 1e-4, 1)
+    return large_clusters.assigned(rows, centres, prices, True).select(F.col("label_id").alias("vec_id"), "cluster")
 
 
 @query()

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brindle.functions import blocks
-from brindle.operators import classifiers, linear, negatives, routing
+from brindle.operators import classifiers, clusters, large_clusters, linear, negatives, routing
 from brindle.plans import model
 from brindle.sources import files
 
@@ -163,3 +163,132 @@ def test_scopes_remove_what_they_made(spark):
         kept.write.parquet(files.scratch(spark, "table"))
         assert size() > before and kept.count() == 5
     assert size() == before
+
+
+def label_rows(spark, z, node=0):
+    return spark.createDataFrame([(node, k, v.tolist()) for k, v in enumerate(z)], "node long, label_id long, z array<double>").repartition(3)
+
+
+def blobs(rng, n, k, width=4, apart=6.0):
+    centres = rng.normal(size=(k, width)) * apart
+    return centres[rng.integers(0, k, n)] + rng.normal(size=(n, width))
+
+
+def inertia(z, own):
+    return sum(((z[own == c] - z[own == c].mean(0)) ** 2).sum() for c in set(own.tolist()))
+
+
+def clusters_found(spark, z, kind, kwargs, least=2):
+    got = clusters.cluster_nodes(label_rows(spark, z), {"type": kind, "kwargs": kwargs}, least).collect()
+    own = np.full(len(z), -1)
+    for r in got:
+        own[r["label_id"]] = r["cluster"]
+    return own
+
+
+@pytest.mark.parametrize(("k", "distance", "hot"), [(2, "cosine", False), (8, "cosine", False), (8, "euclidean", True), (2, "cosine", True)])
+def test_equal_sizes_at_any_size(spark, monkeypatch, k, distance, hot):
+    """Sizes differ by one at most, whether one task or many cluster the node, and where a third of the labels is alike."""
+    rng = np.random.default_rng(31)
+    z = blobs(rng, 403, 5)
+    if hot:
+        z[:135] = z[0]
+    for most in (10**9, 100):
+        monkeypatch.setattr(clusters, "NODE_LABELS", most)
+        sizes = np.bincount(clusters_found(spark, z, "balancedkmeans", {"n_clusters": k, "distance": distance, "random_state": 3, "iter_limit": 12}), minlength=k)
+        assert len(sizes) == k and sizes.max() - sizes.min() <= 1
+
+
+@pytest.mark.parametrize(("kind", "kwargs"), [("sklearnkmeans", {"n_clusters": 5, "n_init": 3}), ("faisskmeans", {"n_clusters": 5}), ("cumlkmeans", {"n_clusters": 5, "n_init": 2}), ("sklearnminibatchkmeans", {"n_clusters": 5, "n_init": 2})])
+def test_clusters_of_large_nodes(spark, monkeypatch, kind, kwargs):
+    z = blobs(np.random.default_rng(32), 300, 5)
+    whole = inertia(z, clusters_found(spark, z, kind, kwargs | {"random_state": 1}))
+    monkeypatch.setattr(clusters, "NODE_LABELS", 100)
+    assert inertia(z, clusters_found(spark, z, kind, kwargs | {"random_state": 1})) < 1.05 * whole + 1e-9
+
+
+def test_rounds_over_all_labels(spark):
+    """Starts, limits and distances of the rounds are the caller's; many centres are one array, not a plan."""
+    rng = np.random.default_rng(33)
+    z = blobs(rng, 240, 3)
+    rows = label_rows(spark, z)
+    given = z[[0, 1, 2]].copy()
+    once, _, first = large_clusters.centres_of(rows, 3, given, False, 1, 0.0, 0)
+    own = ((z[:, None] - given[None]) ** 2).sum(2).argmin(1)
+    assert np.allclose(once, [z[own == c].mean(0) for c in range(3)]) and np.isclose(first, ((z - given[own]) ** 2).sum())
+    for _ in range(50):
+        own = ((z[:, None] - given[None]) ** 2).sum(2).argmin(1)
+        given = np.array([z[own == c].mean(0) for c in range(3)])
+    assert np.allclose(large_clusters.centres_of(rows, 3, z[[0, 1, 2]], False, 50, 0.0, 0)[0], given)
+    angles = large_clusters.centres_of(rows, 3, z[[0, 1, 2]], True, 30, 0.0, 0)[0]
+    u = z / np.linalg.norm(z, axis=1)[:, None]
+    own = (u @ angles.T).argmax(1)
+    assert np.allclose(angles, [m / np.linalg.norm(m) for m in (u[own == c].mean(0) for c in range(3))])
+    assert len(large_clusters.centres_of(rows, 150, "random", False, 1, 0.0, 0)[0]) == 150
+    assert len(set(map(tuple, large_clusters.starts(rows, 20, "k-means++", False, 4).round(9).tolist()))) == 20
+
+
+def plain_agglomeration(z, k, linkage, metric):
+    """Clusters joined one by one, by distances of all their rows."""
+    groups = [[i] for i in range(len(z))]
+    u = z / np.linalg.norm(z, axis=1)[:, None]
+    d = {"euclidean": np.sqrt(((z[:, None] - z[None]) ** 2).sum(2)), "cosine": 1 - u @ u.T, "manhattan": np.abs(z[:, None] - z[None]).sum(2)}[metric]
+
+    def far(a, b):
+        if linkage == "ward":
+            return 2 * len(a) * len(b) / (len(a) + len(b)) * ((z[a].mean(0) - z[b].mean(0)) ** 2).sum()
+        return {"complete": np.max, "single": np.min, "average": np.mean}[linkage](d[np.ix_(a, b)])
+
+    while len(groups) > k:
+        _, i, j = min((far(groups[i], groups[j]), i, j) for i in range(len(groups)) for j in range(i + 1, len(groups)))
+        groups[i] = sorted(groups[i] + groups[j])
+        del groups[j]
+    return {tuple(g) for g in groups}
+
+
+@pytest.mark.parametrize(("linkage", "metric"), [("ward", "euclidean"), ("single", "euclidean"), ("single", "manhattan"), ("complete", "cosine"), ("average", "cosine"), ("average", "euclidean")])
+def test_agglomeration(linkage, metric, monkeypatch):
+    rng = np.random.default_rng(34)
+    z = rng.normal(size=(40, 3))
+    for k in (2, 5, 11):
+        own = clusters.agglomerate(z, k, linkage, metric)
+        assert {tuple(np.flatnonzero(own == c).tolist()) for c in set(own.tolist())} == plain_agglomeration(z, k, linkage, metric)
+    monkeypatch.setattr(clusters, "MATRIX_BYTES", 8 * 30 * 30)
+    if clusters.needs_matrix(linkage, metric):
+        with pytest.raises(ValueError, match="too many"):
+            clusters.agglomerate(z, 3, linkage, metric)
+    else:  # needs no more than the rows
+        assert len(set(clusters.agglomerate(z, 3, linkage, metric).tolist())) == 3
+
+
+def learnable(spark, n, seed=41):
+    """Mentions of which the cluster is a curved function of the vector, and as many to judge by."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, 4))
+    y = ((x[:, 0] ** 2 + x[:, 1] > 0.7) ^ (x[:, 2] > 1)).astype(int)
+    rows = [(0, k, v.tolist(), [int(c)]) for k, (v, c) in enumerate(zip(x, y, strict=True))]
+    table = spark.createDataFrame(rows, "node long, mention_id long, vec array<double>, clusters array<int>").repartition(4)
+    return table.select("node", "mention_id", "vec"), table.select("node", "mention_id", "clusters"), x, y
+
+
+@pytest.mark.parametrize(("kind", "kwargs"), [
+    ("sklearnrandomforestclassifier", {"n_estimators": 20, "min_samples_leaf": 3, "max_features": None, "random_state": 1}), ("lightgbmclassifier", {"n_estimators": 8, "learning_rate": 0.4, "num_leaves": 12}), ("sklearnsupportvectorclassification", {"C": 2.0}),
+])
+def test_other_types_of_large_nodes(spark, monkeypatch, kind, kwargs):
+    """They train on a node of more rows than one task takes, about as well as in one task."""
+    x, targets, _, _ = learnable(spark, 1200)
+    _, _, asked, truth = learnable(spark, 2000, 42)
+    config = {"type": kind, "kwargs": kwargs}
+
+    def decisions():
+        found = {r["cluster"]: classifiers.Classifier.loads(r["model"]) for r in model.fit_matchers(x, targets, config).collect()}
+        assert sorted(found) == [0, 1]
+        return found[1].decision_function(asked)
+
+    whole = decisions()
+    monkeypatch.setattr(model, "NODE_ROWS", 300)
+    spread = decisions()
+    accuracy = [((d > 0) == truth).mean() for d in (whole, spread)]
+    assert accuracy[1] > accuracy[0] - 0.02 and accuracy[1] > 0.85
+    if kind == "sklearnsupportvectorclassification":
+        assert np.corrcoef(whole, spread)[0, 1] > 0.98
