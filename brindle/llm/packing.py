@@ -22,8 +22,8 @@ _NUMBER = "0-9²³¹¼-¾"
 _PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^\s{_LETTER}{_NUMBER}]+")
 #: Anything that isn't plain Latin text is left to the tokenizer itself.
 _ODD = re.compile("[^\t\n\r\x20-\x7e¡-įı-ſ]|<\\|")
-#: Words kept by each Python worker; beyond it the memory starts anew, and of those before the ones that come again are kept.
-CACHED_WORDS = 250_000
+#: Words, and runs of signs between white space, kept by each Python worker; beyond it the memory starts anew, and of those before the ones that come again are kept.
+CACHED_WORDS = 400_000
 
 
 class WordTokenizer:
@@ -41,6 +41,8 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.runs: dict[str, bytes] = {}
+        self.older_runs: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
@@ -56,13 +58,13 @@ class WordTokenizer:
         for word, start, stop in zip(new, [0, *stops[:-1].tolist()], stops.tolist(), strict=True):
             self.words[word] = data[start:stop]
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Words that are new to these texts are encoded together, so give many texts at once."""
+    def of_words(self, texts: list[str]) -> list[bytes]:
+        """Ids of plain texts in lower case. Words that are new to these texts are encoded together, so give many texts at once."""
         if len(self.words) > CACHED_WORDS:
             self.older, self.words = self.words, {}
-        pieces = [None if _ODD.search(text) else _PIECE.findall(text.lower()) for text in texts]
-        found = [None if p is None else list(map(self.words.get, p)) for p in pieces]
-        gaps = [[k for k, x in enumerate(f) if x is None] if f and None in f else () for f in found]
+        pieces = list(map(_PIECE.findall, texts))
+        found = [list(map(self.words.get, p)) for p in pieces]
+        gaps = [[k for k, x in enumerate(f) if x is None] if None in f else () for f in found]
         new = {p[k] for p, g in zip(pieces, gaps, strict=True) for k in g}
         known = new & self.older.keys()
         self.words.update((word, self.older[word]) for word in known)
@@ -71,6 +73,23 @@ class WordTokenizer:
         for p, f, g in zip(pieces, found, gaps, strict=True):
             for k in g:
                 f[k] = self.words[p[k]]
+        return list(map(b"".join, found))
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts. What stands between white space is looked up whole, as a word comes with few signs around it; what is new is taken apart once."""
+        if len(self.runs) > CACHED_WORDS:
+            self.older_runs, self.runs = self.runs, {}
+        runs = [None if _ODD.search(text) else text.lower().split() for text in texts]
+        found = [None if r is None else list(map(self.runs.get, r)) for r in runs]
+        gaps = [[k for k, x in enumerate(f) if x is None] if f and None in f else () for f in found]
+        new = {r[k] for r, g in zip(runs, gaps, strict=True) for k in g}
+        known = new & self.older_runs.keys()
+        self.runs.update((run, self.older_runs[run]) for run in known)
+        apart = list(new - known)
+        self.runs.update(zip(apart, self.of_words(apart), strict=True))
+        for r, f, g in zip(runs, found, gaps, strict=True):
+            for k in g:
+                f[k] = self.runs[r[k]]
         return [self.whole(text) if f is None else b"".join(f) for text, f in zip(texts, found, strict=True)]
 
 
