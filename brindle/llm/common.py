@@ -9,9 +9,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from brindle.sources.files import checkpointed, discard, scope, scratch, shared_folder
+from brindle.sources.files import checkpointed, discard, scope, scratch, shared_folder, spread
+
+__all__ = ["checkpointed", "discard", "scope", "scratch", "shared_folder", "spread"]
 
-__all__ = ["checkpointed", "discard", "scope", "scratch", "shared_folder"]
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -41,12 +42,6 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A table as read, dealt to all cores if it comes in fewer splits than there are; larger ones stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have, in any case, close to name."""
     taken = {c.lower() for c in df.columns}

@@ -14,8 +14,8 @@ from brindle.llm.common import bucket_count, checkpointed, partitions, running_t
 MOST_CELLS, MOST_CARTONS = 4096, 65_536
 #: Cartons are at most this part of a shard, unless one group is larger; with more shards, a larger part.
 CARTONS_PER_SHARD = 512
-#: Up to so many shards, cartons are packed on the driver; beyond, each cell packs so many shards of its own.
-DRIVER_SHARDS, CELL_SHARDS = 512, 256
+#: Up to so many shards, cartons are packed on the driver; beyond, each cell packs shards of its own: at most so many, and no fewer than the last unless there are few groups.
+DRIVER_SHARDS, CELL_SHARDS, LEAST_SHARDS = 512, 256, 16
 
 
 class _Node:
@@ -201,7 +201,8 @@ def _own_shards(capacity: int | None):
 
 def _many_shards(groups: DataFrame, total: int, wanted: int, n_shards: int | None, capacity: int | None) -> tuple[DataFrame, int]:
     """As assign_shards, where there are too many shards for one place: each cell of hashed groups has its own."""
-    cells = max(1, wanted // CELL_SHARDS)
+    many = bucket_count(groups.count())
+    cells = max(1, wanted // CELL_SHARDS, min(many, wanted // LEAST_SHARDS))
     cell = F.pmod(F.xxhash64("group"), F.lit(cells)).cast("int").alias("cell")
     kind = "group binary, weight long, cell int, carton long"
     if capacity:
@@ -210,7 +211,7 @@ def _many_shards(groups: DataFrame, total: int, wanted: int, n_shards: int | Non
         # groups above the fair share are alone; the cells divide the other shards by their weight, at least one each
         alone = checkpointed(groups.filter(F.col("weight") * n_shards > total))
         n_alone, taken = alone.agg(F.count("*"), F.coalesce(F.sum("weight"), F.lit(0))).first()
-        cells = max(1, (n_shards - n_alone) // CELL_SHARDS)
+        cells = max(1, (n_shards - n_alone) // CELL_SHARDS, min(many, (n_shards - n_alone) // LEAST_SHARDS))
         cell = F.pmod(F.xxhash64("group"), F.lit(cells)).cast("int").alias("cell")
         celled = groups.filter(F.col("weight") * n_shards <= total).select("group", "weight", cell)
         left = n_shards - n_alone
@@ -248,8 +249,8 @@ def assign_shards(groups: DataFrame, n_shards: int | None = None, capacity: int
     are no more than 2 * MOST_CARTONS cartons and one for each cell. These
     are then packed whole on the driver. No shard is cut, and no group is.
 
-    With more than DRIVER_SHARDS shards, the groups of a cell go straight to shards of its own, about CELL_SHARDS
-    of them, in parallel: so at most one shard of each cell is left half empty, and nothing goes to the driver.
+    With more than DRIVER_SHARDS shards, the groups of a cell go straight to shards of its own, in parallel: LEAST_SHARDS to CELL_SHARDS of them, as the number of
+    groups asks. At most one shard of each cell is left half empty, 3 % of all at worst, and nothing goes to the driver.
     """
     if (n_shards is None) == (capacity is None):
         raise ValueError("give either n_shards or capacity")
