@@ -376,8 +376,15 @@ def test_large_nodes(spark, monkeypatch):
     for c in (0, 1):
         a, b = ((z @ np.array(m[c]["coef"]) + m[c]["intercept"] > 0) for m in (whole, parts))
         assert (a == b).all() and (a == (z.argmax(1) < 2) ^ (c == 0)).all()
+    forest = model.fit_matchers(x, targets, {"type": "sklearnrandomforestclassifier", "kwargs": {"n_estimators": 3}}).collect()
+    assert {r["cluster"] for r in forest} == {0, 1}
+
+    class Other(classifiers.Classifier):
+        """A type of which nothing is known."""
+
+    monkeypatch.setitem(classifiers.CLASSIFIERS, "other", Other)
     with pytest.raises(ValueError):
-        model.fit_matchers(x, targets, {"type": "sklearnrandomforestclassifier"})
+        model.fit_matchers(x, targets, {"type": "other"})
 
 
 def test_options_of_encoders(spark):
