@@ -147,7 +147,8 @@ def choose(labels: DataFrame, mentions: DataFrame, epochs: list[list[Phase]], dr
     held = labels.select("node", F.col("cluster").cast("long").alias("cluster"), F.col("label_id").cast("long").alias("label_id"), "z", F.col("n_neg").cast("long").alias("n_neg"))
     passing = mentions.select("node", F.col("cluster").cast("long").alias("cluster"), F.col("mention_id").cast("long").alias("mention_id"), "vec", F.col("own").cast("array<long>").alias("own"))
     found = meet(held, passing, ["node", "cluster"], "label_id", "mention_id", _filling(epochs, draw), "node long, label_id long, way string, epoch int, keys array<long>, ids array<long>", chunk)
-    wanted = labels.select(F.col("node").alias("of_node"), F.col("label_id").alias("of_label"), F.col("n_neg").cast("long").alias("n_neg"))
+    # keys have the same type on both sides, as whole numbers of other lengths are dealt elsewhere
+    wanted = labels.select(F.col("node").cast("long").alias("of_node"), F.col("label_id").cast("long").alias("of_label"), F.col("n_neg").cast("long").alias("n_neg"))
 
     def merge(key: tuple, rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         out = []

@@ -92,6 +92,27 @@ def test_negatives_by_heaps(spark, monkeypatch, small):
         assert Counter((r["label_id"], r["mention_id"]) for r in got if r["epoch"] == e) == Counter(map(tuple, want.collect()))
 
 
+def test_negatives_of_ids_of_any_whole_type(spark):
+    """Ids that are ints meet their heaps in as many partitions as there are."""
+    ids = np.arange(40)
+    z = vectors(np.random.default_rng(4), 12, 3)
+    labels = [(0, 0, k, z[k].tolist(), 3) for k in range(12)]
+    mentions = [(0, 0, int(m), [float(m % 5), 1.0, -1.0], [int(m % 12)]) for m in ids]
+    kinds = "node int, cluster int, label_id int, z array<double>, n_neg int", "node int, cluster int, mention_id int, vec array<double>, own array<int>"
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = negatives.choose(spark.createDataFrame(labels, kinds[0]), spark.createDataFrame(mentions, kinds[1]), [[(1.0, "draw")]], negatives.mixed(1)).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    want = Counter()
+    for k in range(12):
+        others = ids[ids % 12 != k]
+        drawn = negatives.mixed(1)(1, np.array([k]), others)[:, 0]
+        want.update((k, int(m)) for m in others[np.lexsort((others, drawn))[:3]])
+    assert Counter((r["label_id"], r["mention_id"]) for r in got) == want
+
+
 def matcher_rows(spark, width=4, n=260):
     rng = np.random.default_rng(6)
     centres = rng.normal(size=(3, width)) * 1.5
