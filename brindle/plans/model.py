@@ -135,8 +135,9 @@ def fit_rankers(pool: DataFrame, x: DataFrame, z: DataFrame, config: dict | None
                 learner.partial_fit(np.hstack((vectors[part], np.broadcast_to(z, (part.sum(), len(z))))), target[part])
         return pd.DataFrame([(key[0], key[1], *_columns(learner, len(z) * 2))], columns=columns)
 
-    of = z.select(F.col("node").alias("of_node"), F.col("label_id").alias("of_label"), "z").groupBy("of_node", "of_label")
-    return rows.groupBy("node", "label_id").cogroup(of).applyInPandas(fit, f"node long, label_id long, {_MODEL}")
+    # keys have the same type on both sides, as whole numbers of other lengths are dealt elsewhere
+    of = z.select(F.col("node").cast("long").alias("of_node"), F.col("label_id").cast("long").alias("of_label"), "z").groupBy("of_node", "of_label")
+    return rows.withColumn("node", F.col("node").cast("long")).withColumn("label_id", F.col("label_id").cast("long")).groupBy("node", "label_id").cogroup(of).applyInPandas(fit, f"node long, label_id long, {_MODEL}")
 
 
 def ranked_labels(rankers: DataFrame, node_labels: DataFrame) -> DataFrame:

@@ -23,6 +23,18 @@ def test_query_matches_sql(spark, duck, name):
     assert oracle.spark_rows(queries.queries()[name](spark, SF)) == oracle.duck_rows(duck, queries.oracle_sql()[name])
 
 
+@pytest.mark.parametrize("name", ["negatives_warm", "negatives_epochs", "ranker_fit_predict"])
+def test_negatives_in_many_partitions(spark, duck, name):
+    """Partitions that are left apart, as they are on larger tables."""
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    want = oracle.spark_rows(queries.queries()[name](spark, SF)) if name not in queries.oracle_sql() else oracle.duck_rows(duck, queries.oracle_sql()[name])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert oracle.spark_rows(queries.queries()[name](spark, SF)) == want
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
