@@ -37,8 +37,9 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages, and lines too long to come twice by chance; repeated_lines takes lines of any length."""
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    shortened = repeats.remove_repeats(docs, passage_words=repeats.PASSAGE_WORDS)
+    shortened = repeats.remove_repeats(docs, passage_words=repeats.PASSAGE_WORDS, line_words=repeats.LINE_WORDS)
     return shortened.select("doc_id", "text", "removed", F.size("removed").alias("n_removed"))
 
 

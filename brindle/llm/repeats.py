@@ -18,8 +18,11 @@ from brindle.llm.common import fresh, give_back, written
 from brindle.llm.words import Words, _powers, batches, mix, sliced
 
 _U = np.uint64
-#: Words of a run of repeated sentences that is a passage; sentences of fewer words than SHORT don't count.
-PASSAGE_WORDS, SHORT = 40, 4
+#: Words of a run of repeated sentences that is a passage; sentences of fewer words than SHORT don't count. A passage of 50 words that is set between
+#: words of a line has its first and last sentence in common with none, so it must be known by what is left of it.
+PASSAGE_WORDS, SHORT = 20, 4
+#: Words of a line that doesn't come twice by chance.
+LINE_WORDS = 20
 #: Added to the number of the sentence that leads a line, where the line as a whole is meant.
 LINE = 1 << 30
 _LINE_SALT = _U(0xD6E8FEB86659FD93)
@@ -43,7 +46,7 @@ class Units:
     A line goes up to its line feed; a sentence up to white space after a full stop, question or exclamation mark, or to its line's
     end. Those without words belong to nothing, or to the sentence before. For each sentence, in order: text, the text it is in;
     digest, 64 bits of its words; words, how many; start and end, byte positions in all texts together; line, which one.
-    For each line that has words: head and foot, its range of sentences; line_digest; line_start and line_stop (after the line feed).
+    For each line that has words: head and foot, its range of sentences; line_digest; line_words; line_start and line_stop (after the line feed).
     first: where each text's sentences begin, and the end; at: where each text begins; chars: code points before each byte."""
 
     def __init__(self, texts: list[str]):
@@ -78,6 +81,7 @@ class Units:
         self.line = np.cumsum(lead) - 1
         top, tail = begin[self.head], after[self.foot - 1] if len(self.foot) else self.foot
         self.line_digest = mix((sums[tail] - sums[top]) * back[top] + (tail - top).astype(_U) + _LINE_SALT).astype(np.int64)
+        self.line_words = tail - top
         place = word_line[top]
         self.line_start = np.where(place > 0, feeds[place - 1] + 1, 0) if n else np.empty(0, np.int64)
         self.line_end = feeds[place] if n else np.empty(0, np.int64)
@@ -131,7 +135,7 @@ def spans(units: Units, k: int, repeated: np.ndarray, least: int | None) -> list
     return [(int(units.chars[a] - base), int(units.chars[b] - base)) for a, b in out]
 
 
-def _units(sentences: bool):
+def _units(sentences: bool, line_words: int):
     def units_of(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(id, tie, text) to (digest, id, tie, unit): each digest's first occurrence among some texts, and, with digest null, the others."""
         for batch in sliced(incoming):
@@ -149,7 +153,9 @@ def _units(sentences: bool):
             for low, high in batches(texts):
                 units = Units(texts[low:high])
                 own = np.arange(len(units.digest)) - units.first[units.text]
-                digests, text, index = units.line_digest, units.text[units.head], own[units.head] + LINE
+                long = units.line_words >= line_words
+                heads = units.head[long]
+                digests, text, index = units.line_digest[long], units.text[heads], own[heads] + LINE
                 if sentences:
                     digests, text, index = np.concatenate((units.digest, digests)), np.concatenate((units.text, text)), np.concatenate((own, index))
                 place = places[low:high][text]
@@ -170,11 +176,11 @@ def _units(sentences: bool):
     return units_of
 
 
-def remove_repeats(docs: DataFrame, passage_words: int | None = None, id_col: str = "doc_id", text_col: str = "text", spans_col: str = "removed") -> DataFrame:
+def remove_repeats(docs: DataFrame, passage_words: int | None = None, id_col: str = "doc_id", text_col: str = "text", spans_col: str = "removed", line_words: int = 1) -> DataFrame:
     """Remove lines that come in an earlier document too, or earlier in the same: all but the earliest occurrence, by id and place.
 
-    Lines are compared as a whole, by 64 bits of their words (case, punctuation and white space don't count), however short
-    they are; lines without words stay. A line goes with its line feed. A one-line paragraph is a line.
+    Lines are compared as a whole, by 64 bits of their words (case, punctuation and white space don't count), if they have line_words words or more; by
+    default, however short they are. Lines without words stay. A line goes with its line feed. A one-line paragraph is a line.
 
     With passage_words, passages set into lines go too. Sentences (Units) are compared like lines, and a run of repeated ones
     goes if those of SHORT words or more have so many words together; it may begin and end anywhere in a line, and go on over lines.
@@ -198,7 +204,7 @@ def remove_repeats(docs: DataFrame, passage_words: int | None = None, id_col: st
     twice = docs.groupBy(id_col).count().filter(F.col("count") > 1)
     tie: Column = F.lit(0).cast("long") if twice.isEmpty() else F.xxhash64(text_col)
     of_id, of_tie, key, other = (fresh(docs, n) for n in ("_id", "_of_tie", "_tie", "_units"))
-    found = docs.select(F.col(id_col).alias("id"), tie.alias("tie"), F.col(text_col).alias("text")).mapInArrow(_units(passage_words is not None), f"digest long, id {kind}, tie long, unit int")
+    found = docs.select(F.col(id_col).alias("id"), tie.alias("tie"), F.col(text_col).alias("text")).mapInArrow(_units(passage_words is not None, line_words), f"digest long, id {kind}, tie long, unit int")
     units, _ = written(found)
     place = F.struct(F.col("id").isNull().alias("missing"), "id", "tie", "unit")
     known = units.filter("digest is not null")

@@ -311,6 +311,21 @@ def test_repeats_of_planted_passages(spark):
     assert repeats.remove_repeats(table.limit(0)).collect() == []
 
 
+def test_passages_between_words_and_lines_by_chance(spark):
+    """A passage of 55 words goes from between the words of a line, but for its broken sentences; a short line of two documents stays if lines have a least length."""
+    rng = random.Random(8)
+    own = lambda n: sentence(rng, n, 10**6)
+    passage = [own(14) + ".", own(13) + ".", own(13) + ".", own(15)]
+    long = own(25)
+    rows = [(1, f"{own(8)} {' '.join(passage)} {own(9)}.\nThe end.\n{long}"), (2, f"{own(9)} {' '.join(passage)} {own(7)}.\nThe end.\n{own(6)}\n{long}"), (3, f"{own(9)}.\nThe end.")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r for r in repeats.remove_repeats(table, repeats.PASSAGE_WORDS, line_words=repeats.LINE_WORDS).collect()}
+    assert [got[k]["text"] for k in (1, 3)] == [rows[0][1], rows[2][1]] and got[1]["removed"] == got[3]["removed"] == []
+    assert passage[1] not in got[2]["text"] and passage[2] not in got[2]["text"] and "The end." in got[2]["text"] and long not in got[2]["text"]
+    cut = {r["doc_id"]: r["text"] for r in repeats.remove_repeats(table, repeats.PASSAGE_WORDS).collect()}
+    assert all("The end." not in cut[k] for k in (2, 3))
+
+
 def test_repeats_of_repeated_ids(spark):
     rows = [(9, "a line"), (9, "a line"), (9, "other text"), (None, "a line\nx"), (None, "other text"), ("s", "z")]
     for kind, cast in (("long", lambda i: None if i == "s" else i), ("string", lambda i: None if i is None else str(i))):
