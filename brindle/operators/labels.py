@@ -24,8 +24,11 @@ def label_matrix(rows: DataFrame, mention: str, label: str, dictionary: DataFram
 
 
 def pifa(x: DataFrame, y: DataFrame, mention: str = "mention_id", label: str = "label_id") -> DataFrame:
-    """Label embeddings (label, feature, value): sums of the label's mentions, divided by their norm and 1e-10, at length 1."""
-    sums = y.join(x, mention).groupBy(label, "feature").agg(F.sum("value").alias("value"))
+    """Label embeddings (label, feature, value): sums of the label's mentions, divided by their norm and 1e-10, at length 1.
+
+    The label matrix is as long as the mentions, though its file may be small: it is sorted and merged, never sent through the driver.
+    """
+    sums = y.hint("merge").join(x, mention).groupBy(label, "feature").agg(F.sum("value").alias("value"))
     n = F.sqrt(F.sum(F.col("value") * F.col("value")).over(Window.partitionBy(label)))
     return long_unit(sums.withColumn("value", F.col("value") / (n + 1e-10)), label)
 

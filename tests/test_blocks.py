@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brindle.functions import blocks
-from brindle.operators import classifiers, clusters, large_clusters, linear, negatives, routing
+from brindle.operators import classifiers, clusters, labels, large_clusters, linear, negatives, routing
 from brindle.plans import model
 from brindle.sources import files
 
@@ -313,3 +313,12 @@ def test_other_types_of_large_nodes(spark, monkeypatch, kind, kwargs):
     assert accuracy[1] > accuracy[0] - 0.02 and accuracy[1] > 0.85
     if kind == "sklearnsupportvectorclassification":
         assert np.corrcoef(whole, spread)[0, 1] > 0.98
+
+
+def test_label_matrix_is_not_sent_through_the_driver(spark):
+    """However small its file is."""
+    x = spark.createDataFrame([(m, "f", 1.0) for m in range(4)], "mention_id long, feature string, value double")
+    y = spark.range(4).select(F.col("id").alias("mention_id"), (F.col("id") % 2).alias("label_id"))
+    found = labels.pifa(x, y)
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    assert Counter((r["label_id"], r["feature"], round(r["value"], 9)) for r in found.collect()) == Counter([(0, "f", 1.0), (1, "f", 1.0)])
