@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Bytes of the vectors that a task holds, and rows that pass by it.
 HELD_BYTES, PASSING_ROWS = 32 << 20, 16_384
+#: Cells of the scores, and products, that are made together where rows are sparse.
+SPARSE_STEP = 1 << 20
 
 
 class Meeting(Protocol):
@@ -169,3 +173,66 @@ def top_products(x: DataFrame, z: DataFrame, query: str, label: str, k: int, dig
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select(F.col("query").alias(query), F.col("id").cast(dict(z.dtypes)[label]).alias(label), "score", "rank")
 
+
+
+def _best_sparse(k: int, digits: int):
+    class BestSparse:
+        """The k held rows of greatest product above 0 with each passing one, both being lists of features and values."""
+
+        def __init__(self, key: tuple, held: pa.Table):
+            self.ids = held["id"].combine_chunks()
+            order = np.array(pc.sort_indices(self.ids))
+            self.ids, held = self.ids.take(pa.array(order)), held.take(pa.array(order))
+            lists = held["features"].combine_chunks()
+            self.n = len(self.ids)
+            label = np.repeat(np.arange(self.n), np.diff(lists.offsets.to_numpy()))
+            coded = lists.flatten().dictionary_encode()
+            self.known, term = coded.dictionary, coded.indices.to_numpy()
+            by = np.argsort(term, kind="stable")
+            self.label, self.value = label[by], held["values"].combine_chunks().flatten().to_numpy()[by]
+            self.first = np.searchsorted(term[by], np.arange(len(self.known) + 1))
+
+        def take(self, rows):
+            step = max(1, SPARSE_STEP // max(1, self.n))
+            for low in range(0, rows.num_rows, step):
+                some = rows.slice(low, step)
+                lists = some.column("features")
+                n = some.num_rows
+                term = pc.index_in(lists.flatten(), value_set=self.known)
+                found = np.flatnonzero(np.asarray(term.is_valid()))
+                row = np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy()))[found]
+                term, value = term.take(pa.array(found)).to_numpy(), some.column("values").flatten().to_numpy()[found]
+                score = np.zeros(n * self.n)
+                sizes = self.first[term + 1] - self.first[term]
+                ends = np.cumsum(sizes)
+                # as many entries as give about so many products are worked on together
+                part = (ends - sizes) // SPARSE_STEP
+                for a, b in itertools.pairwise([*np.flatnonzero(np.diff(part, prepend=-1)).tolist(), len(part)]):
+                    own = sizes[a:b]
+                    at = np.arange(own.sum()) + np.repeat(self.first[term[a:b]] - np.cumsum(own) + own, own)
+                    np.add.at(score, np.repeat(row[a:b], own) * self.n + self.label[at], np.repeat(value[a:b], own) * self.value[at])
+                score = score.reshape(n, self.n)
+                compared = np.round(score, digits)
+                best = np.argsort(-compared, axis=1, kind="stable")[:, :k]
+                good = np.take_along_axis(compared, best, 1) > 0
+                who = np.repeat(np.arange(n), good.sum(1))
+                yield table({"query": some.column("query").take(pa.array(who)), "id": self.ids.take(pa.array(best[good])), "score": np.take_along_axis(score, best, 1)[good]})
+
+        def end(self):
+            return iter(())
+
+    return BestSparse
+
+
+def top_sparse_products(x: DataFrame, z: DataFrame, query: str, label: str, k: int, digits: int = 6) -> DataFrame:
+    """(query, label, score): the k rows of z (label, feature, value) with the greatest inner product above 0 for each row of x (query, feature, value), from each chunk of z.
+
+    Scores are compared at so many digits, ties go to the lower label. Rows pass by as lists of their features, once for each chunk, so neither a frequent feature
+    nor the table of all pairs that share one is held or moved.
+    """
+    lists = lambda rows, key, name: rows.groupBy(key).agg(F.collect_list(F.struct("feature", "value")).alias("_l")).select(F.lit(0).cast("long").alias("key"), F.col(key).alias(name), F.col("_l.feature").alias("features"), F.col("_l.value").alias("values"))
+    held, passing = lists(z, label, "id"), lists(x, query, "query")
+    width = z.groupBy(label).count().agg(F.avg("count")).first()[0] or 1.0
+    schema = f"query {dict(x.dtypes)[query]}, id {dict(z.dtypes)[label]}, score double"
+    found = meet(held, passing, ["key"], "id", "query", _best_sparse(k, digits), schema, held_rows(4 * int(width)))
+    return found.select(F.col("query").alias(query), F.col("id").alias(label), "score")

@@ -156,7 +156,7 @@ def _part_pifa(spark, d):
     w = files.checkpointed(w)  # weights are read twice: in labels' embeddings, and in products with them
     x = w.select(F.col("p_partkey").alias("mention_id"), F.col("term").alias("feature"), "value")
     y = part.select(F.col("p_partkey").alias("mention_id"), F.col("p_brand").alias("label_id"))
-    return x, labels.pifa(x, y)
+    return x, files.checkpointed(labels.pifa(x, y))
 
 
 @query(f"WITH {_SQL_PIFA_PART} SELECT l AS label, term, round(v, 6) AS value FROM pz")
@@ -170,7 +170,7 @@ def pifa_tfidf(spark, d):
 def cosine_topk_tfidf(spark, d):
     """Labels that share no term with a query score 0, and fill up where there are fewer others."""
     x, z = _part_pifa(spark, d)
-    dots = V.long_dots(x, z, "mention_id", "label_id")
+    dots = blocks.top_sparse_products(x, z, "mention_id", "label_id", 5)
     asked = _t(spark, d, "part").select(F.col("p_partkey").alias("mention_id"))
     top = V.top_k_of_candidates(dots, asked, z, "mention_id", "label_id", 5)
     return top.select(F.col("mention_id").alias("p_partkey"), F.col("label_id").alias("label"), _r("score").alias("score"), "rank")

@@ -322,3 +322,20 @@ def test_label_matrix_is_not_sent_through_the_driver(spark):
     found = labels.pifa(x, y)
     assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
     assert Counter((r["label_id"], r["feature"], round(r["value"], 9)) for r in found.collect()) == Counter([(0, "f", 1.0), (1, "f", 1.0)])
+
+
+def test_top_sparse_products(spark, monkeypatch):
+    """The same as by all pairs that share a feature, in blocks of any size, with equal scores; a feature that all rows have is not a place where they meet."""
+    monkeypatch.setattr(blocks, "PASSING_ROWS", 11)
+    monkeypatch.setattr(blocks, "SPARSE_STEP", 20)
+    rng = np.random.default_rng(6)
+    rows = lambda n, name: [(name(k), f"f{f}", float(rng.integers(-1, 4)) / 2) for k in range(n) for f in {0, *rng.integers(0, 12, 3).tolist()}]
+    x, z = rows(60, int), rows(9, "l{}".format)
+    got = blocks.top_sparse_products(spark.createDataFrame(x, "q long, feature string, value double"), spark.createDataFrame(z, "l string, feature string, value double"), "q", "l", 3)
+    score = Counter()
+    for q, f, v in x:
+        for label, g, w in z:
+            if f == g:
+                score[q, label] += v * w
+    want = [(q, label, s) for q in range(60) for s, label in sorted((-s, label) for (p, label), s in score.items() if p == q and s > 0)[:3] for s in [-s]]
+    assert Counter((r["q"], r["l"], r["score"]) for r in got.collect()) == Counter(want)
