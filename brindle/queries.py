@@ -880,7 +880,8 @@ def _matcher(spark, d):
     x = _x(spark, d).select(F.lit(0).cast("long").alias("node"), F.col("m").alias("mention_id"), F.col("e").alias("vec"))
     y = _x(spark, d).select("m", F.col("l").alias("label_id")).join(_four(spark, d), "label_id")
     targets = y.groupBy(F.lit(0).cast("long").alias("node"), F.col("m").alias("mention_id")).agg(F.collect_set("cluster").alias("clusters"))
-    return x, model.fit_matchers(x, targets, {"type": "sklearnlogisticregression"})
+    # kept, as a join that deals one node's rows to many tasks would fit its matchers in each of them
+    return x, files.checkpointed(model.fit_matchers(x, targets, {"type": "sklearnlogisticregression"}))
 
 
 _CURVES = 5

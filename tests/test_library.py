@@ -35,6 +35,12 @@ def test_negatives_in_many_partitions(spark, duck, name):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
 
 
+def test_matchers_are_fitted_once(spark):
+    """What is scored by them reads them, and doesn't fit them in each of its tasks."""
+    plan = queries.queries()["matcher_fit_predict"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroups" not in plan
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
