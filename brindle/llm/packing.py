@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 import re
 from collections import Counter
@@ -10,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,11 +21,73 @@ from brindle.llm.words import batches, sliced
 # Latin letters and numerals up to U+017F, as the vocabulary's own pattern splits them.
 _LETTER = "a-zA-ZªµºÀ-ÖØ-öø-ſ"
 _NUMBER = "0-9²³¹¼-¾"
-_PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^\s{_LETTER}{_NUMBER}]+")
+#: Anything else that isn't white space. A number is a piece alone, as are these ends of words; of letters and of signs, as many as follow each other are a piece.
+_SPACE, _SIGN, _LETTERS, _NUMBERS = range(4)
+_KIND = np.array([_SPACE if chr(k) in "\t\n\r " else _LETTERS if re.match(f"[{_LETTER}]", chr(k)) else _NUMBERS if re.match(f"[{_NUMBER}]", chr(k)) else _SIGN for k in range(0x180)], np.uint8)
+_ENDS_1, _ENDS_2 = (np.isin(np.arange(1 << bits), codes) for bits, codes in ((8, list(b"stmd")), (16, [256 * x[0] + x[1] for x in (b"re", b"ve", b"ll")])))
 #: Anything that isn't plain Latin text is left to the tokenizer itself.
-_ODD = re.compile("[^\t\n\r\x20-\x7e¡-įı-ſ]|<\\|")
-#: Words, and runs of signs between white space, kept by each Python worker; beyond it the memory starts anew, and of those before the ones that come again are kept.
-CACHED_WORDS = 400_000
+_ODD = "[^\t\n\r\x20-\x7e¡-įı-ſ]|<\\|"
+#: Words kept by each Python worker; beyond it the memory starts anew, and of those before the ones that come again are kept.
+CACHED_WORDS = 200_000
+#: New words that are encoded as one text, and characters of texts that are looked up together.
+_TOGETHER, _RANGE = 2000, 1 << 21
+
+
+def _pieces(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words of plain texts in lower case as the vocabulary's pattern splits them, and where each text's begin (and the end)."""
+    held = pc.binary_join_element_wise(texts, "", "\n")
+    offsets = np.frombuffer(held.buffers()[1], np.int32)[held.offset : held.offset + len(held) + 1]
+    # some bytes follow the last, for those that look ahead
+    raw = np.concatenate((np.frombuffer(held.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]], np.full(4, 10, np.uint8)))
+    kind = _KIND[raw]
+    wide = np.flatnonzero(raw >= 0xC2)
+    kind[wide] = kind[wide + 1] = _KIND[(raw[wide] & 0x1F).astype(np.int64) << 6 | raw[wide + 1] & 0x3F]
+    begins = np.empty(len(raw), bool)
+    begins[0] = True
+    np.not_equal(kind[1:], kind[:-1], out=begins[1:])
+    begins |= kind == _NUMBERS
+    begins[wide + 1] = False
+    spaces = kind == _SPACE
+    # an apostrophe that is alone takes the letters of a contraction
+    marks = np.flatnonzero((raw == 0x27) & begins)
+    marks = marks[kind[marks + 1] == _LETTERS]
+    one, two = _ENDS_1[raw[marks + 1]], _ENDS_2[raw[marks + 1].astype(np.int64) << 8 | raw[marks + 2]]
+    for some, n in ((marks[one], 1), (marks[two], 2)):
+        begins[some + 1] = False
+        begins[some + 1 + n] = True
+    begins &= ~spaces
+    at = np.flatnonzero(begins)
+    place = np.cumsum(~spaces, dtype=np.int32)
+    ends = np.append(place[at] - 1, place[-1]).astype(np.int32)
+    words = pa.Array.from_buffers(pa.string(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(raw[~spaces])])
+    return words, np.searchsorted(at, offsets - offsets[0])
+
+
+def _binary(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), pa.py_buffer(data)])
+
+
+def _joined(values: pa.Array, firsts: np.ndarray) -> pa.Array:
+    """Values that follow each other as one: the k-th result has those from firsts[k] to firsts[k + 1]."""
+    offsets = np.frombuffer(values.buffers()[1], np.int64)[: len(values) + 1] if len(values) else np.zeros(1, np.int64)
+    return _binary(np.frombuffer(values.buffers()[2] or b"", np.uint8), offsets[firsts])
+
+
+class Known:
+    """Texts with their ids as bytes, in two Arrow columns: some forty bytes each."""
+
+    def __init__(self):
+        self.texts, self.data = pa.array([], pa.string()), pa.array([], pa.large_binary())
+
+    def __len__(self) -> int:
+        return len(self.texts)
+
+    def find(self, texts: pa.Array) -> np.ndarray:
+        """Places of texts, -1 for one that isn't there."""
+        return pc.fill_null(pc.index_in(texts, value_set=self.texts), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def add(self, texts: pa.Array, data: pa.Array) -> None:
+        self.texts, self.data = pa.concat_arrays([self.texts, texts]), pa.concat_arrays([self.data, data])
 
 
 class WordTokenizer:
@@ -39,10 +103,7 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.runs: dict[str, bytes] = {}
-        self.older_runs: dict[str, bytes] = {}
+        self.words, self.older = Known(), Known()
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
@@ -51,46 +112,44 @@ class WordTokenizer:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def learn(self, new: list[str]) -> None:
-        """Encode words as one text; each word's last token carries the mark of a word's end."""
-        ids = np.asarray(self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids, "<u4")
-        stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
-        data = ids.tobytes()
-        for word, start, stop in zip(new, [0, *stops[:-1].tolist()], stops.tolist(), strict=True):
-            self.words[word] = data[start:stop]
-
-    def of_words(self, texts: list[str]) -> list[bytes]:
-        """Ids of plain texts in lower case. Words that are new to these texts are encoded together, so give many texts at once."""
+        """Encode words: those of plain signs by the model itself; others as texts of many, of which each word's last token carries the mark of a word's end."""
+        plain, other = [w for w in new if w.isascii()], [w for w in new if not w.isascii()]
+        tokenize = self.tokenizer.model.tokenize
+        ids = [[token.id for token in tokenize(word)] for word in plain]
+        flat, offsets = np.fromiter(itertools.chain.from_iterable(ids), "<u4"), np.cumsum([0, *map(len, ids)]) * 4
+        self.words.add(pa.array(plain, pa.string()), _binary(flat, offsets))
+        for k in range(0, len(other), _TOGETHER):
+            some = other[k : k + _TOGETHER]
+            flat = np.asarray(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            offsets = np.append(0, (np.flatnonzero(self.ends[flat]) + 1) * 4)
+            if len(offsets) != len(some) + 1:
+                raise ValueError("the vocabulary doesn't mark where each word ends")
+            self.words.add(pa.array(some, pa.string()), _binary(flat, offsets))
+
+    def of_words(self, words: pa.Array) -> pa.Array:
+        """Ids of words. Those that are new are encoded together, so give many at once."""
         if len(self.words) > CACHED_WORDS:
-            self.older, self.words = self.words, {}
-        pieces = list(map(_PIECE.findall, texts))
-        found = [list(map(self.words.get, p)) for p in pieces]
-        gaps = [[k for k, x in enumerate(f) if x is None] if None in f else () for f in found]
-        new = {p[k] for p, g in zip(pieces, gaps, strict=True) for k in g}
-        known = new & self.older.keys()
-        self.words.update((word, self.older[word]) for word in known)
-        if len(new) > len(known):
-            self.learn(list(new - known))
-        for p, f, g in zip(pieces, found, gaps, strict=True):
-            for k in g:
-                f[k] = self.words[p[k]]
-        return list(map(b"".join, found))
+            self.older, self.words = self.words, Known()
+        coded = words.dictionary_encode()
+        at = self.words.find(coded.dictionary)
+        gaps = np.flatnonzero(at < 0)
+        if len(gaps):
+            new = coded.dictionary.take(pa.array(gaps))
+            before = self.older.find(new)
+            again = np.flatnonzero(before >= 0)
+            self.words.add(new.take(pa.array(again)), self.older.data.take(pa.array(before[again])))
+            if len(again) < len(gaps):
+                self.learn(new.filter(pa.array(before < 0)).to_pylist())
+            at[gaps] = self.words.find(new)
+        return self.words.data.take(pa.array(at[coded.indices.to_numpy()]))
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        """Ids of texts. What stands between white space is looked up whole, as a word comes with few signs around it; what is new is taken apart once."""
-        if len(self.runs) > CACHED_WORDS:
-            self.older_runs, self.runs = self.runs, {}
-        runs = [None if _ODD.search(text) else text.lower().split() for text in texts]
-        found = [None if r is None else list(map(self.runs.get, r)) for r in runs]
-        gaps = [[k for k, x in enumerate(f) if x is None] if f and None in f else () for f in found]
-        new = {r[k] for r, g in zip(runs, gaps, strict=True) for k in g}
-        known = new & self.older_runs.keys()
-        self.runs.update((run, self.older_runs[run]) for run in known)
-        apart = list(new - known)
-        self.runs.update(zip(apart, self.of_words(apart), strict=True))
-        for r, f, g in zip(runs, found, gaps, strict=True):
-            for k in g:
-                f[k] = self.runs[r[k]]
-        return [self.whole(text) if f is None else b"".join(f) for text, f in zip(texts, found, strict=True)]
+        """Ids of texts, of which many are looked up together: each different word once."""
+        held = pa.array(texts, pa.string())
+        odd = pc.match_substring_regex(held, _ODD)
+        words, firsts = _pieces(pc.utf8_lower(pc.if_else(odd, "", held)))
+        plain = _joined(self.of_words(words), firsts).to_pylist()
+        return [self.whole(text) if left else own for text, left, own in zip(texts, odd.to_pylist(), plain, strict=True)]
 
 
 @functools.cache
@@ -108,8 +167,8 @@ def tokenize_documents(docs: DataFrame, tokenizer_path: str, window: int = 2048,
 
     def cut(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, end, step = _tokenizer(tokenizer_path), np.uint32(end_id).tobytes(), 4 * window
-        for batch in sliced(incoming):
-            for low, high in batches(texts := [t or "" for t in batch.column(1).to_pylist()]):
+        for batch in sliced(incoming, 4096, 4 * _RANGE):
+            for low, high in batches(texts := [t or "" for t in batch.column(1).to_pylist()], _RANGE):
                 row, start, length, total, ids = [], [], [], [], []
                 for i, data in enumerate(tokenizer.ids(texts[low:high])):
                     data += end

@@ -1,12 +1,15 @@
 """Sharding, packing, mixing, fingerprints, page text and chat, against brute force and by their invariants."""
 
+import gc
 import hashlib
 import time
+import tracemalloc
 import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -177,6 +180,30 @@ def test_words_are_kept_while_they_come_again(monkeypatch):
     assert learned["common"] == 1 and learned["rare"] == 2 and len(own.older) + len(own.words) < 20
 
 
+def test_words_are_split_as_the_tokenizer_does():
+    own = packing.WordTokenizer(queries.tokenizer_path())
+    plain = [chr(k) for k in [9, 10, 13, *range(32, 127), *range(0xA1, 0x180)] if k != 0x130]
+    rng = np.random.default_rng(4)
+    for signs in (plain, list("'’ \tsStTdDmMrReEvVlLx!.1²½éßſÀ\n"), [*plain, "漢", "\x00", "\xa0", "\x85", "İ", "e\u0301", "<|", "\x7f", "\x0b", "\x1c"]):
+        texts = ["", "it'", "s", " 's's't", *("".join(rng.choice(signs, rng.integers(1, 60))) for _ in range(300))]
+        assert own.ids(texts) == [own.whole(t) for t in texts]
+    assert own.ids([]) == [] and own.ids(["", ""]) == [b"", b""]
+
+
+def test_known_words_take_little_memory():
+    own = packing.WordTokenizer(queries.tokenizer_path())
+    own.ids(["some words"])
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    text = " ".join("".join(letters[[k // 26**3 % 26, k // 676 % 26, k // 26 % 26, k % 26, k % 7]]) + "." for k in range(30_000))
+    tracemalloc.start()
+    before = pa.total_allocated_bytes()
+    own.ids([text])
+    gc.collect()
+    held = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - before
+    tracemalloc.stop()
+    assert held < 100 * 30_000
+
+
 def test_packing(spark, docs):
     from tokenizers import Tokenizer
 
