@@ -167,7 +167,7 @@ def tokenize_documents(docs: DataFrame, tokenizer_path: str, window: int = 2048,
 
     def cut(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, end, step = _tokenizer(tokenizer_path), np.uint32(end_id).tobytes(), 4 * window
-        for batch in sliced(incoming, 4096, 4 * _RANGE):
+        for batch in sliced(incoming, 2048, _RANGE):
             for low, high in batches(texts := [t or "" for t in batch.column(1).to_pylist()], _RANGE):
                 row, start, length, total, ids = [], [], [], [], []
                 for i, data in enumerate(tokenizer.ids(texts[low:high])):
@@ -181,7 +181,7 @@ def tokenize_documents(docs: DataFrame, tokenizer_path: str, window: int = 2048,
                         ids.append(piece)
                 owner = batch.column(0).slice(low, high - low).take(pa.array(row, pa.int64()))
                 yield pa.RecordBatch.from_arrays([owner, pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(total, pa.int64()), pa.array(ids, pa.binary())], ["id", "start", "length", "doc_tokens", "ids"])
-        give_back()
+            give_back()
 
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(cut, f"id {kind}, start long, length long, doc_tokens long, ids binary")
     return out.withColumnRenamed("id", id_col)
