@@ -16,17 +16,21 @@ def _sigmoid(d: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(d, -500, 500)))
 
 
-def _weights(y: np.ndarray, how) -> np.ndarray:
-    """Weights of examples: None, "balanced" or one for each class."""
+def class_weights(how, n: int, positives: float) -> tuple[float, float]:
+    """Weights of examples of the classes 0 and 1 among n: how is None, "balanced" or one for each class."""
     if how is None:
-        return np.ones(len(y))
+        return 1.0, 1.0
     if isinstance(how, dict):
         of = {int(k): float(v) for k, v in how.items()}
-        return np.where(y > 0, of.get(1, 1.0), of.get(0, 1.0))
+        return of.get(0, 1.0), of.get(1, 1.0)
     if how != "balanced":
         raise ValueError(f"unknown class weights {how!r}")
-    n = max(1, y.sum()), max(1, len(y) - y.sum())
-    return np.where(y > 0, len(y) / (2 * n[0]), len(y) / (2 * n[1]))
+    return n / (2 * max(1, n - positives)), n / (2 * max(1, positives))
+
+
+def _weights(y: np.ndarray, how) -> np.ndarray:
+    zero, one = class_weights(how, len(y), float(y.sum()))
+    return np.where(y > 0, one, zero)
 
 
 class Classifier:
@@ -251,22 +255,34 @@ class SGD(Linear):
         self._pass(x.astype(float), y.astype(float))
         return self
 
+    def order(self, n: int, t: int) -> np.ndarray:
+        """In which order a pass takes n rows, when t have been taken before it."""
+        return self.rng(t).permutation(n) if self.get("shuffle") else np.arange(n)
+
+    def begin(self, length: float) -> None:
+        """Set the rates before the first pass, by its rows' mean squared length."""
+        s, alpha = self.state, self.get("alpha")
+        if "rate" not in s:
+            s["rate"] = self.get("eta0")
+            typical = np.sqrt(1 / np.sqrt(alpha)) if alpha else 1.0
+            first = typical / max(1.0, -LOSSES[self.get("loss")][1](-typical))
+            s["t0"] = max(1.0, length) / (min(first, 0.5 / CURVATURES.get(self.get("loss"), 0.5 / first)) * alpha) if alpha else 1.0
+
     def _pass(self, x: np.ndarray, y: np.ndarray) -> float:
         """One pass over the rows; the mean loss on the way."""
+        self.begin(float((x * x).sum(1).mean()) if len(x) else 1.0)
+        total = self.steps(x, y, _weights(y, self.get("class_weight")), self.order(len(x), self.state.get("t", 0)))
+        return total / max(1, len(x))
+
+    def steps(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, order: np.ndarray) -> float:
+        """Take rows one by one, in this order; the sum of their losses on the way. A pass may be taken in parts."""
         s = self.state
         w, b, t = np.array(s["raw"]) if "raw" in s else np.zeros(x.shape[1]), s.get("raw_intercept", 0.0), s.get("t", 0)
         mean, mean_b = np.array(s["mean"]) if "mean" in s else np.zeros(x.shape[1]), s.get("mean_intercept", 0.0)
         alpha, how, average = self.get("alpha"), self.get("learning_rate"), int(self.get("average"))
         square, absolute = self._strengths()
         loss, slope = LOSSES[self.get("loss")]
-        if "rate" not in s:
-            s["rate"] = self.get("eta0")
-            typical = np.sqrt(1 / np.sqrt(alpha)) if alpha else 1.0
-            length = max(1.0, float((x * x).sum(1).mean())) if len(x) else 1.0
-            first = typical / max(1.0, -slope(-typical))
-            s["t0"] = length / (min(first, 0.5 / CURVATURES.get(self.get("loss"), 0.5 / first)) * alpha) if alpha else 1.0
-        weight, sign = _weights(y, self.get("class_weight")), np.where(y > 0, 1.0, -1.0)
-        order = self.rng(t).permutation(len(x)) if self.get("shuffle") else np.arange(len(x))
+        sign = np.where(y > 0, 1.0, -1.0)
         total, intercept = 0.0, bool(self.get("fit_intercept"))
         for k in order.tolist():
             t += 1
@@ -292,7 +308,7 @@ class SGD(Linear):
             s |= {"mean": mean.tolist(), "mean_intercept": float(mean_b)}
         use_mean = average and t >= average
         s |= {"coef": (mean if use_mean else w).tolist(), "intercept": float(mean_b if use_mean else b)}
-        return total / max(1, len(x))
+        return total
 
 
 def grow(

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +13,10 @@ from brindle.functions.blocks import held_rows, matrix, meet, table, width_of
 
 #: Mentions that are scored together, and entries of the heaps that a task holds of one kind.
 PER_STEP, HEAP_ENTRIES = 2048, 1 << 18
+#: Entries of a heap in one row, so that a batch of rows is small.
+PIECE = 256
+#: Rows of a batch that is given on.
+OUT_ROWS = 16_384
 #: Scores are compared at nine digits.
 DIGITS = 1e9
 _TAKEN = np.iinfo(np.int64).max
@@ -117,8 +120,11 @@ def _filling(epochs: list[list[Phase]], draw: Draw):
         def end(self) -> Iterator[pa.RecordBatch]:
             for label, heaps in zip(self.labels.tolist(), self.heaps, strict=True):
                 got = {at: heap.settle() for at, heap in heaps.items()}
-                lists = [pa.array([list(got[at][side]) for at in got], pa.list_(pa.int64())) for side in (0, 1)]
-                yield table({"node": np.full(len(got), self.node), "label_id": np.full(len(got), label), "way": pa.array([at[0] for at in got]), "epoch": np.array([at[1] for at in got], np.int32), "keys": lists[0], "ids": lists[1]})
+                for (way, epoch), entries in got.items():
+                    edges = np.append(np.arange(0, len(entries[0]), PIECE), len(entries[0])).astype(np.int32)
+                    lists = [pa.ListArray.from_arrays(pa.array(edges), pa.array(side)) for side in entries]
+                    n = len(edges) - 1
+                    yield table({"node": np.full(n, self.node), "label_id": np.full(n, label), "way": pa.array([way] * n, pa.string()), "epoch": np.full(n, epoch, np.int32), "keys": lists[0], "ids": lists[1]})
 
     return Filling
 
@@ -147,20 +153,46 @@ def choose(labels: DataFrame, mentions: DataFrame, epochs: list[list[Phase]], dr
     held = labels.select("node", F.col("cluster").cast("long").alias("cluster"), F.col("label_id").cast("long").alias("label_id"), "z", F.col("n_neg").cast("long").alias("n_neg"))
     passing = mentions.select("node", F.col("cluster").cast("long").alias("cluster"), F.col("mention_id").cast("long").alias("mention_id"), "vec", F.col("own").cast("array<long>").alias("own"))
     found = meet(held, passing, ["node", "cluster"], "label_id", "mention_id", _filling(epochs, draw), "node long, label_id long, way string, epoch int, keys array<long>, ids array<long>", chunk)
-    # keys have the same type on both sides, as whole numbers of other lengths are dealt elsewhere
-    wanted = labels.select(F.col("node").cast("long").alias("of_node"), F.col("label_id").cast("long").alias("of_label"), F.col("n_neg").cast("long").alias("n_neg"))
-
-    def merge(key: tuple, rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(rows) and len(own):
-            n, heaps = int(own["n_neg"].iloc[0]), {}
-            for at, same in rows.groupby(["way", "epoch"]):
-                keys, ids = (np.concatenate([np.asarray(v, np.int64) for v in same[c]]) for c in ("keys", "ids"))
-                order = np.lexsort((ids, keys))[: _sizes(epochs, n)[at]]
-                heaps[at] = keys[order], ids[order]
-            for e, phases in enumerate(epochs, 1):
-                ids = settled(heaps, phases, e, n)
-                out.append(pd.DataFrame({"node": key[0], "label_id": key[1], "mention_id": ids, "epoch": np.full(len(ids), e, np.int32)}))
-        return pd.concat(out) if out else pd.DataFrame({"node": [], "label_id": [], "mention_id": [], "epoch": []})
-
-    return found.groupBy("node", "label_id").cogroup(wanted.groupBy("of_node", "of_label")).applyInPandas(merge, "node long, label_id long, mention_id long, epoch int")
+    known = found.select("node", "label_id", F.lit(None).cast("long").alias("n_neg"), "way", "epoch", "keys", "ids")
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    wanted = labels.select(F.col("node").cast("long").alias("node"), F.col("label_id").cast("long").alias("label_id"), F.col("n_neg").cast("long").alias("n_neg"), none("string", "way"), none("int", "epoch"), none("array<long>", "keys"), none("array<long>", "ids"))
+    # a label's number of negatives comes first
+    dealt = wanted.unionByName(known).repartition("node", "label_id").sortWithinPartitions("node", "label_id", F.col("n_neg").desc_nulls_last())
+    return dealt.mapInArrow(_merging(epochs), "node long, label_id long, mention_id long, epoch int")
+
+
+def _merging(epochs: list[list[Phase]]):
+    """Batches of rows sorted by label to its negatives: heaps of a label's blocks are merged as they come, in heaps of the same sizes."""
+
+    def run(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, n, heaps = None, 0, {}
+
+        def end() -> Iterator[pa.RecordBatch]:
+            if any(heap.held for heap in heaps.values()):
+                got = {way: heap.settle() for way, heap in heaps.items()}
+                for e, phases in enumerate(epochs, 1):
+                    ids = settled(got, phases, e, n)
+                    for low in range(0, len(ids), OUT_ROWS):
+                        some = ids[low : low + OUT_ROWS]
+                        yield table({"node": np.full(len(some), at[0]), "label_id": np.full(len(some), at[1]), "mention_id": some, "epoch": np.full(len(some), e, np.int32)})
+
+        for batch in incoming:
+            places = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", "label_id")])
+            edges = np.concatenate(([0], np.flatnonzero((places[:, 1:] != places[:, :-1]).any(0)) + 1, [batch.num_rows]))
+            for low, high in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                if low == high:
+                    continue
+                rows = batch.slice(low, high - low)
+                if (where := tuple(places[:, low].tolist())) != at:
+                    yield from end()
+                    at, n, heaps = where, 0, {}
+                    if rows.column("n_neg")[0].is_valid:
+                        n = rows.column("n_neg")[0].as_py()
+                        heaps = {way: _Heap(size) for way, size in _sizes(epochs, n).items()}
+                if heaps:
+                    for way, epoch, keys, ids in zip(rows.column("way").to_pylist(), rows.column("epoch").to_pylist(), rows.column("keys"), rows.column("ids"), strict=True):
+                        if way is not None:
+                            heaps[way, epoch].add(keys.values.to_numpy(), ids.values.to_numpy())
+        yield from end()
+
+    return run

@@ -6,20 +6,23 @@ Vectors are arrays: x (node, mention_id, vec), z (node, label_id, z).
 
 from __future__ import annotations
 
+import itertools
 import json
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brindle.functions import fusion
 from brindle.functions import vectors as V
-from brindle.functions.blocks import affinity, width_of
+from brindle.functions.blocks import affinity, matrix, table, width_of
 from brindle.operators import labels as L
 from brindle.operators import large_fits, linear, negatives, routing
-from brindle.operators.classifiers import CLASSIFIERS, Boosted, Classifier, Forest, KernelSVC
+from brindle.operators.classifiers import CLASSIFIERS, SGD, Boosted, Classifier, Forest, KernelSVC, class_weights
 from brindle.operators.clusters import cluster_nodes, resolved
 from brindle.operators.encoders import TextEncoder
 from brindle.plans.scoring import cluster_scores, label_scores
@@ -110,12 +113,92 @@ def model_score(model: pd.Series, vec: pd.Series) -> pd.Series:
 def fit_rankers(pool: DataFrame, x: DataFrame, z: DataFrame, config: dict | None, epochs: int) -> DataFrame:
     """A classifier of each label over pairs [x, z]: (node, label_id, coef, intercept, model).
 
-    pool: (node, label_id, mention_id, target, epoch); each epoch is one pass over its rows, by the same learner. One task
-    holds the sample of a label, each mention's vector once, whatever its epochs.
+    pool: (node, label_id, mention_id, target, epoch); each epoch is one pass over its rows, by the same learner. Stochastic gradient takes rows as they come, so a task
+    holds ids of one epoch of a label (_placed), then a batch of its vectors (_descending), which Spark has sorted as the passes go. Of other types that learn in passes one task holds
+    the sample of a label.
     """
     kind, kwargs = resolved(config, CLASSIFIERS, "sklearnsgdclassifier")
     if not CLASSIFIERS[kind].supports_partial_fit:
         raise ValueError(f"a ranker needs a classifier that learns in passes; {kind} doesn't")
+    if getattr(CLASSIFIERS[kind], "partial_fit", None) is not SGD.partial_fit:
+        return _fit_held(pool, x, z, kind, kwargs, epochs)
+    lengths = x.select(F.col("node").cast("long").alias("node"), F.col("mention_id").cast("long").alias("mention_id"), V.dot(F.col("vec"), F.col("vec")).alias("length"))
+    named = pool.select(*(F.col(c).cast("long").alias(c) for c in ("node", "label_id", "mention_id")), F.col("target").cast("int").alias("target"), F.col("epoch").cast("int").alias("epoch"))
+    dealt = named.filter(F.col("epoch").between(1, epochs)).join(lengths, ["node", "mention_id"]).select("node", "label_id", "epoch", "mention_id", "target", "length")
+    sorted_ = dealt.repartition("node", "label_id").sortWithinPartitions("node", "label_id", "epoch", "mention_id", "target")
+    placed = sorted_.mapInArrow(_placed(kind, kwargs), "node long, label_id long, mention_id long, target int, epoch int, place long, weight double, length double")
+    # a vector is moved once for each label, whatever its epochs
+    once = placed.repartition("node", "mention_id").groupBy("node", "mention_id", "label_id", "target").agg(F.collect_list(F.struct("epoch", "place", "weight", "length")).alias("passes"))
+    rows = once.join(x.select(F.col("node").cast("long").alias("node"), F.col("mention_id").cast("long").alias("mention_id"), "vec"), ["node", "mention_id"]).select("node", "label_id", "vec", "target", "passes")
+    first = F.array(F.struct(F.lit(0).alias("epoch"), F.lit(0).cast("long").alias("place"), F.lit(None).cast("double").alias("weight"), F.lit(None).cast("double").alias("length")))
+    own = z.select(F.col("node").cast("long").alias("node"), F.col("label_id").cast("long").alias("label_id"), F.col("z").alias("vec"), F.lit(None).cast("int").alias("target"), first.alias("passes"))
+    taken = own.unionByName(rows).repartition("node", "label_id").select("node", "label_id", "vec", "target", F.explode("passes").alias("p")).select("node", "label_id", "p.epoch", "p.place", "vec", "target", "p.weight", "p.length")
+    return taken.sortWithinPartitions("node", "label_id", "epoch", "place").mapInArrow(_descending(kind, kwargs), f"node long, label_id long, {_MODEL}")
+
+
+def _runs(incoming: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """Rows of the same keys that follow each other, batch by batch."""
+    for batch in incoming:
+        at = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in keys])
+        edges = np.concatenate(([0], np.flatnonzero((at[:, 1:] != at[:, :-1]).any(0)) + 1, [batch.num_rows])) if batch.num_rows else [0]
+        for low, high in itertools.pairwise(list(map(int, edges))):
+            yield tuple(at[:, low].tolist()), batch.slice(low, high - low)
+
+
+def _placed(kind: str, kwargs: dict):
+    """Rows sorted by label, epoch and mention, each once, to their places in the epoch's pass, with their weights; the first of all has the first pass's mean squared length."""
+
+    def run(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        learner = CLASSIFIERS[kind](**kwargs)
+        label, t = None, 0
+        for (node, label_id, epoch), runs in itertools.groupby(_runs(incoming, ("node", "label_id", "epoch")), lambda run: run[0]):
+            if (node, label_id) != label:
+                label, t = (node, label_id), 0
+            parts = [[rows.column(c).to_numpy() for c in ("mention_id", "target", "length")] for _, rows in runs]
+            ids, target, length = (np.concatenate(p) for p in zip(*parts, strict=True))
+            del parts
+            new = np.append(True, (ids[1:] != ids[:-1]) | (target[1:] != target[:-1]))
+            ids, target, length = ids[new], target[new], length[new]
+            zero, one = class_weights(learner.get("class_weight"), len(ids), float(target.sum()))
+            order, told = learner.order(len(ids), t), float(length.mean()) if not t else None
+            for low in range(0, len(ids), negatives.OUT_ROWS):
+                at = order[low : low + negatives.OUT_ROWS]
+                first = pa.array([told if k + low == 0 else None for k in range(len(at))], pa.float64())
+                same = lambda value, kind, n=len(at): np.full(n, value, kind)
+                yield table({
+                    "node": same(node, np.int64), "label_id": same(label_id, np.int64), "mention_id": ids[at], "target": target[at], "epoch": same(epoch, np.int32), "place": np.arange(low, low + len(at)),
+                    "weight": np.where(target[at] > 0, one, zero), "length": first,
+                })
+            t += len(ids)
+
+    return run
+
+
+def _descending(kind: str, kwargs: dict):
+    """Rows sorted by label, epoch and place, the label's own vector first, to its ranker."""
+
+    def run(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (node, label_id), runs in itertools.groupby(_runs(incoming, ("node", "label_id")), lambda run: run[0]):
+            learner, z = CLASSIFIERS[kind](**kwargs), None
+            for _, rows in runs:
+                vectors = matrix(rows.column("vec"))
+                if z is None and rows.column("epoch")[0].as_py() == 0:
+                    z, vectors, rows = vectors[0], vectors[1:], rows.slice(1)
+                if z is None or not len(vectors):
+                    continue
+                if "rate" not in learner.state:
+                    learner.begin(rows.column("length")[0].as_py() + float(z @ z))
+                pairs = np.hstack((vectors, np.broadcast_to(z, (len(vectors), len(z)))))
+                learner.steps(pairs, rows.column("target").to_numpy(), rows.column("weight").to_numpy(), np.arange(len(pairs)))
+            if "raw" in learner.state:
+                coef, intercept, model = _columns(learner, 2 * len(z))
+                yield table({"node": np.array([node]), "label_id": np.array([label_id]), "coef": pa.array([coef], pa.list_(pa.float64())), "intercept": np.array([intercept]), "model": pa.array([model], pa.string())})
+
+    return run
+
+
+def _fit_held(pool: DataFrame, x: DataFrame, z: DataFrame, kind: str, kwargs: dict, epochs: int) -> DataFrame:
+    """fit_rankers of a type that takes all rows of a pass at once: a task holds each mention's vector once, whatever its epochs."""
     once = pool.groupBy("node", "label_id", "mention_id", "target").agg(F.collect_set("epoch").alias("epochs"))
     rows = once.join(x, ["node", "mention_id"]).select("node", "label_id", "mention_id", "target", "epochs", "vec")
 

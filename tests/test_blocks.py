@@ -1,6 +1,7 @@
 """Rows that meet in blocks, negatives by heaps, fits by sums, readers of folders, and scratch folders, against plain versions."""
 
 import os
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -339,3 +340,87 @@ def test_top_sparse_products(spark, monkeypatch):
                 score[q, label] += v * w
     want = [(q, label, s) for q in range(60) for s, label in sorted((-s, label) for (p, label), s in score.items() if p == q and s > 0)[:3] for s in [-s]]
     assert Counter((r["q"], r["l"], r["score"]) for r in got.collect()) == Counter(want)
+
+
+def test_ranker_holds_a_batch_not_a_sample():
+    """Passes over a label's sample stream through the task that fits it, in the order and to the coefficients of whole passes."""
+    rng = np.random.default_rng(5)
+    n, width = 30_000, 32
+    ids = np.sort(rng.choice(10 * n, n, replace=False))
+    target = (rng.random(n) < 0.3).astype(np.int32)
+    vectors, z = rng.normal(size=(n, width)), rng.normal(size=width)
+    kwargs = {"loss": "log_loss", "class_weight": "balanced", "average": True, "random_state": 3}
+    whole = classifiers.CLASSIFIERS["sgdclassifier"](**kwargs)
+    parts = [np.arange(n), np.arange(0, n, 2)]
+    for part in parts:
+        whole.partial_fit(np.hstack((vectors[part], np.broadcast_to(z, (len(part), width)))), target[part])
+
+    def sorted_rows():
+        for epoch, part in enumerate(parts, 1):
+            for low in range(0, len(part), 5000):
+                at = part[low : low + 5000]
+                same = lambda value, kind, n=len(at): np.full(n, value, kind)
+                yield blocks.table({"node": same(7, np.int64), "label_id": same(2, np.int64), "epoch": same(epoch, np.int32), "mention_id": ids[at], "target": target[at], "length": (vectors[at] ** 2).sum(1)})
+
+    placed = pa.Table.from_batches(list(model._placed("sgdclassifier", kwargs)(sorted_rows()))).to_pandas()
+
+    def taken():
+        yield blocks.table({"node": np.array([7]), "label_id": np.array([2]), "epoch": np.array([0], np.int32), "place": np.array([0]), "vec": pa.array([z.tolist()]), "target": pa.array([None], pa.int32()), "weight": pa.array([None], pa.float64()), "length": pa.array([None], pa.float64())})
+        for low in range(0, len(placed), 1000):
+            some = placed.iloc[low : low + 1000]
+            vec = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * width), pa.array(vectors[np.searchsorted(ids, some["mention_id"])].ravel()))
+            own = {c: some[c].to_numpy() for c in ("epoch", "place", "target", "weight")}
+            yield blocks.table({"node": np.full(len(some), 7), "label_id": np.full(len(some), 2), **own, "vec": vec, "length": pa.array(some["length"], from_pandas=True)})
+
+    tracemalloc.start()
+    (found,) = list(model._descending("sgdclassifier", kwargs)(taken()))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.allclose(found.column("coef")[0].as_py(), whole.coef, rtol=1e-9, atol=1e-12) and abs(found.column("intercept")[0].as_py() - whole.intercept) < 1e-9
+    assert peak < vectors.nbytes / 4
+
+
+def test_rankers_are_those_of_whole_passes(spark):
+    """Rows named twice count once, mentions without a vector not at all, and a label may start at a later epoch."""
+    rng = np.random.default_rng(6)
+    vectors, zs = rng.normal(size=(40, 4)), {1: rng.normal(size=4), 2: rng.normal(size=4), 3: rng.normal(size=4)}
+    pool = [(0, label, m, int(rng.random() < 0.4), e) for label in (1, 2) for m in range(44) for e in (1, 2, 3) if e >= label and rng.random() < 0.7]
+    pool = list({(*p[:3], p[4]): p for p in pool}.values())
+    targets = {(label, m): t for _, label, m, t, _ in pool}
+    pool = [(node, label, m, targets[label, m], e) for node, label, m, _, e in pool]
+    x = spark.createDataFrame([(0, m, vectors[m].tolist()) for m in range(40)], "node long, mention_id long, vec array<double>")
+    z = spark.createDataFrame([(0, label, v.tolist()) for label, v in zs.items()], "node long, label_id int, z array<double>")
+    config = {"type": "sgdclassifier", "kwargs": {"loss": "log_loss", "random_state": 2}}
+    got = model.fit_rankers(spark.createDataFrame(pool + pool[:9], "node long, label_id int, mention_id long, target int, epoch int"), x, z, config, 3).collect()
+    assert sorted(r["label_id"] for r in got) == [1, 2]
+    for r in got:
+        learner = classifiers.CLASSIFIERS["sgdclassifier"](**config["kwargs"])
+        for e in (1, 2, 3):
+            rows = sorted((m, t) for _, label, m, t, at in pool if label == r["label_id"] and at == e and m < 40)
+            if rows:
+                own = np.array([vectors[m] for m, _ in rows])
+                learner.partial_fit(np.hstack((own, np.broadcast_to(zs[r["label_id"]], own.shape))), np.array([t for _, t in rows]))
+        assert np.allclose(r["coef"], learner.coef, rtol=1e-9, atol=1e-12) and abs(r["intercept"] - learner.intercept) < 1e-9
+
+
+def test_heaps_of_a_label_are_merged_as_they_come():
+    """A label's blocks have far more entries than its heaps: only those of the heaps are held."""
+    rng = np.random.default_rng(8)
+    n, many, size = 400, 400, 4096
+    all_keys = rng.integers(0, 1 << 60, many * size)
+
+    def rows():
+        none = lambda kind: pa.array([None], kind)
+        lists = pa.list_(pa.int64())
+        yield blocks.table({"node": np.array([0]), "label_id": np.array([4]), "n_neg": np.array([n]), "way": none(pa.string()), "epoch": none(pa.int32()), "keys": none(lists), "ids": none(lists)})
+        for k in range(many):
+            own = all_keys[k * size : (k + 1) * size]
+            column = lambda values: pa.ListArray.from_arrays(pa.array([0, size], pa.int32()), pa.array(values))
+            yield blocks.table({"node": np.array([0]), "label_id": np.array([4]), "n_neg": none(pa.int64()), "way": pa.array(["draw"]), "epoch": np.array([1], np.int32), "keys": column(own), "ids": column(np.arange(k * size, (k + 1) * size))})
+
+    tracemalloc.start()
+    out = pa.Table.from_batches(list(negatives._merging([[(1.0, "draw")]])(rows())))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out["mention_id"].to_pylist() == sorted(np.argsort(all_keys)[:n].tolist())
+    assert peak < all_keys.nbytes / 8
