@@ -19,8 +19,8 @@ from brindle.llm.common import discard, partitions, scratch
 HOUR, SHIFT = 3_600_000, 1_800_000
 #: Hours that a window stays open for repeats, and that events may come late.
 SPAN, LATE = 48, 24
-#: Batches of a run, and copies that one cell of clicks has on average at most.
-BATCHES, PER_CELL = 10, 200_000
+#: Batches of a run, and copies that one cell of clicks, and one task that counts them, has on average at most.
+BATCHES, PER_CELL, PER_TASK = 10, 50_000, 200_000
 EVENT = "click_id long, hour long, hash binary, n long"
 WINDOW = "click_id long, start_hour long, n_repeats long, n_conflicts long, conflict_crc long, hash binary, expired boolean"
 _OPEN = np.dtype([("id", "<i8"), ("start", "<i8"), ("repeats", "<i8"), ("conflicts", "<i8"), ("crc", "<i8"), ("hash", "S32")])
@@ -31,7 +31,9 @@ _SETTINGS = {
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     # the stores of an executor share their buffers
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",
+    # a store takes its buffers' first blocks, an eighth of a buffer each, when it opens: stores are opened for every start, and hold little
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "2",
     # each start is one batch: a store that stayed loaded would only wait for the next query's, which is another
     "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }
@@ -174,17 +176,18 @@ def _set(spark: SparkSession, values: dict[str, str]):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def run_batches(events: DataFrame, n_batches: int, cells: int = 0, span: int = SPAN, late: int = LATE) -> DataFrame:
+def run_batches(events: DataFrame, n_batches: int, cells: int = 0, span: int = SPAN, late: int = LATE, tasks: int | None = None) -> DataFrame:
     """Feed events (batch int, and EVENT) batch by batch to a streaming query, started anew for each on one checkpoint: WINDOW and closed_batch.
 
     closed_batch is the batch in which a window closed, or after which it expired. Batches are written to a new folder of the shared one,
     each is moved into the query's source before its start, and a last event far ahead closes what is open. Empty batches start nothing.
-    All but the result is removed at the end.
+    All but the result is removed at the end. tasks: how many make the events, where they come of a shuffle; None: the session's number.
     """
     spark = events.sparkSession
     folder = scratch(spark, "clicks")
     staged, source, state, out = (f"{folder}/{x}" for x in ("staged", "source", "state", "windows"))
-    events.write.partitionBy("batch").parquet(staged)
+    with _set(spark, {"spark.sql.shuffle.partitions": str(tasks or partitions(events))}):
+        events.write.partitionBy("batch").parquet(staged)
     files = spark._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
     path = spark._jvm.org.apache.hadoop.fs.Path
     files.mkdirs(path(source))
@@ -262,5 +265,5 @@ def deduplicate_clicks(clicks: DataFrame, n_batches: int = BATCHES, cells: int |
     shift = 1000 - least  # hours of the stream are positive
     batch = F.floor((F.col("late_hour") - low) * n_batches / (high - low + 1)).cast("int").alias("batch")
     events = copies.select(batch, "click_id", (F.col("hour") + shift).alias("hour"), "hash").groupBy("batch", "click_id", "hour", "hash").agg(F.count("*").alias("n"))
-    found = run_batches(events, n_batches, cells, span, late)
+    found = run_batches(events, n_batches, cells, span, late, max(partitions(clicks), -(-n // PER_TASK)))
     return found.withColumn("start_hour", F.col("start_hour") - shift).withColumn("hash", F.lower(F.hex("hash")))
