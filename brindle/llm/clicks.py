@@ -20,9 +20,9 @@ HOUR, SHIFT = 3_600_000, 1_800_000
 #: Hours that a window stays open for repeats, and that events may come late.
 SPAN, LATE = 48, 24
 #: Batches of a run, and copies that one cell of clicks, and one task that counts them, has on average at most.
-BATCHES, PER_CELL, PER_TASK = 10, 50_000, 200_000
+BATCHES, PER_CELL, PER_TASK = 10, 20_000, 200_000
 EVENT = "click_id long, hour long, hash binary, n long"
-WINDOW = "click_id long, start_hour long, n_repeats long, n_conflicts long, conflict_crc long, hash binary, expired boolean"
+WINDOW = "click_id long, start_hour long, n_repeats long, n_conflicts long, conflict_crc long, hash binary, expired boolean, watermark long"
 _OPEN = np.dtype([("id", "<i8"), ("start", "<i8"), ("repeats", "<i8"), ("conflicts", "<i8"), ("crc", "<i8"), ("hash", "S32")])
 _SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -122,7 +122,7 @@ class ClickWindows(StatefulProcessor):
 
     def told(self, windows: np.ndarray, watermark: int) -> pd.DataFrame:
         out = {"click_id": windows["id"], "start_hour": windows["start"], "n_repeats": windows["repeats"], "n_conflicts": windows["conflicts"], "conflict_crc": windows["crc"]}
-        return pd.DataFrame(out | {"hash": whole_bytes(windows["hash"]), "expired": self.expires(windows["start"]) <= watermark})
+        return pd.DataFrame(out | {"hash": whole_bytes(windows["hash"]), "expired": self.expires(windows["start"]) <= watermark, "watermark": watermark})
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         watermark = timerValues.getCurrentWatermarkInMs()
@@ -151,7 +151,7 @@ def click_windows(events: DataFrame, cells: int = 0, span: int = SPAN, late: int
     """Windows (WINDOW) of a stream of events (EVENT): an event is a repeat up to span hours after its window's opener.
 
     A later event closes its click's window and opens another; a window also closes once the watermark, late hours behind the latest event, has passed it
-    (expired is true). Events of the same click, hour and hash may be one row with their number n; rows with n of 0 only move the
+    (expired is true); watermark is that at which it is told, in milliseconds. Events of the same click, hour and hash may be one row with their number n; rows with n of 0 only move the
     watermark. Events behind the watermark are dropped. Hours count from a start of the caller's and are positive.
 
     cells: clicks are dealt to so many groups by hash, whose windows are one state, folded together; 0 makes each click a group of
@@ -176,11 +176,18 @@ def _set(spark: SparkSession, values: dict[str, str]):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Executors give back what their heaps grew by and no longer need, for what the stores take beside them."""
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).write.format("noop").mode("overwrite").save()
+
+
 def run_batches(events: DataFrame, n_batches: int, cells: int = 0, span: int = SPAN, late: int = LATE, tasks: int | None = None) -> DataFrame:
-    """Feed events (batch int, and EVENT) batch by batch to a streaming query, started anew for each on one checkpoint: WINDOW and closed_batch.
+    """Feed events (batch int, and EVENT) batch by batch to a streaming query, started anew for each on one checkpoint: WINDOW and closed_batch, without expired and watermark.
 
     closed_batch is the batch in which a window closed, or after which it expired. Batches are written to a new folder of the shared one,
-    each is moved into the query's source before its start, and a last event far ahead closes what is open. Empty batches start nothing.
+    each is moved into the query's source before its start, and an event far ahead in the last closes what is open after it. Empty batches start nothing.
+    Spark never frees the statistics of a RocksDB that it closes, half a megabyte on 8 CPUs, so a partition opens its store once a batch, and once more at the end.
     All but the result is removed at the end. tasks: how many make the events, where they come of a shuffle; None: the session's number.
     """
     spark = events.sparkSession
@@ -192,27 +199,25 @@ def run_batches(events: DataFrame, n_batches: int, cells: int = 0, span: int = S
     path = spark._jvm.org.apache.hadoop.fs.Path
     files.mkdirs(path(source))
 
-    def start(fed: int, before: int, flush: bool) -> None:
-        stream = click_windows(spark.readStream.schema(EVENT).parquet(f"{source}/*"), cells, span, late)
-        closed = F.when(F.col("expired"), F.lit(before)).otherwise(F.lit(fed)).cast("long").alias("closed_batch")
-        with _set(spark, _SETTINGS | {"spark.sql.streaming.noDataMicroBatches.enabled": str(flush).lower()}):
-            query = stream.select("click_id", "start_hour", closed, "n_repeats", "n_conflicts", "conflict_crc", "hash")
-            query.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
-
-    last = None
-    for batch in range(n_batches):
-        if files.exists(path(f"{staged}/batch={batch}")):
-            files.rename(path(f"{staged}/batch={batch}"), path(f"{source}/{batch}"))
-            # what has expired before this batch did so after the one before it
-            start(batch, batch if last is None else last, False)
-            last = batch
     columns = "click_id long, start_hour long, closed_batch long, n_repeats long, n_conflicts long, conflict_crc long, hash binary"
-    if last is None:
+    fed = [b for b in range(n_batches) if files.exists(path(f"{staged}/batch={b}"))]
+    if not fed:
         discard(spark, folder)
         return spark.createDataFrame([], columns)
-    final = spark.read.schema(EVENT).parquet(f"{source}/*").agg(F.max("hour")).first()[0] + span + late + 2
-    spark.createDataFrame([(0, final, None, 0)], EVENT).coalesce(1).write.parquet(f"{source}/{n_batches}")
-    start(last, last, True)
+    for before, batch in zip([fed[0], *fed], fed, strict=False):
+        files.rename(path(f"{staged}/batch={batch}"), path(f"{source}/{batch}"))
+        over = F.col("expired")
+        if batch == fed[-1]:
+            final = spark.read.schema(EVENT).parquet(f"{source}/*").agg(F.max("hour")).first()[0] + span + late + 2
+            spark.createDataFrame([(0, final, None, 0)], EVENT).coalesce(1).write.parquet(f"{source}/{n_batches}")
+            over &= F.col("watermark") < (final - late) * HOUR - 1
+        # what has expired before this batch did so after the one before it; what the event far ahead closes, after this one
+        closed = F.when(over, F.lit(before)).otherwise(F.lit(batch)).cast("long").alias("closed_batch")
+        stream = click_windows(spark.readStream.schema(EVENT).parquet(f"{source}/*"), cells, span, late)
+        collect_garbage(spark)
+        with _set(spark, _SETTINGS | {"spark.sql.streaming.noDataMicroBatches.enabled": str(batch == fed[-1]).lower()}):
+            query = stream.select("click_id", "start_hour", closed, "n_repeats", "n_conflicts", "conflict_crc", "hash")
+            query.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
     for done in (staged, source, state):
         discard(spark, done)
     return spark.read.schema(columns).parquet(out)

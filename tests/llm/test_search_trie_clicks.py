@@ -2,6 +2,7 @@
 
 import datetime
 import hashlib
+import os
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -234,3 +235,26 @@ def test_batches_of_which_one_is_empty(spark):
     rows = [(b, i, hour, bytearray.fromhex(h), n) for b, events in enumerate(batches) for (i, hour, h), n in Counter(events).items()]
     events = spark.createDataFrame(rows, "batch int, click_id long, hour long, hash binary, n long").repartition(2)
     assert Counter((*r[:6], r[6].hex()) for r in clicks.run_batches(events, 4, cells=0).collect()) == brute_windows(batches)
+
+
+def test_stores_open_once_a_batch_and_once_at_the_end(spark, monkeypatch):
+    """A partition opens its store for each micro-batch, of which every one leaves half a megabyte in the executor."""
+    commits, discard = [], clicks.discard
+
+    def seen(session, folder):
+        if folder.endswith("/state"):
+            commits.extend(x for x in os.listdir(f"{folder.removeprefix('file:')}/commits") if x.isdigit())
+        discard(session, folder)
+
+    monkeypatch.setattr(clicks, "discard", seen)
+    rows = [(b, click, hour, bytearray(HASHES["a"]), 1) for b, click, hour in [(0, 7, 1000), (0, 8, 1090), (1, 7, 1090)]]
+    got = clicks.run_batches(spark.createDataFrame(rows, "batch int, click_id long, hour long, hash binary, n long"), 2, cells=2)
+    assert sorted((r.start_hour, r.closed_batch) for r in got.collect()) == [(1000, 0), (1090, 1), (1090, 1)]
+    assert len(commits) == 3
+
+
+def test_executors_collect_garbage(spark):
+    beans = lambda: sum(b.getCollectionCount() for b in spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+    before = beans()
+    clicks.collect_garbage(spark)
+    assert beans() > before
